@@ -2,18 +2,34 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quorate.llm import sharding
+from quorate.llm import langid, packing, pii, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id"))
+    profiles = langid.learn(docs.where("NOT held_out"))
+    return langid.predict(docs.drop("lang"), profiles).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shuffle_into_shards(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_sharding": op7_sharding}
+QUERIES = {"op1_packing": op1_packing, "op3_pii": op3_pii, "op6_language": op6_language, "op7_sharding": op7_sharding}
 ORACLE: dict[str, str] = {}
