@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorate.llm import decontaminate, extract, langid, lm, media, packing, pii, repeats, sharding
+from quorate.llm import decontaminate, extract, langid, lm, media, minhash, packing, pii, repeats, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +28,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(_table(spark, sf_dir, "documents")).drop("rid")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", langid.held_out("doc_id"))
     profiles = langid.learn(docs.where("NOT held_out"))
@@ -50,5 +54,5 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(_table(spark, sf_dir, "documents")).drop("starts", "ends")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_media, op3_pii, op4_decontaminate, op6_language, op7_sharding, op8_lm, op9_extract, op10_repeats)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_media, op3_pii, op4_decontaminate, op5_minhash, op6_language, op7_sharding, op8_lm, op9_extract, op10_repeats)}
 ORACLE: dict[str, str] = {}
