@@ -12,6 +12,7 @@ from __future__ import annotations
 import heapq
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,12 +20,13 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Words whose ids a Python worker remembers; beyond it the memory starts anew.
-WORD_CACHE = 300_000
+#: Words whose ids a Python worker remembers in each of two generations: when the young one is full it becomes the old
+#: one, and words of the old one that are met again move to the young one.
+WORD_CACHE = 500_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
-_WORDS: dict[str, dict[bytes, bytes]] = {}
+_WORDS: dict[str, list[dict[bytes, bytes]]] = {}
 _TOKENIZERS: dict = {}
 
 
@@ -41,19 +43,20 @@ def encode(texts: list[str], tokenizer_path: str, end_id: int) -> list[bytes]:
 
         _TOKENIZERS[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
         _TOKENIZERS[tokenizer_path].encode_special_tokens = True
-    tokenizer, cache = _TOKENIZERS[tokenizer_path], _WORDS.setdefault(tokenizer_path, {})
+    tokenizer, generations = _TOKENIZERS[tokenizer_path], _WORDS.setdefault(tokenizer_path, [{}, {}])
     split = [t.encode().split() for t in texts]
-    new = list({w for words in split for w in words if w not in cache})
-    known = cache
-    if len(cache) + len(new) > WORD_CACHE:
-        known = dict(cache)  # for these texts only
-        cache.clear()
+    if len(generations[0]) >= WORD_CACHE:
+        generations[:] = [{}, generations[0]]
+    young, old = generations
+    met = set().union(*split).difference(young)
+    new = [w for w in met if w not in old]
+    young.update((w, old[w]) for w in met if w in old)
     for at in range(0, len(new), 4096):
         some = new[at : at + 4096]
-        for w, e in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        encoded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
+        young.update(zip(some, (array("I", e.ids).tobytes() for e in encoded), strict=True))
     end = np.array([end_id], dtype="<u4").tobytes()
-    return [b"".join([known[w] for w in words]) + end for words in split]
+    return [b"".join(map(young.__getitem__, words)) + end for words in split]
 
 
 def pack_group(lengths: list[int], tiers: list[int]) -> list[tuple[int, list[tuple[int, int, int]]]]:
