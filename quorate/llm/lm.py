@@ -161,7 +161,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", modul
             top = top[n[top] > 0]
             rows = [(int(n.sum()), int((n > 0).sum()), int((n == 1).sum()), None, None)]
             rows += [(0, 0, 0, int(h), int(c)) for h, c in zip(distinct[top].astype(np.int64), n[top], strict=True)]
-            return pd.DataFrame(rows, columns=["n", "v", "once", "word", "c"]).astype("Int64")
+            columns = zip("n v once word c".split(), zip(*rows, strict=True), strict=True)
+            return pd.DataFrame({name: pd.array(list(values), dtype="Int64") for name, values in columns})  # hashes are exact
 
         facts = scratch.table(sent.groupBy("part").applyInPandas(summary, "n long, v long, once long, word long, c long"))
         n_all, v_all, once = (x or 0 for x in facts.agg(F.sum("n"), F.sum("v"), F.sum("once")).first())

@@ -87,9 +87,9 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                     rows.append((len(items), (key >> 64) - (1 << 63), (key & ((1 << 64) - 1)) - (1 << 63), bands(values).view(np.int64), values.astype(np.uint8).tobytes()))
                 else:
                     rows.append((0, None, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "k1", "k2", "bands", "sketch"])
-            for c in ("k1", "k2"):
-                out[c] = out[c].astype("Int64")
+            n, k1, k2, band, values = zip(*rows, strict=True) if rows else ((),) * 5
+            whole = lambda x: pd.array(list(x), dtype="Int64")  # noqa: E731  exact beside nulls
+            out = pd.DataFrame({"n_shingles": whole(n), "k1": whole(k1), "k2": whole(k2), "bands": pd.Series(band, dtype=object), "sketch": pd.Series(values, dtype=object)})
             for c in ("rid", "doc_id", "t1", "t2"):
                 out.insert(0, c, pdf[c].astype("Int64").values)
             yield out

@@ -156,7 +156,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             step += max(groups, default=0) + 1
             ids, texts, tokens = [], [], 0
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
-            out["doc_id"] = out["doc_id"].astype("Int64")
+            out["doc_id"] = pd.array([r[0] for r in rows], dtype="Int64")
             return out
 
         for pdf in batches:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,5 +55,9 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(_table(spark, sf_dir, "documents")).drop("starts", "ends")
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_media, op3_pii, op4_decontaminate, op5_minhash, op6_language, op7_sharding, op8_lm, op9_extract, op10_repeats)}
-ORACLE: dict[str, str] = {}
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES = {f.__name__: f for f in (op1_packing, op2_media, op3_pii, op4_decontaminate, op5_minhash, op6_language, op7_sharding, op8_lm, op9_extract, op10_repeats, pipeline)}
+ORACLE: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
