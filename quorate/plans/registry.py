@@ -1,4 +1,482 @@
 """Registered queries over the driver tables, with the SQL each one is compared with."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quorate.operators import coassociation as co
+from quorate.operators import contingency as ct
+from quorate.operators import features as ft
+from quorate.operators import recommend as rc
+from quorate.operators import reports as rp
+from quorate.plans import views as vw
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(name: str, views: str = "", sql: str = ""):
+    """Register a query, and its SQL over the named views if there is one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = vw.with_views(views, sql) if views else sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    return df.select(*[F.round(c, digits).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def truth_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return vw.members8(spark, sf).join(vw.objects(spark, sf).select("obj_id", "gt"), "obj_id")
+
+
+MARGINS = """
+t AS (SELECT part_id, cluster_id AS a, gt AS b, count(*) AS n FROM members JOIN objects USING (obj_id) GROUP BY 1, 2, 3),
+ra AS (SELECT part_id, a, sum(n) AS m FROM t GROUP BY 1, 2), rb AS (SELECT part_id, b, sum(n) AS m FROM t GROUP BY 1, 2),
+x AS (SELECT part_id, CAST(sum(m) AS DOUBLE) AS n, CAST(sum(m*m) AS DOUBLE) AS a2, sum(m * ln(m)) AS ea, count(*) AS ka FROM ra GROUP BY 1),
+y AS (SELECT part_id, CAST(sum(m*m) AS DOUBLE) AS b2, sum(m * ln(m)) AS eb, count(*) AS kb FROM rb GROUP BY 1),
+z AS (SELECT part_id, CAST(sum(n*n) AS DOUBLE) AS n2, sum(n * ln(n)) AS eab FROM t GROUP BY 1),
+s AS (SELECT part_id, n, n2, a2, b2, ka, kb, ln(n) - ea/n AS ha, ln(n) - eb/n AS hb, (ln(n) - ea/n) + (ln(n) - eb/n) - (ln(n) - eab/n) AS mi FROM x JOIN y USING (part_id) JOIN z USING (part_id))"""
+
+
+@query("contingency_gt", "objects members", "SELECT part_id, cluster_id, gt, count(*) AS n FROM members JOIN objects USING (obj_id) GROUP BY 1, 2, 3")
+def contingency_gt(spark, sf):
+    return ct.contingency(truth_pairs(spark, sf), ["part_id"], "cluster_id", "gt")
+
+
+@query(
+    "partition_metrics",
+    "objects members",
+    f"""WITH+ {MARGINS}, q AS (SELECT *, n2 - n AS tp, b2 - n2 AS fp, a2 - n2 AS fn FROM s)
+SELECT part_id, CAST(n AS BIGINT) AS n, round(CASE WHEN ka = 1 AND kb = 1 THEN 1.0 WHEN abs(mi) < 1e-12 THEN 0.0 ELSE greatest(0.0, mi / ((ha + hb) / 2)) END, 6) AS nmi,
+round(CASE WHEN fn = 0 AND fp = 0 THEN 1.0 ELSE 2.0 * (tp * (n*n - tp - fp - fn - n) - fn * fp) / ((tp + fn) * (fn + (n*n - tp - fp - fn - n)) + (tp + fp) * (fp + (n*n - tp - fp - fn - n))) END, 6) AS ari,
+round(2.0 * (tp / (a2 - n)) * (tp / (b2 - n)) / ((tp / (a2 - n)) + (tp / (b2 - n))), 6) AS f FROM q""",
+)
+def partition_metrics(spark, sf):
+    return rounded(ct.agreement(truth_pairs(spark, sf), ["part_id"], "cluster_id", "gt"))
+
+
+PAIRS = """
+t AS (SELECT l.part_id AS p, r.part_id AS q, l.cluster_id AS a, r.cluster_id AS b, count(*) AS n FROM members l JOIN members r ON l.obj_id = r.obj_id AND l.part_id < r.part_id GROUP BY 1, 2, 3, 4),
+ra AS (SELECT p, q, a, sum(n) AS m FROM t GROUP BY 1, 2, 3), rb AS (SELECT p, q, b, sum(n) AS m FROM t GROUP BY 1, 2, 3),
+x AS (SELECT p, q, CAST(sum(m) AS DOUBLE) AS n, CAST(sum(m*m) AS DOUBLE) AS a2, sum(m * ln(m)) AS ea FROM ra GROUP BY 1, 2),
+y AS (SELECT p, q, CAST(sum(m*m) AS DOUBLE) AS b2, sum(m * ln(m)) AS eb FROM rb GROUP BY 1, 2),
+z AS (SELECT p, q, CAST(sum(n*n) AS DOUBLE) AS n2, sum(n * ln(n)) AS eab FROM t GROUP BY 1, 2),
+agree AS (SELECT p, q, (n*n - a2 - b2 + 2*n2) / (n*n) AS agreement, (ea - eab + eb) AS unused, ((ln(n) - ea/n) + (ln(n) - eb/n)) / 2 AS mh, (ln(n) - ea/n) + (ln(n) - eb/n) - (ln(n) - eab/n) AS mi FROM x JOIN y USING (p, q) JOIN z USING (p, q)),
+sym AS (SELECT p, q, agreement, mi, mh FROM agree UNION ALL SELECT q AS p, p AS q, agreement, mi, mh FROM agree)"""
+
+
+@query("partition_agreement", "members", f"WITH+ {PAIRS} SELECT p, q, round(agreement, 6) AS agreement FROM agree")
+def partition_agreement(spark, sf):
+    return rounded(ct.rand_agreement(vw.members8(spark, sf)))
+
+
+@query("partition_quality", "members", f"WITH+ {PAIRS} SELECT p AS part_id, round(avg(agreement), 6) AS quality FROM sym GROUP BY 1")
+def partition_quality(spark, sf):
+    return rounded(ct.quality(vw.members8(spark, sf)))
+
+
+WEIGHTS = f"{PAIRS}, own AS (SELECT p AS part_id, (sum(agreement) + 1) / (count(*) + 1) AS m FROM sym GROUP BY 1), wt AS (SELECT part_id, m / (SELECT sum(m) FROM own) AS weight FROM own)"
+
+
+@query("partition_weights", "members", f"WITH+ {WEIGHTS} SELECT part_id, round(weight, 6) AS weight FROM wt")
+def partition_weights(spark, sf):
+    return rounded(ct.weights(vw.members8(spark, sf)))
+
+
+@query("partition_weights_sharp", "members", f"WITH+ {WEIGHTS} SELECT part_id, round(pow(weight, 1.5) / (SELECT sum(pow(weight, 1.5)) FROM wt), 6) AS weight FROM wt")
+def partition_weights_sharp(spark, sf):
+    return rounded(ct.weights(vw.members8(spark, sf), 1.5))
+
+
+@query("partition_nmi_agreement", "members", f"WITH+ {PAIRS}, v AS (SELECT p AS part_id, avg(CASE WHEN mh <= 0 THEN 0.0 ELSE least(1.0, greatest(0.0, mi / mh)) END) AS v FROM sym GROUP BY 1) SELECT part_id, round(least(1.0, greatest(1e-6, v / (SELECT max(v) FROM v))), 6) AS weight FROM v")
+def partition_nmi_agreement(spark, sf):
+    return rounded(ct.nmi_agreement(vw.members8(spark, sf)))
+
+
+@query("orders_agreement", "", """WITH members AS (SELECT o_orderkey AS obj_id, 0 AS part_id, o_orderstatus AS cluster_id FROM orders UNION ALL SELECT o_orderkey, 1, o_orderpriority FROM orders UNION ALL SELECT o_orderkey, 2, strftime(o_orderdate, '%m') FROM orders), """ + PAIRS.strip() + " SELECT p, q, round(agreement, 6) AS agreement FROM agree")
+def orders_agreement(spark, sf):
+    o = vw.table(spark, sf, "orders")
+    parts = F.array(F.struct(F.lit(0).alias("part_id"), F.col("o_orderstatus").alias("cluster_id")), F.struct(F.lit(1).alias("part_id"), F.col("o_orderpriority").alias("cluster_id")), F.struct(F.lit(2).alias("part_id"), F.date_format("o_orderdate", "MM").alias("cluster_id")))
+    return rounded(ct.rand_agreement(o.select(F.col("o_orderkey").alias("obj_id"), F.explode(parts).alias("m")).select("obj_id", "m.*")))
+
+
+COASSOC = "pairs AS (SELECT l.obj_id AS i, r.obj_id AS j, count(*) AS c FROM members l JOIN members r ON l.part_id = r.part_id AND l.cluster_id = r.cluster_id AND l.obj_id < r.obj_id GROUP BY 1, 2)"
+
+
+@query("coassoc_topk", "members", f"WITH+ {COASSOC} SELECT i, j, round(c / 8.0, 6) AS w FROM pairs ORDER BY w DESC, i, j LIMIT 100")
+def coassoc_topk(spark, sf):
+    return rounded(co.object_pairs(vw.members8(spark, sf))).orderBy(F.desc("w"), "i", "j").limit(100)
+
+
+@query("coassoc_histogram", "members", f"WITH+ {COASSOC} SELECT CAST(c AS INTEGER) AS together, count(*) AS pairs FROM pairs GROUP BY 1")
+def coassoc_histogram(spark, sf):
+    return co.histogram(vw.members8(spark, sf))
+
+
+@query("coassoc_weighted", "members", f"WITH+ {WEIGHTS}, cw AS (SELECT l.obj_id AS i, r.obj_id AS j, sum(weight) AS w FROM members l JOIN members r ON l.part_id = r.part_id AND l.cluster_id = r.cluster_id AND l.obj_id < r.obj_id JOIN wt ON wt.part_id = l.part_id GROUP BY 1, 2) SELECT i, count(*) AS partners, round(sum(w), 4) AS total, round(max(w), 6) AS top FROM cw GROUP BY 1")
+def coassoc_weighted(spark, sf):
+    m = vw.members8(spark, sf)
+    pairs = co.object_pairs(m, ct.weights(m)).groupBy("i").agg(F.count("*").alias("partners"), F.sum("w").alias("t"), F.max("w").alias("x"))
+    return pairs.select("i", "partners", F.round("t", 4).alias("total"), F.round("x", 6).alias("top"))
+
+
+NECI = """
+sz AS (SELECT part_id, cluster_id, count(*) AS size FROM members GROUP BY 1, 2), k AS (SELECT part_id, count(*) AS k FROM sz GROUP BY 1),
+sp AS (SELECT l.part_id, l.cluster_id, r.part_id AS q, r.cluster_id AS d, count(*) AS n FROM members l JOIN members r ON l.obj_id = r.obj_id GROUP BY 1, 2, 3, 4),
+h AS (SELECT part_id, cluster_id, sum(-(CAST(n AS DOUBLE)/size) * log2(CAST(n AS DOUBLE)/size)) AS h FROM sp JOIN sz USING (part_id, cluster_id) GROUP BY 1, 2),
+rel AS (SELECT part_id, cluster_id, CASE WHEN k > 1 THEN h / log2(k) ELSE 0.0 END AS entropy, exp(-(CASE WHEN k > 1 THEN h / log2(k) ELSE 0.0 END) / (0.09 * 8)) AS neci FROM h JOIN k USING (part_id))"""
+
+
+@query("cluster_entropy_neci", "members", f"WITH+ {NECI} SELECT part_id, cluster_id, round(entropy, 6) AS entropy, round(neci, 6) AS neci FROM rel")
+def cluster_entropy_neci(spark, sf):
+    return rounded(co.reliability(vw.members8(spark, sf)))
+
+
+NWCA = f"""{NECI}, rated AS (SELECT obj_id, part_id, cluster_id, neci FROM members JOIN rel USING (part_id, cluster_id)), tops AS (SELECT max(own) AS top FROM (SELECT obj_id, sum(neci) AS own FROM rated GROUP BY 1) o),
+nw AS (SELECT l.obj_id AS i, r.obj_id AS j, sum(l.neci) / (SELECT top FROM tops) AS w FROM rated l JOIN rated r ON l.part_id = r.part_id AND l.cluster_id = r.cluster_id AND l.obj_id < r.obj_id GROUP BY 1, 2)"""
+
+
+def nwca(spark, sf):
+    m = vw.members8(spark, sf)
+    return co.weighted_by_cluster(m, co.reliability(m))
+
+
+@query("nwca_pairs", "members", f"WITH+ {NWCA} SELECT i, count(*) AS partners, round(sum(w), 4) AS total, round(max(w), 6) AS top FROM nw GROUP BY 1")
+def nwca_pairs(spark, sf):
+    a = nwca(spark, sf).groupBy("i").agg(F.count("*").alias("partners"), F.sum("w").alias("t"), F.max("w").alias("x"))
+    return a.select("i", "partners", F.round("t", 4).alias("total"), F.round("x", 6).alias("top"))
+
+
+@query("mustlink_rescale", "members", f"WITH+ {NWCA}, {COASSOC}, ml AS (SELECT i, j, w FROM nw JOIN pairs USING (i, j) WHERE c / 8.0 >= 0.65), e AS (SELECT min(w) AS lo, max(w) AS hi FROM ml) SELECT i, j, round((w - lo) / (hi - lo) / 5 + 0.8, 6) AS w FROM ml, e")
+def mustlink_rescale(spark, sf):
+    ca = co.object_pairs(vw.members8(spark, sf)).withColumnRenamed("w", "ca")
+    return rounded(co.must_links(nwca(spark, sf).join(ca, ["i", "j"]), F.col("ca") >= 0.65))
+
+
+@query("cluster_jaccard", "members", "WITH+ sz AS (SELECT part_id, cluster_id, count(*) AS size FROM members GROUP BY 1, 2), b AS (SELECT l.part_id AS p, l.cluster_id AS c, r.part_id AS q, r.cluster_id AS d, count(*) AS n FROM members l JOIN members r ON l.obj_id = r.obj_id AND l.part_id < r.part_id GROUP BY 1, 2, 3, 4) SELECT p, c, q, d, round(CAST(n AS DOUBLE) / (x.size + y.size - n), 6) AS similarity FROM b JOIN sz x ON x.part_id = p AND x.cluster_id = c JOIN sz y ON y.part_id = q AND y.cluster_id = d")
+def cluster_jaccard(spark, sf):
+    return rounded(co.jaccard(vw.members8(spark, sf)))
+
+
+@query("global_cluster_ids", "members", "SELECT part_id, cluster_id, row_number() OVER (ORDER BY part_id, cluster_id) - 1 AS gcid FROM (SELECT DISTINCT part_id, cluster_id FROM members) c")
+def global_cluster_ids(spark, sf):
+    return ft.global_cluster_ids(vw.members8(spark, sf)).withColumn("gcid", F.col("gcid").cast("long"))
+
+
+def vals(spark, sf):
+    return vw.values(vw.objects(spark, sf))
+
+
+ZSQL = "SELECT obj_id, CAST(feat AS INTEGER) AS feat, round((value - m) / (CASE WHEN s > 1e-12 THEN s ELSE 1.0 END), 5) AS value FROM vals JOIN (SELECT feat, avg(value) AS m, stddev_pop(value) AS s FROM vals GROUP BY 1) f USING (feat)"
+
+
+@query("zscore_features", "vals", ZSQL)
+def zscore_features(spark, sf):
+    return rounded(ft.preprocess(vals(spark, sf), "zscore"), 5)
+
+
+@query("minmax_features", "vals", "SELECT obj_id, CAST(feat AS INTEGER) AS feat, round((value - lo) / (CASE WHEN hi > lo THEN hi - lo ELSE 1.0 END), 6) AS value FROM vals JOIN (SELECT feat, min(value) AS lo, max(value) AS hi FROM vals GROUP BY 1) f USING (feat)")
+def minmax_features(spark, sf):
+    return rounded(ft.preprocess(vals(spark, sf), "minmax"))
+
+
+DIRTY = "dirty AS (SELECT obj_id, feat, CASE WHEN (obj_id + feat) % 11 = 0 THEN NULL ELSE value END AS value FROM vals)"
+
+
+def dirty(spark, sf):
+    return vals(spark, sf).withColumn("value", F.when((F.col("obj_id") + F.col("feat")) % 11 == 0, None).otherwise(F.col("value")))
+
+
+@query("impute_mean", "vals", f"WITH+ {DIRTY} SELECT obj_id, CAST(feat AS INTEGER) AS feat, round(coalesce(value, m, 0.0), 6) AS value FROM dirty JOIN (SELECT feat, avg(value) AS m FROM dirty GROUP BY 1) f USING (feat)")
+def impute_mean(spark, sf):
+    return rounded(ft.impute_mean(dirty(spark, sf)))
+
+
+@query("impute_median", "vals", f"WITH+ {DIRTY} SELECT obj_id, CAST(feat AS INTEGER) AS feat, round(coalesce(value, m), 6) AS value FROM dirty JOIN (SELECT feat, median(value) AS m FROM dirty GROUP BY 1) f USING (feat)")
+def impute_median(spark, sf):
+    return rounded(ft.impute_median(dirty(spark, sf)))
+
+
+@query("top_variance", "vals", "SELECT CAST(feat AS INTEGER) AS feat, round(var_pop(value), 6) AS variance FROM vals GROUP BY 1 ORDER BY var_pop(value) DESC, 1 LIMIT 10")
+def top_variance(spark, sf):
+    return rounded(ft.top_variance(vals(spark, sf), 10))
+
+
+@query("basic_profile", "vals", f"""WITH+ {DIRTY}, f AS (SELECT feat, count(*) AS n, sum(CASE WHEN value IS NULL THEN 1 ELSE 0 END) AS missing, var_pop(value) AS v FROM dirty GROUP BY 1)
+SELECT max(n) AS n, count(*) AS d, round(CAST(count(*) AS DOUBLE) / max(n), 6) AS d_over_n, round(CAST(sum(missing) AS DOUBLE) / sum(n), 6) AS missing_ratio, 0.0 AS inf_ratio, round(avg(CASE WHEN v < 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS constant_ratio, round(avg(v), 6) AS var_mean, round(stddev_pop(v), 6) AS var_std, round(min(v), 6) AS var_min, round(max(v), 6) AS var_max FROM f""")
+def basic_profile(spark, sf):
+    return rounded(ft.basic_profile(dirty(spark, sf)))
+
+
+@query("class_stats", "objects", "WITH+ s AS (SELECT gt, count(*) AS m FROM objects GROUP BY 1), t AS (SELECT CAST(sum(m) AS DOUBLE) AS n, avg(m) AS mean FROM s) SELECT count(*) AS k, min(m) AS min_size, max(m) AS max_size, round(CAST(max(m) AS DOUBLE) / min(m), 6) AS imbalance, round(avg(CASE WHEN m < greatest(5, floor(mean * 0.1)) THEN 1.0 ELSE 0.0 END), 6) AS small_ratio, round(sum(-(m / n) * log2(m / n)), 6) AS entropy FROM s, t")
+def class_stats(spark, sf):
+    return rounded(ft.class_stats(vw.objects(spark, sf)))
+
+
+CENTRES = "cen AS (SELECT gt, feat, avg(value) AS c, count(*) AS n FROM vals GROUP BY 1, 2)"
+
+
+@query("centroid_distances", "vals", f"WITH+ {CENTRES}, d AS (SELECT a.gt AS p, b.gt AS q, sqrt(sum((a.c - b.c) * (a.c - b.c))) AS d FROM cen a JOIN cen b ON a.feat = b.feat AND a.gt <> b.gt GROUP BY 1, 2), r AS (SELECT p, d, row_number() OVER (PARTITION BY p ORDER BY d) AS r FROM d), n AS (SELECT p, min(d) AS d1, avg(d) AS mean, max(CASE WHEN r = 2 THEN d END) AS d2 FROM r GROUP BY 1) SELECT round(min(d1), 6) AS min_nearest, round(avg(mean), 6) AS mean_distance, round(avg(d1 / d2), 6) AS margin FROM n")
+def centroid_distances(spark, sf):
+    return rounded(ft.centroid_distances(vals(spark, sf)))
+
+
+@query("calinski_davies", "vals", f"""WITH+ {CENTRES}, mu AS (SELECT feat, avg(value) AS m FROM vals GROUP BY 1), r AS (SELECT obj_id, v.gt, sqrt(sum((value - c) * (value - c))) AS r FROM vals v JOIN cen USING (gt, feat) GROUP BY 1, 2), s AS (SELECT gt, avg(r) AS s, sum(r * r) AS w, count(*) AS n FROM r GROUP BY 1),
+b AS (SELECT gt, sum((c - m) * (c - m)) AS b FROM cen JOIN mu USING (feat) GROUP BY 1), ch AS (SELECT (sum(n * b) / (count(*) - 1)) / (sum(w) / (sum(n) - count(*))) AS ch FROM s JOIN b USING (gt)),
+d AS (SELECT x.gt AS p, y.gt AS q, sqrt(sum((x.c - y.c) * (x.c - y.c))) AS d FROM cen x JOIN cen y ON x.feat = y.feat AND x.gt <> y.gt GROUP BY 1, 2), db AS (SELECT p, max((a.s + e.s) / d) AS r FROM d JOIN s a ON a.gt = p JOIN s e ON e.gt = q GROUP BY 1)
+SELECT round((SELECT ch FROM ch), 6) AS calinski_harabasz, round(avg(r), 6) AS davies_bouldin FROM db""")
+def calinski_davies(spark, sf):
+    return rounded(ft.separation(vals(spark, sf)))
+
+
+SAMPLE = "smp AS (SELECT obj_id FROM objects ORDER BY md5(CAST(obj_id AS VARCHAR)), obj_id LIMIT {n}), sv AS (SELECT v.* FROM vals v JOIN smp USING (obj_id)), dist AS (SELECT a.obj_id AS i, a.gt AS gi, b.obj_id AS j, b.gt AS gj, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS d FROM sv a JOIN sv b USING (feat) GROUP BY 1, 2, 3, 4)"
+
+
+@query("silhouette", "objects vals", f"WITH+ {SAMPLE.format(n=300)}, p AS (SELECT i, gi, gj, avg(d) AS m FROM dist WHERE i <> j GROUP BY 1, 2, 3), o AS (SELECT i, max(CASE WHEN gi = gj THEN m END) AS a, min(CASE WHEN gi <> gj THEN m END) AS b FROM p GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM o")
+def silhouette(spark, sf):
+    return rounded(ft.silhouette(vw.objects(spark, sf), 300))
+
+
+@query("knn_density", "objects vals", f"WITH+ {SAMPLE.format(n=300)}, r AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM dist), k AS (SELECT d FROM r WHERE r = 5), c AS (SELECT quantile_cont(d, 0.95) AS p FROM k) SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(stddev_pop(d) / avg(d), 6) AS cv, round(avg(CASE WHEN d > p THEN 1.0 ELSE 0.0 END), 6) AS outlier_ratio FROM k, c")
+def knn_density(spark, sf):
+    return rounded(ft.knn_density(vw.objects(spark, sf), 5, 300))
+
+
+@query("overlap_friend_enemy", "objects vals", f"WITH+ {SAMPLE.format(n=300)}, r AS (SELECT i, gi, gj, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM dist WHERE i <> j), o AS (SELECT i, min(CASE WHEN gi = gj THEN d END) AS f, min(CASE WHEN gi <> gj THEN d END) AS e FROM r WHERE r <= 60 GROUP BY 1) SELECT round(avg(f), 6) AS friend, round(avg(e), 6) AS enemy, round(avg(CASE WHEN e < f THEN 1.0 ELSE 0.0 END), 6) AS overlap_ratio, round(avg(e / greatest(f, 1e-12)), 6) AS margin_ratio FROM o WHERE f IS NOT NULL AND e IS NOT NULL")
+def overlap_friend_enemy(spark, sf):
+    return rounded(ft.overlap(vw.objects(spark, sf), 60, 300, exclude_self=True))
+
+
+FUZZY = f"{CENTRES}, fd AS (SELECT obj_id, v.gt, c.gt AS cluster, 1.0 / greatest(sqrt(sum((value - c) * (value - c))), 1e-12) AS u FROM vals v JOIN cen c USING (feat) GROUP BY 1, 2, 3), fu AS (SELECT obj_id, gt, cluster, u / sum(u) OVER (PARTITION BY obj_id) AS u FROM fd)"
+
+
+@query("fuzzy_membership", "vals", f"WITH+ {FUZZY} SELECT obj_id, gt, cluster, round(u, 6) AS u FROM fu")
+def fuzzy_membership(spark, sf):
+    return rounded(ft.fuzzy_membership(vals(spark, sf)))
+
+
+@query("fuzzy_cluster_weights", "vals", f"WITH+ {FUZZY}, h AS (SELECT obj_id, gt, sum(-u * log2(u)) AS h, count(*) AS k FROM fu GROUP BY 1, 2) SELECT gt AS cluster, round(exp(-(avg(h) / log2(max(k))) / 0.09), 8) AS weight FROM h GROUP BY 1")
+def fuzzy_cluster_weights(spark, sf):
+    return rounded(ft.fuzzy_weights(vals(spark, sf)), 8)
+
+
+@query("label_normalise", "", "SELECT c_custkey, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS id FROM customer")
+def label_normalise(spark, sf):
+    return ft.label_ids(vw.table(spark, sf, "customer"), ["c_mktsegment"], "c_nationkey").select("c_custkey", F.col("id").cast("long"))
+
+
+@query("label_encode", "", "SELECT c_custkey, dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS id FROM customer")
+def label_encode(spark, sf):
+    return ft.label_ids(vw.table(spark, sf, "customer"), [], "c_mktsegment", base=0).select("c_custkey", F.col("id").cast("long"))
+
+
+DELTA = "lastv AS (SELECT dataset, algorithm, max_by(CASE WHEN linkage = 'average' THEN value END, CASE WHEN linkage = 'average' THEN row_no END) AS a, max_by(CASE WHEN linkage = 'single' THEN value END, CASE WHEN linkage = 'single' THEN row_no END) AS b FROM runs WHERE linkage IN ('average', 'single') GROUP BY 1, 2), delta AS (SELECT dataset, algorithm, a, b, b - a AS delta FROM lastv WHERE a IS NOT NULL AND b IS NOT NULL)"
+
+
+def deltas(spark, sf):
+    return rp.paired_delta(vw.runs(spark, sf), ["dataset", "algorithm"], "linkage", "value", "average", "single")
+
+
+@query("variant_delta", "runs", f"WITH+ {DELTA} SELECT dataset, algorithm, round(a, 6) AS a, round(b, 6) AS b, round(delta, 6) AS delta FROM delta")
+def variant_delta(spark, sf):
+    return rounded(deltas(spark, sf))
+
+
+@query("win_loss_tie", "runs", f"WITH+ {DELTA} SELECT algorithm, CAST(sum(CASE WHEN delta > 0.002 THEN 1 ELSE 0 END) AS BIGINT) AS wins, CAST(sum(CASE WHEN delta < -0.002 THEN 1 ELSE 0 END) AS BIGINT) AS losses, CAST(sum(CASE WHEN abs(delta) <= 0.002 THEN 1 ELSE 0 END) AS BIGINT) AS ties, round(avg(delta), 6) AS mean_delta, round(median(delta), 6) AS median_delta FROM delta GROUP BY 1")
+def win_loss_tie(spark, sf):
+    return rounded(rp.win_loss_tie(deltas(spark, sf), ["algorithm"]))
+
+
+@query("sign_test", "runs", f"WITH+ {DELTA}, c AS (SELECT algorithm, count(*) AS n, least(sum(CASE WHEN delta > 0 THEN 1 ELSE 0 END), sum(CASE WHEN delta < 0 THEN 1 ELSE 0 END)) AS k FROM delta WHERE delta <> 0 GROUP BY 1) SELECT algorithm, CAST(n AS INTEGER) AS n, CAST(k AS INTEGER) AS k, round(least(1.0, 2.0 * sum(exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) - n * ln(2.0)))), 6) AS p FROM c, range(0, 2000) r(i) WHERE i <= k GROUP BY 1, 2, 3")
+def sign_test(spark, sf):
+    return rounded(rp.sign_counts(deltas(spark, sf), ["algorithm"]))
+
+
+FAMILY = "CASE WHEN algorithm IN ('click', 'view') THEN 'single' ELSE 'consensus' END"
+
+
+@query("best_single_vs_consensus", "scores", f"WITH+ bf AS (SELECT dataset, max(CASE WHEN f = 'single' THEN value END) AS single, max(CASE WHEN f = 'consensus' THEN value END) AS consensus FROM (SELECT *, {FAMILY} AS f FROM scores) s GROUP BY 1) SELECT dataset, single, consensus, round(consensus - single, 6) AS delta FROM bf WHERE single IS NOT NULL AND consensus IS NOT NULL")
+def best_single_vs_consensus(spark, sf):
+    return rounded(rp.best_of_families(vw.scores(spark, sf), F.when(F.col("algorithm").isin("click", "view"), "single").otherwise("consensus")))
+
+
+RANKED = "rk AS (SELECT *, CAST(rank() OVER (PARTITION BY dataset ORDER BY value DESC) AS DOUBLE) + (count(*) OVER (PARTITION BY dataset, value) - 1) / 2.0 AS r FROM scores), mr AS (SELECT algorithm, avg(r) AS r, count(*) AS n FROM rk WHERE dataset IN (SELECT dataset FROM scores GROUP BY 1 HAVING count(DISTINCT algorithm) = (SELECT count(DISTINCT algorithm) FROM scores)) GROUP BY 1)"
+
+
+@query("avg_rank", "scores", f"WITH+ {RANKED} SELECT dataset, algorithm, value, round(r, 6) AS r FROM rk")
+def avg_rank(spark, sf):
+    return rounded(vw.scores(spark, sf).withColumn("r", rp.average_rank()))
+
+
+@query("complete_coverage", "scores", "SELECT dataset, algorithm, value FROM scores WHERE dataset IN (SELECT dataset FROM scores GROUP BY 1 HAVING count(DISTINCT algorithm) = (SELECT count(DISTINCT algorithm) FROM scores))")
+def complete_coverage(spark, sf):
+    return rp.complete(vw.scores(spark, sf))
+
+
+@query("ordinal_rank", "scores", "SELECT algorithm, round(avg(r), 6) AS mean_rank, count(*) AS n FROM (SELECT algorithm, row_number() OVER (PARTITION BY dataset ORDER BY value DESC, algorithm) AS r FROM scores WHERE value IS NOT NULL) x GROUP BY 1")
+def ordinal_rank(spark, sf):
+    return rounded(rp.ordinal_rank(vw.scores(spark, sf)))
+
+
+@query("friedman", "scores", f"WITH+ {RANKED}, s AS (SELECT CAST(max(n) AS DOUBLE) AS n, CAST(count(*) AS DOUBLE) AS k, sum(r * r) AS r2 FROM mr), c AS (SELECT n, k, 12.0 * n / (k * (k + 1)) * (r2 - k * (k + 1) * (k + 1) / 4.0) AS chi2 FROM s) SELECT n, k, round(chi2, 6) AS chi2, round((n - 1) * chi2 / (n * (k - 1) - chi2), 6) AS f, k - 1 AS df1, (k - 1) * (n - 1) AS df2 FROM c")
+def friedman(spark, sf):
+    return rounded(rp.friedman(vw.scores(spark, sf)))
+
+
+@query("nemenyi_pairs", "scores", f"WITH+ {RANKED}, cd AS (SELECT (CASE count(*) WHEN 2 THEN 1.96 WHEN 3 THEN 2.343 WHEN 4 THEN 2.569 WHEN 5 THEN 2.728 WHEN 6 THEN 2.85 END) * sqrt(count(*) * (count(*) + 1) / (6.0 * max(n))) AS critical FROM mr) SELECT x.algorithm AS a, y.algorithm AS b, round(abs(x.r - y.r), 6) AS difference, round(critical, 6) AS critical, abs(x.r - y.r) > critical AS significant FROM mr x JOIN mr y ON x.algorithm < y.algorithm, cd")
+def nemenyi_pairs(spark, sf):
+    return rounded(rp.nemenyi(vw.scores(spark, sf)))
+
+
+@query("wilcoxon_statistic", "scores", "WITH+ d AS (SELECT s.algorithm, s.value - b.value AS d FROM scores s JOIN scores b ON b.dataset = s.dataset AND b.algorithm = 'view' WHERE s.algorithm <> 'view' AND s.value <> b.value), r AS (SELECT *, CAST(rank() OVER (PARTITION BY algorithm ORDER BY round(abs(d), 9)) AS DOUBLE) + (count(*) OVER (PARTITION BY algorithm, round(abs(d), 9)) - 1) / 2.0 AS r FROM d) SELECT algorithm, count(*) AS n, coalesce(sum(CASE WHEN d > 0 THEN r END), 0.0) AS w_plus, coalesce(sum(CASE WHEN d < 0 THEN r END), 0.0) AS w_minus, least(coalesce(sum(CASE WHEN d > 0 THEN r END), 0.0), coalesce(sum(CASE WHEN d < 0 THEN r END), 0.0)) AS statistic FROM r GROUP BY 1")
+def wilcoxon_statistic(spark, sf):
+    return rp.signed_ranks(vw.scores(spark, sf), "view")
+
+
+@query("holm_stepdown", "runs", "WITH+ p AS (SELECT algorithm, round(avg(CASE WHEN value > 150 THEN 1.0 ELSE 0.0 END) / 10, 8) AS p FROM runs GROUP BY 1), a AS (SELECT algorithm, p, least(1.0, p * ((SELECT count(*) FROM p) - row_number() OVER (ORDER BY p, algorithm) + 1)) AS adjusted FROM p) SELECT algorithm, p, round(adjusted, 8) AS adjusted, min(CASE WHEN adjusted < 0.05 THEN 1 ELSE 0 END) OVER (ORDER BY p, algorithm ROWS UNBOUNDED PRECEDING) = 1 AS reject FROM a")
+def holm_stepdown(spark, sf):
+    p = vw.runs(spark, sf).groupBy("algorithm").agg(F.round(F.avg(F.when(F.col("value") > 150, 1.0).otherwise(0.0)) / 10, 8).alias("p"))
+    return rounded(rp.holm(p), 8)
+
+
+@query("profile_selection", "runs", "WITH+ p AS (SELECT dataset, algorithm || '|' || linkage AS profile_id, round(avg(value), 6) AS value FROM runs GROUP BY 1, 2), r AS (SELECT *, CAST(rank() OVER (PARTITION BY dataset ORDER BY value DESC) AS DOUBLE) + (count(*) OVER (PARTITION BY dataset, value) - 1) / 2.0 AS r FROM p) SELECT profile_id, round(avg(r), 6) AS mean_rank, round(avg(value), 5) AS mean_value, count(DISTINCT dataset) AS datasets FROM r GROUP BY 1")
+def profile_selection(spark, sf):
+    p = rp.profile_selection(vw.runs(spark, sf), ["algorithm", "linkage"])
+    return p.select("profile_id", F.round("mean_rank", 6).alias("mean_rank"), F.round("mean_value", 5).alias("mean_value"), "datasets")
+
+
+@query("pivot_metric", "runs", "SELECT dataset, round(avg(CASE WHEN linkage = 'average' THEN value END), 6) AS average, round(avg(CASE WHEN linkage = 'complete' THEN value END), 6) AS complete, round(avg(CASE WHEN linkage = 'single' THEN value END), 6) AS single FROM runs GROUP BY 1")
+def pivot_metric(spark, sf):
+    return rounded(vw.runs(spark, sf).groupBy("dataset").pivot("linkage", ["average", "complete", "single"]).agg(F.avg("value")))
+
+
+@query("mean_of_type_means", "runs", "SELECT algorithm, round(avg(m), 6) AS mean_all FROM (SELECT algorithm, linkage, avg(value) AS m FROM runs GROUP BY 1, 2) x GROUP BY 1")
+def mean_of_type_means(spark, sf):
+    return rounded(rp.mean_of_means(vw.runs(spark, sf), "algorithm", "linkage"))
+
+
+@query("best_linkage", "runs", "SELECT dataset, algorithm, linkage, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY dataset, algorithm ORDER BY value DESC, row_no) AS r FROM runs) x WHERE r = 1")
+def best_linkage(spark, sf):
+    return rounded(rp.best_row(vw.runs(spark, sf), ["dataset", "algorithm"], "linkage"))
+
+
+@query("runtime_power_fit", "", "SELECT p_brand, count(*) AS points, round(regr_slope(ln(t), ln(p_size)), 5) AS exponent, round(exp(regr_intercept(ln(t), ln(p_size))), 3) AS factor, round(regr_r2(ln(t), ln(p_size)), 5) AS r2 FROM (SELECT p_brand, p_size, avg(p_retailprice) AS t FROM part GROUP BY 1, 2) x GROUP BY 1 HAVING count(*) >= 3")
+def runtime_power_fit(spark, sf):
+    f = rp.power_fit(vw.table(spark, sf, "part"), ["p_brand"], "p_size", "p_retailprice")
+    return f.select("p_brand", "points", F.round("exponent", 5).alias("exponent"), F.round("factor", 3).alias("factor"), F.round("r2", 5).alias("r2"))
+
+
+@query("prefix_stability", "runs", "SELECT algorithm, k, round(mean, 6) AS mean, round(std, 6) AS std FROM (SELECT algorithm, count(*) OVER w AS k, avg(value) OVER w AS mean, stddev_samp(value) OVER w AS std FROM runs WINDOW w AS (PARTITION BY algorithm ORDER BY row_no ROWS UNBOUNDED PRECEDING)) x WHERE k IN (5, 10, 20, 30, 50)")
+def prefix_stability(spark, sf):
+    return rounded(rp.prefix_stability(vw.runs(spark, sf), [5, 10, 20, 30, 50]))
+
+
+@query("stratified_split", "", "SELECT c_custkey, c_mktsegment, CASE WHEN o < greatest(1, floor(n * 0.6)) THEN 'train' WHEN o < greatest(1, floor(n * 0.6)) + greatest(1, floor(n * 0.2)) THEN 'validation' ELSE 'test' END AS split, CAST(o % 5 AS INTEGER) AS fold FROM (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) - 1 AS o, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) x")
+def stratified_split(spark, sf):
+    return rp.stratified_split(vw.table(spark, sf, "customer"), "c_custkey", "c_mktsegment")
+
+
+MANIFEST = "man AS (SELECT c_custkey AS dataset, c_mktsegment AS type, CAST(c_custkey * 7 % 1200 + 50 AS BIGINT) AS n FROM customer)"
+GRID = f"{MANIFEST}, g AS (SELECT dataset, algorithm, m, linkage, strategy, alpha FROM man, (VALUES ('hierarchical'), ('guided'), ('spectral')) a(algorithm), (VALUES (10), (20)) s(m), (VALUES ('average'), ('ward')) l(linkage), (VALUES ('random', NULL), ('qd', 0.3), ('qd', 0.7)) q(strategy, alpha) WHERE NOT (algorithm = 'spectral' AND n > 900) AND NOT (algorithm = 'guided' AND n > 650))"
+
+
+def grid(spark, sf):
+    man = vw.table(spark, sf, "customer").select(F.col("c_custkey").alias("dataset"), (F.col("c_custkey") * 7 % 1200 + 50).alias("n"))
+    return rp.job_grid(man, ["hierarchical", "guided", "spectral"], [10, 20], ["average", "ward"], ["random", "qd"], [0.3, 0.7]).drop("n")
+
+
+@query("job_grid", "", f"WITH {GRID} SELECT dataset, algorithm, m, linkage, strategy, CAST(alpha AS DOUBLE) AS alpha FROM g")
+def job_grid(spark, sf):
+    return grid(spark, sf)
+
+
+@query("resume_antijoin", "", f"WITH {GRID} SELECT dataset, algorithm, m, linkage, strategy, CAST(alpha AS DOUBLE) AS alpha FROM g WHERE NOT (dataset % 3 = 0 AND strategy = 'random') AND NOT (dataset % 5 = 0 AND strategy = 'qd')")
+def resume_antijoin(spark, sf):
+    done = grid(spark, sf).where("(dataset % 3 = 0 AND strategy = 'random') OR (dataset % 5 = 0 AND strategy = 'qd')")
+    return rp.remaining(grid(spark, sf), done, ["dataset", "algorithm", "m", "linkage", "strategy", "alpha"])
+
+
+SETS = "sets AS (SELECT p_brand AS dataset, count(*) * 10 AS n, CAST(max(p_size) % 12 + 2 AS INTEGER) AS k, count(DISTINCT p_size) AS d FROM part GROUP BY 1)"
+CONF = "conf(name, cn, ck, cd, lam, eta, theta) AS (VALUES " + ", ".join(f"('{a}', {b}, {c}, {d}, {e}, {f}, {g})" for a, b, c, d, e, f, g in rc.CONFIGS) + ")"
+NEAR = f"{SETS}, {CONF}, dd AS (SELECT dataset, n, k, d, name, lam, eta, theta, abs(ln(1.0 + cn) - ln(1.0 + n)) + 2.0 * abs(ck - k) / greatest(k, 1) + 0.5 * abs(ln(1.0 + cd) - ln(1.0 + d)) AS distance FROM sets, conf), nr AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY distance, name) AS place FROM dd)"
+
+
+def sets(spark, sf):
+    return vw.table(spark, sf, "part").groupBy(F.col("p_brand").alias("dataset")).agg((F.count("*") * 10).alias("n"), (F.max("p_size") % 12 + 2).alias("k"), F.countDistinct("p_size").alias("d"))
+
+
+@query("nearest_configs", "", f"WITH {NEAR} SELECT dataset, name, round(distance, 6) AS distance, CAST(place AS INTEGER) AS place FROM nr WHERE place <= 3")
+def nearest_configs(spark, sf):
+    return rounded(rc.nearest_configs(sets(spark, sf)).select("dataset", "name", "distance", "place"))
+
+
+@query("config_blend", "", f"WITH {NEAR} SELECT dataset, round(sum(lam / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS lam, round(sum(eta / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS eta, round(sum(theta / (distance + 1e-6)) / sum(1 / (distance + 1e-6)), 6) AS theta FROM nr WHERE place <= 3 GROUP BY 1")
+def config_blend(spark, sf):
+    return rounded(rc.blend(sets(spark, sf)))
+
+
+DIAG = "dg AS (SELECT c_custkey AS dataset, c_custkey * 13 % 6000 + 20 AS n, CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE c_custkey % 11 + 2 END AS k, c_custkey % 40 AS dim90, c_custkey % 3000 AS d, (c_custkey % 10) / 10.0 AS hopkins, (c_custkey % 13) / 20.0 AS overlap, (c_custkey % 9) * 1.0 AS imbalance, (c_custkey % 17) * 1.0 AS elongation, (c_custkey % 19) / 20.0 AS silhouette, (c_custkey % 6) / 5.0 AS density FROM customer)"
+
+
+def diag(spark, sf):
+    k = F.col("c_custkey")
+    f = lambda m, d: (k % m) / F.lit(float(d))
+    return vw.table(spark, sf, "customer").select(k.alias("dataset"), (k * 13 % 6000 + 20).alias("n"), F.when(k % 7 != 0, k % 11 + 2).alias("k"), (k % 40).alias("dim90"), (k % 3000).alias("d"), f(10, 10).alias("hopkins"), f(13, 20).alias("overlap"), f(9, 1).alias("imbalance"), f(17, 1).alias("elongation"), f(19, 20).alias("silhouette"), f(6, 5).alias("density"))
+
+
+@query("recommend_rules", "", f"""WITH {DIAG} SELECT dataset, CAST(CASE WHEN k IS NOT NULL THEN greatest(2, k - 2) ELSE 2 END AS BIGINT) AS k_min, CAST(CASE WHEN k IS NOT NULL THEN least(k + 4, 30) ELSE least(greatest(5, floor(dim90 / 2.0) + 2), 20) END AS BIGINT) AS k_max,
+CAST(least(CASE WHEN n < 300 THEN 20 WHEN n < 1000 THEN 30 WHEN n < 5000 THEN 40 ELSE 50 END + CASE WHEN hopkins < 0.6 THEN 10 ELSE 0 END + CASE WHEN overlap > 0.3 THEN 10 ELSE 0 END + CASE WHEN imbalance > 5 THEN 10 ELSE 0 END, 100) AS BIGINT) AS m,
+CASE WHEN n > 2500 THEN 'kmeans' ELSE 'mixed' END AS strategy, 'zscore' AS preprocessing, CASE WHEN elongation > 8 THEN 'single' ELSE 'average' END AS method,
+CAST(CASE WHEN overlap > 0.35 THEN 2.5 WHEN silhouette > 0.5 THEN 1.2 WHEN k > 6 THEN 2.0 ELSE 1.5 END AS DOUBLE) AS sharpen, CAST(CASE WHEN n > 2500 THEN 5 WHEN overlap > 0.3 OR density > 0.6 THEN 4 ELSE 3 END AS DOUBLE) AS diffusion_time,
+CAST(CASE WHEN overlap > 0.4 THEN 0.05 WHEN silhouette > 0.5 THEN 0.12 ELSE 0.09 END AS DOUBLE) AS lam, CAST(CASE WHEN overlap > 0.4 THEN 0.8 WHEN silhouette > 0.5 THEN 0.7 ELSE 0.75 END AS DOUBLE) AS eta, CAST(CASE WHEN imbalance > 5 THEN 0.55 WHEN silhouette > 0.5 THEN 0.7 ELSE 0.65 END AS DOUBLE) AS theta FROM dg""")
+def recommend_rules(spark, sf):
+    return rc.rules(diag(spark, sf))
+
+
+@query("algorithm_ranking", "", f"""WITH {DIAG}, pt AS (SELECT dataset, 0 AS o, 'hierarchical' AS algorithm, CASE WHEN silhouette > 0.55 THEN 1.5 ELSE 0 END + CASE WHEN elongation > 8 THEN 2.0 ELSE 0 END AS score FROM dg
+UNION ALL SELECT dataset, 1, 'weighted', CASE WHEN overlap > 0.4 THEN 2.5 ELSE 0 END + CASE WHEN silhouette > 0.55 THEN 1.0 ELSE 0 END + CASE WHEN elongation > 8 THEN 1.0 ELSE 0 END + CASE WHEN hopkins < 0.55 THEN 1.5 ELSE 0 END FROM dg
+UNION ALL SELECT dataset, 2, 'guided', CASE WHEN d * 1.0 / n > 0.5 THEN 2.0 ELSE 0 END + CASE WHEN k > 7 THEN 1.5 ELSE 0 END FROM dg
+UNION ALL SELECT dataset, 3, 'guided_diffusion', 1.0 + CASE WHEN d * 1.0 / n > 0.5 THEN 2.0 ELSE 0 END + CASE WHEN overlap > 0.4 THEN 1.5 ELSE 0 END + CASE WHEN k > 7 THEN 1.5 ELSE 0 END + CASE WHEN imbalance > 5 THEN 1.0 ELSE 0 END FROM dg)
+SELECT dataset, algorithm, CAST(score AS DOUBLE) AS score, CAST(row_number() OVER (PARTITION BY dataset ORDER BY score DESC, o) AS INTEGER) AS place FROM pt""")
+def algorithm_ranking(spark, sf):
+    return rc.algorithm_ranking(diag(spark, sf))
+
+
+@query("registry_latest", "", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderdate DESC, o_orderkey LIMIT 50")
+def registry_latest(spark, sf):
+    return vw.table(spark, sf, "orders").orderBy(F.desc("o_orderdate"), "o_orderkey").limit(50).select("o_orderkey", "o_totalprice")
+
+
+@query("registry_upsert", "", "SELECT doc_id, coalesce(CAST(l.quality AS VARCHAR), d.source) AS state FROM documents d LEFT JOIN labels l USING (doc_id)")
+def registry_upsert(spark, sf):
+    old = vw.table(spark, sf, "documents").select("doc_id", F.col("source").alias("state"))
+    return rp.upsert(old, vw.table(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("state")), ["doc_id"])
+
+
+@query("text_search", "", "SELECT c_custkey FROM customer WHERE contains(lower(concat_ws(' ', c_custkey, c_name, c_nationkey, c_mktsegment)), 'machinery')")
+def text_search(spark, sf):
+    return rp.text_search(vw.table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"), "MACHINERY").select("c_custkey")
+
+
+@query("union_by_name_dedup", "", "SELECT name, nation, balance, segment FROM (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY name) AS r FROM (SELECT c_name AS name, c_nationkey AS nation, c_acctbal AS balance, c_mktsegment AS segment FROM customer UNION ALL SELECT s_name, s_nationkey, s_acctbal, NULL FROM supplier) u) x WHERE r = 1")
+def union_by_name_dedup(spark, sf):
+    c = vw.table(spark, sf, "customer").select(F.col("c_name").alias("name"), F.col("c_nationkey").alias("nation"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    s = vw.table(spark, sf, "supplier").select(F.col("s_name").alias("name"), F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("balance"))
+    return rp.union_distinct([c, s], ["nation"], ["name"])
+
+
+@query("chat_tail", "", "SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM conversations WHERE role IN ('user', 'assistant')) x WHERE r <= 10")
+def chat_tail(spark, sf):
+    from pyspark.sql import Window as W
+
+    c = vw.table(spark, sf, "conversations").where(F.col("role").isin("user", "assistant"))
+    return c.withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))).where("r <= 10").select("conv_id", "turn", "role")
