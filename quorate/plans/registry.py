@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from quorate.operators import coassociation as co
 from quorate.operators import contingency as ct
+from quorate.operators import ensemble as en
 from quorate.operators import features as ft
 from quorate.operators import recommend as rc
 from quorate.operators import reports as rp
@@ -480,3 +481,56 @@ def chat_tail(spark, sf):
 
     c = vw.table(spark, sf, "conversations").where(F.col("role").isin("user", "assistant"))
     return c.withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))).where("r <= 10").select("conv_id", "turn", "role")
+
+
+# Rows-only queries: dense kernels and seeded draws have no SQL.
+
+
+def _consensus(algorithm: str, method: str, **params):
+    def run(spark, sf):
+        m = vw.members8(spark, sf)
+        return en.consensus(m, en.random_plan(m, 6, 2), 10, algorithm, method, **params)
+
+    return run
+
+
+for _method in ("single", "complete", "average", "ward"):
+    QUERIES[f"consensus_labels_{_method}"] = _consensus("hierarchical", _method)
+QUERIES["consensus_labels_weighted"] = _consensus("weighted", "average", sharpen=1.5)
+QUERIES["guided_labels"] = _consensus("guided", "average")
+QUERIES["guided_diffusion_labels"] = _consensus("guided_diffusion", "average", time="adaptive")
+
+
+@query("consensus_scores")
+def consensus_scores(spark, sf):
+    return rounded(en.run_consensus(vw.members8(spark, sf), vw.objects(spark, sf).select("obj_id", "gt"), m=6, runs=4))
+
+
+@query("base_ensemble")
+def base_ensemble(spark, sf):
+    return en.base_partitions(vw.objects(spark, sf), 8, max_hierarchical=1000)
+
+
+@query("single_clusterers")
+def single_clusterers(spark, sf):
+    return en.single_clusterers(vw.objects(spark, sf), 10)
+
+
+@query("qd_subset")
+def qd_subset(spark, sf):
+    return en.diverse_plan(vw.members8(spark, sf), 4, 1)
+
+
+@query("bootstrap_ci")
+def bootstrap_ci(spark, sf):
+    return rounded(en.bootstrap_mean(vw.runs(spark, sf), ["algorithm"], "value", 200))
+
+
+@query("pca_profile")
+def pca_profile(spark, sf):
+    return rounded(en.pca_profile(vals(spark, sf)))
+
+
+@query("cluster_shape")
+def cluster_shape(spark, sf):
+    return rounded(en.class_shapes(vw.objects(spark, sf)))
