@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-BY_FEATURE = W.partitionBy("feat")
-
 
 def per_feature(values: DataFrame, stats: dict[str, Column]) -> DataFrame:
     """values with statistics of each feature: partial aggregates joined back, so no feature is one task's work."""

@@ -35,7 +35,7 @@ def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFra
     sep = sep or ("," if lower.endswith(".csv") else "\t" if lower.endswith(".tsv") else r"\s+")
     pattern = sep if sep == r"\s+" else f"\\Q{sep}\\E"
     lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^﻿", "")).where(F.length(F.trim("value")) > 0)
-    rows = lines.select(F.monotonically_increasing_id().alias("obj_id"), F.transform(F.split(F.trim("value") if sep == r"\s+" else F.col("value"), pattern, -1), F.trim).alias("f"))
+    rows = lines.select(F.monotonically_increasing_id().alias("obj_id"), F.transform(F.split(F.trim("value") if sep == r"\s+" else F.col("value"), pattern, -1), lambda x: F.trim(x)).alias("f"))
     head = rows.orderBy("obj_id").first()
     if head is None:
         raise ValueError("the table is empty")
@@ -57,7 +57,7 @@ def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFra
     at = next((i for i, n in enumerate(names) if n in LABEL_NAMES), width - 1)
     wrong = F.raise_error(F.concat(F.lit("a row has another width: "), F.array_join("f", ",")))
     checked = rows.withColumn("f", F.when(F.size("f") == width, F.col("f")).otherwise(wrong.cast("array<string>")))
-    values = F.transform(F.filter("f", lambda x, i: i != at), lambda x: x.cast("double"))
+    values = F.transform(F.filter("f", lambda x, i: i != at), lambda x: x.try_cast("double"))
     return encode_labels(checked.select("obj_id", values.alias("features"), F.col("f")[at].alias("label")))
 
 

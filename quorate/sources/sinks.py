@@ -33,9 +33,9 @@ def append_tsv(rows: DataFrame, path: str, replace: bool = False) -> None:
 def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> DataFrame:
     """Put new rows into the Parquet table under path by key: a new version is written, then the pointer to it moves."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/_current")
+    pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
     fs = pointer.getFileSystem(conf)
-    current = f"{path}/{spark.read.text(f'{path}/_current').first()[0]}" if fs.exists(pointer) else None
+    current = f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}" if fs.exists(pointer) else None
     merged = upsert(spark.read.parquet(current), new, keys) if current else new
     version = f"v-{uuid.uuid4().hex}"
     merged.write.parquet(f"{path}/{version}")
@@ -46,7 +46,7 @@ def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/_current').first()[0]}")
+    return spark.read.parquet(f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}")
 
 
 def without_ghosts(registry: DataFrame, existing: DataFrame, key: str = "path") -> DataFrame:
