@@ -30,41 +30,59 @@ WORD = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+|[%€$£°]|[.!?\n]")
 UNITS = frozenset(
     "% € $ £ ° mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l s sec secs min mins h hr hrs day days week weeks month months year years hz khz mhz ghz w kw mw v a j kj n pa bar k c f eur usd gbp euro euros dollar dollars cent cents pound pounds meter meters metre metres kilometer kilometers kilometre kilometres mile miles hour hours minute minutes second seconds gram grams kilogram kilograms liter liters litre litres percent".split()
 )
-NUMBER, UNIT, NAME = (np.uint64(xxhash.xxh3_64_intdigest(x)) for x in ("<number>", "<unit>", "<name>"))
+KIND = np.uint64(7)
+NUMBER, UNIT, NAME = (np.uint64(xxhash.xxh3_64_intdigest(x)) & ~KIND for x in ("<number>", "<unit>", "<name>"))
+#: Kinds of words, in the low three bits of a word's code; the others are the hash of its lower-cased form.
+PLAIN, DIGITS, END, TITLE, UNIT_WORD, UNIT_SIGN, UNIT_TITLE = range(7)
+#: Word codes that a Python worker remembers before it starts anew.
+CODES = 500_000
+
+
+def code(word: str) -> int:
+    low = word.lower()
+    title = len(word) > 1 and word.istitle()
+    if word in ".!?\n":
+        kind = END
+    elif word[0].isdigit():
+        kind = DIGITS
+    elif low in UNITS:
+        kind = UNIT_SIGN if not low.isalpha() else UNIT_TITLE if title else UNIT_WORD
+    else:
+        kind = TITLE if title else PLAIN
+    return (xxhash.xxh3_64_intdigest(low) & ~7) | kind
+
+
+class Codes(dict):
+    """Word codes, computed when first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= CODES:
+            self.clear()
+        self[word] = value = code(word)
+        return value
+
+
+_CODES = Codes()
 
 
 def canonical(text: str) -> tuple[np.ndarray, dict[int, str]]:
     """The template tokens of a text as hashes, and the value in each slot by token position.
 
-    A name is a word with one capital at its start that does not begin a sentence.
+    A name is a word with one capital at its start that does not begin a sentence; a unit stands after a number.
     """
-    out, slots = [], {}
-    known: dict[str, int] = {}
-    start, number = True, False
-    for word in WORD.findall(text):
-        if word in ".!?\n":
-            start, number = True, False
-            continue
-        low = word.lower()
-        if word[0].isdigit():
-            slots[len(out)] = word
-            out.append(NUMBER)
-            start, number = False, True
-            continue
-        if number and low in UNITS:
-            slots[len(out)] = low
-            out.append(UNIT)
-        elif not start and len(word) > 1 and word.istitle():
-            slots[len(out)] = low
-            out.append(NAME)
-        else:
-            h = known.get(low)
-            if h is None:
-                h = known[low] = xxhash.xxh3_64_intdigest(low)
-            if low.isalpha():
-                out.append(h)
-        start = number = False
-    return np.array(out, dtype=np.uint64), slots
+    words = WORD.findall(text)
+    codes = np.fromiter(map(_CODES.__getitem__, words), dtype=np.uint64, count=len(words))
+    kind = (codes & KIND).astype(np.int8)
+    before = np.concatenate([[END], kind[:-1]]).astype(np.int8)[: len(kind)]
+    unit = (before == DIGITS) & (kind >= UNIT_WORD)
+    name = ((kind == TITLE) | (kind == UNIT_TITLE)) & (before != END) & ~unit
+    number = kind == DIGITS
+    keep = (kind != END) & ((kind != UNIT_SIGN) | unit)
+    out = codes & ~KIND
+    out[number], out[unit], out[name] = NUMBER, UNIT, NAME
+    place = np.cumsum(keep) - 1
+    slots = {int(place[i]): words[i].lower() for i in np.flatnonzero(number | unit | name).tolist()}
+    return out[keep], slots
 
 
 def windows(tokens: np.ndarray, size: int = WINDOW) -> np.ndarray:
