@@ -90,21 +90,20 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Alternates large-star and small-star steps (Kiveris et al. 2014), each a grouping with map-side partial
     minima, so a vertex with very many neighbours is never gathered in one task. Empty edges give no rows.
     """
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())
+
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = scratch.table(edges)
-    while True:
+    before = None
+    while before != (before := state(edges)) and before[0]:
+        # large star: each larger neighbour of a vertex points to the smallest vertex near it
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        # large star: each larger neighbour of a points to the smallest vertex near a
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = scratch.table(large)
-        # small star: each smaller neighbour of a, and a itself, point to the smallest of them
+        large = scratch.table(both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        # small star: each smaller neighbour of a vertex, and the vertex itself, point to the smallest of them
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
-        after = scratch.table(small)
-        changed = edges.exceptAll(after).limit(1).count() + after.exceptAll(edges).limit(1).count()
-        edges = after
-        if not changed:
-            break
+        moved = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        edges = scratch.table(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
     star = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
     return star.unionByName(edges.select(F.col("b").alias("id"), F.col("b").alias("component"))).groupBy("id").agg(F.min("component").alias("component"))

@@ -7,8 +7,8 @@ independent minima. Bands of 4 coordinates give the candidates: two documents at
 bands once in 200,000 times.
 
 Documents with equal shingle sets are one node. Candidates are compared in rounds: first each node with one leader of
-its bucket, then, where a bucket still holds several components, all its members of different components, in blocks of
-bounded size. A pair goes on to the exact check on full sets unless its sketches agree in less than 62 % of the
+its bucket. Components that still share a bucket and may be linked form a family, and all pairs of a family's different
+components are compared, in blocks of bounded size. A pair goes on to the exact check on full sets unless its sketches agree in less than 62 % of the
 coordinates (five standard deviations below 0.75). Pairs inside a component need no check.
 """
 
@@ -111,6 +111,15 @@ def agreeing(pairs: DataFrame) -> DataFrame:
     return pairs.select("u", "v", "su", "sv").mapInPandas(run, "u long, v long, agree double")
 
 
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the similarity."""
+    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+        return False
+    both = np.sort(np.concatenate([x, y]), kind="stable")
+    common = int(np.count_nonzero(both[1:] == both[:-1]))
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+
+
 def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (u, v) whose full sets reach the similarity, as edges (a, b)."""
 
@@ -118,13 +127,7 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         for pdf in batches:
             keep = []
             for a, b in zip(pdf["x"], pdf["y"], strict=True):
-                x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
-                if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+                keep.append(similar(np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)))
             yield pd.DataFrame({"a": pdf["u"], "b": pdf["v"]})[np.array(keep, dtype=bool)]
 
     left = pairs.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("items").alias("x")), "u")
@@ -150,39 +153,82 @@ def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFr
         yield rest
 
 
-def block_pairs(members: DataFrame) -> DataFrame:
-    """members(band, h, node, comp, bands, sketch) -> (u, v, agree): pairs of a bucket in different components.
+def in_blocks(members: DataFrame, keys: list[str]) -> DataFrame:
+    """Each group of members cut into blocks of about BLOCK; every two blocks of a group, or one with itself, side by side.
 
-    A bucket is cut into blocks of about BLOCK members and every two blocks meet in one task. A pair counts in the
-    first band that it shares only.
+    Adds i and j (the blocks that meet) and own (the row's block), and sorts the partitions by group and blocks.
     """
-    sized = members.join(members.groupBy("band", "h").agg(F.ceil(F.count("*") / BLOCK).alias("of")), ["band", "h"])
-    sized = sized.withColumn("own", F.pmod(F.xxhash64("node"), "of"))
-    met = sized.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
-    met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
-    met = met.select("band", "h", "i", "j", "own", "node", "comp", "bands", "sketch").repartition("band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
+    sized = members.join(members.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK).alias("of")), keys)
+    sized = sized.withColumn("own", F.pmod(F.xxhash64("node"), "of")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("of") - 1)))
+    met = sized.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("of", "other")
+    return met.repartition(*keys, "i", "j").sortWithinPartitions(*keys, "i", "j", "node")
+
+
+class Forest:
+    """Which labels of a group are connected so far."""
+
+    def __init__(self):
+        self.root: dict[int, int] = {}
+
+    def find(self, x: int) -> int:
+        while (up := self.root.get(x, x)) != x:
+            self.root[x] = x = self.root.get(up, up)
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Connect two labels; whether they were apart."""
+        a, b = self.find(a), self.find(b)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
+
+
+def met_pairs(group: pd.DataFrame) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(k, others, agree): for each row k of two blocks, the rows of the other one in other components that may reach the similarity."""
+    i, j = group["i"].iloc[0], group["j"].iloc[0]
+    comp, own = group["comp"].to_numpy(), group["own"].to_numpy()
+    sketches = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(-1, COORDINATES)
+    place = np.arange(len(group))
+    for k in place:
+        if own[k] == i:
+            near = np.flatnonzero((comp != comp[k]) & ((place > k) if i == j else (own == j)))
+            agree = (sketches[near] == sketches[k]).mean(1)
+            yield k, near[agree >= AGREE], agree[agree >= AGREE]
+
+
+def families(members: DataFrame) -> DataFrame:
+    """members(band, h, node, comp, sketch) -> (a, b): components that may be linked; a forest of each two blocks, not all pairs."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in runs(batches, ["band", "h", "i", "j"]):
-            if group["comp"].nunique() < 2:
+            comp, forest = group["comp"].tolist(), Forest()
+            if len(set(comp)) > 1:
+                out = [(comp[k], comp[n]) for k, near, _ in met_pairs(group) for n in near.tolist() if forest.join(comp[k], comp[n])]
+                yield pd.DataFrame(out, columns=["a", "b"])
+
+    return in_blocks(members, ["band", "h"]).select("band", "h", "i", "j", "own", "comp", "sketch").mapInPandas(run, "a long, b long")
+
+
+def family_links(members: DataFrame) -> DataFrame:
+    """members(family, node, comp, sketch, items) -> (a, b): links that connect components, checked on full sets.
+
+    All pairs of different components whose sketches allow it are checked, the likeliest first, but for those that a
+    link of the same task has connected by then.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for group in runs(batches, ["family", "i", "j"]):
+            comp, node, forest = group["comp"].tolist(), group["node"].tolist(), Forest()
+            if len(set(comp)) < 2:
                 continue
-            band, i, j = int(group["band"].iloc[0]), group["i"].iloc[0], group["j"].iloc[0]
-            comp, own, node = (group[c].to_numpy() for c in ("comp", "own", "node"))
-            sketches = np.frombuffer(b"".join(group["sketch"]), dtype=np.uint8).reshape(-1, COORDINATES)
-            hashes = np.stack([np.asarray(b) for b in group["bands"]])
-            out = []
-            for k in range(len(group)):
-                if i != j and own[k] != i:
-                    continue
-                near = np.flatnonzero((comp != comp[k]) & ((node > node[k]) if i == j else (own == j)))
-                if band:
-                    near = near[~(hashes[near, :band] == hashes[k, :band]).any(1)]
-                agree = (sketches[near] == sketches[k]).mean(1)
-                for n, a in zip(node[near][agree >= AGREE], agree[agree >= AGREE], strict=True):
-                    out.append((min(n, node[k]), max(n, node[k]), a))
-            yield pd.DataFrame(out, columns=["u", "v", "agree"])
-
-    return met.mapInPandas(run, "u long, v long, agree double")
+            sets, out = [np.frombuffer(b, dtype=np.uint64) for b in group["items"]], []
+            for k, near, agree in met_pairs(group):
+                for n in near[np.argsort(-agree, kind="stable")].tolist():
+                    if forest.find(comp[k]) != forest.find(comp[n]) and similar(sets[k], sets[n]):
+                        forest.join(comp[k], comp[n])
+                        out.append((node[k], node[n]))
+            yield pd.DataFrame(out, columns=["a", "b"])
+
+    return in_blocks(members, ["family"]).select("family", "i", "j", "own", "node", "comp", "sketch", "items").mapInPandas(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, leader_rounds: int = 2) -> DataFrame:
@@ -212,7 +258,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         texts = texts.join(wanted, ["t1", "t2"]).groupBy("node").agg(F.first("text").alias("text"))
         sets = scratch.table(texts.mapInPandas(fill, "node long, items binary"))
         scratch.release()
-        sketches = nodes.join(chosen, "node").select("node", "bands", "sketch")
+        sketches = nodes.join(chosen, "node").select("node", "sketch")
         links = scratch.table(members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0))
 
         def labelled() -> DataFrame:
@@ -232,16 +278,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             links = scratch.table(links.unionByName(linked(best, sets)))
             scratch.release()
             open_members = labelled()
-        # what the leaders left open: all pairs of different components, the likeliest of each node first
-        candidates = scratch.table(block_pairs(open_members.join(sketches, "node")))
-        both_ways = candidates.unionByName(candidates.select(F.col("v").alias("u"), F.col("u").alias("v"), "agree"))
-        likely = both_ways.withColumn("r", F.row_number().over(W.partitionBy("u").orderBy(F.desc("agree"), "v"))).where("r <= 2").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        links = scratch.table(links.unionByName(linked(likely, sets)))
+        # what the leaders left open: components that may still be linked are compared as a family
+        near = scratch.table(families(open_members.join(sketches, "node")))
+        family = components(near, scratch).select(F.col("id").alias("comp"), F.col("component").alias("family"))
         found = scratch.table(components(links, scratch))
-        side = lambda c: found.select(F.col("id").alias(c), F.col("component").alias(f"{c}c"))
-        rest = candidates.join(side("u"), "u", "left").join(side("v"), "v", "left").where("coalesce(uc, u) <> coalesce(vc, v)").select("u", "v").join(likely, ["u", "v"], "left_anti")
-        links = scratch.table(links.unionByName(linked(rest, sets)))
-        found = components(links, scratch)
+        own = sets.select("node").join(found.withColumnRenamed("id", "node"), "node", "left").select("node", F.coalesce("component", "node").alias("comp"))
+        whole = own.join(family, "comp").join(sketches, "node").join(sets, "node")
+        closing = scratch.table(family_links(whole))
+        scratch.release()
+        stars = found.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        found = components(stars.unionByName(closing), scratch)
         named = nodes.select("k1", "k2", "node", "least").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
         named = named.join(smallest, "component").select("k1", "k2", "component_id", F.lit(True).alias("known"))
