@@ -76,3 +76,33 @@ def algorithm_ranking(diag: DataFrame) -> DataFrame:
     ]
     rows = diag.select("dataset", F.explode(F.array(*[F.struct(F.lit(i).alias("o"), F.lit(a).alias("algorithm"), s.alias("score")) for i, (a, s) in enumerate(points)])).alias("p")).select("dataset", "p.*")
     return rows.withColumn("place", F.row_number().over(W.partitionBy("dataset").orderBy(F.desc("score"), "o"))).drop("o")
+
+
+def simple_rules(sets: DataFrame) -> DataFrame:
+    """sets(dataset, n, d, k, pool) -> parameters from sizes alone: k range, m (the pool's size if there is one), strategy, sharpening, time."""
+    c = F.col
+    k_min = F.when(c("k").isNotNull(), F.greatest(F.lit(2), c("k") - 2)).otherwise(2)
+    k_max = F.when(c("k").isNotNull(), F.least(c("k") + 4, F.lit(20))).otherwise(10)
+    m = F.when(c("n") < 300, 20).when(c("n") < 1000, 30).when(c("n") < 5000, 40).otherwise(50)
+    large = c("n") > 2500
+    return sets.select(
+        "dataset", k_min.cast("long").alias("k_min"), k_max.cast("long").alias("k_max"), F.coalesce(c("pool"), m).cast("long").alias("m"), F.when(large, "kmeans").otherwise("mixed").alias("strategy"),
+        F.when(c("k") > 6, 2.0).otherwise(1.5).alias("sharpen"), F.when(large, 5.0).otherwise(3.0).alias("diffusion_time"),
+        F.concat_ws(",", F.when(c("d") > 50, "many features"), F.when(large, "many objects"), F.when(c("k").isNull(), "no labels")).alias("warnings"),
+    )
+
+
+#: Diagnostics and the bounds of their low, medium and high bands. Fixed values.
+BANDS = {"dim": (0.1, 0.5), "density": (0.3, 0.6), "overlap": (0.15, 0.3), "imbalance": (2, 5), "elongation": (3, 8)}
+
+
+def bands(diag: DataFrame) -> DataFrame:
+    """Low, medium or high for each diagnostic in BANDS; null stays null."""
+    level = lambda c, low, high: F.when(F.col(c) < low, "low").when(F.col(c) < high, "medium").when(F.col(c) >= high, "high").alias(c)
+    return diag.select("dataset", *[level(c, low, high) for c, (low, high) in BANDS.items()])
+
+
+def route(diag: DataFrame) -> DataFrame:
+    """The algorithm that a question about a data set is sent to: diffusion where it is dense, long or mixed, else weighted."""
+    hard = (F.col("density") > 1) | (F.col("elongation") > 8) | (F.col("overlap") > 0.25)
+    return diag.select("dataset", F.when(hard, "guided_diffusion").otherwise("weighted").alias("algorithm"))

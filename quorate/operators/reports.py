@@ -176,3 +176,34 @@ def union_distinct(tables: list[DataFrame], keys: list[str], order: list[str]) -
 def text_search(rows: DataFrame, query: str) -> DataFrame:
     """Rows that have the query anywhere in their columns, whatever its case."""
     return rows.where(F.contains(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns])), F.lit(query.lower())))
+
+
+def runtime_summary(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    return rows.groupBy(*keys).agg(F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"), F.count(value).alias("n"))
+
+
+def highlighted(scores: DataFrame, keys: list[str], value: str, tol: float = 1e-9) -> DataFrame:
+    """scores with ``best``: within tol of the largest value of its group."""
+    top = scores.groupBy(*keys).agg(F.max(value).alias("_top"))
+    return scores.join(top, keys).withColumn("best", F.abs(F.col(value) - F.col("_top")) < tol).drop("_top")
+
+
+def dashboard_filter(rows: DataFrame, max_n: int | None = None, **wanted: str) -> DataFrame:
+    """Rows whose columns have the wanted values, where 'all' wants any, with n up to max_n."""
+    for column, value in wanted.items():
+        if value != "all":
+            rows = rows.where(F.col(column) == value)
+    return rows if max_n is None else rows.where(F.col("n") <= max_n)
+
+
+def categorised(rows: DataFrame, name: str, known: dict[str, str]) -> DataFrame:
+    """rows with ``type``: that of the equal name, else of the first known name that contains it or is in it, else 'unknown'."""
+    stem = F.regexp_replace(F.col(name), r"\.(npz|mat|csv|tsv|txt|json)$", "")
+    exact = F.coalesce(*[F.when(stem == k, v) for k, v in known.items()])
+    partly = F.coalesce(*[F.when(F.contains(stem, F.lit(k)) | F.contains(F.lit(k), stem), v) for k, v in known.items()])
+    return rows.withColumn("type", F.coalesce(exact, partly, F.lit("unknown")))
+
+
+def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """Exactly n rows, or all: those of the smallest md5 of their key."""
+    return rows.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)

@@ -483,6 +483,55 @@ def chat_tail(spark, sf):
     return c.withColumn("r", F.row_number().over(W.partitionBy("conv_id").orderBy(F.desc("turn")))).where("r <= 10").select("conv_id", "turn", "role")
 
 
+@query("simple_recommend", "", "SELECT c_custkey AS dataset, CAST(CASE WHEN c_nationkey % 5 = 0 THEN 2 ELSE greatest(2, c_nationkey - 2) END AS BIGINT) AS k_min, CAST(CASE WHEN c_nationkey % 5 = 0 THEN 10 ELSE least(c_nationkey + 4, 20) END AS BIGINT) AS k_max, CAST(coalesce(CASE WHEN c_custkey % 4 = 0 THEN c_custkey % 90 END, CASE WHEN n < 300 THEN 20 WHEN n < 1000 THEN 30 WHEN n < 5000 THEN 40 ELSE 50 END) AS BIGINT) AS m, CASE WHEN n > 2500 THEN 'kmeans' ELSE 'mixed' END AS strategy, CASE WHEN c_nationkey % 5 <> 0 AND c_nationkey > 6 THEN 2.0 ELSE 1.5 END AS sharpen, CASE WHEN n > 2500 THEN 5.0 ELSE 3.0 END AS diffusion_time, concat_ws(',', CASE WHEN c_custkey % 100 > 50 THEN 'many features' END, CASE WHEN n > 2500 THEN 'many objects' END, CASE WHEN c_nationkey % 5 = 0 THEN 'no labels' END) AS warnings FROM (SELECT *, c_custkey * 13 % 6000 + 20 AS n FROM customer) x")
+def simple_recommend(spark, sf):
+    k = F.col("c_custkey")
+    s = vw.table(spark, sf, "customer").select(k.alias("dataset"), (k * 13 % 6000 + 20).alias("n"), (k % 100).alias("d"), F.when(F.col("c_nationkey") % 5 != 0, F.col("c_nationkey")).alias("k"), F.when(k % 4 == 0, k % 90).alias("pool"))
+    return rc.simple_rules(s)
+
+
+@query("interpretation_bands", "", f"WITH {DIAG} SELECT dataset, CASE WHEN d * 1.0 / n < 0.1 THEN 'low' WHEN d * 1.0 / n < 0.5 THEN 'medium' ELSE 'high' END AS dim, CASE WHEN density < 0.3 THEN 'low' WHEN density < 0.6 THEN 'medium' ELSE 'high' END AS density, CASE WHEN overlap < 0.15 THEN 'low' WHEN overlap < 0.3 THEN 'medium' ELSE 'high' END AS overlap, CASE WHEN imbalance < 2 THEN 'low' WHEN imbalance < 5 THEN 'medium' ELSE 'high' END AS imbalance, CASE WHEN elongation < 3 THEN 'low' WHEN elongation < 8 THEN 'medium' ELSE 'high' END AS elongation FROM dg")
+def interpretation_bands(spark, sf):
+    return rc.bands(diag(spark, sf).withColumn("dim", F.col("d") / F.col("n")))
+
+
+@query("algorithm_route", "", f"WITH {DIAG} SELECT dataset, CASE WHEN density > 1 OR elongation > 8 OR overlap > 0.25 THEN 'guided_diffusion' ELSE 'weighted' END AS algorithm FROM dg")
+def algorithm_route(spark, sf):
+    return rc.route(diag(spark, sf))
+
+
+@query("runtime_summary", "runs", "SELECT algorithm, linkage, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, count(value) AS n FROM runs GROUP BY 1, 2")
+def runtime_summary(spark, sf):
+    r = rp.runtime_summary(vw.runs(spark, sf), ["algorithm", "linkage"], "value")
+    return r.withColumn("mean", F.round("mean", 6))
+
+
+@query("best_highlight", "scores", "SELECT dataset, algorithm, value, abs(value - max(value) OVER (PARTITION BY dataset)) < 1e-9 AS best FROM scores")
+def best_highlight(spark, sf):
+    return rp.highlighted(vw.scores(spark, sf), ["dataset"], "value")
+
+
+@query("dashboard_filter", "", "SELECT c_custkey, c_mktsegment AS type, c_custkey * 7 % 1200 + 50 AS n FROM customer WHERE c_mktsegment = 'BUILDING' AND c_custkey * 7 % 1200 + 50 <= 600")
+def dashboard_filter(spark, sf):
+    man = vw.table(spark, sf, "customer").select("c_custkey", F.col("c_mktsegment").alias("type"), (F.col("c_custkey") * 7 % 1200 + 50).alias("n"), F.lit("train").alias("split"))
+    return rp.dashboard_filter(man, 600, type="BUILDING", split="all").drop("split")
+
+
+@query("split_type_counts", "", "SELECT split, c_mktsegment, count(*) AS n FROM (SELECT c_mktsegment, CASE WHEN o < greatest(1, floor(n * 0.6)) THEN 'train' WHEN o < greatest(1, floor(n * 0.6)) + greatest(1, floor(n * 0.2)) THEN 'validation' ELSE 'test' END AS split FROM (SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY md5(CAST(c_custkey AS VARCHAR)), c_custkey) - 1 AS o, count(*) OVER (PARTITION BY c_mktsegment) AS n FROM customer) x) y GROUP BY 1, 2")
+def split_type_counts(spark, sf):
+    return rp.stratified_split(vw.table(spark, sf, "customer"), "c_custkey", "c_mktsegment").groupBy("split", "c_mktsegment").agg(F.count("*").alias("n"))
+
+
+@query("dataset_types", "", "SELECT p_partkey, CASE WHEN p_name LIKE '%green%' THEN 'compact' WHEN p_name LIKE '%blue%' THEN 'overlapping' WHEN p_name LIKE '%1%' THEN 'elongated' ELSE 'unknown' END AS type FROM part")
+def dataset_types(spark, sf):
+    return rp.categorised(vw.table(spark, sf, "part"), "p_name", {"green": "compact", "blue": "overlapping", "1": "elongated"}).select("p_partkey", "type")
+
+
+@query("hash_sample", "", "SELECT o_orderkey FROM orders ORDER BY md5(CAST(o_orderkey AS VARCHAR)), o_orderkey LIMIT 200")
+def hash_sample(spark, sf):
+    return rp.hash_sample(vw.table(spark, sf, "orders"), "o_orderkey", 200).select("o_orderkey")
+
+
 # Rows-only queries: dense kernels and seeded draws have no SQL.
 
 
