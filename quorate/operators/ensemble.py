@@ -226,3 +226,40 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int
     edge = (1 - confidence) / 2
     ends = means.groupBy(*keys).agg(F.percentile("m", F.lit(edge)).alias("low"), F.percentile("m", F.lit(1 - edge)).alias("high"))
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ends, keys)
+
+
+def parameter_grid(members: DataFrame, labels: DataFrame, grid: list[dict], algorithm: str = "guided", method: str = "average", m: int = 20, runs: int = 2, seed: int = 19) -> DataFrame:
+    """(trial, params, run_id, nmi, ari, f, status, error): every setting of the grid on the same runs, one task each.
+
+    A setting that fails gives rows of status 'failed' with its error instead of stopping the others. The best one is
+    the row of largest mean metric over its runs; see ``best_setting``.
+    """
+    import json
+
+    k = labels.select("gt").distinct().count()
+    build = ALGORITHMS[algorithm]
+    plan = random_plan(members, m, runs, seed)
+    trials = F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(json.dumps(p, sort_keys=True)).alias("params")) for i, p in enumerate(grid)])
+
+    def attempt(pdf: pd.DataFrame) -> pd.DataFrame:
+        head = {"trial": int(pdf["trial"].iloc[0]), "params": pdf["params"].iloc[0], "run_id": int(pdf["run_id"].iloc[0])}
+        wide = pdf.pivot(index="obj_id", columns="part_id", values="cluster_id").sort_index()
+        try:
+            found, error = kernels.consensus_labels(build(wide.to_numpy(), json.loads(head["params"])), k, method), None
+        except Exception as e:  # a failed setting is a result
+            found, error = np.zeros(len(wide), dtype=int), f"{type(e).__name__}: {e}"[:120]
+        return pd.DataFrame(head | {"obj_id": wide.index, "label": found, "error": error})
+
+    rows = members.select("obj_id", "part_id", "cluster_id").join(plan, "part_id").withColumn("t", F.explode(trials)).select("obj_id", "part_id", "cluster_id", "run_id", "t.*")
+    tried = rows.groupBy("trial", "run_id").applyInPandas(attempt, "trial int, params string, run_id int, obj_id long, label int, error string")
+    keys = ["trial", "params", "run_id", "status", "error"]
+    tried = tried.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed")).withColumn("error", F.coalesce("error", F.lit("")))
+    scored = ct.agreement(tried.join(labels, "obj_id"), keys, "label", "gt").drop("n")
+    ok = lambda c: F.when(F.col("status") == "ok", F.col(c)).alias(c)
+    return scored.select(*keys, ok("nmi"), ok("ari"), ok("f"))
+
+
+def best_setting(trials: DataFrame, metric: str = "nmi") -> DataFrame:
+    """One row: the setting of the largest mean metric, the first of ties."""
+    means = trials.where("status = 'ok'").groupBy("trial", "params").agg(F.avg(metric).alias(metric))
+    return means.orderBy(F.desc(metric), "trial").limit(1)

@@ -105,3 +105,12 @@ def test_generators(spark):
     for bad in ({"k": 1}, {"separation": 1.0}, {"outliers": 1.0}, {"noise_features": -1}, {"n": 3}, {"eigen_ratio": 0.5}, {"d": 0}):
         with pytest.raises(ValueError):
             g.separated(spark, **{"n": 60, "k": 3, "d": 2} | bad)
+
+
+def test_parameter_grid(blobs, pool):
+    grid = [{"lam": 0.09, "eta": 0.75}, {"eta": "wrong"}]
+    t = en.parameter_grid(pool, blobs.select("obj_id", "gt"), grid, m=8, runs=2)
+    rows = t.collect()
+    assert {(r.trial, r.status) for r in rows} == {(0, "ok"), (1, "failed")} and len(rows) == 4
+    assert all(r.nmi is None and r.error for r in rows if r.trial == 1)
+    assert en.best_setting(t).first().trial == 0
