@@ -2,14 +2,18 @@
 
 Words are lower-cased and numbers, names and units become typed placeholders, so a benchmark question keeps its
 template when its parameters are changed. Windows of five template tokens are hash-joined with those of the
-benchmark. An item counts as found in a document if the joined windows cover enough of its tokens after windows whose
-slots are filled inconsistently (one value of the item for two of the document, or the other way round) are left out.
+benchmark. An item counts as found in a document if one occurrence covers enough of its tokens. An occurrence is made
+of the joined windows nearest to one alignment (document position minus item position), so that words put in or left out
+do not end it; windows whose slots are filled inconsistently in it (one value of the item for two of the document, or
+the other way round) are left out. Other occurrences in the same document have no say in it.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections import Counter, defaultdict
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -96,20 +100,24 @@ def windows(tokens: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return out
 
 
-def template_windows(rows: DataFrame, keys: list[str], size: int = WINDOW, among: np.ndarray | None = None) -> DataFrame:
-    """rows(keys..., text) -> (keys..., n_tokens, at, window, slots): the windows of each text, only those in ``among`` if given."""
+def template_windows(rows: DataFrame, keys: list[str], size: int = WINDOW, among: np.ndarray | None = None, short: tuple[int, ...] = ()) -> DataFrame:
+    """rows(keys..., text) -> (keys..., n_tokens, at, window, slots): the windows of each text, only those in ``among`` if given.
+
+    Longer texts have windows of the ``short`` sizes too.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for values in zip(*[pdf[k] for k in keys], pdf["text"], strict=True):
                 tokens, slots = canonical(values[-1] or "")
-                found = windows(tokens, size)
-                keep = range(len(found)) if among is None else np.flatnonzero(among[np.minimum(np.searchsorted(among, found), max(0, len(among) - 1))] == found) if len(among) and len(found) else []
-                for at in keep:
-                    at = int(at)
-                    own = [f"{k - at}={slots[k]}" for k in range(at, min(at + size, len(tokens))) if k in slots] if slots else []
-                    out.append((*values[:-1], len(tokens), at, int(found[at].astype(np.int64)), own))
+                for width in (min(size, len(tokens)), *(w for w in short if w < min(size, len(tokens)))):
+                    found = windows(tokens, width)
+                    keep = range(len(found)) if among is None else np.flatnonzero(among[np.minimum(np.searchsorted(among, found), max(0, len(among) - 1))] == found) if len(among) and len(found) else []
+                    for at in keep:
+                        at = int(at)
+                        own = [f"{k - at}={slots[k]}" for k in range(at, at + width) if k in slots] if slots else []
+                        out.append((*values[:-1], len(tokens), at, int(found[at].astype(np.int64)), own))
             frame = pd.DataFrame(out, columns=[*keys, "n_tokens", "at", "window", "slots"])
             for k in keys:
                 frame[k] = frame[k].astype("Int64")
@@ -124,10 +132,62 @@ def text_keys(text: str | Column) -> list[Column]:
     return [F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("k1"), F.xxhash64(F.lit(1), F.coalesce(F.col(text), F.lit(""))).alias("k2")]
 
 
+def consistent(filled: set[tuple[int, str, str]]) -> set[tuple[str, str]]:
+    """Of slots (place, value of the item, value of the document), the pairs of values to keep.
+
+    The item's own value stays; another one stays if it is there more often than each that contradicts it.
+    """
+    times = Counter((own, other) for _, own, other in filled)
+    of_item, of_text = defaultdict(list), defaultdict(list)
+    for own, other in times:
+        of_item[own].append((own, other))
+        of_text[other].append((own, other))
+    return {p for p in times if p[0] == p[1] or all(times[p] > times[q] for q in of_item[p[0]] + of_text[p[1]] if q != p)}
+
+
+def best_occurrence(hits: Iterable[tuple[int, int, list[str], list[str]]], n_tokens: int, size: int, similarity: float) -> tuple[float, int] | None:
+    """Joined windows (item_at, at, item_slots, slots) of a text and an item -> (coverage, number of value pairs) if it is similar.
+
+    Each alignment is tried with the windows up to the item's length away from it, and with those of the whole text.
+    """
+    width, places, fills = min(size, n_tokens), defaultdict(list), {}
+    for item_at, at, item_slots, slots in hits:
+        places[item_at].append(at)
+        values = [(x.split("=", 1), y.split("=", 1)[1]) for x, y in zip(item_slots, slots, strict=True)]
+        fills[item_at, at] = [(item_at + int(k), own, other) for (k, own), other in values]
+
+    def covered(starts: Iterable[int]) -> int:
+        return len({k for s in starts for k in range(s, s + width)})
+
+    most, best = covered(places), (0, 0)
+    if most < similarity * n_tokens:
+        return None
+    for at in places.values():
+        at.sort()
+    for anchor, _ in Counter(at - item_at for item_at, at in fills).most_common():
+        near = {}
+        for item_at, at in places.items():
+            k = bisect_left(at, anchor + item_at)
+            near[item_at] = min(at[max(0, k - 1) : k + 1], key=lambda x: abs(x - anchor - item_at))
+        for chosen in ({i: at for i, at in near.items() if abs(at - anchor - i) <= n_tokens}, near):
+            if covered(chosen) <= best[0]:
+                continue
+            filled = {f for hit in chosen.items() for f in fills[hit]}
+            kept = consistent(filled)
+            if n_tokens < size and len({k for k, _, _ in filled}) == n_tokens:  # nothing but slots: all numbers are alike
+                kept = {(own, other) for own, other in kept if own == other}
+            n = covered(i for i, at in chosen.items() if all((own, other) in kept for _, own, other in fills[i, at]))
+            best = max(best, (n, len({(own, other) for _, own, other in filled})))
+        if best[0] == most:
+            break
+    return (best[0] / n_tokens, best[1]) if best[0] >= similarity * n_tokens else None
+
+
 def found_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY, size: int = WINDOW) -> DataFrame:
     """(k1, k2, item_id, coverage, n_slots): which texts, by text_keys, hold which items.
 
-    Items and texts without tokens match nothing. Repeated items count each; repeated windows count once.
+    Items and texts without tokens match nothing. Repeated items count each; repeated windows count once. Items with
+    fewer tokens than a window are found inside texts too; those made of slots alone only with their own values.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     known = template_windows(items, ["item_id"], size)
@@ -136,21 +196,20 @@ def found_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     if n <= SENT_WINDOWS:
         among = np.array(sorted({r.window for r in known.select("window").distinct().collect()}), dtype=np.int64).view(np.uint64)
         among.sort()
+    short = tuple(r.n_tokens for r in known.where(F.col("n_tokens") < size).select("n_tokens").distinct().collect())
     known = known.select("item_id", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens"))
-    hits = template_windows(docs.select(*text_keys(text_col), F.col(text_col).alias("text")), ["k1", "k2"], size, among)
+    hits = template_windows(docs.select(*text_keys(text_col), F.col(text_col).alias("text")), ["k1", "k2"], size, among, short)
     joined = hits.join(F.broadcast(known) if n <= SENT_WINDOWS else known, "window")
-    # a value of the item with two of the document, or the other way round, is inconsistent
-    filled = F.expr("transform(arrays_zip(item_slots, slots), p -> concat(split(p.item_slots, '=')[1], '\\u0001', split(p.slots, '=')[1]))")
-    per = joined.withColumn("filled", filled).groupBy("k1", "k2", "item_id").agg(
-        F.max("item_tokens").alias("item_tokens"), F.collect_set(F.struct("item_at", "filled")).alias("ws")
-    )
-    per = per.withColumn("pairs", F.expr("array_distinct(flatten(ws.filled))"))
-    per = per.withColumn("bad", F.expr("filter(pairs, p -> size(filter(pairs, q -> (split(q, '\\u0001')[0] = split(p, '\\u0001')[0]) != (split(q, '\\u0001')[1] = split(p, '\\u0001')[1]))) > 0)"))
-    # slots filled the same way most often are kept: windows with a bad pair count only if it repeats the item's own value
-    good = F.expr("filter(ws, w -> size(filter(w.filled, f -> array_contains(bad, f) AND split(f, '\\u0001')[0] != split(f, '\\u0001')[1])) = 0)")
-    covered = F.expr(f"size(array_distinct(flatten(transform(good, w -> sequence(w.item_at, least(w.item_at + {size}, item_tokens) - 1)))))")
-    per = per.withColumn("good", good).withColumn("coverage", covered / F.col("item_tokens"))
-    return per.where(F.col("coverage") >= similarity).select("k1", "k2", "item_id", F.col("coverage").cast("double"), F.size("pairs").alias("n_slots"))
+    per = joined.groupBy("k1", "k2", "item_id").agg(F.max("item_tokens").alias("item_tokens"), F.collect_set(F.struct("item_at", "at", "item_slots", "slots")).alias("hits"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            best = [best_occurrence([(h["item_at"], h["at"], h["item_slots"], h["slots"]) for h in hits], n, size, similarity) for hits, n in zip(pdf["hits"], pdf["item_tokens"].tolist(), strict=True)]
+            keep = [k for k, b in enumerate(best) if b]
+            out = pdf[["k1", "k2", "item_id"]].iloc[keep]
+            yield out.assign(coverage=[best[k][0] for k in keep], n_slots=[best[k][1] for k in keep])
+
+    return per.mapInPandas(run, "k1 long, k2 long, item_id long, coverage double, n_slots int")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -45,3 +45,29 @@ def test_whole_passages_of_the_tables(spark):
 def test_canonical():
     tokens, slots = decontaminate.canonical("It weighs 12.5 kg. Then Mr Smith left.")
     assert slots == {2: "12.5", 3: "kg", 5: "mr", 6: "smith"} and len(tokens) == 8
+
+
+def changed(values):
+    out = ITEM
+    for old, new in values.items():
+        out = out.replace(old, f"\0{new}\0")
+    return out.replace("\0", "")
+
+
+def test_occurrences_are_checked_apart(spark):
+    one = changed({"120 km in 2 hours": "90 km in 3 hours", "60 km in 1 hour": "45 km in 4 hours", "180": "135", "Anna": "Boris"})
+    two = changed({"120 km in 2 hours": "700 mi in 5 minutes", "60 km in 1 hour": "350 mi in 6 minutes", "180 km": "1050 mi", "Anna": "Clara"})
+    words = " ".join(f"word{chr(97 + k % 26)}" for k in range(200))
+    coincident = f"{words} 8 lb in 9 oz {words} "
+    inserted = one.replace(" and then", " without any stop and then")
+    texts = [one, f"{one} {two}", coincident * 3 + one + " " + coincident * 3, inserted, ITEM.split(" and then")[0], " ".join(coincident for _ in range(9))]
+    assert hits(spark, texts, [ITEM]) == [(0, 0), (1, 0), (2, 0), (3, 0)]
+
+
+def test_items_shorter_than_a_window(spark):
+    texts = ["Please say short one now and then go on.", "short", "He ran 7 km fast.", "There were 12 34 and many others in it", "There were 56 78 and many others in it", "short one"]
+    assert hits(spark, texts, ["short one", "ran 5 km", "12 34"]) == [(0, 0), (2, 1), (3, 2), (5, 0)]
+
+
+def test_consistent():
+    assert decontaminate.consistent({(0, "a", "b"), (1, "a", "b"), (2, "a", "c"), (3, "d", "d"), (4, "e", "d"), (5, "f", "g"), (6, "f", "h")}) == {("a", "b"), ("d", "d")}
