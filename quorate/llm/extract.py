@@ -1,11 +1,11 @@
-"""Main text of HTML pages by template deduction from equivalence classes (after Arasu and Garcia-Molina 2003).
-
-The tokens of a page are its element paths (tag, class and id of each open element) and its text strings. A token's
-occurrence vector says how often each page of the host has it; tokens of a host with equal vectors form an
-equivalence class. Vectors are compared through an order-free hash that Spark sums up per (host, token), so no
-host is gathered in one task. The classes that all pages of a host share, nested by their paths, are its template:
-it says which element is the slot of the main text and which strings are constants. The slot of each page is then
-read out, without the elements that hold no article text by their names.
+"""Main text of HTML pages by template deduction, in the manner of equivalence classes (after Arasu and Garcia-Molina 2003).
+
+The tokens of a page are its element paths (tag, class and id of each open element) and its text strings. Support is
+counted over the distinct contents of a host's pages: copies of a page are one content, and pages without content do
+not count. Spark sums it up per (host, token), so no host is gathered in one task. Elements that nearly all contents
+have once form the frame of a host, and strings that nearly all have in one place are its constants. An article or
+main element goes before the frame as the slot of the main text. The slot of each page is then read out, without the
+elements that hold no article text by their names.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import html as entities
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -21,8 +22,13 @@ from pyspark.sql import functions as F
 
 from quorate.llm.common import checkpointed
 
-#: A string is a constant of the template if at least this share of a host's pages, and so many pages, have it in one place.
-CONSTANT_SHARE, CONSTANT_PAGES = 0.9, 8
+#: Share of a host's distinct contents that must have an element once for its frame, or a string in one place for a constant.
+COMMON_SHARE = 0.9
+#: A string of w words in k contents is a constant only if (k - 2) * w is at least this: the longer, the fewer tell.
+EVIDENCE = 6
+#: Up to so many contents that occur more than once are sent to all tasks (16 bytes each); beyond it pages are joined
+#: with their numbers of copies. Both ways give the same rows.
+SENT_COPIES = 1 << 20
 
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|svg|select|textarea|object|canvas)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -105,60 +111,76 @@ def string_token(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode()) - (1 << 63)
 
 
-def tokens(pages: DataFrame) -> DataFrame:
-    """(host, page, path, text, n, chars, links): how often each page has each token; text is 0 for element paths.
+def tokens(pages: DataFrame, sent: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """(host, path, text, words, n, chars, links, weight): how often each page has each token; text is 0 for element paths.
 
-    Strings count as tokens up to 300 characters, as longer ones are no labels. chars and links are the characters of
-    free text and of link text below an element.
+    chars and links are the characters of free text and of link text below an element. The weights of a content's
+    copies sum up to 1; ``sent`` has the contents that occur more than once, sorted, and how often.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for host, page, source in zip(pdf["host"], pdf["page"], pdf["html"], strict=True):
+            if sent is None:
+                copies = pdf["copies"].to_numpy()
+            else:
+                at = np.searchsorted(sent[0], pdf["content"].to_numpy())
+                at[at == len(sent[0])] = 0
+                copies = np.where(sent[0][at] == pdf["content"].to_numpy(), sent[1][at], 1) if len(sent[0]) else np.ones(len(pdf))
+            for host, source, times in zip(pdf["host"], pdf["html"], copies.tolist(), strict=True):
                 seen: dict[tuple[str, int], list[int]] = {}
-                for path, is_block, text, links, apart in blocks(source or ""):
+                for path, is_block, text, links, apart in blocks(source):
                     if apart:
                         continue
                     if not is_block:
-                        seen.setdefault((path, 0), [0, 0, 0])[0] += 1
+                        seen.setdefault((path, 0), [0, 0, 0, 0])[1] += 1
                         continue
-                    if len(text) <= 300:
-                        seen.setdefault((path, string_token(path, text)), [0, 0, 0])[0] += 1
+                    seen.setdefault((path, string_token(path, text)), [text.count(" ") + 1, 0, 0, 0])[1] += 1
                     at = path
                     while at:
                         if (at, 0) in seen:
-                            seen[at, 0][1] += len(text)
-                            seen[at, 0][2] += links
+                            seen[at, 0][2] += len(text)
+                            seen[at, 0][3] += links
                         at = at.rpartition("/")[0]
-                rows += [(host, page, path, text, *n) for (path, text), n in seen.items()]
-            yield pd.DataFrame(rows, columns=["host", "page", "path", "text", "n", "chars", "links"])
+                rows += [(host, path, text, *n, 1.0 / times) for (path, text), n in seen.items()]
+            yield pd.DataFrame(rows, columns=["host", "path", "text", "words", "n", "chars", "links", "weight"])
 
-    return pages.select("host", "page", "html").mapInPandas(run, "host string, page long, path string, text long, n long, chars long, links long")
+    schema = "host string, path string, text long, words long, n long, chars long, links long, weight double"
+    return pages.select("host", "content", "html", *(["copies"] if sent is None else [])).mapInPandas(run, schema)
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host -> slot (path of the element that holds the main text) and constants (its constant strings).
+    """pages(host, html) -> slot (path of the element that holds the main text) and constants (its constant strings) by host.
 
-    The element paths of a host that all its pages have, the same number of times in each, form its frame (the
-    class of the vector 1, 1, ..., 1 and its multiples). The slot is the innermost article or main element of the frame or of
-    any other class, or else the frame's innermost element that holds at least half of the host's free text.
+    The slot is the article or main element that most contents have, or else the innermost element of the frame that
+    holds at least half of the host's free text.
     """
-    vectors = tokens(pages).groupBy("host", "path", "text").agg(F.count("*").alias("pages"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.max("n").alias("n"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
-    sizes = pages.groupBy("host").agg(F.count("*").alias("of"), F.bit_xor(F.xxhash64("page", F.lit(1).cast("long"))).alias("ones"))
+    pages = pages.where("html <> ''").select("host", "html", F.xxhash64("host", "html").alias("content"))
+    contents = checkpointed(pages.groupBy("host", "content").agg(F.count("*").alias("copies")))
+    sizes = contents.groupBy("host").agg(F.count("*").alias("of"))
+    many, sent = contents.where("copies > 1").select("content", "copies"), None
+    if many.count() <= SENT_COPIES:
+        found = many.orderBy("content").toPandas()
+        sent = (found["content"].to_numpy(dtype=np.int64), found["copies"].to_numpy(dtype=np.int64))
+    else:
+        pages = pages.join(contents, ["host", "content"])
+    once = F.sum(F.when(F.col("n") == 1, F.col("weight")).otherwise(0.0)).alias("once")
+    vectors = tokens(pages, sent).groupBy("host", "path", "text").agg(F.sum("weight").alias("pages"), once, F.max("words").alias("words"), *(F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("chars", "links")))
     known = vectors.join(sizes, "host")
+    # sums of weights come in any order
+    common = F.lit(COMMON_SHARE) * F.col("of") - 1e-6
     element = F.col("text") == 0
     named = element & F.col("path").rlike(r"/(article|main)[^/]*$|@main$")
-    frame = element & (F.col("vector") == F.col("ones"))
-    constant = ~element & (F.col("pages") >= F.lit(CONSTANT_SHARE) * F.col("of")) & (F.col("of") >= CONSTANT_PAGES)
+    frame = element & (F.col("once") >= F.col("of") - 1e-6)
+    constant = ~element & (F.col("pages") >= common) & ((F.col("pages") - 2) * F.col("words") >= EVIDENCE - 1e-6)
     depth = F.size(F.split("path", "/"))
     best = known.where(named | frame | constant).groupBy("host").agg(
-        F.max(F.when(named, F.struct("pages", (-depth).alias("d"), "path"))).alias("named"),
+        F.max(F.when(named, F.struct(F.round("pages", 6), (-depth).alias("d"), "path"))).alias("named"),
         F.max(F.when(frame, F.col("chars"))).alias("whole"),
         F.collect_set(F.when(constant, F.col("text"))).alias("constants"),
         F.collect_list(F.when(frame, F.struct(depth.alias("d"), "path", "chars", "links"))).alias("frame"),
     )
-    inner = F.expr("array_max(filter(frame, f -> f.chars >= 0.5D * whole AND f.links <= 0.5D * f.chars))").getField("path")
+    inner = F.expr("array_max(filter(frame, f -> f.chars >= 0.5D * whole - 1e-6D AND f.links <= 0.5D * f.chars + 1e-6D))").getField("path")
     return best.select("host", F.coalesce(F.col("named.path"), inner, F.lit("")).alias("slot"), "constants")
 
 
@@ -168,7 +190,7 @@ def main_text(page: str, slot: str, constants: set[int]) -> str:
     for path, is_block, text, links, apart in blocks(page):
         if not is_block or apart:
             continue
-        if constants and len(text) <= 300 and string_token(path, text) in constants:
+        if constants and string_token(path, text) in constants:
             continue
         if slot and (path == slot or path.startswith(f"{slot}/")):
             inside.append(text)
@@ -187,7 +209,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """
     slim = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
     slim = slim.withColumn("host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/@?#]*@)?([^/:?#]*)", 1)))
-    found = checkpointed(templates(slim.withColumn("page", F.xxhash64("page_id", "url"))))
+    found = checkpointed(templates(slim))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

@@ -25,6 +25,23 @@ def test_slot_without_a_name_and_constants(spark):
     assert all(got[k] == f'{" ".join(words[k % 10 :] * 6)} number {k}\nsecond {k}' for k in range(12))
 
 
+def test_copies_of_one_article_are_one_content(spark):
+    one = page(0, "<article><h1>A short title</h1><p>A paragraph of real text in it</p></article>")[1]
+    got = run(spark, [(f"http://a.example/{k}", one) for k in range(12)])
+    assert got == dict.fromkeys(range(12), "A short title\nA paragraph of real text in it")
+
+
+def test_long_notice_on_few_and_many_pages(spark, monkeypatch):
+    notice = "we keep these words on all of our pages " * 10
+    pages = lambda n: [page(k, f"<article><p>Story number {k} of the day</p><p>{notice}</p></article>") for k in range(n)]
+    for n in (4, 7, 8, 12):
+        assert run(spark, pages(n)) == {k: f"Story number {k} of the day" for k in range(n)}
+    twice = pages(5) * 2
+    want = run(spark, twice)
+    monkeypatch.setattr(extract, "SENT_COPIES", 0)
+    assert run(spark, twice) == want == {k: f"Story number {k % 5} of the day" for k in range(10)}
+
+
 def test_edges(spark):
     got = run(spark, [(None, None), ("no host", ""), ("http://b.example/1", "plain &lt;text&gt;"), ("http://b.example/1", "plain &lt;text&gt;"), ("http://c.example", "<p>cut <b>off"), ("http://d.example", f"{HEAD}<article><p>open")])
     assert got == {0: "", 1: "", 2: "plain <text>", 3: "plain <text>", 4: "cut off", 5: "open"}
