@@ -171,7 +171,7 @@ def templates(pages: DataFrame) -> DataFrame:
     common = F.lit(COMMON_SHARE) * F.col("of") - 1e-6
     element = F.col("text") == 0
     named = element & F.col("path").rlike(r"/(article|main)[^/]*$|@main$")
-    frame = element & (F.col("once") >= F.col("of") - 1e-6)
+    frame = element & (F.col("once") >= common)
     constant = ~element & (F.col("pages") >= common) & ((F.col("pages") - 2) * F.col("words") >= EVIDENCE - 1e-6)
     depth = F.size(F.split("path", "/"))
     best = known.where(named | frame | constant).groupBy("host").agg(

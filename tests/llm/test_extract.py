@@ -42,6 +42,13 @@ def test_long_notice_on_few_and_many_pages(spark, monkeypatch):
     assert run(spark, twice) == want == {k: f"Story number {k % 5} of the day" for k in range(10)}
 
 
+def test_frame_tolerates_empty_and_broken_pages(spark):
+    body = lambda k: f'<div class="frame"><div class="top"><p>Offer {k} today</p></div><div class="story"><p>{f"text{k} " * 30}</p><p>end {k}</p></div></div>'
+    pages = [page(k, body(k)) for k in range(20)] + [("http://a.example/20", None), ("http://a.example/21", ""), ("http://a.example/22", "<p>broken")]
+    got = run(spark, pages)
+    assert all(got[k] == f"{f'text{k} ' * 30}".strip() + f"\nend {k}" for k in range(20)) and (got[20], got[21], got[22]) == ("", "", "broken")
+
+
 def test_edges(spark):
     got = run(spark, [(None, None), ("no host", ""), ("http://b.example/1", "plain &lt;text&gt;"), ("http://b.example/1", "plain &lt;text&gt;"), ("http://c.example", "<p>cut <b>off"), ("http://d.example", f"{HEAD}<article><p>open")])
     assert got == {0: "", 1: "", 2: "plain <text>", 3: "plain <text>", 4: "cut off", 5: "open"}
