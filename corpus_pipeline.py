@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorate.llm import decontaminate, langid, minhash, packing, pii
-from quorate.llm.common import checkpointed
+from quorate.llm.common import Scratch, checkpointed
 
 
 #: Least similarity to the best language profile that a document of any known language is expected to have.
@@ -27,11 +27,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document of the smallest id of each group of near-duplicates; rows without words all stay."""
-    found = minhash.near_duplicates(docs)
+    """Keeps the document of the smallest id of each group of near-duplicates; rows without words all stay.
+
+    Row numbers follow the file splits of a scan, which may differ from scan to scan, so they are drawn once and kept.
+    """
+    # stays after this call like a checkpoint, as what is returned is read from it
+    numbered = Scratch(spark, "numbered").table(docs.withColumn("_rid", F.monotonically_increasing_id()))
+    found = minhash.near_duplicates(numbered, rid_col="_rid")
     alone = F.when(F.col("n_shingles") == 0, F.col("rid"))  # not a group
     first = found.where("kept").withColumn("r", F.row_number().over(W.partitionBy("component_id", alone).orderBy("rid"))).where("r = 1")
-    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(first.select(F.col("rid").alias("_rid")), "_rid", "left_semi").select(*docs.columns)
+    return numbered.join(first.select(F.col("rid").alias("_rid")), "_rid", "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

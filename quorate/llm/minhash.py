@@ -74,7 +74,7 @@ def bands(values: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+def signatures(docs: DataFrame, id_col: str, text_col: str, size: int, rid_col: str | None = None) -> DataFrame:
     """(rid, doc_id, t1, t2, n_shingles, k1, k2, bands, sketch) of every row; rows without words have no keys."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -94,7 +94,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFr
                 out.insert(0, c, pdf[c].astype("Int64").values)
             yield out
 
-    slim = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).cast("long").alias("doc_id"), *(k.alias(a) for k, a in zip(text_keys(text_col), ("t1", "t2"), strict=True)), F.col(text_col).alias("text"))
+    slim = docs.select((F.col(rid_col) if rid_col else F.monotonically_increasing_id()).alias("rid"), F.col(id_col).cast("long").alias("doc_id"), *(k.alias(a) for k, a in zip(text_keys(text_col), ("t1", "t2"), strict=True)), F.col(text_col).alias("text"))
     return slim.mapInPandas(run, "t2 long, t1 long, doc_id long, rid long, n_shingles long, k1 long, k2 long, bands array<long>, sketch binary")
 
 
@@ -231,15 +231,16 @@ def family_links(members: DataFrame) -> DataFrame:
     return in_blocks(members, ["family"]).select("family", "i", "j", "own", "node", "comp", "sketch", "items").mapInPandas(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, leader_rounds: int = 2) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, leader_rounds: int = 2, rid_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) and kept (doc_id equals it) of every row.
 
     A null text or one without words has no shingles and is linked with nothing. Rows with null ids are compared like
     others; a component of null ids alone has a null component_id, and its rows are kept. Rows with the smallest id of
-    a component are all kept if the id repeats. Other columns are ignored; no rows give no rows.
+    a component are all kept if the id repeats. Other columns are ignored; no rows give no rows. rid is the column
+    rid_col, which tells the rows apart, or else a number that holds for this call alone.
     """
     with Scratch(docs.sparkSession, "minhash") as scratch:
-        rows = scratch.table(signatures(docs, id_col, text_col, size))
+        rows = scratch.table(signatures(docs, id_col, text_col, size, rid_col))
         first = F.min_by(F.struct("t1", "t2", "bands", "sketch"), "rid").alias("one")
         nodes = rows.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("rid").alias("node"), F.min("doc_id").alias("least"), first).select("k1", "k2", "node", "least", "one.*")
         nodes = scratch.table(nodes)

@@ -25,6 +25,25 @@ def test_stages(spark, sf):
     assert seen["personal_data"][1].where("n_chars <> length(text)").count() == 0
 
 
+def test_near_duplicates_with_other_splits_in_each_scan(spark, sf, monkeypatch, tmp_path):
+    spark.read.parquet(f"{sf}/documents.parquet").repartition(6).write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    want = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, sf).collect()}
+    find, before = corpus_pipeline.minhash.near_duplicates, spark.conf.get("spark.sql.files.maxPartitionBytes")
+
+    def resplit(*args, **options):
+        found = find(*args, **options)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        return found
+
+    monkeypatch.setattr(corpus_pipeline.minhash, "near_duplicates", resplit)
+    try:
+        got = {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, spark.read.parquet(str(tmp_path / "docs")), sf).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == want
+
+
 def test_run(spark, sf):
     pieces = corpus_pipeline.run(spark, sf).collect()
     assert pieces and {r.doc_id for r in pieces} <= {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
