@@ -552,12 +552,12 @@ QUERIES["guided_diffusion_labels"] = _consensus("guided_diffusion", "average", t
 
 @query("consensus_scores")
 def consensus_scores(spark, sf):
-    return rounded(en.run_consensus(vw.members8(spark, sf), vw.objects(spark, sf).select("obj_id", "gt"), m=6, runs=4))
+    return rounded(en.run_consensus(vw.members8(spark, sf), vw.objects(spark, sf).select("obj_id", "gt"), m=6))
 
 
 @query("base_ensemble")
 def base_ensemble(spark, sf):
-    return en.base_partitions(vw.objects(spark, sf), 8, max_hierarchical=1000)
+    return en.base_partitions(vw.objects(spark, sf))
 
 
 @query("single_clusterers")
@@ -572,7 +572,7 @@ def qd_subset(spark, sf):
 
 @query("bootstrap_ci")
 def bootstrap_ci(spark, sf):
-    return rounded(en.bootstrap_mean(vw.runs(spark, sf), ["algorithm"], "value", 200))
+    return rounded(en.bootstrap_mean(vw.runs(spark, sf), ["algorithm"], "value"))
 
 
 @query("pca_profile")

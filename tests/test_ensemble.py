@@ -114,3 +114,28 @@ def test_parameter_grid(blobs, pool):
     assert {(r.trial, r.status) for r in rows} == {(0, "ok"), (1, "failed")} and len(rows) == 4
     assert all(r.nmi is None and r.error for r in rows if r.trial == 1)
     assert en.best_setting(t).first().trial == 0
+
+
+def test_queries_do_the_whole_job(spark, sf, monkeypatch):
+    import inspect
+
+    from quorate.operators import ensemble
+    from quorate.plans import registry
+
+    assert registry.QUERIES["consensus_scores"](spark, sf).first()["runs"] == 20
+    pool = {r.part_id: r.algorithm for r in registry.QUERIES["base_ensemble"](spark, sf).select("part_id", "algorithm").distinct().collect()}
+    assert pool == {j: "hierarchical" if j % 2 else "kmeans" for j in range(30)}
+    assert len(registry.QUERIES["bootstrap_ci"](spark, sf).collect()) > 0
+    seen = {}
+    for name in ("base_partitions", "bootstrap_mean"):
+        whole = getattr(ensemble, name)
+
+        def watched(*args, whole=whole, **options):
+            bound = inspect.signature(whole).bind(*args, **options)
+            bound.apply_defaults()
+            seen.update(bound.arguments)
+            return whole(*args, **options)
+
+        monkeypatch.setattr(ensemble, name, watched)
+    registry.QUERIES["base_ensemble"](spark, sf), registry.QUERIES["bootstrap_ci"](spark, sf)
+    assert seen["max_hierarchical"] == 2500 and seen["resamples"] == 1000
