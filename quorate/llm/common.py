@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +25,62 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Hashes of runs of bytes: runs longer than LONG are hashed by xxh3 instead, and so much text is handled at once.
+LONG, CHUNK = 256, 1 << 20
+BLANK = re.compile(rb"[ \t\n\r\v\f]")
+BLANKS = np.isin(np.arange(256), list(b" \t\n\r\v\f"))
+LOWER = np.array([ord(chr(c).lower()) if c < 128 else c for c in range(256)], dtype=np.uint8)
+#: Random odd values of the bytes (a blank has none) and powers of an odd base, modulo 2**64.
+VALUE = np.where(BLANKS, np.uint64(0), mix64(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1))
+POWER = np.multiply.accumulate(np.full(LONG + 1, 0x9E3779B97F4A7C15, dtype=np.uint64))
+
+
+def run_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The hash of data[first[k] : last[k]] for each k; runs in order and apart, with nothing but blanks between them."""
+    if not len(first):
+        return np.zeros(0, np.uint64)
+    place = np.arange(first[0], len(data)) - np.repeat(first, np.diff(first, append=len(data)))
+    out = mix64(np.add.reduceat(VALUE[data[first[0] :]] * POWER[np.minimum(place, LONG)], first - first[0]))
+    for k in np.flatnonzero(last - first > LONG).tolist():
+        out[k] = xxhash.xxh3_64_intdigest(data[first[k] : last[k]].tobytes())
+    return out
+
+
+def chunks(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """(offset, bytes) of pieces of about CHUNK bytes that end in a blank, as data does."""
+    at = 0
+    while at < len(data):
+        end = BLANK.search(data, min(at + CHUNK, len(data) - 1)).end()
+        yield at, np.frombuffer(data, dtype=np.uint8, count=end - at, offset=at)
+        at = end
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all words (runs without ASCII white space, A-Z lower-cased) of all texts, and how many each text has."""
+    begins, hashes = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for at, raw in chunks(b"\n".join([*texts, b""])):
+        edges = np.diff(BLANKS[raw].astype(np.int8), prepend=1)
+        first, last = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+        begins.append(first + at)
+        hashes.append(run_hashes(LOWER[raw], first, last))
+    starts = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return np.concatenate(hashes), np.diff(np.searchsorted(np.concatenate(begins), starts))
+
+
+_STATE: dict = {}
+
+
+def worker_state(key: tuple, build: Callable[[], Any]) -> Any:
+    """What a Python worker keeps from task to task under a key; asking for another key gives the former up.
+
+    So a worker that serves one operator after the other never holds the memory of two.
+    """
+    if key not in _STATE:
+        _STATE.clear()
+        _STATE[key] = build()
+    return _STATE[key]
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder that spark.checkpoint.dir names; a fresh local one only where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)

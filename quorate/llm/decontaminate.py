@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorate.llm.common import mix64
+from quorate.llm.common import mix64, worker_state
 
 #: Template tokens in a window; share of an item's tokens that joined windows must cover.
 WINDOW, SIMILARITY = 5, 0.75
@@ -39,7 +39,7 @@ NUMBER, UNIT, NAME = (np.uint64(xxhash.xxh3_64_intdigest(x)) & ~KIND for x in ("
 #: Kinds of words, in the low three bits of a word's code; the others are the hash of its lower-cased form.
 PLAIN, DIGITS, END, TITLE, UNIT_WORD, UNIT_SIGN, UNIT_TITLE = range(7)
 #: Word codes that a Python worker remembers before it starts anew.
-CODES = 500_000
+CODES = 200_000
 
 
 def code(word: str) -> int:
@@ -66,16 +66,14 @@ class Codes(dict):
         return value
 
 
-_CODES = Codes()
-
-
 def canonical(text: str) -> tuple[np.ndarray, dict[int, str]]:
     """The template tokens of a text as hashes, and the value in each slot by token position.
 
     A name is a word with one capital at its start that does not begin a sentence; a unit stands after a number.
     """
     words = WORD.findall(text)
-    codes = np.fromiter(map(_CODES.__getitem__, words), dtype=np.uint64, count=len(words))
+    known = worker_state(("decontaminate",), Codes)
+    codes = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
     kind = (codes & KIND).astype(np.int8)
     before = np.concatenate([[END], kind[:-1]]).astype(np.int8)[: len(kind)]
     unit = (before == DIGITS) & (kind >= UNIT_WORD)

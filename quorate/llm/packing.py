@@ -10,9 +10,10 @@ Packing groups are bounded in tokens and lie within one input partition, so noth
 from __future__ import annotations
 
 import heapq
+import json
 import os
+import re
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,43 +21,164 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-#: Words whose ids a Python worker remembers in each of two generations: when the young one is full it becomes the old
-#: one, and words of the old one that are met again move to the young one.
-WORD_CACHE = 500_000
+from quorate.llm.common import BLANKS, LONG, LOWER, chunks, run_hashes, worker_state
 
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
+#: Pieces of words whose ids a Python worker remembers (some 40 bytes each) before it starts anew; longer ones than
+#: LONG bytes are encoded each time.
+CACHE = 1 << 20
+
+#: The rule by which the public vocabulary cuts words into pieces, and the short endings that follow an apostrophe in it. Fixed values.
+CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+ONE_LETTER, TWO_LETTERS = b"stmd", (b"re", b"ve", b"ll")
+
+SPACE, LETTER, DIGIT, SIGN, WHOLE = range(5)
+KIND = np.full(256, SIGN, dtype=np.uint8)
+KIND[BLANKS], KIND[list(b"0123456789")] = SPACE, DIGIT
+KIND[[c for c in range(128) if chr(c).isalpha()]] = LETTER
 
-_WORDS: dict[str, list[dict[bytes, bytes]]] = {}
-_TOKENIZERS: dict = {}
+SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
 
-def encode(texts: list[str], tokenizer_path: str, end_id: int) -> list[bytes]:
-    """The ids of each text and then end_id, as little-endian unsigned 32-bit integers.
+class Encoder:
+    """Token ids of texts, each text followed by end_id.
 
-    The vocabulary's own rules drop white space and never join tokens across it, so each distinct word is encoded
-    once and remembered. Only the six ASCII white-space characters separate words here; others stay for the
-    tokenizer to see.
+    Where the vocabulary drops white space, lowers case, cuts by CUT and marks the ends of pieces, texts are cut here, in arrays of
+    bytes, and each distinct piece is encoded once and remembered by its 64-bit hash. Pieces of ASCII words are encoded
+    together and told apart by the marks. Words with other characters, or that may hold a special token, are pieces as a
+    whole and encoded one by one. Only the six ASCII white-space characters separate words here. Any other vocabulary
+    encodes whole texts.
     """
-    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    if tokenizer_path not in _TOKENIZERS:
+
+    def __init__(self, tokenizer_path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        _TOKENIZERS[tokenizer_path] = Tokenizer.from_file(tokenizer_path)
-        _TOKENIZERS[tokenizer_path].encode_special_tokens = True
-    tokenizer, generations = _TOKENIZERS[tokenizer_path], _WORDS.setdefault(tokenizer_path, [{}, {}])
-    split = [t.encode().split() for t in texts]
-    if len(generations[0]) >= WORD_CACHE:
-        generations[:] = [{}, generations[0]]
-    young, old = generations
-    met = set().union(*split).difference(young)
-    new = [w for w in met if w not in old]
-    young.update((w, old[w]) for w in met if w in old)
-    for at in range(0, len(new), 4096):
-        some = new[at : at + 4096]
-        encoded = tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)
-        young.update(zip(some, (array("I", e.ids).tobytes() for e in encoded), strict=True))
-    end = np.array([end_id], dtype="<u4").tobytes()
-    return [b"".join(map(young.__getitem__, words)) + end for words in split]
+        self.tokenizer = Tokenizer.from_file(tokenizer_path)
+        with open(tokenizer_path, encoding="utf-8") as f:
+            rules = json.load(f)
+        cuts = [x.get("pattern", {}).get("Regex") for x in (rules.get("pre_tokenizer") or {}).get("pretokenizers", [])]
+        kinds = [x["type"] for x in (rules.get("normalizer") or {}).get("normalizers", [])]
+        suffix = rules["model"].get("end_of_word_suffix")
+        plain = all("<|" in t["content"] and not re.search(r"\s", t["content"]) for t in rules.get("added_tokens", []))
+        self.by_piece = cuts[:1] == [CUT] and kinds == ["NFC", "Replace", "Lowercase"] and bool(suffix) and plain and not rules.get("post_processor")
+        if self.by_piece:
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+            self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(suffix)]] = True
+        self.forget()
+
+    def forget(self) -> None:
+        self.known, self.begin, self.size, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
+    def one_by_one(self, words: list[bytes]) -> list[np.ndarray]:
+        some = (words[at : at + 4096] for at in range(0, len(words), 4096))
+        return [np.array(e.ids, dtype="<u4") for ws in some for e in self.tokenizer.encode_batch_fast([w.decode() for w in ws], add_special_tokens=False)]
+
+    def together(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of pieces of ASCII words, in one array, and how many each has."""
+        flat, sizes = [np.zeros(0, "<u4")], [np.zeros(0, np.int64)]
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some) or stops[-1] != len(ids):
+                each = self.one_by_one(some)
+                ids, stops = np.concatenate(each), np.cumsum([len(x) for x in each])
+            flat.append(ids)
+            sizes.append(np.diff(stops, prepend=0))
+        return np.concatenate(flat), np.concatenate(sizes)
+
+    @staticmethod
+    def pieces(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces begin and end, which are whole words, and the bytes with ASCII words in lower case."""
+        kind = KIND[raw]
+        blank = kind == SPACE
+        odd = raw >= 128
+        odd[:-1] |= (raw[:-1] == 60) & (raw[1:] == 124)  # "<|" begins a special token
+        low = LOWER[raw]
+        if odd.any():
+            edges = np.diff(blank.astype(np.int8), prepend=1, append=1)
+            first, last = np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
+            word = np.unique(np.searchsorted(first, np.flatnonzero(odd), side="right") - 1)
+            inside = np.zeros(len(raw) + 1, dtype=np.int8)
+            inside[first[word]] += 1
+            inside[last[word]] -= 1
+            whole = np.cumsum(inside[:-1], dtype=np.int8) > 0
+            kind[whole], low[whole] = WHOLE, raw[whole]
+        begins = (np.diff(kind, prepend=SPACE) != 0) | (kind == DIGIT)
+        # an apostrophe that begins a run of signs takes some short endings
+        marks = np.flatnonzero((low == 39) & begins & (kind == SIGN))
+        marks = marks[marks + 2 < len(raw)]
+        one = marks[np.isin(low[marks + 1], list(ONE_LETTER)) & (kind[marks + 1] == LETTER)]
+        two = marks[np.logical_or.reduce([(low[marks + 1] == a) & (low[marks + 2] == b) for a, b in TWO_LETTERS]) & (kind[marks + 1] == LETTER) & (kind[marks + 2] == LETTER)]
+        for found, size in ((one, 2), (two, 3)):
+            begins[found + 1] = False
+            begins[found + size] = True
+        edges = np.append(np.flatnonzero(begins), len(raw))
+        solid = np.flatnonzero(~blank[edges[:-1]])
+        return edges[solid], edges[solid + 1], kind[edges[solid]] == WHOLE, low
+
+    def learn(self, hashes: np.ndarray, words: list[bytes], whole: np.ndarray) -> None:
+        """Remember new pieces."""
+        apart = self.one_by_one([words[k] for k in np.flatnonzero(whole)])
+        ids, sizes = self.together([words[k] for k in np.flatnonzero(~whole)])
+        size = np.empty(len(words), np.int64)
+        size[~whole], size[whole] = sizes, [len(x) for x in apart]
+        begin = np.empty(len(words), np.int64)
+        at = len(self.flat)
+        begin[~whole] = at + np.cumsum(sizes) - sizes
+        begin[whole] = at + len(ids) + np.cumsum(size[whole]) - size[whole]
+        self.flat = np.concatenate([self.flat, ids, *apart])
+        known = np.concatenate([self.known, hashes])
+        order = np.argsort(known, kind="stable")
+        self.known, self.begin, self.size = known[order], np.concatenate([self.begin, begin])[order], np.concatenate([self.size, size])[order]
+
+    def encode_chunk(self, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where pieces begin in raw, how many ids each has, and all ids."""
+        first, last, whole, low = self.pieces(raw)
+        if not len(first):
+            return first, first, np.zeros(0, "<u4")
+        long = last - first > LONG
+        distinct, at, where = np.unique(run_hashes(low, first, last), return_index=True, return_inverse=True)
+        bytes_of = lambda k: low[first[k] : last[k]].tobytes()
+        usual = np.ones(len(distinct), dtype=bool)
+        usual[where[long]] = False
+        where_long = np.flatnonzero(long | ~usual[where])
+        fits = np.minimum(np.searchsorted(self.known, distinct), max(0, len(self.known) - 1))
+        new = np.flatnonzero(usual & ((self.known[fits] != distinct) if len(self.known) else True))
+        if len(new):
+            if len(self.known) + len(new) > CACHE and len(self.known):
+                self.forget()
+                new = np.flatnonzero(usual)
+            self.learn(distinct[new], [bytes_of(k) for k in at[new].tolist()], whole[at[new]])
+            fits = np.minimum(np.searchsorted(self.known, distinct), len(self.known) - 1)
+        if not len(self.known):
+            begin, size, flat = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), self.flat
+        else:
+            begin, size, flat = self.begin[fits][where], self.size[fits][where], self.flat
+        if len(where_long):
+            each = self.one_by_one([bytes_of(k) for k in where_long.tolist()])
+            size[where_long] = [len(x) for x in each]
+            begin[where_long] = len(flat) + np.cumsum(size[where_long]) - size[where_long]
+            flat = np.concatenate([flat, *each])
+        upto = np.cumsum(size) - size
+        return first, size, flat[np.repeat(begin - upto, size) + np.arange(int(size.sum()))]
+
+    def __call__(self, texts: list[str], end_id: int) -> list[np.ndarray]:
+        end = np.array([end_id], dtype="<u4")
+        if not self.by_piece:
+            return [np.append(np.array(e.ids, dtype="<u4"), end) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        encoded = [t.encode() for t in texts]
+        begins, sizes, ids = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, "<u4")]
+        for at, raw in chunks(b"\n".join([*encoded, b""])):
+            first, size, found = self.encode_chunk(raw)
+            begins.append(first + at)
+            sizes.append(size)
+            ids.append(found)
+        ids = np.concatenate(ids)
+        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(np.concatenate(sizes))])
+        starts = np.cumsum([0, *(len(t) + 1 for t in encoded)])
+        edges = upto[np.searchsorted(np.concatenate(begins), starts)]
+        return [np.append(ids[a:b], end) for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
 def pack_group(lengths: list[int], tiers: list[int]) -> list[tuple[int, list[tuple[int, int, int]]]]:
@@ -141,16 +263,17 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, sequence, step = TaskContext.get().partitionId() << 36, 0, 0
         ids, texts, tokens = [], [], 0
+        encoder = worker_state(("packing", tokenizer_path), lambda: Encoder(tokenizer_path))
 
         def flush() -> pd.DataFrame:
             nonlocal sequence, step, ids, texts, tokens
-            lengths = [len(b) // 4 for b in texts]
+            lengths = [len(t) for t in texts]
             windows = pack_group(lengths, tiers)
             groups, rows = step_groups([w for w, _ in windows], step_tokens), []
             for (size, pieces), g in zip(windows, groups, strict=True):
                 offset = 0
                 for doc, start, length in pieces:
-                    rows.append((ids[doc], start, length, zlib.crc32(memoryview(texts[doc])[4 * start : 4 * (start + length)]), lengths[doc], part + sequence, offset, size, part + step + g))
+                    rows.append((ids[doc], start, length, zlib.crc32(texts[doc][start : start + length]), lengths[doc], part + sequence, offset, size, part + step + g))
                     offset += length
                 sequence += 1
             step += max(groups, default=0) + 1
@@ -162,10 +285,10 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 some = pdf.iloc[at : at + 256]
-                for i, b in zip(some["doc_id"], encode(["" if t is None else t for t in some["text"]], tokenizer_path, end_id), strict=True):
+                for i, t in zip(some["doc_id"], encoder(["" if t is None else t for t in some["text"]], end_id), strict=True):
                     ids.append(None if pd.isna(i) else int(i))
-                    texts.append(b)
-                    tokens += len(b) // 4
+                    texts.append(t)
+                    tokens += len(t)
                     if tokens >= group_tokens:
                         yield flush()
         if ids:

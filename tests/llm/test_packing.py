@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -10,10 +11,11 @@ from quorate.llm import packing
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
+TOKENIZER = Tokenizer.from_file(PATH)
+
+
 def truth(text):
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return [*t.encode(text or "", add_special_tokens=False).ids, 1]
+    return [*TOKENIZER.encode(text or "", add_special_tokens=False).ids, 1]
 
 
 def check(rows, texts):
@@ -51,6 +53,24 @@ def test_documents(spark, sf):
     check(packing.pack(docs, PATH).collect(), {r.doc_id: r.text for r in docs.collect()})
 
 
+def test_pieces_of_any_bytes():
+    rng, tokenizer, encoder = random.Random(5), Tokenizer.from_file(PATH), packing.Encoder(PATH)
+    assert encoder.by_piece
+    texts = ["".join(rng.choice("ab stmdrevl'' '0. <|é\u0301\n\x1f-ABS") for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["x" * 300 + " " + "é" * 300, "hi<|endoftext|>x <|ENDOFTEXT|> <|startoftext|>", "don't'll WE'VE 're-x ''s"]
+    for some in (texts, texts[::-1]):
+        for text, ids in zip(some, encoder(some, 1), strict=True):
+            assert ids.tolist() == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
+def test_long_texts_and_a_small_cache(monkeypatch):
+    monkeypatch.setattr("quorate.llm.common.CHUNK", 64)
+    monkeypatch.setattr(packing, "CACHE", 50)
+    texts = [" ".join(f"w{i * k % 91} It's {i}" for i in range(200)) for k in range(3)] + [""]
+    for text, ids in zip(texts, packing.Encoder(PATH)(texts, 7), strict=True):
+        assert ids.tolist() == [*truth(text)[:-1], 7]
+
+
 def test_steps_are_balanced():
     sizes = [2048] * 40 + [1024] * 40 + [256] * 160
     groups, load = packing.step_groups(sizes, 16384), defaultdict(int)
