@@ -67,3 +67,50 @@ def test_articles_of_the_table(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     want = {r.page_id: article(r.html) for r in pages.collect()}
     assert {r.page_id: r.text for r in extract.extract(pages).collect()} == want
+
+
+def plain(k, story):
+    """No article, main, nav or telling class names."""
+    return (f"http://p.example/{k}", f'<html><body><div class="x1"><span>Our house of words and more</span><div class="x2"><div>Go to the first page of it</div></div></div><div class="x3"><div class="x4">{story}</div></div><div class="x5"><p>All rights are kept by the house {2020}</p></div></body></html>')
+
+
+def test_template_alone_against_the_stories(spark):
+    for n in (3, 6, 12):
+        stories = [[f"Heading {k} {'abc'[k % 3]}", *(f"sentence {j} of story {k} goes on and on" for j in range(1 + (k * 7) % 4))] for k in range(n)]
+        pages = [plain(k, f"<h2>{s[0]}</h2>" + "".join(f"<p>{x}</p>" for x in s[1:])) for k, s in enumerate(stories)]
+        want = {k: "\n".join(s) for k, s in enumerate(stories)}
+        assert run(spark, pages) == want
+        # repeated rows, pages without content and one that is cut short
+        more = pages * 2 + [("http://p.example/e", None)] * 3
+        got = run(spark, more)
+        assert got == want | {n + k: t for k, t in want.items()} | dict.fromkeys(range(2 * n, 2 * n + 3), "")
+    cut = run(spark, [*pages, ("http://p.example/c", pages[0][1][:300])])
+    assert {k: cut[k] for k in want} == want
+
+
+def test_classes_by_brute_force(spark):
+    """Vectors of counts over distinct contents, compared as they are."""
+    from collections import Counter, defaultdict
+
+    from pyspark.sql import functions as F
+
+    pages = [plain(k, f"<h2>h{k}</h2>" + "".join(f"<p>t {k} {j}</p>" for j in range(k % 3))) for k in range(9)] * 2
+    rows = spark.createDataFrame([("p.example", h) for _, h in pages], "host string, html string")
+    counts = []
+    for h in sorted({h for _, h in pages}):
+        counts.append(Counter((path, extract.string_token(path, text) if b else 0) for path, b, text, _, apart in extract.blocks(h) if not apart))
+    by_vector = defaultdict(set)
+    for t in set().union(*counts):
+        vector = tuple(c[t] for c in counts)
+        if sum(v > 0 for v in vector) >= 0.9 * len(counts):
+            by_vector[vector].add(t)
+    want = {frozenset(ts) for ts in by_vector.values() if len(ts) > 1}
+    got = extract.classes(rows).groupBy("v1", "v2").agg(F.collect_set(F.struct("path", "text")).alias("ts")).collect()
+    assert {frozenset(map(tuple, r.ts)) for r in got} == want and want
+
+
+def test_joined_and_sent_templates_agree(spark, monkeypatch):
+    pages = [plain(k, f"<h2>h{k}</h2><p>text of the story {k}</p>") for k in range(8)] + [(None, "<p>alone"), ("http://q.example", None)]
+    want = run(spark, pages)
+    monkeypatch.setattr(extract, "SENT_BYTES", -1)
+    assert run(spark, pages) == want and want[0] == "h0\ntext of the story 0"
