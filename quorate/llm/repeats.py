@@ -10,8 +10,9 @@ matter: names stand for equal prefixes, and sorting by name puts equal ones side
    name. Merge these remaining suffixes: name each by its whole 200-byte prefix and sort the names in ranges.
 3. Compare neighbours: a name that stands beside its like marks its 200 bytes in each document that holds it.
 
-Names are 64-bit hashes. Sampled names and 200-byte names are of different lengths and both must repeat, so a chance
-collision has to happen in both to remove a byte wrongly.
+Names are hashes instead of ranks, which would need the whole suffix array's recursion: a sampled name has 64 bits, as
+it only thins out and a collision there adds a candidate. A 200-byte name, which decides, is a pair of independent
+64-bit hashes: among 10^13 candidate suffixes some two equal names of different strings come up with probability 2e-13.
 """
 
 from __future__ import annotations
@@ -31,22 +32,26 @@ PERIOD = 133
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
 
 SEGMENT = 1 << 17
-BASE = 0x9E3779B97F4A7C15
+#: Odd bases of the two independent hashes.
+BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
+#: What goes beside a 200-byte name's first hash: its second one, and whether its block holds it more than once.
+SECOND = np.dtype([("second", "<u8"), ("multiple", "?")])
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-_TABLES: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+_TABLES: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def tables(size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def tables(size: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A random value for each byte, the powers of an odd base and of its inverse, modulo 2**64."""
-    if size not in _TABLES:
+    if (size, which) not in _TABLES:
+        base = BASES[which]
         power = lambda b: np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(size, b, dtype=np.uint64)]))
-        _TABLES[size] = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE)), power(BASE), power(pow(BASE, -1, 1 << 64)))
-    return _TABLES[size]
+        _TABLES[size, which] = (mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(base)), power(base), power(pow(base, -1, 1 << 64)))
+    return _TABLES[size, which]
 
 
-def window_hashes(text: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """The hash of text[p : p + length] for each p of the sorted positions ``at``; prefix sums over bounded segments."""
-    values, power, inverse = tables(SEGMENT + length)
+def window_hashes(text: np.ndarray, at: np.ndarray, length: int, which: int = 0) -> np.ndarray:
+    """A hash of text[p : p + length] for each p of the sorted positions ``at``; prefix sums over bounded segments."""
+    values, power, inverse = tables(SEGMENT + length, which)
     out = np.empty(len(at), dtype=np.uint64)
     for start in range(0, len(text), SEGMENT):
         low, high = np.searchsorted(at, [start, start + SEGMENT])
@@ -96,18 +101,42 @@ class Block:
         return np.cumsum(steps[:-1]) > 0
 
 
-def names(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct hashes, which of them occur more than once, and the order they were found in."""
-    order = np.argsort(hashes, kind="stable")
-    ranked = hashes[order]
-    first = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
-    where = np.empty(len(hashes), dtype=np.int64)
-    where[order] = np.cumsum(first) - 1
-    distinct = ranked[first]
-    return distinct, np.bincount(where, minlength=len(distinct)) > 1, where
-
-
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, passes: int = 3) -> DataFrame:
+def by_name(first: np.ndarray, second: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts names by their hashes, and which of the sorted names differ from the one before."""
+    order = np.argsort(first, kind="stable")
+    ranked = first[order]
+    new = np.append(True, ranked[1:] != ranked[:-1])[: len(ranked)]
+    if second is not None:
+        other = second[order]
+        clash = ~new & np.append(False, other[1:] != other[:-1])[: len(ranked)]
+        if clash.any():  # equal first hashes of different strings: rare, so sorted by both only now
+            order = np.lexsort((second, first))
+            ranked, other = first[order], second[order]
+            new = np.append(True, (ranked[1:] != ranked[:-1]) | (other[1:] != other[:-1]))
+    return order, new
+
+
+def names(first: np.ndarray, second: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each distinct name is found first, in their order; which occur more than once; and the place of each name."""
+    order, new = by_name(first, second)
+    where = np.empty(len(first), dtype=np.int64)
+    where[order] = np.cumsum(new) - 1
+    return order[new], np.bincount(where, minlength=int(new.sum())) > 1, where
+
+
+def repeated_pairs(hashes: list[np.ndarray], extras: list[bytes]) -> list[np.ndarray]:
+    """Packed bits: which names (both hashes) of each block another block has too, or the block itself more than once."""
+    told = [np.frombuffer(e, dtype=SECOND) for e in extras]
+    order, new = by_name(np.concatenate(hashes), np.concatenate([t["second"] for t in told]))
+    alike = ~new
+    alike[:-1] |= ~new[1:]
+    found = np.empty(len(order), dtype=bool)
+    found[order] = alike
+    parts = np.split(found, np.cumsum([len(h) for h in hashes])[:-1])
+    return [np.packbits(p | t["multiple"]) for p, t in zip(parts, told, strict=True)]
+
+
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, passes: int = 4) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (starts, ends; byte offsets) of each document.
 
     Removes every byte that a string of ``length`` bytes covers which also starts elsewhere, in any document; strings
@@ -123,8 +152,9 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         bits = range_bits(total * len(COVER) / PERIOD)
 
         def sample(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-            distinct, multiple, _ = names(Block(list(pdf["text"]), length).sampled()[1])
-            return send(int(key[0]), distinct, multiple, bits)
+            found = Block(list(pdf["text"]), length).sampled()[1]
+            distinct, multiple, _ = names(found)
+            return send(int(key[0]), found[distinct], multiple, bits)
 
         kept = scratch.table(answers(staged.groupBy("block").applyInPandas(sample, SENT), repeated).withColumn("level", F.lit(1)))
         scratch.release()
@@ -141,12 +171,17 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             def merge(key: tuple, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
                 if not len(texts) or not len(told):
                     return pd.DataFrame(columns=["part", "block", "hashes", "extra"])
-                _, found = remain(Block(list(texts["text"]), length), told)
+                block = Block(list(texts["text"]), length)
+                at, found = remain(block, told)
                 if wide:  # only what lies in these ranges needs sorting
                     part = found >> np.uint64(64 - wide)
-                    found = found[(part >= np.uint64(ranges.start)) & (part < np.uint64(ranges.stop))]
-                distinct, multiple, _ = names(found)
-                return send(int(key[0]), distinct, multiple, wide, ranges)
+                    here = (part >= np.uint64(ranges.start)) & (part < np.uint64(ranges.stop))
+                    at, found = at[here], found[here]
+                second = window_hashes(block.text, at, length, 1)
+                distinct, multiple, _ = names(found, second)
+                beside = np.empty(len(distinct), dtype=SECOND)
+                beside["second"], beside["multiple"] = second[distinct], multiple
+                return send(int(key[0]), found[distinct], beside, wide, ranges)
 
             return merge
 
@@ -154,13 +189,13 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
             ranges = range((k << wide) // passes, ((k + 1) << wide) // passes)
             if ranges:
                 sent = staged.groupBy("block").cogroup(kept.groupBy("block")).applyInPandas(merging(ranges), SENT)
-                merged = merged.unionByName(scratch.table(answers(sent, repeated).withColumn("level", F.lit(2))))
+                merged = merged.unionByName(scratch.table(answers(sent, repeated_pairs).withColumn("level", F.lit(2))))
                 scratch.release()
 
         def mark(key: tuple, texts: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
             block, rows = Block(list(texts["text"]), length), []
             at, found = remain(block, told[told["level"] == 1])
-            _, _, where = names(found)
+            _, _, where = names(found, window_hashes(block.text, at, length, 1))
             bit = read_bits(told[told["level"] == 2])
             covered = block.covered(at[bit[where]] if len(bit) else at[:0])
             for doc, begin, size in zip(texts["doc_id"], block.begins, block.sizes, strict=True):
@@ -174,5 +209,3 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
 
         marks = staged.groupBy("block").cogroup(merged.groupBy("block")).applyInPandas(mark, OUT)
         return checkpointed(marks)
-
-

@@ -2,6 +2,8 @@ import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from quorate.llm import blocks, repeats
 
 
@@ -45,3 +47,24 @@ def test_documents(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     want = brute([(r.doc_id, r.text.encode()) for r in docs.collect()])
     assert sorted((tuple(r)[:5] for r in repeats.remove(docs).collect()), key=str) == want
+
+
+def test_clashing_first_hashes():
+    rng = np.random.default_rng(1)
+    first, second = (rng.integers(0, k, 500).astype(np.uint64) for k in (7, 40))
+    pairs = list(zip(first.tolist(), second.tolist()))
+    at, multiple, where = repeats.names(first, second)
+    assert [pairs[a] for a in at[where]] == pairs and len(at) == len(set(pairs))
+    assert [bool(multiple[w]) for w in where] == [pairs.count(p) > 1 for p in pairs]
+    blocks_of, hashes, extras = [pairs[:100], pairs[100:350], pairs[350:351], []], [], []
+    kept = []
+    for some in blocks_of:
+        f, s = (np.array([p[k] for p in some], dtype=np.uint64) for k in (0, 1))
+        d, m, _ = repeats.names(f, s)
+        beside = np.empty(len(d), dtype=repeats.SECOND)
+        beside["second"], beside["multiple"] = s[d], m
+        hashes.append(f[d])
+        extras.append(beside.tobytes())
+        kept.append([some[i] for i in d])
+    for some, bits in zip(kept, repeats.repeated_pairs(hashes, extras), strict=True):
+        assert np.unpackbits(bits, count=len(some)).astype(bool).tolist() == [pairs[:351].count(p) > 1 for p in some]
