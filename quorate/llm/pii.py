@@ -9,6 +9,8 @@ a numeric host) and account (the value after a cue: IBAN with its checksum, soci
 from __future__ import annotations
 
 import hashlib
+import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +22,7 @@ DIGITS = frozenset("0123456789")
 ALNUM = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") | DIGITS
 LOCAL, LABEL = ALNUM | frozenset("._%+-"), ALNUM | frozenset("-")
 PHONE = DIGITS | frozenset(" ().-")
-VALUE = ALNUM | frozenset("_-+/=.")
+HOST_END = re.compile(r"[/?]")
 #: Cues for identifiers, matched in any case of ASCII letters.
 CUES = ("iban", "ssn", "token", "secret", "password", "passwd", "api_key", "apikey", "account", "acct")
 
@@ -37,8 +39,7 @@ def automaton():
         for anchor, what in [("@", "@"), ("+", "+"), ("://", "://"), *((d, "0") for d in DIGITS)]:
             a.add_word(anchor, (what, len(anchor)))
         for cue in CUES:
-            for form in {cue, cue.upper(), cue.title(), cue.capitalize()}:
-                a.add_word(form, ("cue", len(form)))
+            a.add_word(cue, ("cue", len(cue)))
         a.make_automaton()
         _AUTOMATON = a
     return _AUTOMATON
@@ -105,20 +106,43 @@ def iban(value: str) -> bool:
     return int("".join(str(int(c, 36)) for c in value[4:] + value[:4])) % 97 == 1
 
 
-def account_after(text: str, at: int) -> tuple[int, int] | None:
+class Stretch:
+    """The last stretch of some characters that was looked at, so that anchors inside it do not go through it again."""
+
+    def __init__(self, pattern: str, trimmed: str):
+        self.pattern, self.trimmed, self.begin, self.end = re.compile(pattern), trimmed, 0, 0
+
+    def at(self, text: str, start: int) -> tuple[int, int, list[int]]:
+        """Where the stretch that goes on at ``start`` ends, and ends without trailing characters; the places of its digits."""
+        if not self.begin <= start < self.end:
+            self.begin, self.end = start, self.pattern.match(text, start).end()
+            self.solid = self.end
+            while self.solid > start and text[self.solid - 1] in self.trimmed:
+                self.solid -= 1
+            self.digits = [k for k in range(start, self.solid) if text[k] in DIGITS]
+        return self.end, max(start, self.solid), self.digits
+
+
+def lowered(text: str) -> str:
+    """The text in lower case, character by character in place."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(c.lower() if c.isascii() else c for c in text)
+
+
+def account_after(text: str, at: int, values: Stretch) -> tuple[int, int] | None:
     """The identifier after a cue that ends at ``at``: up to a few separators, then a value with digits."""
     n, start = len(text), at
     while start < n and start - at < 6 and text[start] in " \t:=\"'#":
         start += 1
     if start == at:
         return None
-    end = run_of(text, start, VALUE)
-    while end > start and text[end - 1] in ".-=/+_":
-        end -= 1
-    value = text[start:end]
-    digits = sum(c in DIGITS for c in value)
-    if digits == 9 and len(value) in (9, 11):
+    _, end, places = values.at(text, start)
+    digits, size = len(places) - bisect_left(places, start), end - start
+    if digits == 9 and size in (9, 11):
         return start, end
+    if size > 34:
+        return (start, end) if digits >= 4 else None
+    value = text[start:end]
     grouped, cut = [value], end  # an IBAN is often written in groups of four
     while cut < n and text[cut] == " " and 0 < (e := run_of(text, cut + 1, ALNUM)) - cut - 1 <= 4 and len("".join(grouped)) < 34:
         grouped.append(text[cut + 1 : e])
@@ -130,18 +154,14 @@ def account_after(text: str, at: int) -> tuple[int, int] | None:
     return None
 
 
-def url_at(text: str, at: int) -> tuple[int, int] | None:
+def url_at(text: str, at: int, addresses: Stretch) -> tuple[int, int] | None:
     """The URL around '://' at ``at`` if it names a person or a machine: user information or a numeric host."""
     start = at
     while start > 0 and text[start - 1] in ALNUM and at - start < 12:
         start -= 1
-    end = at + 3
-    n = len(text)
-    while end < n and not text[end].isspace() and text[end] not in "<>\"'`|":
-        end += 1
-    while end > at + 3 and text[end - 1] in ".,;:!?)]}*#":
-        end -= 1
-    host = text[at + 3 : end].split("/")[0].split("?")[0]
+    _, end, _ = addresses.at(text, at + 3)
+    stop = HOST_END.search(text, at + 3, end)
+    host = text[at + 3 : stop.start() if stop else end]
     named = "@" in host and not host.startswith("@")
     numeric = host.rpartition("@")[2].partition(":")[0].replace(".", "").isdigit()
     return (start, end) if start < at and host and (named or numeric) else None
@@ -152,7 +172,8 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     found: list[tuple[int, int, str]] = []
     runs: list[tuple[int, int]] = []
     email_end = phone_end = digit_end = account_end = 0
-    for last, (what, size) in automaton().iter(text):
+    values, addresses = Stretch(r"[A-Za-z0-9_\-+/=.]*", ".-=/+_"), Stretch(r"[^\s<>\"'`|]*", ".,;:!?)]}*#")
+    for last, (what, size) in automaton().iter(lowered(text)):
         at = last - size + 1
         if what == "0":
             if at >= digit_end:
@@ -168,10 +189,10 @@ def spans(text: str) -> list[tuple[int, int, str]]:
                 if 9 <= sum(c in DIGITS for c in text[m[0] : m[1]]) <= 15:
                     found.append((*m, "phone"))
         elif what == "cue":
-            if at >= account_end and not (at and text[at - 1] in ALNUM) and (m := account_after(text, last + 1)):
+            if at >= account_end and not (at and text[at - 1] in ALNUM) and (m := account_after(text, last + 1, values)):
                 found.append((*m, "account"))
                 account_end = m[1]
-        elif m := url_at(text, at):
+        elif m := url_at(text, at, addresses):
             found.append((*m, "url"))
     for chain in chains(runs, text, "."):
         for k in range(0, len(chain) - 3, 4):

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -44,6 +45,26 @@ def test_added_kinds():
     assert pii.redact_text("Mail a.b@c.de now") == "Mail <EMAIL> now"
 
 
+def test_cues_in_any_case():
+    for cue in ("PassWord", "API_Key", "apiKey", "tOkEn"):
+        assert [k for _, _, k in pii.spans(f"\u0130 {cue}: a1b2c3d4e5f6g7h8")] == ["account"]
+
+
+def test_long_stretches_take_linear_time():
+    for unit in ("token=", "a://", "x@", "+1", "1.", "password= ", "http://a?", "iban ab12 "):
+        times = []
+        for n in (20_000, 80_000):
+            start = time.process_time()
+            pii.spans(unit * n)
+            times.append(time.process_time() - start)
+        assert times[1] < 10 * times[0] + 0.2, (unit, times)
+
+
+def test_values_in_long_stretches():
+    assert [(a, b) for a, b, k in pii.spans("token=" * 3 + "12345678901") if k == "account"] == [(6, 29)]
+    assert pii.spans("token=" * 50 + "1") == [] and len(pii.spans("a://" * 5 + "1.2.3.4/x")) > 1
+
+
 def test_rows(spark, sf):
     docs = spark.createDataFrame([(1, None, "q"), (1, "", "q"), (None, "x 1.2.3.4", "q"), (2, "é a@b.c", "q")], "doc_id long, text string, spans string")
     rows = {(r.doc_id, r.spans) for r in pii.find(docs).collect()}
