@@ -81,12 +81,24 @@ def worker_state(key: tuple, build: Callable[[], Any]) -> Any:
     return _STATE[key]
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as it takes to clash with no column of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+_LOCAL: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; a fresh local one only where it is unset (tests)."""
+    """The shared folder that spark.checkpoint.dir names; where it is unset, a fresh one in local mode and an error on a cluster."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = _LOCAL.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='spark-')}")
     return root.rstrip("/")
 
 
@@ -147,8 +159,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Connected components of edges (a long, b long): one row (id, component) per id, component the smallest id.
 
-    Alternates large-star and small-star steps (Kiveris et al. 2014), each a grouping with map-side partial
-    minima, so a vertex with very many neighbours is never gathered in one task. Empty edges give no rows.
+    Alternates large-star and small-star steps (Kiveris et al. 2014). The minima are groupings with map-side partial
+    results; the edges of a vertex with very many neighbours then meet their minimum in a join (two longs a row), which
+    adaptive execution splits where its partition is far larger than others. Empty edges give no rows.
     """
     def state(df: DataFrame) -> tuple:
         return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a", F.lit(1)))).first())

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quorate.llm.common import mix64, worker_state
+from quorate.llm.common import free_name, mix64, worker_state
 
 #: Template tokens in a window; share of an item's tokens that joined windows must cover.
 WINDOW, SIMILARITY = 5, 0.75
@@ -221,7 +221,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """docs without the rows whose text holds a benchmark item; all columns stay, null texts stay."""
-    found = found_items(docs, benchmark, text_col, **options).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct()
-    k1, k2 = text_keys(text_col)
-    keyed = docs.withColumn("_k1", k1).withColumn("_k2", k2)
-    return keyed.join(found, ["_k1", "_k2"], "left_anti").select(*docs.columns)
+    names = [free_name(docs, "k1"), free_name(docs, "k2")]
+    found = found_items(docs, benchmark, text_col, **options).select(F.col("k1").alias(names[0]), F.col("k2").alias(names[1])).distinct()
+    keyed = docs.select("*", *(k.alias(n) for k, n in zip(text_keys(text_col), names, strict=True)))
+    return keyed.join(found, names, "left_anti").select(*docs.columns)

@@ -15,38 +15,33 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: n-grams in a profile, and languages that profiles are learned for (the most frequent ones): the size bound of what is sent to tasks.
-PROFILE, LANGUAGES = 300, 1000
-_CLASSES: np.ndarray | None = None
-
-
-def classes() -> np.ndarray:
-    """Letter classes of the first 65536 code points: 0 is no letter; letters below 0x530 have one each, others share 300."""
-    global _CLASSES
-    if _CLASSES is None:
-        table, n = np.zeros(65536, dtype=np.uint32), 1
-        for c in range(65536):
-            if chr(c).isalpha():
-                if c < 0x530 and n < 700:
-                    table[c], n = n, n + 1
-                else:
-                    table[c] = 700 + c % 300
-        _CLASSES = table
-    return _CLASSES
+from quorate.llm.common import free_name
+
+#: n-grams in a profile; languages beyond which learning raises, as profiles of all (2.4 kB each) are sent to tasks.
+PROFILE, LANGUAGES = 300, 20_000
+_LETTERS: np.ndarray | None = None
+
+
+def letters() -> np.ndarray:
+    """Which of the first 65536 code points are letters."""
+    global _LETTERS
+    if _LETTERS is None:
+        _LETTERS = np.fromiter((chr(c).isalpha() for c in range(65536)), dtype=bool, count=65536)
+    return _LETTERS
 
 
 def grams(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a text as codes, and their counts; empty if it has no letter."""
+    """The distinct n-grams of a text as codes (21 bits a letter, 1 for a blank), and their counts; empty if it has no letter."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letters = classes()[np.minimum(points, 65535)]
+    known = letters()[np.minimum(points, 65535)]
     for i in np.flatnonzero(points > 65535):
-        letters[i] = 700 + points[i] % 300 if chr(points[i]).isalpha() else 0
-    x = np.concatenate([np.zeros(1, np.uint32), letters, np.zeros(1, np.uint32)])
-    x = x[(x != 0) | np.append(True, x[:-1] != 0)]  # one blank between words
-    if not x.any():
-        return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-    two, three = x[:-1] | (x[1:] << np.uint32(10)), x[:-2] | (x[1:-1] << np.uint32(10)) | (x[2:] << np.uint32(20))
-    codes = np.sort(np.concatenate([x[x != 0], two, three]))
+        known[i] = chr(points[i]).isalpha()
+    x = np.concatenate([np.ones(1, np.int64), np.where(known, points, 1).astype(np.int64), np.ones(1, np.int64)])
+    x = x[(x != 1) | np.append(True, x[:-1] != 1)]  # one blank between words
+    if len(x) < 2:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    two, three = x[:-1] | (x[1:] << 21), x[:-2] | (x[1:-1] << 21) | (x[2:] << 42)
+    codes = np.sort(np.concatenate([x[x != 1], two, three]))
     first = np.flatnonzero(np.append(True, codes[1:] != codes[:-1]))
     return codes[first], np.diff(np.append(first, len(codes)))
 
@@ -63,8 +58,8 @@ def held_out(id_col: str, modulus: int = 3, remainder: int = 1) -> Column:
 def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = PROFILE) -> dict[str, list[int]]:
     """lang -> its n-gram codes by rank, from all rows with a language and a text.
 
-    Counts are summed per batch and language, then over all rows; only ``size`` codes of each of at most LANGUAGES
-    languages reach the driver.
+    Counts are summed per batch and language, then over all rows; only ``size`` codes of each language reach the
+    driver. More than LANGUAGES languages raise.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -79,7 +74,10 @@ def learn(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size:
     counts = known.mapInPandas(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     top = counts.withColumn("r", F.row_number().over(W.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= size)
     profiles = top.groupBy("lang").agg(F.sum("n").alias("n"), F.expr("transform(array_sort(collect_list(struct(r, code))), x -> x.code)").alias("codes"))
-    return {r["lang"]: r["codes"] for r in profiles.orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    found = profiles.limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages")
+    return {r["lang"]: r["codes"] for r in found}
 
 
 def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "text", size: int = PROFILE) -> DataFrame:
@@ -89,28 +87,27 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "te
     to the language that sorts first.
     """
     langs = sorted(profiles)
-    tables = []
-    for lang in langs:
-        codes = np.array(profiles[lang], dtype=np.uint32)
-        order = np.argsort(codes)
-        tables.append((codes[order], order))
+    known = np.array(sorted({c for codes in profiles.values() for c in codes}), dtype=np.int64)
+    # the place of each known n-gram in each profile, and ``size`` where the profile lacks it, as does the last column
+    places_of = np.full((len(langs), len(known) + 1), size, dtype=np.int32)
+    for k, lang in enumerate(langs):
+        places_of[k, np.searchsorted(known, np.array(profiles[lang], dtype=np.int64))] = np.arange(len(profiles[lang]))
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
         out = []
         for text in texts:
-            own = ranked(*grams(text), size) if text else np.zeros(0, np.uint32)
+            own = ranked(*grams(text), size) if text else np.zeros(0, np.int64)
             best = ("und", 0.0)
             if len(own) and langs:
-                places, worst = np.arange(len(own)), len(own) * size
-                away = []
-                for codes, rank in tables:
-                    at = np.minimum(np.searchsorted(codes, own), len(codes) - 1)
-                    away.append(int(np.where(codes[at] == own, np.minimum(np.abs(rank[at] - places), size), size).sum()))
+                at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+                there = places_of[:, np.where(known[at] == own, at, len(known))]
+                away = np.where(there == size, size, np.minimum(np.abs(there - np.arange(len(own))), size)).sum(1)
                 k = int(np.argmin(away))
-                best = (langs[k], 1 - away[k] / worst)
+                best = (langs[k], 1 - int(away[k]) / (len(own) * size))
             out.append(best)
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 
-    guessed = docs.drop("lang_pred", "score").withColumn("_guess", guess(text_col))
-    return guessed.select(*[c for c in guessed.columns if c != "_guess"], "_guess.lang_pred", "_guess.score")
+    kept = docs.drop("lang_pred", "score")
+    name = free_name(kept, "guess")
+    return kept.withColumn(name, guess(text_col)).select(*kept.columns, f"{name}.lang_pred", f"{name}.score")

@@ -1,3 +1,8 @@
+import re
+from collections import Counter
+
+import pytest
+
 from quorate.llm import langid
 from quorate.llm.queries import op6_language
 
@@ -22,19 +27,40 @@ def test_edge_cases(spark):
     assert {r.lang_pred for r in langid.predict(docs, {}).collect()} == {"und"}
 
 
-def test_rank_order_against_brute_force():
-    text = "Ab ab, abc"
-    codes, counts = langid.grams(text)
-    c = langid.classes()
-    a, b, k = (int(c[ord(x)]) for x in "abc")
+def profile(texts, size):
+    """n-grams as strings by rank, counted word by word."""
+    count = Counter()
+    for t in texts:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            count.update(w)
+        padded = "\1" + "".join(w + "\1" for w in re.findall(r"[^\W\d_]+", t.lower()))
+        if len(padded) > 1:
+            count.update(padded[i : i + n] for n in (2, 3) for i in range(len(padded) - n + 1))
+    code = lambda g: sum(ord(c) << (21 * i) for i, c in enumerate(g))
+    return [g for g, _ in sorted(count.items(), key=lambda x: (-x[1], code(x[0])))][:size]
+
+
+def test_predictions_against_brute_force(spark, sf):
+    """Profiles, distances and scores by plain dictionaries of strings."""
+    size = 40
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60).collect()
+    rows = [(r.doc_id, r.text, r.lang) for r in docs] + [(-1, "Ab ab, abc 1 ab", "xx"), (-2, "\u4e00\u4e8c\u4e00 \u4e8c\u4e09", "zh"), (-3, "\U0001d4b3\U0001d4b3 a", "xx")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs = sorted({r[2] for r in rows if r[2]})
+    profiles = {x: {g: k for k, g in enumerate(profile([t for _, t, y in rows if y == x and t], size))} for x in langs}
     want = {}
-    for w in ("ab", "ab", "abc"):
-        s = [0, *(int(c[ord(x)]) for x in w), 0]
-        for x in s[1:-1]:
-            want[x] = want.get(x, 0) + 1
-    flat = [0, a, b, 0, a, b, 0, a, b, k, 0]
-    for n in (2, 3):
-        for i in range(len(flat) - n + 1):
-            code = sum(x << (10 * j) for j, x in enumerate(flat[i : i + n]))
-            want[code] = want.get(code, 0) + 1
-    assert dict(zip(codes.tolist(), counts.tolist())) == want
+    for k, t, _ in rows:
+        own = profile([t], size) if t else []
+        away = [(sum(min(abs(p.get(g, 10**6) - i), size) for i, g in enumerate(own)), x) for x, p in ((x, profiles[x]) for x in langs)]
+        want[k] = (min(away)[1], round(1 - min(away)[0] / (len(own) * size), 9)) if own else ("und", 0.0)
+    got = langid.predict(df, langid.learn(df, size=size), size=size)
+    assert {r.doc_id: (r.lang_pred, round(r.score, 9)) for r in got.collect()} == want
+
+
+def test_clashing_names_and_many_languages(spark, monkeypatch):
+    df = spark.createDataFrame([("the cat", "en", 1, 2, 3.0)], "text string, lang string, guess int, _guess int, score double")
+    got = langid.predict(df, langid.learn(df))
+    assert got.columns == ["text", "lang", "guess", "_guess", "lang_pred", "score"] and got.first()[2:4] == (1, 2)
+    monkeypatch.setattr(langid, "LANGUAGES", 0)
+    with pytest.raises(ValueError):
+        langid.learn(df)
