@@ -37,7 +37,8 @@ def shingles(text: str | None, size: int = 5) -> np.ndarray:
     """The sorted distinct hashes of a text's shingles of ``size`` words; all words as one if there are fewer."""
     words = (text or "").encode().lower().split()
     digest = xxhash.xxh3_64_intdigest
-    return np.unique(windows(np.array([digest(w) for w in words], dtype=np.uint64), size))
+    found = np.sort(windows(np.array([digest(w) for w in words], dtype=np.uint64), size))
+    return found[np.append(True, found[1:] != found[:-1])[: len(found)]]
 
 
 _SEEDS = mix64(np.arange(1, 2 * COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -291,6 +292,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = components(stars.unionByName(closing), scratch)
         named = nodes.select("k1", "k2", "node", "least").join(found.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
         smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-        named = named.join(smallest, "component").select("k1", "k2", "component_id", F.lit(True).alias("known"))
-        out = rows.join(named, ["k1", "k2"], "left").withColumn("component_id", F.when(F.col("known"), F.col("component_id")).otherwise(F.col("doc_id")))
+        named = named.join(smallest, "component").select("k1", "k2", "component_id")
+        slim = rows.select("rid", "doc_id", "n_shingles", "k1", "k2")
+        # rows without words would all meet under the null key
+        worded = slim.where("n_shingles > 0").join(named, ["k1", "k2"]).drop("k1", "k2")
+        out = worded.unionByName(slim.where("n_shingles = 0").select("rid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
         return checkpointed(out.select("rid", "doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept")))

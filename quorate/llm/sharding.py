@@ -19,6 +19,8 @@ from quorate.llm.common import checkpointed
 
 #: Rows of a source block and of a block of the second permutation: what one window task sorts.
 BLOCK_ROWS = 16_384
+#: Levels of the tree of draws after which the plan is cut.
+CUT_LEVELS = 5
 
 # ln(n!) by Stirling's series from 16 on, exact products below
 _LNFACT = "(CASE WHEN {n} < 16 THEN ln(double(factorial(int({n})))) ELSE ({n} + 0.5D) * ln(double({n})) - {n} + 0.9189385332046727D + 1D/(12D*{n}) - 1D/(360D*pow({n},3)) + 1D/(1260D*pow({n},5)) END)"
@@ -49,32 +51,29 @@ def hypergeometric(good: str, total: str, draws: str, u: str) -> str:
     return f"transform(array(named_struct('k', {good}, 't', {total}, 'n', {draws}, 'u', {u})), p -> CASE WHEN p.k = 0 OR p.n = 0 THEN 0L WHEN p.k = p.t THEN p.n WHEN p.n = p.t THEN p.k ELSE {body} END)[0]"
 
 
-def communication_matrix(sizes: DataFrame, shard_sizes: list[int], seed: int) -> DataFrame:
-    """sizes(block, n): how many rows each block has -> (block, dealt array<long>): how many go to each shard.
+def communication_matrix(sizes: DataFrame, blocks: int, shard_sizes: list[int], seed: int) -> DataFrame:
+    """sizes(block, n) of blocks 0 to blocks - 1 -> (block, dealt array<long>): how many rows of a block go to each shard.
 
-    Row and column sums are exact. sizes has one row per BLOCK_ROWS rows of data; the tree of draws starts in one
-    row and is dealt out again once it has grown.
+    Row and column sums are exact; blocks without rows are left out. Level by level, a node of the tree joins how many
+    rows its left half has, a grouped sum, so no list of all blocks is ever in one row; the plan is cut every few levels.
     """
-    caps = "array(" + ",".join(f"{int(c)}L" for c in shard_sizes) + ")"
-    nodes = sizes.groupBy().agg(F.expr("array_sort(collect_list(named_struct('block', block, 'n', n)))").alias("blocks")).where("size(blocks) > 0")
-    nodes = nodes.select("blocks", F.expr(caps).alias("caps"), F.lit(1).cast("bigint").alias("node"))
-    levels = max(0, (sizes.count() - 1).bit_length())
+    levels = max(0, (blocks - 1).bit_length())
     pick = hypergeometric("c", "s.left_all", "s.left_draws", uniform(str(int(seed)), "node", "s.shard"))
     draw = f"""aggregate(caps, named_struct('left_draws', drawn, 'left_all', aggregate(caps, 0L, (a, c) -> a + c), 'shard', 0, 'got', cast(array() as array<bigint>)),
         (s, c) -> transform(array({pick}), x -> named_struct('left_draws', s.left_draws - x, 'left_all', s.left_all - c, 'shard', s.shard + 1, 'got', concat(s.got, array(x))))[0]).got"""
+    caps = "array(" + ",".join(f"{int(c)}L" for c in shard_sizes) + ")"
+    # the root is 1, the children of a node 2 * node and 2 * node + 1, and a block its number plus 2 ** levels
+    leaves = sizes.select((F.col("block") + F.lit(1 << levels)).alias("leaf"), "n")
+    nodes = sizes.sparkSession.range(1).select(F.lit(1).cast("bigint").alias("node"), F.expr(caps).alias("caps"))
     for level in range(levels):
-        nodes = nodes.withColumn("half", F.expr("int(ceil(size(blocks) / 2D))"))
-        nodes = nodes.withColumn("drawn", F.expr("aggregate(slice(blocks, 1, half), 0L, (a, b) -> a + b.n)"))
-        nodes = nodes.withColumn("left", F.expr(f"CASE WHEN size(blocks) = 1 THEN caps ELSE {draw} END"))
-        both = F.expr(
-            "CASE WHEN size(blocks) = 1 THEN array(named_struct('blocks', blocks, 'caps', caps, 'node', 2L * node)) ELSE array("
-            "named_struct('blocks', slice(blocks, 1, half), 'caps', left, 'node', 2L * node),"
-            "named_struct('blocks', slice(blocks, half + 1, size(blocks)), 'caps', zip_with(caps, left, (c, x) -> c - x), 'node', 2L * node + 1)) END"
-        )
-        nodes = nodes.select(F.explode(both).alias("e")).select("e.*")
-        if level == 7:
-            nodes = nodes.repartition(256, "node")
-    return nodes.select(F.expr("blocks[0].block").alias("block"), F.col("caps").alias("dealt"))
+        child = F.expr(f"shiftright(leaf, {levels - level - 1})")
+        left = leaves.where(child % 2 == 0).groupBy((child / 2).cast("bigint").alias("node")).agg(F.sum("n").alias("drawn"))
+        halved = nodes.join(left, "node", "left").withColumn("drawn", F.coalesce("drawn", F.lit(0).cast("bigint"))).withColumn("left", F.expr(draw))
+        children = F.expr("array(named_struct('node', 2L * node, 'caps', left), named_struct('node', 2L * node + 1, 'caps', zip_with(caps, left, (c, x) -> c - x)))")
+        nodes = halved.select(F.explode(children).alias("e")).select("e.*").where("aggregate(caps, 0L, (a, c) -> a + c) > 0")
+        if level % CUT_LEVELS == CUT_LEVELS - 1:
+            nodes = checkpointed(nodes)
+    return nodes.select((F.col("node") - F.lit(1 << levels)).alias("block"), F.col("caps").alias("dealt"))
 
 
 def shuffle_into_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: str = "text", seed: int = 7, block_rows: int = BLOCK_ROWS) -> DataFrame:
@@ -92,7 +91,7 @@ def shuffle_into_shards(docs: DataFrame, shards: int = 16, id_col: str = "doc_id
     blocks = max(1, -(-n // block_rows))
     shard_sizes = [n // shards + (j < n % shards) for j in range(shards)]
     slim = slim.withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit("block"), "rid"), F.lit(blocks)))
-    matrix = communication_matrix(slim.groupBy("block").agg(F.count("*").alias("n")), shard_sizes, seed)
+    matrix = communication_matrix(checkpointed(slim.groupBy("block").agg(F.count("*").alias("n"))), blocks, shard_sizes, seed)
     matrix = matrix.select("block", F.expr("transform(sequence(1, size(dealt)), i -> aggregate(slice(dealt, 1, i), 0L, (a, c) -> a + c))").alias("upto"))
     local = W.partitionBy("block").orderBy(F.xxhash64(F.lit(seed), F.lit("local"), "rid"), "rid")
     dealt = slim.withColumn("r", F.row_number().over(local)).join(matrix.hint("shuffle_hash"), "block")

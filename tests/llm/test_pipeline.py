@@ -8,7 +8,9 @@ from quorate.llm.common import Scratch, components
 def test_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     junk = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "12 34 !!", "en", "s", 8), (-3, None, None, None, None)], docs.schema)
-    docs = docs.unionByName(junk).withColumn("score", F.lit(1))
+    docs = docs.unionByName(junk)
+    for clash in ("score", "rid", "_rid", "k1", "_k1", "guess"):
+        docs = docs.withColumn(clash, F.lit(1))
     seen = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         after = stage(spark, docs, sf)
@@ -44,6 +46,18 @@ def test_near_duplicates_with_other_splits_in_each_scan(spark, sf, monkeypatch,
     assert got == want
 
 
+def test_empty_and_repeated(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    some = docs.limit(3)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0
+        twice = stage(spark, some.unionByName(some), sf)
+        if name in ("language", "decontamination", "personal_data"):
+            assert twice.count() == 2 * stage(spark, some, sf).count()
+        if name == "near_duplicates":
+            assert twice.count() == stage(spark, some, sf).count()
+
+
 def test_run(spark, sf):
     pieces = corpus_pipeline.run(spark, sf).collect()
     assert pieces and {r.doc_id for r in pieces} <= {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}

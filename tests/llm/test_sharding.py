@@ -19,12 +19,34 @@ def test_matrix_sums(spark):
     sizes = spark.createDataFrame([(b, 50 + b) for b in range(13)], "block long, n long")
     total = sum(50 + b for b in range(13))
     shards = [total // 5 + (j < total % 5) for j in range(5)]
-    rows = sharding.communication_matrix(sizes, shards, 3).collect()
+    rows = sharding.communication_matrix(sizes, 13, shards, 3).collect()
     assert {r.block: sum(r.dealt) for r in rows} == {b: 50 + b for b in range(13)}
     assert [sum(r.dealt[j] for r in rows) for j in range(5)] == shards
     assert min(min(r.dealt) for r in rows) >= 0
 
 
+def test_empty_blocks_and_many_levels(spark):
+    sizes = spark.createDataFrame([(b, 3) for b in range(0, 300, 7)], "block long, n long")
+    total = 3 * len(range(0, 300, 7))
+    rows = sharding.communication_matrix(sizes, 300, [total - 10, 10], 5).collect()
+    assert {r.block: sum(r.dealt) for r in rows} == {b: 3 for b in range(0, 300, 7)}
+    assert [sum(r.dealt[j] for r in rows) for j in (0, 1)] == [total - 10, 10]
+
+
+def test_every_row_goes_everywhere(spark):
+    """Where 64 rows end up over many shuffles, against the even law: chi-square of (row, shard) and of (row, half of the slots)."""
+    docs = spark.range(64).selectExpr("id as doc_id", "'' as text").coalesce(1)
+    seen, times = Counter(), 10
+    for seed in range(times):
+        for r in sharding.shuffle_into_shards(docs, shards=4, seed=seed, block_rows=9).collect():
+            seen["shard", r.doc_id % 8, r.shard] += 1
+            seen["half", r.doc_id % 8, r.slot // 8] += 1
+    for what, cells in (("shard", 4), ("half", 2)):
+        even = times * 8 / cells
+        chi = sum((seen[what, k, c] - even) ** 2 / even for k in range(8) for c in range(cells))
+        assert chi < 8 * (cells - 1) + 5 * (2 * 8 * (cells - 1)) ** 0.5, (what, chi)
+
+
 def test_shards(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "1 as shard", "2 as rid")
     docs = docs.unionByName(spark.createDataFrame([(None, None, 0, 0), (7, "é", 0, 0), (7, "é", 0, 0)], docs.schema))
