@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorate.llm import decontaminate, langid, minhash, packing, pii
-from quorate.llm.common import Scratch, checkpointed
+from quorate.llm.common import Scratch, checkpointed, free_name
 
 
 #: Least similarity to the best language profile that a document of any known language is expected to have.
@@ -21,37 +21,44 @@ LEAST_SCORE = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language: no text, no letter in it, or letters that are far from every profile."""
-    guessed = langid.predict(docs.withColumnsRenamed({"lang_pred": "_lang_pred", "score": "_score"}), langid.learn(docs))
-    return guessed.where(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}").drop("lang_pred", "score").withColumnsRenamed({"_lang_pred": "lang_pred", "_score": "score"})
+    """Drops documents without a language: no text, no letter in it, or letters that are far from every profile.
+
+    Repeated rows are decided alike; no rows give no rows.
+    """
+    back = {free_name(docs, c): c for c in ("lang_pred", "score") if c in docs.columns}
+    guessed = langid.predict(docs.withColumnsRenamed({c: n for n, c in back.items()}), langid.learn(docs))
+    return guessed.where(f"lang_pred <> 'und' AND score >= {LEAST_SCORE}").drop("lang_pred", "score").withColumnsRenamed(back).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document of the smallest id of each group of near-duplicates; rows without words all stay.
 
+    Of repeated rows one stays; no rows give no rows.
+
     Row numbers follow the file splits of a scan, which may differ from scan to scan, so they are drawn once and kept.
     """
     # stays after this call like a checkpoint, as what is returned is read from it
-    numbered = Scratch(spark, "numbered").table(docs.withColumn("_rid", F.monotonically_increasing_id()))
-    found = minhash.near_duplicates(numbered, rid_col="_rid")
+    rid = free_name(docs, "rid")
+    numbered = Scratch(spark, "numbered").table(docs.withColumn(rid, F.monotonically_increasing_id()))
+    found = minhash.near_duplicates(numbered, rid_col=rid)
     alone = F.when(F.col("n_shingles") == 0, F.col("rid"))  # not a group
     first = found.where("kept").withColumn("r", F.row_number().over(W.partitionBy("component_id", alone).orderBy("rid"))).where("r = 1")
-    return numbered.join(first.select(F.col("rid").alias("_rid")), "_rid", "left_semi").select(*docs.columns)
+    return numbered.join(first.select(F.col("rid").alias(rid)), rid, "left_semi").select(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that hold an item of the benchmark."""
+    """Drops documents that hold an item of the benchmark; texts without words hold none. An empty benchmark drops nothing."""
     return decontaminate.remove(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by the name of its kind and counts the characters again."""
+    """Replaces personal data by the name of its kind and counts the characters again. Null and empty texts stay as they are."""
     clean = pii.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Tokenises and packs what is left."""
+    """Tokenises and packs what is left; an empty text is packed as its end, no rows give no rows."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
