@@ -13,6 +13,13 @@ UPDATES = {
 }
 
 
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit integers, scrambled one to one (the usual finaliser)."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def linkage(dist: np.ndarray, method: str = "average", sizes: np.ndarray | None = None) -> np.ndarray:
     """Merges (i, j, height) of agglomerative clustering; of equal distances the smallest (i, j) merges first.
 

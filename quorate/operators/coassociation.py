@@ -5,6 +5,8 @@ Objects with equal cluster ids in all partitions behave alike, so pairs are firs
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -39,11 +41,65 @@ def object_pairs(members: DataFrame, weights: DataFrame | None = None) -> DataFr
     return both.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "w")
 
 
+#: Up to so many partitions their subsets (two to the power of it) are counted one by one.
+SUBSETS = 12
+
+
+def agreeing_groups(members: DataFrame, parts: list[int], sizes: list[int]) -> DataFrame:
+    """(obj_id, mask, key): for each subset of the partitions (bits of mask) of one of the sizes, the object's clusters in it.
+
+    Objects of one (mask, key) agree in that subset.
+    """
+    masks = [m for m in range(1 << len(parts)) if m.bit_count() in sizes]
+    place = F.create_map(*[F.lit(x) for k, p in enumerate(parts) for x in (p, k)])
+    rows = members.groupBy("obj_id").agg(F.array_sort(F.collect_list(F.struct(place[F.col("part_id")].alias("k"), "cluster_id"))).alias("sig"))
+    chosen = F.filter("sig", lambda x: F.col("mask").bitwiseAND(F.call_function("shiftleft", F.lit(1), x["k"])) != 0)
+    return rows.withColumn("mask", F.explode(F.array(*map(F.lit, masks)))).select("obj_id", "mask", chosen.alias("key"))
+
+
+def partitions_of(members: DataFrame) -> list[int]:
+    return sorted(r.part_id for r in members.select("part_id").distinct().collect())  # a row a partition
+
+
 def histogram(members: DataFrame) -> DataFrame:
-    """(together, pairs): how many object pairs share each number of partitions, without forming object pairs."""
-    pairs = signature_pairs(members)
-    n = F.when(F.col("s") == F.col("t"), F.col("n_s") * (F.col("n_s") - 1) / 2).otherwise(F.col("n_s") * F.col("n_t")).cast("long")
-    return pairs.groupBy(F.size("shared").alias("together")).agg(F.sum(n).alias("pairs")).where("pairs > 0")
+    """(together, pairs): how many object pairs share each number of partitions, without forming object pairs.
+
+    For up to SUBSETS partitions the pairs that agree in each subset come from group sizes, and inclusion and exclusion
+    gives those that agree in exactly so many: linear in the objects. Beyond it pairs of signatures are formed.
+    """
+    parts = partitions_of(members)
+    if len(parts) > SUBSETS:
+        pairs = signature_pairs(members)
+        n = F.when(F.col("s") == F.col("t"), F.col("n_s") * (F.col("n_s") - 1) / 2).otherwise(F.col("n_s") * F.col("n_t")).cast("long")
+        return pairs.groupBy(F.size("shared").alias("together")).agg(F.sum(n).alias("pairs")).where("pairs > 0")
+    groups = agreeing_groups(members, parts, list(range(1, len(parts) + 1))).groupBy("mask", "key").agg(F.count("*").alias("n"))
+    at_least = groups.groupBy(F.bit_count("mask").alias("size")).agg(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("long")).alias("a"))
+    # pairs that agree in exactly t: the sum over sizes j >= t of (-1)^(j - t) * (j over t) * a_j
+    signs = [(t, j, (-1) ** (j - t) * math.comb(j, t)) for t in range(1, len(parts) + 1) for j in range(t, len(parts) + 1)]
+    terms = F.array(*[F.struct(F.lit(t).alias("together"), F.lit(j).alias("j"), F.lit(c).cast("long").alias("c")) for t, j, c in signs])
+    spread = at_least.withColumn("e", F.explode(terms)).where("size = e.j")
+    return spread.groupBy("e.together").agg(F.sum(F.col("a") * F.col("e.c")).alias("pairs")).where("pairs > 0")
+
+
+def top_pairs(members: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` rows (i, j, w) of object_pairs by w, then i and j, without forming the others.
+
+    The histogram gives the least number of partitions that such a pair shares; pairs of it lie in a group that agrees in
+    a subset of that size, and the first pairs of a group are among its first limit + 1 objects.
+    """
+    parts, need, least = partitions_of(members), limit, 1
+    if len(parts) > SUBSETS:
+        return object_pairs(members).orderBy(F.desc("w"), "i", "j").limit(limit)
+    for r in histogram(members).orderBy(F.desc("together")).collect():  # a row a count of partitions
+        least, need = r.together, need - r.pairs
+        if need <= 0:
+            break
+    groups = agreeing_groups(members, parts, [least]).withColumn("r", F.row_number().over(W.partitionBy("mask", "key").orderBy("obj_id"))).where(F.col("r") <= limit + 1)
+    met = groups.select("mask", "key", F.col("obj_id").alias("i")).join(groups.select("mask", "key", F.col("obj_id").alias("j")), ["mask", "key"]).where("i < j").select("i", "j").distinct()
+    # every pair with more partitions in common is met as well
+    left, right = members.select(F.col("obj_id").alias("i"), "part_id", "cluster_id"), members.select(F.col("obj_id").alias("j"), "part_id", "cluster_id")
+    shared = met.join(left, "i").join(right, ["j", "part_id", "cluster_id"]).groupBy("i", "j").agg((F.count("*") / F.lit(len(parts))).alias("w"))
+    return shared.orderBy(F.desc("w"), "i", "j").limit(limit)
 
 
 def clusters(members: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ dense matrix. Its size is bounded by ``max_n`` distinct objects, which is checke
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -98,7 +99,11 @@ def guided(members: np.ndarray, params: dict) -> np.ndarray:
 
 
 def guided_diffusion(members: np.ndarray, params: dict) -> np.ndarray:
-    """As guided, with partition-agreement weights of clusters and a heat kernel; time 'adaptive' fits it to the graph."""
+    """As guided, with other weights of clusters and a heat kernel; time 'adaptive' fits it to the graph.
+
+    A cluster's weight is its partition's agreement with the others times its fuzzy entropy weight (params['fuzzy'], in
+    the order of partitions and cluster ids), which is 1 without features; the largest becomes 1.
+    """
     segments, part = kernels.one_hot(members)
     m, n = members.shape[1], len(members)
     p = segments @ segments.T / n
@@ -111,7 +116,7 @@ def guided_diffusion(members: np.ndarray, params: dict) -> np.ndarray:
     nmi = np.clip(np.divide(mutual, mean_h, out=np.zeros_like(mutual), where=mean_h > 0), 0, 1)
     agree = (nmi.sum(1) - np.diag(nmi)) / (m - 1) if m > 1 else np.ones(1)
     agree = np.clip(agree / max(agree.max(), 1e-12), 1e-6, 1)
-    weight = np.exp(-kernels.cluster_entropy(segments, part) / (max(params.get("lam", 0.09), 1e-12) * m)) * agree[part]
+    weight = agree[part] * np.asarray(params.get("fuzzy", 1.0))
     weight = np.clip(weight / max(weight.max(), 1e-12), 1e-6, 1)
     time = params.get("time", 1.0)
     return kernels.guided(members, eta=params.get("eta", 0.75), theta=params.get("theta", 0.65), weight=weight, time=None if time == "adaptive" else time, diffusion=True)
@@ -121,11 +126,12 @@ def guided_diffusion(members: np.ndarray, params: dict) -> np.ndarray:
 ALGORITHMS: dict[str, Callable[[np.ndarray, dict], np.ndarray]] = {"hierarchical": plain, "weighted": weighted, "guided": guided, "guided_diffusion": guided_diffusion}
 
 
-def consensus(members: DataFrame, plan: DataFrame, k: int, algorithm: str = "hierarchical", method: str = "average", max_n: int = 3000, **params) -> DataFrame:
+def consensus(members: DataFrame, plan: DataFrame, k: int, algorithm: str = "hierarchical", method: str = "average", max_n: int = 3000, fuzzy: DataFrame | None = None, **params) -> DataFrame:
     """(run_id, obj_id, label): the consensus partition of every run of the plan.
 
-    Objects with equal cluster ids throughout the run's partitions are one point with a weight ('hierarchical' and
-    'weighted', whose matrices depend on the ids alone); max_n bounds the points of a run. Unknown names raise KeyError.
+    Objects with equal cluster ids throughout the run's partitions are one point with a weight ('hierarchical', whose
+    matrix depends on the ids alone); max_n bounds the points of a run. Unknown names raise KeyError. ``fuzzy`` are the
+    weights (part_id, cluster_id, weight) of features.fuzzy_partition_weights for 'guided_diffusion'.
     """
     build = ALGORITHMS[algorithm]
     if method not in METHODS:
@@ -138,10 +144,15 @@ def consensus(members: DataFrame, plan: DataFrame, k: int, algorithm: str = "hie
             x, first, where, n = np.unique(x, axis=0, return_index=True, return_inverse=True, return_counts=True)
         if len(x) > max_n:
             raise ValueError(f"{len(x)} points in a run; max_n is {max_n}")
-        labels = kernels.consensus_labels(build(x, params), k, method, n)
+        more = {}
+        if fuzzy is not None:
+            known = dict(zip(zip(pdf["part_id"], pdf["cluster_id"], strict=True), pdf["weight"], strict=True))
+            more["fuzzy"] = [known[p, c] for p in wide.columns for c in np.unique(wide[p])]
+        labels = kernels.consensus_labels(build(x, params | more), k, method, n)
         return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "obj_id": wide.index, "label": labels[where.ravel()]})
 
     rows = members.select("obj_id", "part_id", "cluster_id").join(plan, "part_id")
+    rows = rows if fuzzy is None else rows.join(fuzzy, ["part_id", "cluster_id"])
     return rows.groupBy("run_id").applyInPandas(solve, "run_id int, obj_id long, label int")
 
 
@@ -213,16 +224,30 @@ def pca_profile(values: DataFrame) -> DataFrame:
     return cov.groupBy(F.lit(0).alias("_")).applyInPandas(lambda pdf: profile(pdf), "explained_2 double, explained_10 double, dims_90 int, dims_95 int, participation double")
 
 
-def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int = 1000, confidence: float = 0.95) -> DataFrame:
-    """(keys..., mean, low, high): percentile interval of the mean, by Poisson resampling with counts from a hash of (row_no, resample)."""
-    u = (F.pmod(F.xxhash64("row_no", "b"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    steps, total, p = F.lit(0), 0.0, float(np.exp(-1))
-    for k in range(12):
-        total += p
-        steps = steps + (u > total).cast("int")
-        p /= k + 1
-    drawn = rows.select(*keys, "row_no", F.col(value).alias("v"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("c", steps)
-    means = drawn.groupBy(*keys, "b").agg((F.sum(F.col("c") * F.col("v")) / F.sum("c")).alias("m"))
+def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
+    """(keys..., mean, low, high): percentile interval of the mean, by Poisson resampling with counts from a hash of (row_no, resample).
+
+    Tasks add up each batch's resamples, so what is shuffled is ``resamples`` sums for each batch and key.
+    """
+    chances = np.cumsum(np.exp(-1) / np.array([float(math.factorial(k)) for k in range(9)]))
+    count_of = np.searchsorted(chances, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)  # by 16 bits of a hash
+    salts = kernels.scrambled(np.arange(1, resamples + 1, dtype=np.uint64))
+
+    def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False):
+                v, row = part["v"].to_numpy(dtype=float), kernels.scrambled(part["row_no"].to_numpy(dtype=np.int64).view(np.uint64))
+                total, n = np.zeros(resamples), np.zeros(resamples, dtype=np.int64)
+                for at in range(0, len(v), 64):
+                    c = count_of[kernels.scrambled(row[at : at + 64, None] ^ salts) >> np.uint64(48)]
+                    total += v[at : at + 64] @ c
+                    n += c.sum(0, dtype=np.int64)
+                yield pd.DataFrame({k: [x] * resamples for k, x in zip(keys, key, strict=True)} | {"b": np.arange(resamples), "s": total, "n": n})
+
+    slim = rows.select(*keys, "row_no", F.col(value).alias("v")).where("v IS NOT NULL")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keys)
+    drawn = slim.mapInPandas(resample, f"{schema}, b int, s double, n long")
+    means = drawn.groupBy(*keys, "b").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     edge = (1 - confidence) / 2
     ends = means.groupBy(*keys).agg(F.percentile("m", F.lit(edge)).alias("low"), F.percentile("m", F.lit(1 - edge)).alias("high"))
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ends, keys)

@@ -6,6 +6,10 @@ objects by definition; the diagnostics that need them take ``max_n`` objects at
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -115,7 +119,7 @@ def centroid_distances(values: DataFrame) -> DataFrame:
     """min_nearest, mean distance, and the mean of nearest over second nearest (three classes or more) of class centres."""
     c = centroids(values)
     pairs = c.select(F.col("gt").alias("p"), F.col("center").alias("a")).join(c.select(F.col("gt").alias("q"), F.col("center").alias("b")), F.col("p") != F.col("q"))
-    near = pairs.select("p", distance("a", "b").alias("d")).groupBy("p").agg(F.min("d").alias("d1"), F.avg("d").alias("mean"), F.expr("sort_array(collect_list(d))[1]").alias("d2"))
+    near = pairs.select("p", distance("a", "b").alias("d")).groupBy("p").agg(F.min("d").alias("d1"), F.avg("d").alias("mean"), F.expr("get(sort_array(collect_list(d)), 1)").alias("d2"))
     return near.agg(F.min("d1").alias("min_nearest"), F.avg("mean").alias("mean_distance"), F.avg(F.col("d1") / F.col("d2")).alias("margin"))
 
 
@@ -140,10 +144,23 @@ def sampled(objs: DataFrame, max_n: int) -> DataFrame:
 
 
 def object_distances(objs: DataFrame, max_n: int) -> DataFrame:
-    """(i, gi, j, gj, d) for all ordered pairs of at most max_n objects, itself included; the stated sample bounds it."""
-    some = sampled(objs, max_n)
-    left, right = some.select(F.col("obj_id").alias("i"), F.col("gt").alias("gi"), F.col("features").alias("x")), some.select(F.col("obj_id").alias("j"), F.col("gt").alias("gj"), F.col("features").alias("y"))
-    return left.join(right, F.lit(True)).select("i", "gi", "j", "gj", distance("x", "y").alias("d"))
+    """(i, gi, j, gj, d) for all ordered pairs of at most max_n objects, itself included; the stated sample bounds it.
+
+    The sample goes to the driver and to all tasks, where each part of it is compared with the whole in arrays.
+    """
+    some = sampled(objs.select("obj_id", "gt", "features"), max_n)
+    pool = some.toPandas()
+    x = np.stack(pool["features"].to_numpy()).astype(float) if len(pool) else np.zeros((0, 0))
+    j, gj = pool["obj_id"].to_numpy(), pool["gt"].to_numpy()
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for i, gi, features in zip(pdf["obj_id"], pdf["gt"], pdf["features"], strict=True):
+                yield pd.DataFrame({"i": i, "gi": gi, "j": j, "gj": gj, "d": np.sqrt(((x - np.asarray(features, dtype=float)) ** 2).sum(1))})
+
+    kinds = {f.name: f.dataType.simpleString() for f in some.schema}
+    parts = objs.sparkSession.sparkContext.defaultParallelism
+    return some.repartition(parts, "obj_id").mapInPandas(compare, f"i {kinds['obj_id']}, gi {kinds['gt']}, j {kinds['obj_id']}, gj {kinds['gt']}, d double")
 
 
 def silhouette(objs: DataFrame, max_n: int = 2000) -> DataFrame:
@@ -173,16 +190,95 @@ def overlap(objs: DataFrame, k: int = 60, max_n: int = 3000, exclude_self: bool
     return both.agg(F.avg("f").alias("friend"), F.avg("e").alias("enemy"), F.avg((F.col("e") < F.col("f")).cast("double")).alias("overlap_ratio"), F.avg(F.col("e") / F.greatest("f", F.lit(1e-12))).alias("margin_ratio"))
 
 
+#: What an object's membership in its own cluster gains before memberships are made to sum to 1 again. Fixed value.
+OWN = 1e-6
+
+
+def objects_of(values: DataFrame, *keys: str) -> DataFrame:
+    """(obj_id, keys..., x array): the values of each object in the order of the features."""
+    return values.groupBy("obj_id", *keys).agg(F.expr("transform(array_sort(collect_list(struct(feat, value))), x -> x.value)").alias("x"))
+
+
+def memberships(objs: DataFrame, centres: DataFrame, on: list[str], own: str) -> DataFrame:
+    """objs(obj_id, on..., own, x), centres(on..., cluster, center) -> u: inverse distances that sum to 1, with OWN added to the own cluster's."""
+    near = objs.join(centres, on) if on else objs.join(centres, F.lit(True))
+    near = near.withColumn("u", F.lit(1.0) / F.greatest(distance("x", "center"), F.lit(1e-12))).drop("x", "center")
+    u = F.col("u") / F.sum("u").over(W.partitionBy("obj_id", *on))
+    return near.withColumn("u", (u + F.when(F.col("cluster") == F.col(own), OWN).otherwise(0.0)) / (1 + OWN))
+
+
 def fuzzy_membership(values: DataFrame) -> DataFrame:
     """(obj_id, gt, cluster, u): membership in each class centre by inverse distance, summing to 1."""
     c = centroids(values).select(F.col("gt").alias("cluster"), "center")
-    objs = values.groupBy("obj_id", "gt").agg(F.expr("transform(array_sort(collect_list(struct(feat, value))), x -> x.value)").alias("x"))
-    near = objs.join(c, F.lit(True)).select("obj_id", "gt", "cluster", (F.lit(1.0) / F.greatest(distance("x", "center"), F.lit(1e-12))).alias("u"))
-    return near.withColumn("u", F.col("u") / F.sum("u").over(W.partitionBy("obj_id")))
+    return memberships(objects_of(values, "gt"), c, [], "gt").select("obj_id", "gt", "cluster", "u")
+
+
+def mean_entropy_weight(u: DataFrame, on: list[str], own: str, lam: float) -> DataFrame:
+    h = u.groupBy("obj_id", *on, own).agg(F.sum(-F.col("u") * F.log2(F.greatest("u", F.lit(1e-12)))).alias("h"), F.count("*").alias("k"))
+    weight = F.exp(-(F.avg("h") / F.log2(F.greatest(F.max("k"), F.lit(2)).cast("double"))) / F.lit(max(lam, 1e-12)))
+    return h.groupBy(*on, F.col(own).alias("cluster_id")).agg(weight.alias("weight"))
 
 
 def fuzzy_weights(values: DataFrame, lam: float = 0.09) -> DataFrame:
     """(cluster, weight): exp(-H / lam), H the mean membership entropy of the cluster's objects over log2 of the number of clusters."""
-    u = fuzzy_membership(values)
-    h = u.groupBy("obj_id", "gt").agg(F.sum(-F.col("u") * F.log2("u")).alias("h"), F.count("*").alias("k"))
-    return h.groupBy(F.col("gt").alias("cluster")).agg(F.exp(-(F.avg("h") / F.log2(F.greatest(F.max("k"), F.lit(2)).cast("double"))) / F.lit(max(lam, 1e-12))).alias("weight"))
+    return mean_entropy_weight(fuzzy_membership(values), [], "gt", lam).withColumnRenamed("cluster_id", "cluster")
+
+
+def fuzzy_partition_weights(values: DataFrame, members: DataFrame, lam: float = 0.09) -> DataFrame:
+    """(part_id, cluster_id, weight): the fuzzy entropy weight of each cluster of each base partition, from the features."""
+    x = objects_of(values)
+    sums = members.join(values.select("obj_id", "feat", "value"), "obj_id").groupBy("part_id", "cluster_id", "feat").agg(F.avg("value").alias("c"))
+    centres = sums.groupBy("part_id", F.col("cluster_id").alias("cluster")).agg(F.expr("transform(array_sort(collect_list(struct(feat, c))), x -> x.c)").alias("center"))
+    return mean_entropy_weight(memberships(members.select("obj_id", "part_id", "cluster_id").join(x, "obj_id"), centres, ["part_id"], "cluster_id"), ["part_id"], "cluster_id", lam)
+
+
+def chance(*parts: Column) -> Column:
+    """A number in [0, 1) from the md5 of the parts, which any SQL engine can repeat."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *parts)), 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+
+
+def hopkins(objs: DataFrame, m: int = 150, max_n: int = 3000) -> DataFrame:
+    """One row hopkins: w / (w + u), w the sum of m even probes' distances to their nearest object, u of m objects' to their nearest other.
+
+    At most a third of the objects are taken; with fewer than 15 objects, or only equal ones, it is null. The objects
+    are the first max_n, and the taken ones the first m, by the md5 of their id; probes are even in the objects' box.
+    """
+    some = sampled(objs, max_n).select("obj_id", F.col("features").alias("x"))
+    n = some.agg(F.count("*").alias("n")).select(F.least(F.lit(m), F.floor(F.col("n") / 3)).cast("int").alias("m")).where("m >= 5")
+    box = some.select(F.posexplode("x").alias("feat", "v")).groupBy("feat").agg(F.min("v").alias("low"), (F.max("v") - F.min("v")).alias("span"))
+    spots = n.select(F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("p")).join(F.broadcast(box), F.lit(True))  # a row a feature
+    value = F.col("low") + chance(F.col("p").cast("string"), F.col("feat").cast("string")) * F.when(F.col("span") == 0, 1.0).otherwise(F.col("span"))
+    probes = spots.withColumn("v", value).groupBy("p").agg(F.expr("transform(array_sort(collect_list(struct(feat, v))), x -> x.v)").alias("y"))
+    w = probes.join(some, F.lit(True)).groupBy("p").agg(F.min(distance("x", "y")).alias("d")).agg(F.sum("d").alias("w"))
+    ranked = some.withColumn("r", F.row_number().over(W.orderBy(F.md5(F.col("obj_id").cast("string")), "obj_id")))  # max_n rows
+    taken = ranked.join(F.broadcast(n), F.col("r") <= F.col("m")).select(F.col("obj_id").alias("i"), F.col("x").alias("y"))
+    u = taken.join(some, F.col("i") != F.col("obj_id")).groupBy("i").agg(F.min(distance("x", "y")).alias("d")).agg(F.sum("d").alias("u"))
+    total = F.col("w") + F.col("u")
+    return w.crossJoin(F.broadcast(u)).select(F.when(total >= 1e-12, F.col("w") / total).alias("hopkins"))
+
+
+def diagnostics(objs: DataFrame, max_n: int = 3000) -> DataFrame:
+    """One row: the composite record of objs(obj_id, features, gt), named as the rules of advice take it.
+
+    Every part is one row; parts that a data set is too small for are null.
+    """
+    from quorate.operators import ensemble
+
+    values = objs.select("obj_id", "gt", F.posexplode("features").alias("feat", "value"))
+    shapes = ensemble.class_shapes(objs).agg(F.avg("elongation").alias("elongation_mean"), F.max("elongation").alias("elongation"), F.avg("condition").alias("condition_mean"), F.max("condition").alias("condition_max"))
+    parts = [
+        basic_profile(values),
+        class_stats(objs.select("obj_id", "gt")),
+        ensemble.pca_profile(values).withColumnsRenamed({"dims_90": "dim90", "dims_95": "dim95"}),
+        hopkins(objs, max_n=max_n),
+        knn_density(objs, max_n=max_n).select(F.col("mean").alias("knn_mean"), F.col("std").alias("knn_std"), F.col("cv").alias("density"), "outlier_ratio"),
+        silhouette(objs).select("silhouette"),
+        separation(values),
+        overlap(objs, max_n=max_n).withColumnRenamed("overlap_ratio", "overlap"),
+        centroid_distances(values),
+        shapes,
+    ]
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.join(F.broadcast(part), F.lit(True), "left")  # one row each
+    return out

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from quorate.functions import kernels
+
 #: Critical values of the studentised range over the square root of 2, for 2 to 10 algorithms. Fixed values.
 NEMENYI_Q = {
     0.05: {2: 1.96, 3: 2.343, 4: 2.569, 5: 2.728, 6: 2.85, 7: 2.949, 8: 3.031, 9: 3.102, 10: 3.164},
@@ -82,6 +85,32 @@ def signed_ranks(scores: DataFrame, baseline: str) -> DataFrame:
     return s.withColumn("statistic", F.least("w_plus", "w_minus"))
 
 
+def friedman_test(scores: DataFrame) -> DataFrame:
+    """friedman with p, the upper tail of its F."""
+
+    @F.pandas_udf("double")
+    def tail(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
+        return pd.Series([kernels.f_tail(*x) for x in zip(f, d1, d2, strict=True)], dtype=float)
+
+    return friedman(scores).withColumn("p", tail("f", "df1", "df2"))
+
+
+def signed_rank_tests(scores: DataFrame, baseline: str, alpha: float = 0.05) -> DataFrame:
+    """signed_ranks with the two-sided p of each algorithm, and Holm's adjusted p and decision over all of them.
+
+    Algorithms without a difference have p = 1 and stay. Up to 50 differences without ties p is exact.
+    """
+
+    @F.pandas_udf("double")
+    def exact(statistic: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([kernels.exact_wilcoxon(s, int(k)) for s, k in zip(statistic, n, strict=True)], dtype=float)
+
+    all_of = scores.where(F.col("algorithm") != baseline).select("algorithm").distinct()
+    ranked = all_of.join(signed_ranks(scores, baseline), "algorithm", "left").fillna(0)
+    tested = ranked.withColumn("p", exact("statistic", "n"))
+    return tested.join(holm(tested.select("algorithm", "p"), alpha).drop("p"), "algorithm")
+
+
 def holm(p_values: DataFrame, alpha: float = 0.05) -> DataFrame:
     """(algorithm, p, adjusted, reject): min(1, p * (m - i)) without a running maximum; rejections stop at the first failure."""
     w = W.orderBy("p", "algorithm")  # one row an algorithm

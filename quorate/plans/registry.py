@@ -115,7 +115,7 @@ COASSOC = "pairs AS (SELECT l.obj_id AS i, r.obj_id AS j, count(*) AS c FROM mem
 
 @query("coassoc_topk", "members", f"WITH+ {COASSOC} SELECT i, j, round(c / 8.0, 6) AS w FROM pairs ORDER BY w DESC, i, j LIMIT 100")
 def coassoc_topk(spark, sf):
-    return rounded(co.object_pairs(vw.members8(spark, sf))).orderBy(F.desc("w"), "i", "j").limit(100)
+    return rounded(co.top_pairs(vw.members8(spark, sf), 100))
 
 
 @query("coassoc_histogram", "members", f"WITH+ {COASSOC} SELECT CAST(c AS INTEGER) AS together, count(*) AS pairs FROM pairs GROUP BY 1")
@@ -242,22 +242,23 @@ def calinski_davies(spark, sf):
 SAMPLE = "smp AS (SELECT obj_id FROM objects ORDER BY md5(CAST(obj_id AS VARCHAR)), obj_id LIMIT {n}), sv AS (SELECT v.* FROM vals v JOIN smp USING (obj_id)), dist AS (SELECT a.obj_id AS i, a.gt AS gi, b.obj_id AS j, b.gt AS gj, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS d FROM sv a JOIN sv b USING (feat) GROUP BY 1, 2, 3, 4)"
 
 
-@query("silhouette", "objects vals", f"WITH+ {SAMPLE.format(n=300)}, p AS (SELECT i, gi, gj, avg(d) AS m FROM dist WHERE i <> j GROUP BY 1, 2, 3), o AS (SELECT i, max(CASE WHEN gi = gj THEN m END) AS a, min(CASE WHEN gi <> gj THEN m END) AS b FROM p GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM o")
+@query("silhouette", "objects vals", f"WITH+ {SAMPLE.format(n=2000)}, p AS (SELECT i, gi, gj, avg(d) AS m FROM dist WHERE i <> j GROUP BY 1, 2, 3), o AS (SELECT i, max(CASE WHEN gi = gj THEN m END) AS a, min(CASE WHEN gi <> gj THEN m END) AS b FROM p GROUP BY 1) SELECT round(avg(CASE WHEN a IS NULL THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette, count(*) AS n FROM o")
 def silhouette(spark, sf):
-    return rounded(ft.silhouette(vw.objects(spark, sf), 300))
+    return rounded(ft.silhouette(vw.objects(spark, sf)))
 
 
-@query("knn_density", "objects vals", f"WITH+ {SAMPLE.format(n=300)}, r AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM dist), k AS (SELECT d FROM r WHERE r = 5), c AS (SELECT quantile_cont(d, 0.95) AS p FROM k) SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(stddev_pop(d) / avg(d), 6) AS cv, round(avg(CASE WHEN d > p THEN 1.0 ELSE 0.0 END), 6) AS outlier_ratio FROM k, c")
+@query("knn_density", "objects vals", f"WITH+ {SAMPLE.format(n=3000)}, r AS (SELECT i, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM dist), k AS (SELECT d FROM r WHERE r = 5), c AS (SELECT quantile_cont(d, 0.95) AS p FROM k) SELECT round(avg(d), 6) AS mean, round(stddev_pop(d), 6) AS std, round(stddev_pop(d) / avg(d), 6) AS cv, round(avg(CASE WHEN d > p THEN 1.0 ELSE 0.0 END), 6) AS outlier_ratio FROM k, c")
 def knn_density(spark, sf):
-    return rounded(ft.knn_density(vw.objects(spark, sf), 5, 300))
+    return rounded(ft.knn_density(vw.objects(spark, sf)))
 
 
-@query("overlap_friend_enemy", "objects vals", f"WITH+ {SAMPLE.format(n=300)}, r AS (SELECT i, gi, gj, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM dist WHERE i <> j), o AS (SELECT i, min(CASE WHEN gi = gj THEN d END) AS f, min(CASE WHEN gi <> gj THEN d END) AS e FROM r WHERE r <= 60 GROUP BY 1) SELECT round(avg(f), 6) AS friend, round(avg(e), 6) AS enemy, round(avg(CASE WHEN e < f THEN 1.0 ELSE 0.0 END), 6) AS overlap_ratio, round(avg(e / greatest(f, 1e-12)), 6) AS margin_ratio FROM o WHERE f IS NOT NULL AND e IS NOT NULL")
+@query("overlap_friend_enemy", "objects vals", f"WITH+ {SAMPLE.format(n=3000)}, r AS (SELECT i, gi, gj, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM dist), o AS (SELECT i, min(CASE WHEN gi = gj THEN d END) AS f, min(CASE WHEN gi <> gj THEN d END) AS e FROM r WHERE r <= 60 GROUP BY 1) SELECT round(avg(f), 6) AS friend, round(avg(e), 6) AS enemy, round(avg(CASE WHEN e < f THEN 1.0 ELSE 0.0 END), 6) AS overlap_ratio, round(avg(e / greatest(f, 1e-12)), -6) AS margin_ratio FROM o WHERE f IS NOT NULL AND e IS NOT NULL")
 def overlap_friend_enemy(spark, sf):
-    return rounded(ft.overlap(vw.objects(spark, sf), 60, 300, exclude_self=True))
+    found = ft.overlap(vw.objects(spark, sf))  # the nearest friend is the object itself, so the margin is some 1e13
+    return found.select(*[F.round(c, -6 if c == "margin_ratio" else 6).alias(c) for c in found.columns])
 
 
-FUZZY = f"{CENTRES}, fd AS (SELECT obj_id, v.gt, c.gt AS cluster, 1.0 / greatest(sqrt(sum((value - c) * (value - c))), 1e-12) AS u FROM vals v JOIN cen c USING (feat) GROUP BY 1, 2, 3), fu AS (SELECT obj_id, gt, cluster, u / sum(u) OVER (PARTITION BY obj_id) AS u FROM fd)"
+FUZZY = f"{CENTRES}, fd AS (SELECT obj_id, v.gt, c.gt AS cluster, 1.0 / greatest(sqrt(sum((value - c) * (value - c))), 1e-12) AS u FROM vals v JOIN cen c USING (feat) GROUP BY 1, 2, 3), fu AS (SELECT obj_id, gt, cluster, (u / sum(u) OVER (PARTITION BY obj_id) + CASE WHEN cluster = gt THEN 1e-6 ELSE 0.0 END) / (1 + 1e-6) AS u FROM fd)"
 
 
 @query("fuzzy_membership", "vals", f"WITH+ {FUZZY} SELECT obj_id, gt, cluster, round(u, 6) AS u FROM fu")
@@ -270,6 +271,40 @@ def fuzzy_cluster_weights(spark, sf):
     return rounded(ft.fuzzy_weights(vals(spark, sf)), 8)
 
 
+@query("fuzzy_partition_weights", "members vals", """WITH+ x AS (SELECT obj_id, part_id, cluster_id, feat, value FROM members JOIN vals USING (obj_id)), pc AS (SELECT part_id, cluster_id AS cluster, feat, avg(value) AS c FROM x GROUP BY 1, 2, 3),
+pu AS (SELECT obj_id, x.part_id, cluster_id, cluster, 1.0 / greatest(sqrt(sum((value - c) * (value - c))), 1e-12) AS u FROM x JOIN pc ON pc.part_id = x.part_id AND pc.feat = x.feat GROUP BY 1, 2, 3, 4),
+pn AS (SELECT obj_id, part_id, cluster_id, (u / sum(u) OVER (PARTITION BY obj_id, part_id) + CASE WHEN cluster = cluster_id THEN 1e-6 ELSE 0.0 END) / (1 + 1e-6) AS u FROM pu),
+ph AS (SELECT obj_id, part_id, cluster_id, sum(-u * log2(greatest(u, 1e-12))) AS h, count(*) AS k FROM pn GROUP BY 1, 2, 3) SELECT part_id, cluster_id, round(exp(-(avg(h) / log2(greatest(max(k), 2))) / 0.09), 8) AS weight FROM ph GROUP BY 1, 2""")
+def fuzzy_partition_weights(spark, sf):
+    return rounded(ft.fuzzy_partition_weights(vals(spark, sf), vw.members8(spark, sf)), 8)
+
+
+@query("hopkins", "objects vals", f"""WITH+ {SAMPLE.format(n=3000).split(", dist AS")[0]}, nn AS (SELECT least(150, count(*) // 3) AS m FROM smp), box AS (SELECT feat, min(value) AS lo, max(value) - min(value) AS span FROM sv GROUP BY 1),
+pr AS (SELECT p, feat, lo + CAST(CAST('0x' || substr(md5(p || ':' || feat), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 * CASE WHEN span = 0 THEN 1.0 ELSE span END AS y FROM box, range(0, 150) t(p), nn WHERE p < m),
+w AS (SELECT sum(d) AS w FROM (SELECT p, min(d) AS d FROM (SELECT p, obj_id, sqrt(sum((value - y) * (value - y))) AS d FROM pr JOIN sv USING (feat) GROUP BY 1, 2) a GROUP BY 1) b),
+tk AS (SELECT obj_id FROM (SELECT obj_id, row_number() OVER (ORDER BY md5(CAST(obj_id AS VARCHAR)), obj_id) AS r FROM smp) a, nn WHERE r <= m),
+u AS (SELECT sum(d) AS u FROM (SELECT i, min(d) AS d FROM (SELECT a.obj_id AS i, b.obj_id AS j, sqrt(sum((a.value - b.value) * (a.value - b.value))) AS d FROM sv a JOIN tk ON tk.obj_id = a.obj_id JOIN sv b ON a.feat = b.feat AND a.obj_id <> b.obj_id GROUP BY 1, 2) c GROUP BY 1) e)
+SELECT round(w / (w + u), 6) AS hopkins FROM w, u""")
+def hopkins(spark, sf):
+    return rounded(ft.hopkins(vw.objects(spark, sf)))
+
+
+@query("diagnostics")
+def diagnostics(spark, sf):
+    return rounded(ft.diagnostics(vw.objects(spark, sf)))
+
+
+@query("recommend_from_data")
+def recommend_from_data(spark, sf):
+    """The advice for the embeddings from their own diagnostics."""
+    return rc.rules(ft.diagnostics(vw.objects(spark, sf)).withColumn("dataset", F.lit("embeddings")))
+
+
+@query("rank_from_data")
+def rank_from_data(spark, sf):
+    return rc.algorithm_ranking(ft.diagnostics(vw.objects(spark, sf)).withColumn("dataset", F.lit("embeddings")))
+
+
 @query("label_normalise", "", "SELECT c_custkey, dense_rank() OVER (PARTITION BY c_mktsegment ORDER BY c_nationkey) AS id FROM customer")
 def label_normalise(spark, sf):
     return ft.label_ids(vw.table(spark, sf, "customer"), ["c_mktsegment"], "c_nationkey").select("c_custkey", F.col("id").cast("long"))
@@ -333,6 +368,16 @@ def friedman(spark, sf):
     return rounded(rp.friedman(vw.scores(spark, sf)))
 
 
+@query("friedman_p")
+def friedman_p(spark, sf):
+    return rounded(rp.friedman_test(vw.scores(spark, sf)), 9)
+
+
+@query("wilcoxon_holm")
+def wilcoxon_holm(spark, sf):
+    return rounded(rp.signed_rank_tests(vw.scores(spark, sf), "view"), 9)
+
+
 @query("nemenyi_pairs", "scores", f"WITH+ {RANKED}, cd AS (SELECT (CASE count(*) WHEN 2 THEN 1.96 WHEN 3 THEN 2.343 WHEN 4 THEN 2.569 WHEN 5 THEN 2.728 WHEN 6 THEN 2.85 END) * sqrt(count(*) * (count(*) + 1) / (6.0 * max(n))) AS critical FROM mr) SELECT x.algorithm AS a, y.algorithm AS b, round(abs(x.r - y.r), 6) AS difference, round(critical, 6) AS critical, abs(x.r - y.r) > critical AS significant FROM mr x JOIN mr y ON x.algorithm < y.algorithm, cd")
 def nemenyi_pairs(spark, sf):
     return rounded(rp.nemenyi(vw.scores(spark, sf)))
@@ -550,6 +595,13 @@ QUERIES["guided_labels"] = _consensus("guided", "average")
 QUERIES["guided_diffusion_labels"] = _consensus("guided_diffusion", "average", time="adaptive")
 
 
+@query("guided_diffusion_fuzzy_labels")
+def guided_diffusion_fuzzy_labels(spark, sf):
+    """With the clusters' fuzzy entropy weights from the features."""
+    m = vw.members8(spark, sf)
+    return en.consensus(m, en.random_plan(m, 6, 2), 10, "guided_diffusion", "average", fuzzy=ft.fuzzy_partition_weights(vals(spark, sf), m), time="adaptive")
+
+
 @query("consensus_scores")
 def consensus_scores(spark, sf):
     return rounded(en.run_consensus(vw.members8(spark, sf), vw.objects(spark, sf).select("obj_id", "gt"), m=6))

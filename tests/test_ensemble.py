@@ -1,12 +1,17 @@
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from quorate.operators import coassociation as co
 from quorate.operators import contingency as ct
 from quorate.operators import ensemble as en
 from quorate.operators import features as ft
 from quorate.operators import generators as g
+from quorate.operators import recommend as rc
+from quorate.operators import reports as rp
 
 
 @pytest.fixture(scope="module")
@@ -138,4 +143,99 @@ def test_queries_do_the_whole_job(spark, sf, monkeypatch):
 
         monkeypatch.setattr(ensemble, name, watched)
     registry.QUERIES["base_ensemble"](spark, sf), registry.QUERIES["bootstrap_ci"](spark, sf)
-    assert seen["max_hierarchical"] == 2500 and seen["resamples"] == 1000
+    assert seen["max_hierarchical"] == 2500 and seen["resamples"] == 10_000
+
+
+def test_diffusion_weights_by_hand(monkeypatch):
+    """Agreement of the partitions times the fuzzy weights, the largest 1."""
+    members = np.array([[1, 1, 1], [1, 1, 2], [2, 2, 1], [2, 2, 2], [2, 1, 1], [1, 2, 2]])
+    seen = {}
+    monkeypatch.setattr(en.kernels, "guided", lambda m, **kw: seen.update(kw))
+
+    def nmi(a, b):
+        joint, h = 0.0, lambda x: -sum((x == v).mean() * np.log((x == v).mean()) for v in set(x))
+        for u in set(a):
+            for v in set(b):
+                if p := ((a == u) & (b == v)).mean():
+                    joint += p * np.log(p / ((a == u).mean() * (b == v).mean()))
+        return joint / ((h(a) + h(b)) / 2)
+
+    agree = np.array([np.mean([nmi(members[:, p], members[:, q]) for q in range(3) if q != p]) for p in range(3)])
+    agree = np.clip(agree / agree.max(), 1e-6, 1)
+    en.guided_diffusion(members, {})
+    assert np.allclose(seen["weight"], np.repeat(agree, 2))
+    fuzzy = np.array([0.9, 0.5, 0.4, 0.8, 1.0, 0.2])
+    en.guided_diffusion(members, {"fuzzy": fuzzy})
+    want = np.repeat(agree, 2) * fuzzy
+    assert np.allclose(seen["weight"], np.clip(want / want.max(), 1e-6, 1))
+
+
+def test_fuzzy_weights_by_hand(spark):
+    x, labels = np.array([[0.0, 0], [1, 0], [4, 1], [5, 5], [0, 2]]), np.array([[1, 2], [1, 2], [2, 1], [2, 2], [1, 2]])
+    values = spark.createDataFrame([(i, f, float(x[i, f])) for i in range(5) for f in range(2)], "obj_id long, feat int, value double")
+    members = spark.createDataFrame([(i, p, int(labels[i, p])) for i in range(5) for p in range(2)], "obj_id long, part_id int, cluster_id int")
+    want = {}
+    for p in range(2):
+        names = np.unique(labels[:, p])
+        centres = np.array([x[labels[:, p] == c].mean(0) for c in names])
+        u = 1 / np.maximum(np.sqrt(((x[:, None] - centres) ** 2).sum(2)), 1e-12)
+        u /= u.sum(1, keepdims=True)
+        u[np.arange(5), np.searchsorted(names, labels[:, p])] += 1e-6
+        u /= u.sum(1, keepdims=True)
+        h = -(u * np.log2(u)).sum(1)
+        want |= {(p, int(c)): np.exp(-h[labels[:, p] == c].mean() / 0.3) for c in names}
+    got = {(r.part_id, r.cluster_id): r.weight for r in ft.fuzzy_partition_weights(values, members, 0.3).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_tests_by_enumeration(spark):
+    import itertools
+
+    rng = np.random.default_rng(6)
+    table = {(d, a): round(float(rng.random()) + (a == "x"), 3) for d in range(8) for a in "bxyz"} | {(d, "same"): None for d in range(0)}
+    rows = [(str(d), a, v) for (d, a), v in table.items()] + [(str(d), "same", table[d, "b"]) for d in range(8)]
+    scores = spark.createDataFrame(rows, "dataset string, algorithm string, value double")
+    got = {r.algorithm: r for r in rp.signed_rank_tests(scores, "b").collect()}
+    want = {}
+    for a in ("x", "y", "z"):
+        d = [table[k, a] - table[k, "b"] for k in range(8)]
+        rank = np.argsort(np.argsort(np.abs(d))) + 1
+        low = min(sum(r for r, v in zip(rank, d) if v > 0), sum(r for r, v in zip(rank, d) if v < 0))
+        sums = [sum(r for r, s in zip(rank, signs) if s) for signs in itertools.product((0, 1), repeat=8)]
+        want[a] = min(1.0, 2 * sum(s <= low for s in sums) / 256)
+    assert got["same"].p == 1.0 and all(abs(got[a].p - p) < 1e-12 for a, p in want.items())
+    ordered = sorted([*want.items(), ("same", 1.0)], key=lambda x: (x[1], x[0]))
+    assert all(abs(got[a].adjusted - min(1.0, p * (4 - i))) < 1e-12 for i, (a, p) in enumerate(ordered))
+    f = rp.friedman_test(scores.where("algorithm <> 'same'")).first()
+    grid = np.linspace(f.f, f.f + 4000, 4_000_001)  # P(F > f) by the trapezium rule
+    from math import lgamma
+
+    a, b = f.df1 / 2, f.df2 / 2
+    density = np.exp(lgamma(a + b) - lgamma(a) - lgamma(b) + a * np.log(a / b) + (a - 1) * np.log(grid) - (a + b) * np.log1p(a / b * grid))
+    assert abs(f.p - ((density[1:] + density[:-1]) / 2).sum() * (grid[1] - grid[0])) < 1e-4
+
+
+def test_top_pairs_and_histogram_with_copies(spark):
+    rng = np.random.default_rng(3)
+    labels = np.concatenate([rng.integers(1, 3, (12, 4)), np.ones((9, 4), dtype=int)])
+    members = spark.createDataFrame([(i, p, int(labels[i, p])) for i in range(21) for p in range(4)], "obj_id long, part_id int, cluster_id int")
+    together = {(i, j): int((labels[i] == labels[j]).sum()) for i in range(21) for j in range(i + 1, 21)}
+    want = Counter(t for t in together.values() if t)
+    assert {r.together: r.pairs for r in co.histogram(members).collect()} == want
+    for limit in (1, 5, 37, 60, 500):
+        best = sorted(((-t / 4, i, j) for (i, j), t in together.items() if t))[:limit]
+        assert [(-r.w, r.i, r.j) for r in co.top_pairs(members, limit).collect()] == best
+
+
+def test_diagnostics(spark):
+    rng = np.random.default_rng(8)
+    x = np.concatenate([rng.normal(0, 1, (30, 3)), rng.normal(6, 1, (30, 3))])
+    objs = spark.createDataFrame([(i, v.tolist(), i // 30 + 1) for i, v in enumerate(x)], "obj_id long, features array<double>, gt long")
+    r = ft.diagnostics(objs).first()
+    assert (r.n, r.d, r.k) == (60, 3, 2) and r.silhouette > 0.6 and r.hopkins > 0.6 and r.imbalance == 1
+    assert ft.hopkins(objs.limit(12)).count() == 0 or ft.hopkins(objs.limit(12)).first().hopkins is None
+    flat = spark.createDataFrame([(i, [1.0, 2.0], 1) for i in range(40)], "obj_id long, features array<double>, gt long")
+    h = ft.hopkins(flat).first().hopkins
+    assert h is None or h == 1.0  # the probes' box is one wide, the objects are alike
+    advice = rc.rules(ft.diagnostics(objs).withColumn("dataset", F.lit("x"))).first()
+    assert advice.k_min == 2 and advice.m >= 20
