@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import io
+import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -52,7 +54,7 @@ def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFra
 
     has_header = not (all(map(number, fields)) or all(map(number, fields[:-1])))
     if has_header:
-        rows = rows.where(F.col("obj_id") != head["obj_id"])
+        rows = rows.where(~(F.col("f") == F.array(*map(F.lit, fields))))  # each file of a folder has one
     names = [n.strip().lower() for n in fields] if has_header else []
     at = next((i for i, n in enumerate(names) if n in LABEL_NAMES), width - 1)
     wrong = F.raise_error(F.concat(F.lit("a row has another width: "), F.array_join("f", ",")))
@@ -92,21 +94,67 @@ def json_bundle(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return objs, members
 
 
+#: Numeric element types of MAT files of version 5. Fixed values.
+MAT_TYPES = {1: "i1", 2: "u1", 3: "i2", 4: "u2", 5: "i4", 6: "u4", 7: "f4", 9: "f8", 12: "i8", 13: "u8"}
+MAT_MATRIX, MAT_COMPRESSED = 14, 15
+
+
+def mat_arrays(content: bytes) -> dict[str, np.ndarray]:
+    """The numeric matrices of a MAT file of version 5 by name; other variables are left out."""
+    order = "<" if content[126:128] == b"IM" else ">"
+    found: dict[str, np.ndarray] = {}
+
+    def elements(data: bytes) -> Iterator[tuple[int, bytes]]:
+        at = 0
+        while at + 8 <= len(data):
+            kind, size = np.frombuffer(data, dtype=order + "u4", count=2, offset=at).tolist()
+            if kind >> 16:  # a small element: its size and type share a word, its data the next
+                yield kind & 0xFFFF, data[at + 4 : at + 4 + (kind >> 16)]
+                at += 8
+            else:
+                yield kind, data[at + 8 : at + 8 + size]
+                at += 8 + (size if kind == MAT_COMPRESSED else -(-size // 8) * 8)
+
+    def visit(data: bytes) -> None:
+        for kind, body in elements(data):
+            if kind == MAT_COMPRESSED:
+                visit(zlib.decompress(body))
+            elif kind == MAT_MATRIX:
+                parts = list(elements(body))
+                if len(parts) >= 4 and parts[3][0] in MAT_TYPES:
+                    shape = np.frombuffer(parts[1][1], dtype=order + "i4").tolist()
+                    values = np.frombuffer(parts[3][1], dtype=order + MAT_TYPES[parts[3][0]])
+                    if len(values) == int(np.prod(shape)):
+                        found[parts[2][1].decode("ascii")] = values.reshape(shape, order="F")
+
+    visit(content[128:])
+    return found
+
+
+def array_file(name: str, content: bytes) -> dict[str, np.ndarray]:
+    if name.lower().endswith(".mat"):
+        return mat_arrays(content)
+    with np.load(io.BytesIO(content)) as z:
+        return {k: z[k] for k in z.files}
+
+
 def arrays(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Objects and members of .npz files, one file a data set: (dataset, obj_id, features, gt), (dataset, obj_id, part_id, cluster_id).
+    """Objects and members of .npz and .mat files, one file a data set: (dataset, obj_id, features, gt), (dataset, obj_id, part_id, cluster_id).
 
     Features stand under any of FEATURE_KEYS and are turned if only their other side has the labels' length; labels
     that begin at 0 are moved to 1.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{npz,mat}").load(path).select("path", "content")
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for name, content in zip(pdf["path"], pdf["content"], strict=True):
-                with np.load(io.BytesIO(content)) as z:
-                    x = next((z[k] for k in FEATURE_KEYS if k in z), None)
-                    gt = next((z[k].reshape(-1) for k in LABEL_KEYS if k in z), None)
-                    m = z["members"] if "members" in z else None
+                z = array_file(name, content)
+                x = next((z[k] for k in FEATURE_KEYS if k in z), None)
+                gt = next((z[k].reshape(-1).astype(np.int64) for k in LABEL_KEYS if k in z), None)
+                m = z.get("members")
+                if x is None and gt is None and m is None:
+                    raise ValueError(f"{name}: no features, labels or members")
                 n = len(gt) if gt is not None else len(x if x is not None else m)
                 if x is not None and len(x) != n and x.shape[1] == n:
                     x = x.T
@@ -119,6 +167,66 @@ def arrays(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.select("dataset", "obj_id", "features", "gt"), rows.where("clusters IS NOT NULL").select("dataset", "obj_id", F.posexplode("clusters").alias("part_id", "cluster_id"))
 
 
+#: Suffixes of data sets, the preferred one first. Fixed values.
+SUFFIXES = ("npz", "mat", "csv", "tsv", "txt", "json")
+
+
+def load(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame | None]:
+    """Objects and members (None where the format has none) of a file of any of SUFFIXES; another suffix raises."""
+    suffix = path.lower().rpartition(".")[2]
+    if suffix in ("npz", "mat"):
+        return arrays(spark, path)
+    if suffix in ("csv", "tsv", "txt"):
+        return delimited(spark, path), None
+    if suffix == "json":
+        return json_bundle(spark, path)
+    raise ValueError(f"unsupported suffix {suffix!r}")
+
+
+def summary(spark: SparkSession, path: str) -> DataFrame:
+    """One row of a file: objects, features, classes, partitions, and the error (null if there is none) that loading it gave."""
+    shape = "n_objects long, n_features int, n_classes long, n_partitions long, error string"
+    try:
+        objs, members = load(spark, path)
+        x = objs.agg(F.count("*").alias("n_objects"), F.max(F.size("features")).alias("n_features"), F.count_distinct("gt").alias("n_classes")).first()
+        parts = members.agg(F.count_distinct("part_id")).first()[0] if members is not None else 0
+        row = (x.n_objects, x.n_features, x.n_classes, parts, None)
+    except Exception as e:  # a file that cannot be read is a result here
+        row = (None, None, None, None, f"{type(e).__name__}: {e}"[:200])
+    return spark.createDataFrame([(path, *row)], f"path string, {shape}")
+
+
+def discover(spark: SparkSession, folder: str, skip: str = "smoke") -> DataFrame:
+    """(dataset, path, suffix, place): files of SUFFIXES under a folder, at any depth, without those named like ``skip``; place ranks suffixes."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path")
+    name = F.element_at(F.split("path", "/"), -1)
+    suffix = F.lower(F.element_at(F.split(name, r"\."), -1))
+    place = F.array_position(F.array(*map(F.lit, SUFFIXES)), suffix)
+    found = files.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("dataset"), "path", suffix.alias("suffix"), place.cast("int").alias("place"))
+    return found.where(F.col("place") > 0).where(~F.lower("dataset").contains(skip))
+
+
+def resolve(spark: SparkSession, name: str, registry: DataFrame | None, *folders: str) -> str | None:
+    """The path of a data set: the registry's (dataset, path) if it has the name, else the file of the best suffix in the first folder that has one."""
+    if registry is not None and (row := registry.where(F.col("dataset") == name).orderBy("path").first()):
+        return row.path
+    for folder in folders:
+        if row := discover(spark, folder).where(F.col("dataset") == name).orderBy("place", "path").first():
+            return row.path
+    return None
+
+
+def manifest(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV or TSV with a header, all columns as text."""
+    return spark.read.option("header", True).option("sep", "\t" if path.lower().endswith(".tsv") else ",").csv(path)
+
+
+def database(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
+    """A query over a relational database by JDBC; filters on its rows are pushed down. postgres:// URLs are accepted."""
+    url = re.sub(r"^postgres(ql)?://", "jdbc:postgresql://", url)
+    return spark.read.format("jdbc").options(url=url if url.startswith("jdbc:") else f"jdbc:{url}", query=query, **options).load()
+
+
 def results(spark: SparkSession, path: str, numeric: list[str], columns: list[str] | None = None) -> DataFrame:
     """A TSV of results with numbers where they can be read and null elsewhere; a missing path gives no rows of ``columns``."""
     jvm = spark.sparkContext._jvm

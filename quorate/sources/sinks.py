@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorate.operators import ensemble
@@ -30,18 +31,32 @@ def append_tsv(rows: DataFrame, path: str, replace: bool = False) -> None:
     rows.write.mode("overwrite" if replace else "append").option("sep", "\t").option("header", True).option("nullValue", "").csv(path)
 
 
-def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Put new rows into the Parquet table under path by key: a new version is written, then the pointer to it moves."""
+def upsert_table(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """Put new rows into the Parquet table under path by key: a new version is written, then the pointer to it moves.
+
+    With ``order`` the row of the largest value of that column stays for a key, so late old rows change nothing. The
+    pointer is replaced by a rename, so readers see the old version or the new one. One writer at a time.
+    """
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     pointer = jvm.org.apache.hadoop.fs.Path(f"{path}/CURRENT")
     fs = pointer.getFileSystem(conf)
     current = f"{path}/{spark.read.text(f'{path}/CURRENT').first()[0]}" if fs.exists(pointer) else None
-    merged = upsert(spark.read.parquet(current), new, keys) if current else new
+    if current and order:
+        both = spark.read.parquet(current).withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+        first = W.partitionBy(*keys).orderBy(F.desc_nulls_last(order), F.desc("_new"))
+        merged = both.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r", "_new")
+    else:
+        merged = upsert(spark.read.parquet(current), new, keys) if current else new
     version = f"v-{uuid.uuid4().hex}"
     merged.write.parquet(f"{path}/{version}")
-    out = fs.create(pointer, True)
+    written = jvm.org.apache.hadoop.fs.Path(f"{path}/_{version}.pointer")
+    out = fs.create(written, True)
     out.write(bytearray(version.encode()))
     out.close()
+    rename = getattr(jvm.org.apache.hadoop.fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(rename, 1)
+    how[0] = rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), conf).rename(fs.makeQualified(written), fs.makeQualified(pointer), how)
     return read_table(spark, path)
 
 

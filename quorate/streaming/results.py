@@ -1,4 +1,4 @@
-"""A stream of result files into a keyed table: late or repeated files change nothing but their own key."""
+"""A stream of result files into a keyed table: late or repeated files change nothing but their own key, and older rows nothing at all."""
 
 from __future__ import annotations
 
@@ -21,5 +21,5 @@ def latest(rows: DataFrame) -> DataFrame:
 def ingest(spark: SparkSession, source: str, table: str, checkpoint: str) -> StreamingQuery:
     """Read new JSON files under source and put their results into the table, all that is there now."""
     stream = spark.readStream.schema(SCHEMA).json(source)
-    put = lambda batch, _: upsert_table(batch.sparkSession, table, latest(batch), KEYS)
+    put = lambda batch, _: upsert_table(batch.sparkSession, table, latest(batch), KEYS, "created_at")
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

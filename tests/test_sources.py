@@ -64,6 +64,54 @@ def test_stream(spark, tmp_path):
     run = lambda: results.ingest(spark, f"file://{source}", str(tmp_path / "t"), str(tmp_path / "c")).awaitTermination(120)
     run()
     assert [r.nmi for r in sinks.read_table(spark, str(tmp_path / "t")).collect()] == [0.6]
-    put(source / "2.json", json.dumps(row | {"seed": 2}) + "\n" + json.dumps(row | {"nmi": 0.7}))
+    put(source / "2.json", json.dumps(row | {"seed": 2}) + "\n" + json.dumps(row | {"nmi": 0.7, "created_at": "2024-01-03"}) + "\n" + json.dumps(row | {"seed": 2, "nmi": 0.1, "created_at": "2023-01-01"}))
     run()
     assert sorted((r.seed, r.nmi) for r in sinks.read_table(spark, str(tmp_path / "t")).collect()) == [(1, 0.7), (2, 0.5)]
+    put(source / "3.json", json.dumps(row | {"nmi": 0.9, "created_at": "2023-05-05"}))
+    run()
+    assert sorted((r.seed, r.nmi) for r in sinks.read_table(spark, str(tmp_path / "t")).collect()) == [(1, 0.7), (2, 0.5)]
+
+
+def mat(variables):
+    """A MAT file of version 5: every second variable compressed."""
+    import struct
+    import zlib
+
+    pad = lambda b: b + bytes(-len(b) % 8)
+    element = lambda kind, b: struct.pack("<II", kind, len(b)) + pad(b)
+    out = bytes(124) + b"\x00\x01IM"
+    for k, (name, a) in enumerate(variables.items()):
+        kind = {"f8": 9, "i4": 5, "u1": 2}[a.dtype.str[1:]]
+        label = struct.pack("<HH", 1, len(name)) + name.encode().ljust(4, b"\0") if len(name) <= 4 else element(1, name.encode())
+        body = element(6, struct.pack("<II", 6, 0)) + element(5, struct.pack("<ii", *a.shape)) + label + element(kind, a.tobytes(order="F"))
+        whole = element(14, body)
+        packed = zlib.compress(whole)
+        out += struct.pack("<II", 15, len(packed)) + packed if k % 2 else whole
+    return out
+
+
+def test_any_file(spark, tmp_path):
+    x, gt, m = np.arange(12.0).reshape(6, 2), np.array([[0, 1, 1, 0, 2, 2]], dtype=np.int32), np.ones((6, 4), dtype=np.uint8)
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "one.mat").write_bytes(mat({"fea": x, "gt": gt, "members": m}))
+    objs, members = readers.load(spark, str(tmp_path / "deep" / "one.mat"))
+    assert sorted((r.obj_id, *r.features, r.gt) for r in objs.collect()) == [(k, 2.0 * k, 2.0 * k + 1, int(gt[0, k]) + 1) for k in range(6)]
+    assert members.count() == 24
+    np.savez(tmp_path / "one.npz", X=x, gt=gt)
+    put(tmp_path / "two.csv", "a,b,gt\n1,2,0\n3,4,1\n")
+    put(tmp_path / "two.json", json.dumps({"X": [[1.0]], "gt": [0]}))
+    put(tmp_path / "smoke_x.csv", "1,2,0\n")
+    put(tmp_path / "notes.md", "x")
+    found = {(r.dataset, r.suffix) for r in readers.discover(spark, str(tmp_path)).collect()}
+    assert found == {("one", "npz"), ("one", "mat"), ("two", "csv"), ("two", "json")}
+    registry = spark.createDataFrame([("three", "/x/three.csv")], "dataset string, path string")
+    where = lambda n: readers.resolve(spark, n, registry, str(tmp_path))
+    assert where("three") == "/x/three.csv" and where("one").endswith("one.npz") and where("two").endswith("two.csv") and where("no") is None
+    s = readers.summary(spark, str(tmp_path / "deep" / "one.mat")).first()
+    assert (s.n_objects, s.n_features, s.n_classes, s.n_partitions, s.error) == (6, 2, 3, 4, None)
+    assert "suffix" in readers.summary(spark, str(tmp_path / "notes.md")).first().error
+    assert readers.manifest(spark, put(tmp_path / "m.tsv", "dataset\tn\na\t5\n")).first().n == "5"
+    (tmp_path / "parts").mkdir()
+    for k in range(2):
+        put(tmp_path / "parts" / f"{k}.csv", f"a,b,gt\n{k},2,0\n3,4,1\n")
+    assert readers.delimited(spark, str(tmp_path / "parts"), ",").count() == 4
