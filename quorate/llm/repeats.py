@@ -136,7 +136,7 @@ def repeated_pairs(hashes: list[np.ndarray], extras: list[bytes]) -> list[np.nda
     return [np.packbits(p | t["multiple"]) for p, t in zip(parts, told, strict=True)]
 
 
-def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, passes: int = 4) -> DataFrame:
+def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 200, passes: int = 5) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and the removed spans (starts, ends; byte offsets) of each document.
 
     Removes every byte that a string of ``length`` bytes covers which also starts elsewhere, in any document; strings
