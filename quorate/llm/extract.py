@@ -181,8 +181,9 @@ def classes(pages: DataFrame) -> DataFrame:
     once = F.sum(F.when(F.col("n") == 1, F.col("weight")).otherwise(0.0)).alias("once")
     vector = [F.sum(v).alias(v) for v in ("v1", "v2")]
     vectors = tokens(pages, sent).groupBy("host", "path", "text").agg(F.sum("weight").alias("pages"), once, F.max("words").alias("words"), *(F.sum(F.col(c) * F.col("weight")).alias(c) for c in ("chars", "links")), *vector)
-    # sums of weights come in any order
-    common = vectors.join(of, "host").where(F.col("pages") >= F.lit(COMMON_SHARE) * F.col("of") - 1e-6)
+    # sums of weights come in any order; strings of a single content, most of a large host, need not meet its size
+    several = vectors.where(F.col("pages") >= COMMON_SHARE * CLASS_CONTENTS - 1e-6)
+    common = several.join(of, "host").where(F.col("pages") >= F.lit(COMMON_SHARE) * F.col("of") - 1e-6)
     return common.withColumn("size", F.count("*").over(W.partitionBy("host", "v1", "v2"))).where(F.col("size") >= CLASS_TOKENS)
 
 
