@@ -133,7 +133,7 @@ def consensus(members: DataFrame, plan: DataFrame, k: int, algorithm: str = "hie
     matrix depends on the ids alone); max_n bounds the points of a run. Unknown names raise KeyError. ``fuzzy`` are the
     weights (part_id, cluster_id, weight) of features.fuzzy_partition_weights for 'guided_diffusion'.
     """
-    build = ALGORITHMS[algorithm]
+    build, with_fuzzy = ALGORITHMS[algorithm], fuzzy is not None
     if method not in METHODS:
         raise ValueError(f"unknown linkage {method!r}")
 
@@ -145,7 +145,7 @@ def consensus(members: DataFrame, plan: DataFrame, k: int, algorithm: str = "hie
         if len(x) > max_n:
             raise ValueError(f"{len(x)} points in a run; max_n is {max_n}")
         more = {}
-        if fuzzy is not None:
+        if with_fuzzy:
             known = dict(zip(zip(pdf["part_id"], pdf["cluster_id"], strict=True), pdf["weight"], strict=True))
             more["fuzzy"] = [known[p, c] for p in wide.columns for c in np.unique(wide[p])]
         labels = kernels.consensus_labels(build(x, params | more), k, method, n)

@@ -239,3 +239,11 @@ def test_diagnostics(spark):
     assert h is None or h == 1.0  # the probes' box is one wide, the objects are alike
     advice = rc.rules(ft.diagnostics(objs).withColumn("dataset", F.lit("x"))).first()
     assert advice.k_min == 2 and advice.m >= 20
+
+
+def test_diffusion_with_fuzzy_weights(spark, sf):
+    from quorate.plans import registry
+
+    rows = registry.QUERIES["guided_diffusion_fuzzy_labels"](spark, sf).collect()
+    objects = {r.vec_id for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    assert {r.run_id for r in rows} == {0, 1} and all({r.obj_id for r in rows if r.run_id == k} == objects for k in (0, 1))
