@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -20,10 +20,26 @@ from quorate.operators import contingency as ct
 
 METHODS = ("average", "complete", "single", "ward")
 
+#: Ways of preparing features: what is taken off each one, and what it is then divided by.
+PREPARED: dict[str, Callable[[np.ndarray], tuple]] = {"zscore": lambda x: (x.mean(0), x.std(0)), "minmax": lambda x: (x.min(0), np.ptp(x, axis=0)), "none": lambda x: (0.0, np.ones(x.shape[1]))}
 
-def base_partitions(objs: DataFrame, n_partitions: int = 30, k_min: int = 2, k_max: int = 8, strategy: str = "mixed", seed: int = 19, noise: float = 0.01, subsets: bool = True, max_hierarchical: int = 2500, max_n: int = 20_000) -> DataFrame:
+
+def feature_subset(d: int, rng: np.random.Generator) -> np.ndarray:
+    """A random half or more of d features; all of them if there are two at most."""
+    return np.sort(rng.choice(d, rng.integers(max(2, -(-d // 2)), d + 1), replace=False)) if d > 2 else np.arange(d)
+
+
+def partition_features(spark: SparkSession, d: int, n_partitions: int = 30, seed: int = 19) -> DataFrame:
+    """(part_id, features): which of the d features, from 0, each partition of base_partitions with that seed uses."""
+    drawn = [(j, feature_subset(d, np.random.default_rng([seed, j])).tolist()) for j in range(n_partitions)]
+    return spark.createDataFrame(drawn, "part_id int, features array<int>")
+
+
+def base_partitions(objs: DataFrame, n_partitions: int = 30, k_min: int = 2, k_max: int = 8, strategy: str = "mixed", seed: int = 19, noise: float = 0.01, subsets: bool = True, max_hierarchical: int = 2500, max_n: int = 20_000, preprocessing: str = "zscore") -> DataFrame:
     """(obj_id, part_id, cluster_id, algorithm, linkage, k): a pool of base partitions of objs(obj_id, features).
 
+    Features are prepared by one of PREPARED first; ``partition_features`` tells which of them a partition uses.
+
     Partition j uses a random half or more of the features (if there are more than two), jitter of noise * (1 + j % 3)
     and k in [k_min, k_max]; odd j of 'mixed' and all j of 'hierarchical' are hierarchical up to max_hierarchical
     objects, with linkage METHODS[j % 4]; the others are k-means. Each partition has a generator of its own, so they
@@ -31,6 +47,8 @@ def base_partitions(objs: DataFrame, n_partitions: int = 30, k_min: int = 2, k_m
     """
     if strategy not in ("mixed", "kmeans", "hierarchical"):
         raise ValueError(f"unknown strategy {strategy!r}")
+    if preprocessing not in PREPARED:
+        raise ValueError(f"unknown preprocessing {preprocessing!r}")
     if n_partitions < 1 or k_min < 1 or k_max < k_min:
         raise ValueError("n_partitions >= 1 and 1 <= k_min <= k_max are needed")
 
@@ -41,12 +59,10 @@ def base_partitions(objs: DataFrame, n_partitions: int = 30, k_min: int = 2, k_m
             raise ValueError(f"{len(x)} objects; max_n is {max_n}")
         if not np.isfinite(x).all():
             raise ValueError("features must be finite")
-        sd = x.std(0)
-        x = (x - x.mean(0)) / np.where(sd > 0, sd, 1)
+        shift, scale = PREPARED[preprocessing](x)
+        x = (x - shift) / np.where(scale > 0, scale, 1)
         rng = np.random.default_rng([seed, j])
-        if subsets and x.shape[1] > 2:
-            d = x.shape[1]
-            x = x[:, np.sort(rng.choice(d, rng.integers(max(2, -(-d // 2)), d + 1), replace=False))]
+        x = x[:, feature_subset(x.shape[1], rng)] if subsets else x
         x = x + rng.normal(0, noise * (1 + j % 3), x.shape)
         low = max(2, k_min)
         k = int(rng.integers(low, min(max(low, k_max), len(x)) + 1)) if len(x) > low else low

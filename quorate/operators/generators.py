@@ -181,3 +181,71 @@ def separated(spark: SparkSession, n: int = 300, k: int = 3, d: int = 2, separat
     spread = np.sqrt(np.mean([np.trace(c) / d for c in covariances])) * 4 + centers.std()
     plan += [{"label": k + 1, "size": 1, "center": wide(centers.mean(0) @ turn + rng.uniform(-spread, spread, d)), "axes": np.zeros((d + noise_features, d + noise_features))} for _ in range(n_out)]
     return draw(spark, plan, seed)
+
+
+#: Spread of clusters and distance of their centres by difficulty, for all scenarios and for 'overlap'. Fixed values.
+SPREAD = {"easy": (0.4, 5.0), "medium": (0.7, 3.5), "hard": (1.1, 2.0)}
+SPREAD_OVERLAP = {"easy": (1.0, 2.5), "medium": (1.5, 1.8), "hard": (2.2, 1.2)}
+
+#: What else a scenario sets by difficulty. Fixed values.
+ASPECT = {"easy": 3.0, "medium": 7.0, "hard": 14.0}
+IMBALANCE = {"easy": 3.0, "medium": 6.0, "hard": 12.0}
+NOISE = {"easy": 0.05, "medium": 0.1, "hard": 0.2}
+BRANCH = {"easy": 0.02, "medium": 0.06, "hard": 0.12}
+
+SCENARIOS = ("compact", "overlap", "elongated", "density", "highdim", "imbalance")
+
+
+def scenario(spark: SparkSession, name: str, n: int = 300, k: int = 3, d: int = 2, difficulty: str = "medium", seed: int = 19) -> DataFrame:
+    """(obj_id, features, gt) of one of SCENARIOS at one of three difficulties."""
+    if name not in SCENARIOS or difficulty not in SPREAD:
+        raise ValueError(f"unknown scenario {name!r} or difficulty {difficulty!r}")
+    std, gap = (SPREAD_OVERLAP if name == "overlap" else SPREAD)[difficulty]
+    if name == "elongated":
+        return archetype(spark, n, k, d, aspect=ASPECT[difficulty], aspect_ratio=2.0, imbalance=1.0, seed=seed)
+    if name == "density":
+        return density(spark, n, k, d, noise=NOISE[difficulty], branch=BRANCH[difficulty], seed=seed)
+    return gaussian(spark, n, k, max(d, 20) if name == "highdim" else d, std, gap, IMBALANCE[difficulty] if name == "imbalance" else 1.0, seed)
+
+
+#: Types of a suite's data sets: generator, choices of dimensions, ranges of its parameters. Fixed values.
+SUITE = {
+    "compact": ("gaussian", (2, 3, 5), {"std": (0.18, 0.35), "separation": (5.5, 8.0), "ratio": (1.0, 1.4)}),
+    "overlapping": ("gaussian", (2, 3, 5, 10), {"std": (0.65, 1.15), "separation": (1.8, 3.0), "ratio": (1.0, 1.8)}),
+    "imbalanced": ("gaussian", (2, 5, 10), {"std": (0.35, 0.75), "separation": (3.2, 5.5), "ratio": (3.0, 8.0)}),
+    "high_dimensional": ("gaussian", (10, 20, 50, 100), {"std": (0.45, 0.95), "separation": (2.4, 4.8), "ratio": (1.0, 2.5)}),
+    "elongated": ("archetype", (2, 3, 5, 10), {"aspect": (4.5, 7.0), "aspect_ratio": (4.0, 8.0), "radius_ratio": (1.5, 3.0), "min_overlap": (0.02, 0.08), "max_overlap": (0.12, 0.28), "imbalance": (1.5, 3.5)}),
+    "density_varied": ("density", (2, 3, 5), {"noise": (0.04, 0.14), "momentum": (0.0, 0.45), "branch": (0.0, 0.08)}),
+    "mixed_complex": ("archetype", (10, 20, 50), {"aspect": (4.5, 7.0), "aspect_ratio": (4.0, 8.0), "radius_ratio": (2.0, 4.0), "min_overlap": (0.04, 0.12), "max_overlap": (0.18, 0.35), "imbalance": (3.0, 7.0)}),
+}
+
+
+def suite_plan(spark: SparkSession, count: int, seed: int = 19, folds: int = 5, n: tuple[int, int] = (300, 600), k: tuple[int, int] = (3, 7), max_guided: int = 650) -> DataFrame:
+    """The manifest of ``count`` data sets, the types in turn: one row each, with its parameters as JSON, its split and its fold."""
+    import json
+
+    from quorate.operators.reports import stratified_split
+
+    rng, rows = np.random.default_rng(seed), []
+    for i in range(count):
+        kind = list(SUITE)[i % len(SUITE)]
+        generator, dims, ranges = SUITE[kind]
+        params = {p: round(float(rng.uniform(low, high)), 6) for p, (low, high) in ranges.items()}
+        size = int(rng.integers(n[0], n[1] + 1))
+        rows.append((f"{kind}_{i // len(SUITE):03d}", kind, generator, size, int(rng.integers(k[0], k[1] + 1)), int(rng.choice(dims)), seed + 1009 * i + 17, size <= max_guided, json.dumps(params, sort_keys=True)))
+    plan = spark.createDataFrame(rows, "dataset string, type string, generator string, n int, k int, d int, seed int, allow_guided boolean, params string")
+    return plan.join(stratified_split(plan, "dataset", "type", folds).drop("type"), "dataset")
+
+
+def suite(spark: SparkSession, plan: DataFrame) -> DataFrame:
+    """(dataset, obj_id, features, gt) of every row of a manifest; a data set is planned on the driver and drawn in tasks."""
+    import json
+
+    make, out = {"gaussian": gaussian, "archetype": archetype, "density": density}, None
+    for r in plan.orderBy("dataset").collect():  # a manifest's rows, not data
+        one = make[r["generator"]](spark, n=r["n"], k=r["k"], d=r["d"], seed=r["seed"], **json.loads(r["params"]))
+        one = one.select(F.lit(r["dataset"]).alias("dataset"), "obj_id", "features", "gt")
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("the manifest has no rows")
+    return out

@@ -635,3 +635,6 @@ def pca_profile(spark, sf):
 @query("cluster_shape")
 def cluster_shape(spark, sf):
     return rounded(en.class_shapes(vw.objects(spark, sf)))
+
+
+from quorate.plans import comparisons  # noqa: E402, F401  registers more queries with the decorator above

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorate.operators import ensemble
+from quorate.operators.comparisons import json_rows
 from quorate.operators.reports import upsert
 
 
@@ -67,3 +68,38 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 def without_ghosts(registry: DataFrame, existing: DataFrame, key: str = "path") -> DataFrame:
     """Registry rows whose file is still among ``existing``."""
     return registry.join(existing.select(F.col(key)).distinct(), key, "left_semi")
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """One JSON object a row, in place of what the folder held; NaN and infinite numbers become null."""
+    json_rows(rows).write.mode("overwrite").text(path)
+
+
+def write_profile(candidates: DataFrame, best: DataFrame, path: str, metric: str) -> None:
+    """The chosen profile as JSON under path/profile and all candidates as TSV under path/candidates."""
+    write_json(best.select("*", F.lit(metric).alias("selection_metric"), F.lit("validation").alias("selected_on")), f"{path}/profile")
+    append_tsv(candidates, f"{path}/candidates", replace=True)
+
+
+def markdown(rows: DataFrame, title: str, digits: int = 3, max_rows: int = 1000) -> str:
+    """A titled Markdown table of at most ``max_rows`` rows, which is checked: reports are short."""
+    found = rows.limit(max_rows + 1).collect()
+    if len(found) > max_rows:
+        raise ValueError(f"more than {max_rows} rows")
+    show = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v).replace("|", "\\|")
+    lines = [f"## {title}", "", "| " + " | ".join(rows.columns) + " |", "|" + "---|" * len(rows.columns)]
+    return "\n".join([*lines, *("| " + " | ".join(map(show, r)) + " |" for r in found)]) + "\n"
+
+
+def write_markdown(tables: dict[str, DataFrame], path: str) -> None:
+    """A report of titled tables as one text under path, in place of what it held."""
+    spark = next(iter(tables.values())).sparkSession
+    text = "\n".join(markdown(rows, title) for title, rows in tables.items())
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def snapshot(spark: SparkSession, path: str, name: str) -> str:
+    """The version of the table under path that is current, registered as the view ``name``; later versions do not change it."""
+    version = spark.read.text(f"{path}/CURRENT").first()[0]
+    spark.read.parquet(f"{path}/{version}").createOrReplaceTempView(name)
+    return version
