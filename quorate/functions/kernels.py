@@ -55,6 +55,22 @@ def linkage(dist: np.ndarray, method: str = "average", sizes: np.ndarray | None
     return out
 
 
+def spectral(dist: np.ndarray, k: int, rng: np.random.Generator, neighbours: int = 10) -> np.ndarray:
+    """Labels from 1: k-means of the k lowest eigenvectors of the normalised Laplacian of the symmetric neighbour graph.
+
+    A point is one of its own neighbours; rows of the eigenvectors are divided by the root of their degree.
+    """
+    n = len(dist)
+    near = np.argsort(dist, axis=1, kind="stable")[:, : min(neighbours, max(2, n - 1))]
+    graph = np.zeros((n, n))
+    graph[np.arange(n)[:, None], near] = 1
+    graph = (graph + graph.T) / 2
+    np.fill_diagonal(graph, 0)
+    root = np.sqrt(np.maximum(graph.sum(1), 1e-12))
+    vectors = np.linalg.eigh(np.eye(n) - graph / np.outer(root, root))[1][:, :k] / root[:, None]
+    return min((kmeans(vectors, k, rng) for _ in range(10)), key=lambda r: r[1])[0] + 1
+
+
 def cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
     """Labels from 1, in order of first members, at the smallest height that leaves k clusters or fewer."""
     root = np.arange(n)

@@ -16,7 +16,7 @@ from quorate.operators import contingency as ct
 from quorate.operators import ensemble as en
 
 #: Algorithms of one clustering of the features, and the linkage that the hierarchical ones use.
-SINGLE = {"kmeans": None, **{f"agglomerative_{m}": m for m in ("average", "complete", "single", "ward")}}
+SINGLE = {"kmeans": None, "spectral": None, **{f"agglomerative_{m}": m for m in ("average", "complete", "single", "ward")}}
 
 #: Variants of an ablation: name -> algorithm and parameters.
 VARIANTS = {
@@ -30,11 +30,15 @@ VARIANTS = {
 LABELS = "job_id int, run_id int, obj_id long, label int, seconds double, error string"
 
 
-def plan_jobs(n: int, seeds: list[int], sizes: list[int], linkages: list[str], strategies: list[str], alphas: list[float], runs: int = 2, algorithms: list[str] | None = None, max_guided: int = 650) -> list[dict]:
-    """The jobs of one data set of n objects; guided algorithms are left out beyond ``max_guided`` objects, alpha is for 'qd' alone."""
+def plan_jobs(n: int, seeds: list[int], sizes: list[int], linkages: list[str], strategies: list[str], alphas: list[float], runs: int = 2, algorithms: list[str] | None = None, max_guided: int = 650, max_spectral: int = 900) -> list[dict]:
+    """The jobs of one data set of n objects; guided algorithms are left out beyond ``max_guided`` objects, 'spectral' beyond
+    ``max_spectral``; alpha is for 'qd' alone. Algorithms go by their names in ensemble.ALGORITHMS or ensemble.ALIASES.
+    """
     jobs: list[dict] = []
     for seed in seeds:
-        for name in algorithms or [*SINGLE, *en.ALGORITHMS]:
+        for name in map(en.canonical, algorithms or [*SINGLE, *en.ALGORITHMS]):
+            if name == "spectral" and n > max_spectral:
+                continue
             if name not in SINGLE and name not in en.ALGORITHMS:
                 raise ValueError(f"unknown algorithm {name!r}")
             if name in SINGLE:
@@ -66,6 +70,10 @@ def single_labels(objs: DataFrame, jobs: list[dict], k: int, starts: int = 10, m
         method = SINGLE[job["algorithm"]]
 
         def labels() -> np.ndarray:
+            if job["algorithm"] == "spectral":
+                if len(x) > max_n:
+                    raise ValueError(f"{len(x)} objects; max_n is {max_n}")
+                return kernels.spectral(kernels.pairwise(x), k, np.random.default_rng(job["seed"]))
             if method is None:
                 return min((kernels.kmeans(x, k, np.random.default_rng([job["seed"], s])) for s in range(starts)), key=lambda r: r[1])[0] + 1
             if len(x) > max_n:

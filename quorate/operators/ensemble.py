@@ -141,6 +141,23 @@ def guided_diffusion(members: np.ndarray, params: dict) -> np.ndarray:
 #: name -> function of (objects by partitions, parameters) to a similarity matrix. Add to it to extend the library.
 ALGORITHMS: dict[str, Callable[[np.ndarray, dict], np.ndarray]] = {"hierarchical": plain, "weighted": weighted, "guided": guided, "guided_diffusion": guided_diffusion}
 
+#: Names of the algorithms in result tables of others. Fixed values.
+ALIASES = {"hierarchical_baseline": "hierarchical", "hierarchical_weighted": "weighted", "sdgca": "guided", "sdgca_modified": "guided_diffusion"}
+
+#: The parameters that each algorithm looks at.
+PARAMETERS = {"hierarchical": (), "weighted": ("sharpen",), "guided": ("lam", "eta", "theta"), "guided_diffusion": ("eta", "theta", "time")}
+
+
+def canonical(name: str) -> str:
+    """The name in ALGORITHMS of a name or alias; other names stay as they are."""
+    return ALIASES.get(name, name)
+
+
+def ignored_params(algorithm: str, params: dict) -> list[str]:
+    """The names of the given parameters that the algorithm does not look at; none for algorithms that PARAMETERS does not list."""
+    known = PARAMETERS.get(canonical(algorithm))
+    return [] if known is None else sorted(set(params) - set(known))
+
 
 def consensus(members: DataFrame, plan: DataFrame, k: int, algorithm: str = "hierarchical", method: str = "average", max_n: int = 3000, fuzzy: DataFrame | None = None, **params) -> DataFrame:
     """(run_id, obj_id, label): the consensus partition of every run of the plan.
@@ -149,6 +166,7 @@ def consensus(members: DataFrame, plan: DataFrame, k: int, algorithm: str = "hie
     matrix depends on the ids alone); max_n bounds the points of a run. Unknown names raise KeyError. ``fuzzy`` are the
     weights (part_id, cluster_id, weight) of features.fuzzy_partition_weights for 'guided_diffusion'.
     """
+    algorithm = canonical(algorithm)
     build, with_fuzzy = ALGORITHMS[algorithm], fuzzy is not None
     if method not in METHODS:
         raise ValueError(f"unknown linkage {method!r}")
@@ -172,8 +190,10 @@ def consensus(members: DataFrame, plan: DataFrame, k: int, algorithm: str = "hie
     return rows.groupBy("run_id").applyInPandas(solve, "run_id int, obj_id long, label int")
 
 
-def run_consensus(members: DataFrame, labels: DataFrame, algorithm: str = "hierarchical", method: str = "average", m: int = 40, runs: int = 20, seed: int = 19, selection: str = "random", alpha: float = 0.5, **params) -> DataFrame:
-    """One row: means and population deviations of NMI, ARI and F over the runs, and how many there were.
+def run_consensus(members: DataFrame, labels: DataFrame, algorithm: str = "hierarchical", method: str = "average", m: int = 40, runs: int = 20, seed: int = 19, selection: str = "random", alpha: float = 0.5, per_run: bool = False, **params) -> DataFrame:
+    """One row: means and population deviations of NMI, ARI and F over the runs, how many there were, and ignored parameters.
+
+    With ``per_run`` also the values of the runs in their order, as arrays nmi_runs, ari_runs and f_runs.
 
     k is the number of classes in labels(obj_id, gt), which are used for nothing else but the scores.
     """
@@ -183,7 +203,10 @@ def run_consensus(members: DataFrame, labels: DataFrame, algorithm: str = "hiera
     plan = diverse_plan(members, m, runs, alpha) if selection == "qd" else random_plan(members, m, runs, seed)
     scored = ct.agreement(consensus(members, plan, k, algorithm, method, **params).join(labels, "obj_id"), ["run_id"], "label", "gt")
     stats = [f(c).alias(f"{c}_{n}") for c in ("nmi", "ari", "f") for n, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    return scored.agg(*stats, F.count("*").alias("runs")).select(F.lit(algorithm).alias("algorithm"), F.lit(method).alias("method"), "*")
+    if per_run:
+        stats += [F.expr(f"transform(array_sort(collect_list(struct(run_id, {c}))), r -> r.{c})").alias(f"{c}_runs") for c in ("nmi", "ari", "f")]
+    ignored = F.lit(",".join(ignored_params(algorithm, params))).alias("ignored_params")
+    return scored.agg(*stats, F.count("*").alias("runs")).select(F.lit(algorithm).alias("algorithm"), F.lit(method).alias("method"), "*", ignored)
 
 
 def single_clusterers(objs: DataFrame, k: int, seed: int = 19, starts: int = 10, max_n: int = 3000) -> DataFrame:

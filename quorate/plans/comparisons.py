@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quorate.operators import benchmark as bm
+from quorate.operators import clustering as cl
 from quorate.operators import comparisons as cp
 from quorate.operators import features as ft
 from quorate.operators import reports as rp
@@ -225,3 +226,13 @@ def ablation(spark, sf):
 @query("ensemble_preprocessing")
 def ensemble_preprocessing(spark, sf):
     return rounded(bm.preprocessing_scores(vw.objects(spark, sf)))
+
+
+@query("distributed_kmeans")
+def distributed_kmeans(spark, sf):
+    return cl.kmeans(vw.objects(spark, sf), 10)
+
+
+@query("distributed_ensemble")
+def distributed_ensemble(spark, sf):
+    return cl.distributed_partitions(vw.objects(spark, sf), 8)

@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quorate.functions import kernels
 from quorate.operators import benchmark as bm
+from quorate.operators import clustering as cl
 from quorate.operators import comparisons as cp
+from quorate.operators import contingency as ct
 from quorate.operators import ensemble as en
 from quorate.operators import generators as gn
 from quorate.sources import sinks
@@ -121,3 +124,31 @@ def test_report_writers(spark, tmp_path):
     sinks.snapshot(spark, str(tmp_path / "t"), "latest_rows")
     sinks.upsert_table(spark, str(tmp_path / "t"), rows.withColumn("n", F.lit(7)), ["name"])
     assert spark.table("latest_rows").where("n = 7").count() == 0
+
+
+def test_kmeans_without_a_bound(spark):
+    objs = blobs(spark, 90)
+    found = cl.kmeans(objs, 3)
+    assert ct.agreement(found.join(objs, "obj_id"), [], "label", "gt").first()["nmi"] > 0.99
+    members = cl.distributed_partitions(objs, 3)
+    assert {(r["part_id"], r["n"]) for r in members.groupBy("part_id").agg(F.count("*").alias("n")).collect()} == {(0, 90), (1, 90), (2, 90)}
+    assert cl.scales(objs, "none") == ([0.0] * 3, [1.0] * 3)
+    with pytest.raises(ValueError):
+        cl.distributed_partitions(objs, preprocessing="other")
+
+
+def test_spectral_follows_rings(spark):
+    rng = np.random.default_rng(5)
+    angle = rng.uniform(0, 2 * np.pi, 120)
+    x = np.c_[np.cos(angle), np.sin(angle)] * np.repeat([1.0, 6.0], [40, 80])[:, None]
+    labels = kernels.spectral(kernels.pairwise(x), 2, rng)
+    assert len(set(labels[:40])) == 1 and len(set(labels[40:])) == 1 and labels[0] != labels[-1]
+    assert not any(j["algorithm"] == "spectral" for j in bm.plan_jobs(901, [1], [4], ["ward"], ["random"], []))
+
+
+def test_names_and_ignored_parameters(spark):
+    objs = blobs(spark)
+    members = en.base_partitions(objs, 4)
+    row = en.run_consensus(members, objs.select("obj_id", "gt"), "hierarchical_weighted", m=3, runs=2, per_run=True, sharpen=1.5, eta=0.5).first()
+    assert row["ignored_params"] == "eta" and len(row["nmi_runs"]) == 2 and abs(sum(row["nmi_runs"]) / 2 - row["nmi_mean"]) < 1e-9
+    assert en.ignored_params("own", {"x": 1}) == [] and en.canonical("sdgca_modified") == "guided_diffusion"
