@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorate.llm import decontaminate, extract, langid, lm, media, minhash, packing, pii, repeats, sharding
+from quorate.llm import centroids, decontaminate, extract, langid, lm, media, minhash, oracles, packing, pii, repeats, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,9 +55,13 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove(_table(spark, sf_dir, "documents")).drop("starts", "ends")
 
 
+def op11_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(_table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_media, op3_pii, op4_decontaminate, op5_minhash, op6_language, op7_sharding, op8_lm, op9_extract, op10_repeats, pipeline)}
-ORACLE: dict[str, str] = {"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_media, op3_pii, op4_decontaminate, op5_minhash, op6_language, op7_sharding, op8_lm, op9_extract, op10_repeats, op11_clustering, pipeline)}
+ORACLE: dict[str, str] = {"op11_clustering": oracles.clustering()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
