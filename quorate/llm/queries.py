@@ -6,7 +6,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quorate.llm import centroids, decontaminate, extract, langid, lm, media, minhash, oracles, packing, pii, repeats, sharding, trie
+from quorate.llm import centroids, decontaminate, extract, langid, lm, media, minhash, oracles, packing, pii, repeats, sharding, simhash, trie
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,9 +63,13 @@ def op12_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(_table(spark, sf_dir, "conversations"), fork=True)
 
 
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.document_fingerprints(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_packing, op2_media, op3_pii, op4_decontaminate, op5_minhash, op6_language, op7_sharding, op8_lm, op9_extract, op10_repeats, op11_clustering, op12_trie, pipeline)}
+QUERIES = {f.__name__: f for f in (op1_packing, op2_media, op3_pii, op4_decontaminate, op5_minhash, op6_language, op7_sharding, op8_lm, op9_extract, op10_repeats, op11_clustering, op12_trie, op13_fingerprints, pipeline)}
 ORACLE: dict[str, str] = {"op11_clustering": oracles.clustering(), "op12_trie": oracles.prefix_trie()} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
