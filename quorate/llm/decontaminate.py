@@ -6,6 +6,9 @@ benchmark. An item counts as found in a document if one occurrence covers enough
 of the joined windows nearest to one alignment (document position minus item position), so that words put in or left out
 do not end it; windows whose slots are filled inconsistently in it (one value of the item for two of the document, or
 the other way round) are left out. Other occurrences in the same document have no say in it.
+
+Placeholders alone say nothing: a window without a literal word is joined with its values, so that a list of numbers is
+found by its numbers and not by being one.
 """
 
 from __future__ import annotations
@@ -26,8 +29,9 @@ from quorate.llm.common import free_name, mix64, worker_state
 #: Template tokens in a window; share of an item's tokens that joined windows must cover.
 WINDOW, SIMILARITY = 5, 0.75
 #: Up to so many benchmark windows their hashes are sent to all tasks (8 bytes each) to thin out the documents' windows
-#: before the join; beyond it all windows are shuffled. Both ways give the same rows.
-SENT_WINDOWS = 1 << 20
+#: before the join; beyond it all windows are shuffled. Both ways give the same rows. So do windows whose slots have more
+#: bytes in all than are sent.
+SENT_WINDOWS, SENT_BYTES = 1 << 20, 64 << 20
 
 WORD = re.compile(r"\d+(?:[.,:]\d+)*|[^\W\d_]+|[%€$£°]|[.!?\n]")
 #: Units of measure, time and money that stand after a number.
@@ -98,6 +102,18 @@ def windows(tokens: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return out
 
 
+def valued(found: np.ndarray, width: int, slots: dict[int, str]) -> np.ndarray:
+    """The windows' hashes, where those of nothing but slots are hashes of their values."""
+    if len(slots) < width or not len(found):
+        return found
+    flags = np.zeros(len(found) + width, dtype=np.int64)
+    flags[np.fromiter(slots, dtype=np.int64, count=len(slots)) + 1] = 1
+    upto = np.cumsum(flags)
+    for at in np.flatnonzero(upto[width:] - upto[:-width] == width).tolist():
+        found[at] = xxhash.xxh3_64_intdigest("\0".join(slots[k] for k in range(at, at + width)))
+    return found
+
+
 def template_windows(rows: DataFrame, keys: list[str], size: int = WINDOW, among: np.ndarray | None = None, short: tuple[int, ...] = ()) -> DataFrame:
     """rows(keys..., text) -> (keys..., n_tokens, at, window, slots): the windows of each text, only those in ``among`` if given.
 
@@ -110,7 +126,7 @@ def template_windows(rows: DataFrame, keys: list[str], size: int = WINDOW, among
             for values in zip(*[pdf[k] for k in keys], pdf["text"], strict=True):
                 tokens, slots = canonical(values[-1] or "")
                 for width in (min(size, len(tokens)), *(w for w in short if w < min(size, len(tokens)))):
-                    found = windows(tokens, width)
+                    found = valued(windows(tokens, width), width, slots)
                     keep = range(len(found)) if among is None else np.flatnonzero(among[np.minimum(np.searchsorted(among, found), max(0, len(among) - 1))] == found) if len(among) and len(found) else []
                     for at in keep:
                         at = int(at)
@@ -172,8 +188,6 @@ def best_occurrence(hits: Iterable[tuple[int, int, list[str], list[str]]], n_tok
                 continue
             filled = {f for hit in chosen.items() for f in fills[hit]}
             kept = consistent(filled)
-            if n_tokens < size and len({k for k, _, _ in filled}) == n_tokens:  # nothing but slots: all numbers are alike
-                kept = {(own, other) for own, other in kept if own == other}
             n = covered(i for i, at in chosen.items() if all((own, other) in kept for _, own, other in fills[i, at]))
             best = max(best, (n, len({(own, other) for _, own, other in filled})))
         if best[0] == most:
@@ -185,11 +199,11 @@ def found_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     """(k1, k2, item_id, coverage, n_slots): which texts, by text_keys, hold which items.
 
     Items and texts without tokens match nothing. Repeated items count each; repeated windows count once. Items with
-    fewer tokens than a window are found inside texts too; those made of slots alone only with their own values.
+    fewer tokens than a window are found inside texts too. Windows of slots alone are found by their values.
     """
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text_col).alias("text"))
     known = template_windows(items, ["item_id"], size)
-    n = known.count()
+    n, slot_bytes = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length(F.concat_ws("", "slots"))), F.lit(0))).first()
     among = None
     if n <= SENT_WINDOWS:
         among = np.array(sorted({r.window for r in known.select("window").distinct().collect()}), dtype=np.int64).view(np.uint64)
@@ -197,7 +211,7 @@ def found_items(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", i
     short = tuple(r.n_tokens for r in known.where(F.col("n_tokens") < size).select("n_tokens").distinct().collect())
     known = known.select("item_id", "window", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("n_tokens").alias("item_tokens"))
     hits = template_windows(docs.select(*text_keys(text_col), F.col(text_col).alias("text")), ["k1", "k2"], size, among, short)
-    joined = hits.join(F.broadcast(known) if n <= SENT_WINDOWS else known, "window")
+    joined = hits.join(F.broadcast(known) if n <= SENT_WINDOWS and slot_bytes <= SENT_BYTES else known, "window")
     per = joined.groupBy("k1", "k2", "item_id").agg(F.max("item_tokens").alias("item_tokens"), F.collect_set(F.struct("item_at", "at", "item_slots", "slots")).alias("hits"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -9,7 +9,9 @@ Tokens of a host with equal vectors form a class. A class is valid if nearly all
 or more; a page that deviates splits a class in two, and both stay valid. The valid classes nest by the paths of
 their elements. This template is walked from the root: from each element that all contents have once to the one below it
 that holds at least half of the host's free text, down to the last one. That is the slot of the main text; an article
-or main element on the way ends the walk. Strings of valid classes are constants of the template. The slot of each
+or main element on the way ends the walk. Free text is what strings of valid classes are not, as all contents have those.
+Containers without a class are told apart by their places among equal siblings. Strings of valid classes that enough
+contents have are constants of the template. The slot of each
 page is then read out, without constants and without the elements that hold no article text by their names.
 """
 
@@ -56,13 +58,16 @@ SENT_BYTES, SALTS = 64 << 20, 32
 #: Elements whose opening ends an open element of the same group.
 CLOSES = {t: frozenset({"p"}) for t in "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul figure".split()}
 CLOSES |= {"li": frozenset({"li", "p"}), "dt": frozenset({"dt", "dd", "p"}), "dd": frozenset({"dt", "dd", "p"}), "tr": frozenset({"tr", "td", "th"}), "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"})}
+#: Elements that are told apart by their place where they have no class.
+CONTAINERS = frozenset("div section table tr td center fieldset span".split())
 #: An end tag inside one of these does not reach out of it.
 SCOPE = frozenset("table td th article main section aside nav footer div body html".split())
 
 
 def blocks(page: str) -> Iterator[tuple[str, bool, str, int, bool]]:
     """What a page holds, in order: (path, is_block, text, link characters, apart): its element openings and text blocks."""
-    stack: list[tuple[str, str, bool]] = []  # tag, path, inside something apart
+    stack: list[tuple[str, str, bool, dict[str, int]]] = []  # tag, path, inside something apart, how many of each name below
+    top: dict[str, int] = {}
     words: list[str] = []
     linked, in_link = 0, False
 
@@ -104,14 +109,17 @@ def blocks(page: str) -> Iterator[tuple[str, bool, str, int, bool]]:
         if tag in VOID:
             continue
         marks = {k.lower(): " ".join((a or b or c).split()) for k, a, b, c in NAMED.findall(m[4])} if m[4] else {}
-        above = stack[-1] if stack else ("", "", False)
+        above = stack[-1] if stack else ("", "", False, top)
         role = marks.get("role", "")
         main = tag in ("article", "main") or role == "main"
         apart = above[2] or tag in APART or role in ("navigation", "banner", "contentinfo", "complementary", "search", "form")
         apart = apart or (not main and any(APART_WORD.search(v) for v in marks.values()))
-        apart = apart or (tag == "header" and not any(t in ("article", "main") for t, _, _ in stack))
+        apart = apart or (tag == "header" and not any(x[0] in ("article", "main") for x in stack))
         name = tag + (f".{marks['class'].replace(' ', '.')}" if marks.get("class") else "") + ("@main" if role == "main" else "")
-        stack.append((tag, f"{above[1]}/{name}", apart))
+        if name in CONTAINERS:
+            above[3][name] = place = above[3].get(name, 0) + 1
+            name += f"[{place}]" if place > 1 else ""
+        stack.append((tag, f"{above[1]}/{name}", apart, {}))
         yield stack[-1][1], False, "", 0, apart
     if block := flush():
         yield block
@@ -124,7 +132,7 @@ def string_token(path: str, text: str) -> int:
 def tokens(pages: DataFrame, sent: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """(host, path, text, words, n, chars, links, weight, v1, v2): how often each page has each token; text is 0 for element paths.
 
-    chars and links are the characters of free text and of link text below an element; v1 and v2 are 31-bit hashes of
+    chars and links are the characters of text and of link text below an element, or of a string; v1 and v2 are 31-bit hashes of
     (content, n). The weights of a content's copies sum up to 1; ``sent`` has the contents that occur more than once,
     sorted, and how often.
     """
@@ -146,7 +154,8 @@ def tokens(pages: DataFrame, sent: tuple[np.ndarray, np.ndarray] | None) -> Data
                     if not is_block:
                         seen.setdefault((path, 0), [0, 0, 0, 0])[1] += 1
                         continue
-                    seen.setdefault((path, string_token(path, text)), [text.count(" ") + 1, 0, 0, 0])[1] += 1
+                    own = seen.setdefault((path, string_token(path, text)), [text.count(" ") + 1, 0, 0, 0])
+                    own[1], own[2], own[3] = own[1] + 1, own[2] + len(text), own[3] + links
                     at = path
                     while at:
                         if (at, 0) in seen:
@@ -191,9 +200,16 @@ def templates(pages: DataFrame) -> DataFrame:
     """pages(host, html) -> slot (path of the element that holds the main text) and constants (hashes of constant strings) by host."""
     valid = classes(pages)
     frame = (F.col("text") == 0) & (F.col("once") >= F.lit(COMMON_SHARE) * F.col("of") - 1e-6)
-    constant = (F.col("text") != 0) & ((F.col("pages") - 2) * F.col("words") >= EVIDENCE - 1e-6)
+    shared = F.col("text") != 0
+    constant = shared & ((F.col("pages") - 2) * F.col("words") >= EVIDENCE - 1e-6)
     node = F.struct(F.size(F.split("path", "/")).alias("d"), "path", "chars", "links")
-    best = valid.where(frame | constant).groupBy("host").agg(F.collect_set(F.when(constant, F.col("text"))).alias("constants"), F.collect_list(F.when(frame, node)).alias("frame"))
+    best = valid.where(frame | shared).groupBy("host").agg(
+        F.collect_set(F.when(constant, F.col("text"))).alias("constants"), F.collect_list(F.when(frame, node)).alias("frame"), F.collect_list(F.when(shared, node)).alias("shared")
+    )
+    # what all contents have alike is no free text of the elements around it
+    less = lambda c: f"f.{c} - aggregate(filter(shared, s -> s.path = f.path OR startswith(s.path, f.path || '/')), 0D, (a, s) -> a + s.{c})"
+    free = F.expr(f"transform(frame, f -> named_struct('d', f.d, 'path', f.path, 'chars', {less('chars')}, 'links', {less('links')}))")
+    best = best.withColumn("free", free).withColumn("frame", F.expr("IF(array_max(transform(free, f -> f.chars)) > 0.5D, free, frame)"))
     # elements that hold half of all free text lie on one way down from the root
     best = best.withColumn("way", F.expr("filter(frame, f -> f.chars >= 0.5D * array_max(transform(frame, g -> g.chars)) - 1e-6D AND f.links <= 0.5D * f.chars + 1e-6D)"))
     named = F.expr("array_min(filter(way, f -> f.path rlike '/(article|main)[^/]*$|@main$'))").getField("path")

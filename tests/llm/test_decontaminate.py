@@ -71,3 +71,27 @@ def test_items_shorter_than_a_window(spark):
 
 def test_consistent():
     assert decontaminate.consistent({(0, "a", "b"), (1, "a", "b"), (2, "a", "c"), (3, "d", "d"), (4, "e", "d"), (5, "f", "g"), (6, "f", "h")}) == {("a", "b"), ("d", "d")}
+
+
+def test_numbers_alone_say_nothing(spark):
+    """Lists of numbers are found by their values, at any length; templates with words by their words."""
+    import random
+
+    r = random.Random(1)
+    table = " ".join(str(r.randint(0, 999)) for _ in range(60))
+    other = " ".join(str(r.randint(0, 999)) for _ in range(60))
+    many = " ".join(str(r.randint(0, 99)) for _ in range(100_000))
+    texts = ["Scores of the season: 3 7 12 9 4 8 15 2 and so on.", "Sums: 10 20 30 40 50 60.", f"so {other} it is", f"so {table} it is", many, f"{many} {table}"]
+    assert hits(spark, texts, ["10 20 30 40 50 60", table]) == [(1, 0), (3, 1), (5, 1)]
+
+
+def test_coverage_and_slots_by_brute_force(spark):
+    """Changed copies with words put in or left out: coverage and n_slots as counted from the alignment that was planted."""
+    item = ITEM.split()
+    docs = spark.createDataFrame([(0, changed({"120": "90", "Anna": "Boris"})), (1, " ".join([*item[:9], "very", *item[9:]])), (2, " ".join(item[4:]))], "doc_id long, text string")
+    bench = spark.createDataFrame([(0, ITEM)], "item_id long, text string")
+    got = {r.doc_id: (round(r.coverage, 6), r.n_slots) for r in decontaminate.contaminated(docs, bench).collect()}
+    tokens, slots = decontaminate.canonical(ITEM)
+    n, values = len(tokens), len(set(slots.values()))
+    # a word put in breaks the windows over it, but the tokens beside it stay covered by other windows
+    assert got[1][0] == 1.0 and got[0] == (1.0, values) and got[2] == (round((n - 4) / n, 6), values)

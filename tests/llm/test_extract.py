@@ -114,3 +114,23 @@ def test_joined_and_sent_templates_agree(spark, monkeypatch):
     want = run(spark, pages)
     monkeypatch.setattr(extract, "SENT_BYTES", -1)
     assert run(spark, pages) == want and want[0] == "h0\ntext of the story 0"
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(extract.extract(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_two_pages_of_a_host(spark):
+    """What both pages have alike is no free text, however long it is."""
+    page = "<html><body><div class=x1>Our house of words and more things for everyone here</div><div class=x3><p>story {} goes on</p></div></body></html>"
+    assert texts_of(spark, [("http://a.x/1", page.format("one")), ("http://a.x/2", page.format("two"))]) == ["story one goes on", "story two goes on"]
+
+
+def test_elements_without_names(spark):
+    """Menu, story and footer in bare containers: only their places tell them apart."""
+    story = lambda k: "".join(f"<div>Sentence {w} of page {k} tells something new.</div>" for w in range(3))
+    page = lambda k: f"<body><div><div><a href=/>Home</a></div><div><a href=/n>News of the day</a></div></div><div>{story(k)}</div><div>All rights are with the house.</div></body>"
+    for n in (2, 7):
+        got = texts_of(spark, [(f"http://b.x/{k}", page(k)) for k in range(n)])
+        assert got == ["\n".join(f"Sentence {w} of page {k} tells something new." for w in range(3)) for k in range(n)]
