@@ -20,15 +20,17 @@ def scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def linkage(dist: np.ndarray, method: str = "average", sizes: np.ndarray | None = None) -> np.ndarray:
+def linkage(dist: np.ndarray, method: str = "average", sizes: np.ndarray | None = None, digits: int | None = None) -> np.ndarray:
     """Merges (i, j, height) of agglomerative clustering; of equal distances the smallest (i, j) merges first.
 
     ``sizes`` are the weights of the points. Each row remembers its nearest later neighbour, so a merge costs O(n).
+    ``digits`` are those that distances and heights count to, so that equal ones are equal however they were summed.
     """
     if method not in UPDATES:
         raise ValueError(f"unknown linkage {method!r}")
-    d, n = dist.astype(np.float64).copy(), len(dist)
-    np.fill_diagonal(d, np.inf)
+    exact, n = dist.astype(np.float64).copy(), len(dist)
+    np.fill_diagonal(exact, np.inf)
+    d = exact if digits is None else np.round(exact, digits)
     size, alive = np.ones(n) if sizes is None else sizes.astype(np.float64).copy(), np.ones(n, dtype=bool)
     upper = np.where(np.triu(np.ones((n, n), dtype=bool), 1), d, np.inf)
     near = upper.argmin(1) if n else np.zeros(0, int)
@@ -36,11 +38,14 @@ def linkage(dist: np.ndarray, method: str = "average", sizes: np.ndarray | None
     out = np.zeros((max(0, n - 1), 3))
     for step in range(n - 1):
         i = int(best.argmin())
-        j, height = int(near[i]), best[i]
-        out[step] = i, j, height
+        j = int(near[i])
+        out[step] = i, j, best[i]
         k = np.flatnonzero(alive)
         k = k[(k != i) & (k != j)]
-        d[i, k] = d[k, i] = UPDATES[method](d[i, k], d[j, k], height, size[i], size[j], size[k])
+        new = UPDATES[method](exact[i, k], exact[j, k], exact[i, j], size[i], size[j], size[k])
+        exact[i, k] = exact[k, i] = new
+        if digits is not None:
+            d[i, k] = d[k, i] = np.round(new, digits)
         size[i] += size[j]
         alive[j] = False
         d[j, :] = d[:, j] = np.inf
@@ -89,10 +94,10 @@ def cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
     return np.unique([find(x) for x in range(n)], return_inverse=True)[1] + 1
 
 
-def consensus_labels(similarity: np.ndarray, k: int, method: str = "average", sizes: np.ndarray | None = None) -> np.ndarray:
+def consensus_labels(similarity: np.ndarray, k: int, method: str = "average", sizes: np.ndarray | None = None, digits: int | None = None) -> np.ndarray:
     """Cut of the hierarchy on 1 - similarity."""
-    w = np.clip(np.maximum(similarity, similarity.T), 0, 1)
-    return cut(linkage(1 - w, method, sizes), len(w), k)
+    far = 1 - np.clip(np.maximum(similarity, similarity.T), 0, 1)
+    return cut(linkage(far if digits is None else np.round(far, digits), method, sizes, digits), len(far), k)
 
 
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, iterations: int = 50) -> tuple[np.ndarray, float]:
@@ -126,15 +131,18 @@ def one_hot(members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(rows, dtype=np.float64), np.array(part)
 
 
-def jaccard(segments: np.ndarray) -> np.ndarray:
-    both, size = segments @ segments.T, segments.sum(1)
+def jaccard(segments: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
+    """Overlap of clusters; n are the weights of the objects."""
+    weighted = segments if n is None else segments * n
+    both, size = weighted @ segments.T, weighted.sum(1)
     union = size[:, None] + size - both
     return np.divide(both, union, out=np.zeros_like(both), where=union > 0)
 
 
-def cluster_entropy(segments: np.ndarray, part: np.ndarray) -> np.ndarray:
+def cluster_entropy(segments: np.ndarray, part: np.ndarray, n: np.ndarray | None = None) -> np.ndarray:
     """log2 entropy of each cluster summed over all partitions, over log2 of its own partition's number of clusters."""
-    p = segments @ segments.T / segments.sum(1)[:, None]
+    weighted = segments if n is None else segments * n
+    p = weighted @ segments.T / weighted.sum(1)[:, None]
     h = -(p * np.log2(p, out=np.zeros_like(p), where=p > 0)).sum(1)
     k = np.bincount(part)[part]
     return np.divide(h, np.log2(np.maximum(k, 2)), out=np.zeros_like(h), where=k > 1)
@@ -193,18 +201,28 @@ def adaptive_time(similarity: np.ndarray) -> float:
     return 1.0 if not np.isfinite(second) or second < 1e-6 else float(np.clip(1 / second, 0.1, 5))
 
 
-def cannot_links(segments: np.ndarray, part: np.ndarray, apart: np.ndarray, tau: float | None, percentile: float = 60) -> np.ndarray:
+def weighted_percentile(values: np.ndarray, counts: np.ndarray, q: float) -> float:
+    """np.percentile of each value repeated by its count."""
+    order = np.argsort(values, kind="stable")
+    upto = np.cumsum(counts[order])
+    place = (upto[-1] - 1) * q / 100
+    low, high = (values[order][np.searchsorted(upto, x, side="right")] for x in (np.floor(place), np.ceil(place)))
+    return float(low + (high - low) * (place - np.floor(place)))
+
+
+def cannot_links(segments: np.ndarray, part: np.ndarray, apart: np.ndarray, tau: float | None, percentile: float = 60, n: np.ndarray | None = None) -> np.ndarray:
     """Mean over partitions of the dissimilarity of two objects' clusters; values below tau (or the percentile of positive ones) are 0."""
-    m, n = part.max() + 1, segments.shape[1]
-    d = np.zeros((n, n))
+    m, size = part.max() + 1, segments.shape[1]
+    d = np.zeros((size, size))
     for p in range(m):
         own = np.flatnonzero(part == p)
         s = segments[own]
         d += s.T @ apart[np.ix_(own, own)] @ s
     d /= m
     if tau is None:
-        positive = d[d > 1e-9]
-        tau = np.percentile(positive, percentile) if len(positive) else 0.0
+        positive = d > 1e-9
+        counts = np.ones(d.shape) if n is None else np.outer(n, n)
+        tau = weighted_percentile(d[positive], counts[positive], percentile) if positive.any() else 0.0
     d[d < tau] = 0
     return d
 
@@ -248,26 +266,89 @@ def fuse(s: np.ndarray, d: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.where(s >= d, 1 - (1 - s + d) * (1 - w), (1 + s - d) * w)
 
 
+def refine_classes(high: np.ndarray, n: np.ndarray, must: tuple, cannot: tuple, iterations: int = 120, tol: float = 1e-3) -> tuple[tuple, tuple]:
+    """``refine`` for objects in classes of equal ones: n objects in each, high between classes.
+
+    Matrices that are constant between and within classes but for the diagonal are closed under what refine does, so each
+    is a pair: its entries by class, and its diagonal. A product with the inverse of the Laplacian plus a constant is one
+    with an inverse by class, once the diagonal's own part is taken off. Single precision suffices for ``tol``.
+    """
+    root = np.sqrt(n)
+    degree = high @ n
+    value, vector = np.linalg.eigh(np.diag(degree) - root[:, None] * high * root)
+    left, right = (vector / root[:, None]).astype(np.float32), (vector.T * root).astype(np.float32)
+    twice, own = (2 * high).astype(np.float32), np.arange(len(n))
+
+    def norm(x: np.ndarray, diagonal: np.ndarray) -> float:
+        inner = x[own, own].astype(float)
+        weighted = (n.astype(np.float32) @ (x * x)) @ n
+        return float(np.sqrt(max(0.0, weighted - n @ inner**2 + n @ diagonal**2)))
+
+    def solve(inverse: np.ndarray, mu: float, x: np.ndarray, diagonal: np.ndarray) -> tuple:
+        alone = (diagonal - x[own, own]) / (2 * degree + 2 * mu)
+        out = inverse @ (x + twice * alone.astype(np.float32))
+        out = (out + out.T) / 2
+        return out, out[own, own] + alone
+
+    def bounded(mu: float, y: tuple, x: tuple, link: tuple) -> tuple:
+        new = tuple(np.where(k == 0, np.clip(b / (2 * mu) + a, 0, 1), k).astype(a.dtype) for a, b, k in zip(x, y, link, strict=True))
+        return (new[0] + new[0].T) / 2, new[1]
+
+    mu = 1.0
+    zero = lambda: (np.zeros(high.shape, np.float32), np.zeros(len(n)))
+    s, d, f1, f2, y1, y2 = (zero() for _ in range(6))
+    must, cannot = ((a.astype(np.float32), b) for a, b in (must, cannot))
+    for _ in range(iterations):
+        s0, d0 = s, d
+        inverse = (left / (2 * value + 2 * mu).astype(np.float32)) @ right
+        s = solve(inverse, mu, *(2 * mu * f - b - y for f, b, y in zip(f1, d, y1, strict=True)))
+        f1 = bounded(mu, y1, s, must)
+        d = solve(inverse, mu, *(2 * mu * f - b - y for f, b, y in zip(f2, s, y2, strict=True)))
+        f2 = bounded(mu, y2, d, cannot)
+        y1, y2 = (tuple((b + mu * (a - c)).astype(a.dtype) for a, b, c in zip(x, y, f, strict=True)) for x, y, f in ((s, y1, f1), (d, y2, f2)))
+        mu = min(mu * 1.1, 1e6)
+        if max(norm(*(a - b for a, b in zip(x, y, strict=True))) for x, y in ((s, s0), (d, d0), (s, f1), (d, f2))) < tol:
+            break
+    return s, d
+
+
 def guided(members: np.ndarray, lam: float = 0.09, eta: float = 0.75, theta: float = 0.65, weight: np.ndarray | None = None, time: float | None = None, diffusion: bool = False) -> np.ndarray:
-    """Consensus matrix guided by must and cannot links; with ``diffusion`` cluster similarity is a heat kernel (time None: adaptive)."""
-    segments, part = one_hot(members)
-    m = members.shape[1]
-    neci = np.exp(-cluster_entropy(segments, part) / (lam * m)) if weight is None else weight
-    w = reliable_coassociation(segments, neci, m)
+    """Consensus matrix guided by must and cannot links; with ``diffusion`` cluster similarity is a heat kernel (time None: adaptive).
+
+    Objects with equal rows are one class. ``weight`` goes by the clusters of one_hot(members).
+    """
+    classes, back, n = np.unique(members, axis=0, return_inverse=True, return_counts=True)
+    back, n = back.ravel(), n.astype(float)
+    segments, part = one_hot(classes)
+    m, alone = members.shape[1], n == 1
+    neci = np.exp(-cluster_entropy(segments, part, n) / (lam * m)) if weight is None else weight
+    w = (segments * neci[:, None]).T @ segments / m
+    w /= max(w.max(), 1e-300)
+    ones = np.ones(len(n))
+
+    def spread(x: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
+        out = x[np.ix_(back, back)]
+        np.fill_diagonal(out, diagonal[back])
+        return out
+
     if eta > 1:
-        return w
+        return spread(w, ones)
     ca = segments.T @ segments / m
-    high = np.where(ca >= eta, ca, 0)
-    similarity = jaccard(segments)
+    similarity = jaccard(segments, n)
     if diffusion:
         near = heat_kernel(similarity, adaptive_time(similarity) if time is None else time)
     else:
         near = random_walk(similarity)
     np.fill_diagonal(near, 1)
-    cannot = cannot_links(segments, part, 1 - near, None if diffusion else 0.8)
-    must = np.where(cannot > 0, 0, must_links(w, ca >= theta))
-    s, d = refine(np.diag(high.sum(1)) - high, must, cannot)
-    return fuse(s, d, w)
+    cannot = cannot_links(segments, part, 1 - near, None if diffusion else 0.8, n=n)
+    # the weights of linked pairs: an object alone in its class has no pair there, and every object is linked with itself
+    mask = ca >= theta
+    real = mask & ~np.diag(alone)
+    low, high = (f(w[real].tolist() + [1.0]) for f in (min, max)) if theta <= 1 else (0.0, 0.0)
+    scale = lambda x: (x - low) / (high - low) / 5 + 0.8 if high > low else np.full_like(x, 0.8)
+    must = np.where(mask & (cannot <= 0), scale(w), 0), np.where(np.diag(cannot) > 0, 0, scale(ones)) * (theta <= 1)
+    s, d = refine_classes(np.where(ca >= eta, ca, 0), n, must, (cannot, np.diag(cannot).copy()))
+    return spread(fuse(s[0].astype(float), d[0].astype(float), w), fuse(s[1], d[1], ones))
 
 
 def greedy_subset(agreement: np.ndarray, m: int, alpha: float = 0.5) -> list[int]:

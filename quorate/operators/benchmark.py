@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quorate.functions import kernels
+from quorate.functions.shared import Tables
 from quorate.operators import comparisons as cp
 from quorate.operators import contingency as ct
 from quorate.operators import ensemble as en
@@ -114,25 +115,25 @@ def run_jobs(objs: DataFrame, members: DataFrame, jobs: list[dict]) -> DataFrame
     """One row a job: its settings, mean and deviation of nmi, ari and f over its runs, seconds, runs, status and error.
 
     Labels are used for the number of clusters and the scores alone. A job fails if one of its runs does; its scores are null.
-    The labels stay cached until spark.catalog.clearCache().
+    The labels are written, as times differ from run to run: what is reported is what was measured once.
     """
     k = objs.select("gt").distinct().count()
     if k < 2:
         raise ValueError("at least two classes are needed")
     kinds = {j["family"] for j in jobs}
     parts = [f for f, need in ((lambda: single_labels(objs, jobs, k), "single"), (lambda: consensus_labels(members, jobs, k), "consensus")) if need in kinds]
-    labels = reduce(DataFrame.unionByName, [f() for f in parts]).persist()  # times differ from run to run, so jobs run once
     keys = ["job_id", "run_id"]
-    ran = labels.groupBy(*keys).agg(F.max("seconds").alias("seconds"), F.coalesce(F.max("error"), F.lit("")).alias("error"))
-    scored = ct.agreement(labels.join(objs.select("obj_id", "gt"), "obj_id"), keys, "label", "gt").join(ran, keys)
-    metrics = [f(F.when(F.col("error") == "", F.col(c))).alias(f"{c}_{s}") for c in ("nmi", "ari", "f") for s, f in (("mean", F.avg), ("std", F.stddev_pop))]
-    per = scored.groupBy("job_id").agg(*metrics, F.sum("seconds").alias("seconds"), F.count("*").alias("runs"), F.max("error").alias("error"))
-    per = per.withColumn("status", F.when(F.col("error") == "", "ok").otherwise("failed"))
-    per = per.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in per.columns if c.endswith(("_mean", "_std"))})
     head = "job_id int, family string, algorithm string, variant string, linkage string, m int, alpha double, seed int"
-    names = [x.split()[0] for x in head.split(", ")]
-    settings = objs.sparkSession.createDataFrame([tuple(j[c] for c in names) for j in jobs], head)
-    return settings.join(per, "job_id")
+    settings = objs.sparkSession.createDataFrame([tuple(j[x.split()[0]] for x in head.split(", ")) for j in jobs], head)
+    with Tables(objs.sparkSession, "jobs") as tables:
+        labels = tables.write(reduce(DataFrame.unionByName, [f() for f in parts]))
+        ran = labels.groupBy(*keys).agg(F.max("seconds").alias("seconds"), F.coalesce(F.max("error"), F.lit("")).alias("error"))
+        scored = ct.agreement(labels.join(objs.select("obj_id", "gt"), "obj_id"), keys, "label", "gt").join(ran, keys)
+        metrics = [f(F.when(F.col("error") == "", F.col(c))).alias(f"{c}_{s}") for c in ("nmi", "ari", "f") for s, f in (("mean", F.avg), ("std", F.stddev_pop))]
+        per = scored.groupBy("job_id").agg(*metrics, F.sum("seconds").alias("seconds"), F.count("*").alias("runs"), F.max("error").alias("error"))
+        per = per.withColumn("status", F.when(F.col("error") == "", "ok").otherwise("failed"))
+        per = per.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in per.columns if c.endswith(("_mean", "_std"))})
+        return tables.keep(settings.join(per, "job_id"))
 
 
 def ablation(members: DataFrame, objs: DataFrame, m: int = 6, runs: int = 2, seed: int = 19, linkage: str = "average") -> DataFrame:

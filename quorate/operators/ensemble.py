@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions import kernels
 from quorate.operators import contingency as ct
+from quorate.operators import linkage
 
 METHODS = ("average", "complete", "single", "ward")
 
@@ -163,26 +164,35 @@ def consensus(members: DataFrame, plan: DataFrame, k: int, algorithm: str = "hie
     """(run_id, obj_id, label): the consensus partition of every run of the plan.
 
     Objects with equal cluster ids throughout the run's partitions are one point with a weight ('hierarchical', whose
-    matrix depends on the ids alone); max_n bounds the points of a run. Unknown names raise KeyError. ``fuzzy`` are the
-    weights (part_id, cluster_id, weight) of features.fuzzy_partition_weights for 'guided_diffusion'.
+    matrix depends on the ids alone). 'hierarchical' with 'single', or with 'average' and more than max_n points in a run, goes
+    through ``linkage`` and has no bound; else max_n bounds the points of a run. Unknown names raise KeyError. ``fuzzy`` are
+    the weights (part_id, cluster_id, weight) of features.fuzzy_partition_weights for 'guided_diffusion'.
     """
     algorithm = canonical(algorithm)
     build, with_fuzzy = ALGORITHMS[algorithm], fuzzy is not None
     if method not in METHODS:
         raise ValueError(f"unknown linkage {method!r}")
+    if algorithm == "hierarchical" and method == "single":
+        return linkage.single(members, plan, k)
+    if algorithm == "hierarchical" and method == "average":
+        counts = linkage.points(members, plan).select("run_id", "s").distinct().groupBy("run_id").count()
+        if (counts.agg(F.max("count")).first()[0] or 0) > max_n:
+            return linkage.average(members, plan, k, max_n)
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         wide = pdf.pivot(index="obj_id", columns="part_id", values="cluster_id").sort_index()
         x, where, n = wide.to_numpy(), np.arange(len(wide)), None
         if algorithm == "hierarchical":
             x, first, where, n = np.unique(x, axis=0, return_index=True, return_inverse=True, return_counts=True)
+            order = np.argsort(first)  # points go by their first objects, also where distances are equal
+            x, n, where = x[order], n[order], np.argsort(order)[where.ravel()]
         if len(x) > max_n:
             raise ValueError(f"{len(x)} points in a run; max_n is {max_n}")
         more = {}
         if with_fuzzy:
             known = dict(zip(zip(pdf["part_id"], pdf["cluster_id"], strict=True), pdf["weight"], strict=True))
             more["fuzzy"] = [known[p, c] for p in wide.columns for c in np.unique(wide[p])]
-        labels = kernels.consensus_labels(build(x, params | more), k, method, n)
+        labels = kernels.consensus_labels(build(x, params | more), k, method, n, linkage.DIGITS)
         return pd.DataFrame({"run_id": pdf["run_id"].iloc[0], "obj_id": wide.index, "label": labels[where.ravel()]})
 
     rows = members.select("obj_id", "part_id", "cluster_id").join(plan, "part_id")

@@ -588,8 +588,31 @@ def _consensus(algorithm: str, method: str, **params):
     return run
 
 
+#: The partitions that random_plan(members8, 6, 2) draws: the hash it goes by is not in DuckDB.
+DRAWN = ", ".join(f"({run}, {part})" for run, parts in enumerate(((0, 1, 2, 5, 6, 7), (0, 1, 3, 4, 5, 6))) for part in parts)
+#: The levels of agreement are taken one by one: components by the least point that each one reaches.
+SINGLE = f"""WITH RECURSIVE {vw.SQL["members"]}, plan(run_id, part_id) AS (VALUES {DRAWN}),
+    sig AS (SELECT run_id, obj_id, string_agg(cluster_id, ',' ORDER BY part_id) AS g FROM members JOIN plan USING (part_id) GROUP BY 1, 2),
+    pts AS MATERIALIZED (SELECT run_id, g, min(obj_id) AS s FROM sig GROUP BY 1, 2),
+    code AS MATERIALIZED (SELECT run_id, s, part_id, cluster_id FROM pts JOIN members ON obj_id = s JOIN plan USING (run_id, part_id)),
+    near AS MATERIALIZED (SELECT a.run_id, a.s, b.s AS t, count(*) AS agree FROM code a JOIN code b USING (run_id, part_id, cluster_id) WHERE a.s <> b.s GROUP BY 1, 2, 3),
+    lab(i, run_id, level, s, c) AS (
+        SELECT 0, run_id, level, s, s FROM pts, range(1, 7) l(level)
+        UNION ALL
+        SELECT x.i + 1, x.run_id, x.level, x.s, least(x.c, coalesce(m.c, x.c)) FROM lab x
+        LEFT JOIN (SELECT n.run_id, y.level, n.s, min(y.c) AS c FROM near n JOIN lab y ON y.run_id = n.run_id AND y.s = n.t WHERE n.agree >= y.level GROUP BY 1, 2, 3) m
+            ON m.run_id = x.run_id AND m.level = x.level AND m.s = x.s
+        WHERE x.i < 40),
+    done AS (SELECT * FROM lab WHERE i = 40),
+    kept AS (SELECT run_id, max(level) AS level FROM (SELECT run_id, level, count(DISTINCT c) AS n FROM done GROUP BY 1, 2) WHERE n <= 10 GROUP BY 1),
+    chosen AS (SELECT sig.run_id, sig.obj_id, CASE WHEN kept.level IS NULL THEN 0 ELSE done.c END AS c FROM sig JOIN pts USING (run_id, g) JOIN done USING (run_id, s)
+        LEFT JOIN kept ON kept.run_id = sig.run_id WHERE done.level = coalesce(kept.level, 1))
+    SELECT run_id, obj_id, CAST(dense_rank() OVER (PARTITION BY run_id ORDER BY least_obj) AS INTEGER) AS label
+    FROM (SELECT run_id, obj_id, min(obj_id) OVER (PARTITION BY run_id, c) AS least_obj FROM chosen)"""
+
 for _method in ("single", "complete", "average", "ward"):
     QUERIES[f"consensus_labels_{_method}"] = _consensus("hierarchical", _method)
+ORACLE["consensus_labels_single"] = SINGLE
 QUERIES["consensus_labels_weighted"] = _consensus("weighted", "average", sharpen=1.5)
 QUERIES["guided_labels"] = _consensus("guided", "average")
 QUERIES["guided_diffusion_labels"] = _consensus("guided_diffusion", "average", time="adaptive")

@@ -79,3 +79,60 @@ def test_p_values():
     assert k.exact_wilcoxon(0, 0) == 1.0
     assert k.f_tail(4.0, 1, 10) == pytest.approx(0.0734, abs=1e-3)  # t = 2 with 10 degrees of freedom
     assert k.f_tail(1.0, 7, 7) == pytest.approx(0.5) and k.f_tail(float("inf"), 2, 3) == 0
+
+
+def plain_guided(members, lam=0.09, eta=0.75, theta=0.65, time=None, diffusion=False):
+    """The whole matrices, object by object."""
+    seg, part = k.one_hot(members)
+    m = members.shape[1]
+    w = k.reliable_coassociation(seg, np.exp(-k.cluster_entropy(seg, part) / (lam * m)), m)
+    ca = seg.T @ seg / m
+    high, similarity = np.where(ca >= eta, ca, 0), k.jaccard(seg)
+    near = (k.heat_kernel(similarity, k.adaptive_time(similarity) if time is None else time)) if diffusion else k.random_walk(similarity)
+    np.fill_diagonal(near, 1)
+    cannot = k.cannot_links(seg, part, 1 - near, None if diffusion else 0.8)
+    must = np.where(cannot > 0, 0, k.must_links(w, ca >= theta))
+    return k.fuse(*k.refine(np.diag(high.sum(1)) - high, must, cannot), w)
+
+
+@pytest.mark.parametrize(("seed", "clusters", "options"), [(0, 2, {}), (1, 3, {}), (2, 2, {"diffusion": True}), (3, 3, {"diffusion": True, "time": 0.5}), (4, 2, {"theta": 1.0, "eta": 0.5}), (5, 9, {})])
+def test_guided_by_classes_equals_whole_matrices(seed, clusters, options):
+    """Classes of several equal objects and of one, in one matrix."""
+    r = np.random.default_rng(seed)
+    hidden = r.integers(0, 3, 70)
+    members = np.stack([np.where(r.random(70) < 0.35, r.integers(0, clusters, 70), hidden % clusters) for _ in range(5)], 1)
+    if clusters < 9:
+        assert len(np.unique(members, axis=0)) < 70
+    assert np.abs(k.guided(members, **options) - plain_guided(members, **options)).max() < 1e-3
+
+
+def test_weighted_percentile():
+    r = np.random.default_rng(0)
+    v, n = np.round(r.random(40), 1), r.integers(1, 9, 40)
+    for q in (0, 13, 60, 99, 100):
+        assert k.weighted_percentile(v, n, q) == pytest.approx(np.percentile(np.repeat(v, n), q))
+
+
+def test_random_walk_by_hand():
+    """Three clusters in a chain: walks of one and two steps written out, and one cluster apart."""
+    s = np.array([[1, 0.5, 0, 0], [0.5, 1, 0.25, 0], [0, 0.25, 1, 0], [0, 0, 0, 1.0]])
+    p = np.array([[0, 1, 0, 0], [2 / 3, 0, 1 / 3, 0], [0, 1, 0, 0], [0, 0, 0, 0]])
+    p2 = np.array([[2 / 3, 0, 1 / 3, 0], [0, 1, 0, 0], [2 / 3, 0, 1 / 3, 0], [0, 0, 0, 0]])
+    want = p @ p.T + p2 @ p2.T
+    root = np.sqrt(np.outer(np.diag(want), np.diag(want)))
+    want = np.divide(want, root, out=np.zeros((4, 4)), where=root > 0)
+    assert np.allclose(k.random_walk(s, steps=2), want) and not k.random_walk(s)[3].any()
+    assert want[0, 2] == pytest.approx(1) and want[0, 1] == pytest.approx(0)
+
+
+def test_links_and_fusion_by_hand():
+    segments, part = np.array([[1, 1, 0], [0, 0, 1], [1, 0, 0], [0, 1, 1.0]]), np.array([0, 0, 1, 1])
+    apart = np.array([[0, 0.9, 0, 0], [0.9, 0, 0, 0], [0, 0, 0, 0.4], [0, 0, 0.4, 0]])
+    # objects 0 and 1 differ in the second partition only, 0 and 2 in both, 1 and 2 in the first only
+    assert np.allclose(k.cannot_links(segments, part, apart, 0.3), [[0, 0, 0.65], [0, 0, 0.45], [0.65, 0.45, 0]])
+    assert np.allclose(k.cannot_links(segments, part, apart, 0.5), [[0, 0, 0.65], [0, 0, 0], [0.65, 0, 0]])
+    w = np.array([[1, 0.5], [0.5, 1]])
+    assert np.allclose(k.must_links(w, np.ones((2, 2), bool)), [[1, 0.8], [0.8, 1]])
+    s, d = np.array([[1, 0.7], [0.7, 1]]), np.array([[0, 0.2], [0.2, 0]])
+    assert np.allclose(k.fuse(s, d, w), [[1, 1 - 0.5 * 0.5], [0.75, 1]])
+    assert np.allclose(k.fuse(d, s, w)[0, 1], 0.5 * 0.5)
