@@ -87,11 +87,14 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "te
     to the language that sorts first.
     """
     langs = sorted(profiles)
-    known = np.array(sorted({c for codes in profiles.values() for c in codes}), dtype=np.int64)
-    # the place of each known n-gram in each profile, and ``size`` where the profile lacks it, as does the last column
-    places_of = np.full((len(langs), len(known) + 1), size, dtype=np.int32)
-    for k, lang in enumerate(langs):
-        places_of[k, np.searchsorted(known, np.array(profiles[lang], dtype=np.int64))] = np.arange(len(profiles[lang]))
+    lengths = [len(profiles[x]) for x in langs]
+    codes = np.array([c for x in langs for c in profiles[x]], dtype=np.int64)
+    order = np.argsort(codes, kind="stable")
+    # for each known n-gram, from starts on: the languages that have it and its place in their profiles
+    language = np.repeat(np.arange(len(langs), dtype=np.int32), lengths)[order]
+    place = np.concatenate([np.zeros(0, np.int32), *(np.arange(n, dtype=np.int32) for n in lengths)])[order]
+    known, starts = np.unique(codes[order], return_index=True)
+    starts = np.append(starts, len(codes))
 
     @F.pandas_udf("lang_pred string, score double")
     def guess(texts: pd.Series) -> pd.DataFrame:
@@ -101,10 +104,14 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], text_col: str = "te
             best = ("und", 0.0)
             if len(own) and langs:
                 at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-                there = places_of[:, np.where(known[at] == own, at, len(known))]
-                away = np.where(there == size, size, np.minimum(np.abs(there - np.arange(len(own))), size)).sum(1)
-                k = int(np.argmin(away))
-                best = (langs[k], 1 - int(away[k]) / (len(own) * size))
+                rank = np.flatnonzero(known[at] == own)
+                first, many = starts[at[rank]], starts[at[rank] + 1] - starts[at[rank]]
+                where = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+                # an n-gram that a profile lacks is ``size`` away: what the others are nearer than that is counted
+                nearer = size - np.minimum(np.abs(place[where] - np.repeat(rank, many)), size)
+                nearest = np.bincount(language[where], weights=nearer, minlength=len(langs))
+                k = int(np.argmax(nearest))
+                best = (langs[k], int(nearest[k]) / (len(own) * size))
             out.append(best)
         return pd.DataFrame(out, columns=["lang_pred", "score"])
 

@@ -64,3 +64,16 @@ def test_clashing_names_and_many_languages(spark, monkeypatch):
     monkeypatch.setattr(langid, "LANGUAGES", 0)
     with pytest.raises(ValueError):
         langid.learn(df)
+
+
+def test_many_languages_are_sparse(spark):
+    """What a task is sent grows with the n-grams of the profiles, not with languages times distinct n-grams."""
+    import random
+
+    r = random.Random(0)
+    base = "abcdefghijklmnopqrstuvwxyzäöüßéèñóíšžčćłő"
+    words = {f"l{k:04d}": [("".join(r.choice(base) for _ in range(r.randint(2, 7)))) for _ in range(30)] for k in range(1500)}
+    profiles = {x: [int(c) for c in langid.ranked(*langid.grams(" ".join(w)), 300)] for x, w in words.items()}
+    asked = r.sample(sorted(words), 40)
+    df = spark.createDataFrame([(x, " ".join(r.choice(words[x]) for _ in range(25))) for x in asked], "lang string, text string")
+    assert all(x.lang == x.lang_pred and 0 < x.score <= 1 for x in langid.predict(df, profiles).collect())
