@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import resource
+import threading
 import time
 from functools import reduce
 
@@ -28,7 +30,31 @@ VARIANTS = {
     "diffusion, adaptive time": ("guided_diffusion", {"time": "adaptive"}),
 }
 
-LABELS = "job_id int, run_id int, obj_id long, label int, seconds double, error string"
+LABELS = "job_id int, run_id int, obj_id long, label int, seconds double, memory_mb double, error string"
+
+
+class PeakMemory:
+    """How much the resident memory of this process rises above its start within the with block, in MB, looked at every 10 ms."""
+
+    def __enter__(self) -> PeakMemory:
+        self.start = self.most = self._now()
+        self.end = threading.Event()
+        self.watch = threading.Thread(target=self._look, daemon=True)
+        self.watch.start()
+        return self
+
+    def _now(self) -> int:
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * resource.getpagesize()
+
+    def _look(self) -> None:
+        while not self.end.wait(0.01):
+            self.most = max(self.most, self._now())
+
+    def __exit__(self, *_) -> None:
+        self.end.set()
+        self.watch.join()
+        self.mb = (max(self.most, self._now()) - self.start) / 2**20
 
 
 def plan_jobs(n: int, seeds: list[int], sizes: list[int], linkages: list[str], strategies: list[str], alphas: list[float], runs: int = 2, algorithms: list[str] | None = None, max_guided: int = 650, max_spectral: int = 900) -> list[dict]:
@@ -51,13 +77,14 @@ def plan_jobs(n: int, seeds: list[int], sizes: list[int], linkages: list[str], s
 
 
 def attempt(head: dict, ids: np.ndarray, solve) -> pd.DataFrame:
-    """The labels that solve() gives, with its time; one cluster and the error if it raises."""
+    """The labels that solve() gives, with its time and the memory it took; one cluster and the error if it raises."""
     began = time.perf_counter()
-    try:
-        found, error = solve(), None
-    except Exception as e:  # a failed job is a result
-        found, error = np.zeros(len(ids), dtype=int), f"{type(e).__name__}: {e}"[:200]
-    return pd.DataFrame(head | {"obj_id": ids, "label": found, "seconds": time.perf_counter() - began, "error": error})
+    with PeakMemory() as memory:
+        try:
+            found, error = solve(), None
+        except Exception as e:  # a failed job is a result
+            found, error = np.zeros(len(ids), dtype=int), f"{type(e).__name__}: {e}"[:200]
+    return pd.DataFrame(head | {"obj_id": ids, "label": found, "seconds": time.perf_counter() - began, "memory_mb": memory.mb, "error": error})
 
 
 def single_labels(objs: DataFrame, jobs: list[dict], k: int, starts: int = 10, max_n: int = 3000) -> DataFrame:
@@ -112,7 +139,7 @@ def consensus_labels(members: DataFrame, jobs: list[dict], k: int, max_n: int =
 
 
 def run_jobs(objs: DataFrame, members: DataFrame, jobs: list[dict]) -> DataFrame:
-    """One row a job: its settings, mean and deviation of nmi, ari and f over its runs, seconds, runs, status and error.
+    """One row a job: its settings, mean and deviation of nmi, ari and f over its runs, seconds, memory_mb (peak of a run), runs, status and error.
 
     Labels are used for the number of clusters and the scores alone. A job fails if one of its runs does; its scores are null.
     The labels are written, as times differ from run to run: what is reported is what was measured once.
@@ -127,10 +154,10 @@ def run_jobs(objs: DataFrame, members: DataFrame, jobs: list[dict]) -> DataFrame
     settings = objs.sparkSession.createDataFrame([tuple(j[x.split()[0]] for x in head.split(", ")) for j in jobs], head)
     with Tables(objs.sparkSession, "jobs") as tables:
         labels = tables.write(reduce(DataFrame.unionByName, [f() for f in parts]))
-        ran = labels.groupBy(*keys).agg(F.max("seconds").alias("seconds"), F.coalesce(F.max("error"), F.lit("")).alias("error"))
+        ran = labels.groupBy(*keys).agg(F.max("seconds").alias("seconds"), F.max("memory_mb").alias("memory_mb"), F.coalesce(F.max("error"), F.lit("")).alias("error"))
         scored = ct.agreement(labels.join(objs.select("obj_id", "gt"), "obj_id"), keys, "label", "gt").join(ran, keys)
         metrics = [f(F.when(F.col("error") == "", F.col(c))).alias(f"{c}_{s}") for c in ("nmi", "ari", "f") for s, f in (("mean", F.avg), ("std", F.stddev_pop))]
-        per = scored.groupBy("job_id").agg(*metrics, F.sum("seconds").alias("seconds"), F.count("*").alias("runs"), F.max("error").alias("error"))
+        per = scored.groupBy("job_id").agg(*metrics, F.sum("seconds").alias("seconds"), F.max("memory_mb").alias("memory_mb"), F.count("*").alias("runs"), F.max("error").alias("error"))
         per = per.withColumn("status", F.when(F.col("error") == "", "ok").otherwise("failed"))
         per = per.withColumns({c: F.when(F.col("status") == "ok", F.col(c)) for c in per.columns if c.endswith(("_mean", "_std"))})
         return tables.keep(settings.join(per, "job_id"))

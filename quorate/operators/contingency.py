@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -91,6 +92,25 @@ def weights(members: DataFrame, sharpen: float = 1.0) -> DataFrame:
     return sharp.crossJoin(F.broadcast(sharp.agg(F.sum("w").alias("t")))).select("part_id", (F.col("w") / F.col("t")).alias("weight"))
 
 
+def run_weights(members: DataFrame, plan: DataFrame, sharpen: float = 1.0) -> DataFrame:
+    """(run_id, position, part_id, weight): the weights that 'weighted' learns in each run of plan(run_id, part_id).
+
+    position is the partition's place in its run, from 1. Agreements come from contingencies, once for all runs.
+    """
+    pairs = both_ways(rand_agreement(members), "agreement")
+    other = plan.select(F.col("run_id"), F.col("part_id").alias("q"))
+    met = plan.join(pairs, F.col("part_id") == F.col("p")).join(other, ["run_id", "q"]).groupBy("run_id", "part_id").agg(F.sum("agreement").alias("s"))
+    run = W.partitionBy("run_id")  # the partitions of a run
+    m = plan.join(met, ["run_id", "part_id"], "left").withColumn("m", (F.lit(1.0) + F.coalesce("s", F.lit(0.0))) / F.count("*").over(run))
+    w = m.withColumn("w", F.pow(F.col("m") / F.sum("m").over(run), F.lit(float(sharpen))))
+    return w.select("run_id", F.row_number().over(run.orderBy("part_id")).alias("position"), "part_id", (F.col("w") / F.sum("w").over(run)).alias("weight"))
+
+
+def position_weights(members: DataFrame, plan: DataFrame, sharpen: float = 1.0) -> DataFrame:
+    """(position, runs, weight): the mean learned weight of each place in a run."""
+    return run_weights(members, plan, sharpen).groupBy("position").agg(F.count("*").alias("runs"), F.avg("weight").alias("weight"))
+
+
 def nmi_agreement(members: DataFrame) -> DataFrame:
     """(part_id, weight): mean NMI with the other partitions over the largest such mean, within [1e-6, 1]; 1 if alone."""
     m = marginals(partition_pairs(members), ["p", "q"], "c", "d")

@@ -6,6 +6,7 @@ dense matrix. Its size is bounded by ``max_n`` distinct objects, which is checke
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterator
 
@@ -302,14 +303,14 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ends, keys)
 
 
-def parameter_grid(members: DataFrame, labels: DataFrame, grid: list[dict], algorithm: str = "guided", method: str = "average", m: int = 20, runs: int = 2, seed: int = 19) -> DataFrame:
+def parameter_grid(members: DataFrame, labels: DataFrame, grid: list[dict], algorithm: str = "guided", method: str = "average", m: int = 20, runs: int = 2, seed: int = 19, max_n: int = 3000) -> DataFrame:
     """(trial, params, run_id, nmi, ari, f, status, error): every setting of the grid on the same runs, one task each.
 
+    A run of more than max_n objects is a failed row.
+
     A setting that fails gives rows of status 'failed' with its error instead of stopping the others. The best one is
     the row of largest mean metric over its runs; see ``best_setting``.
     """
-    import json
-
     k = labels.select("gt").distinct().count()
     build = ALGORITHMS[algorithm]
     plan = random_plan(members, m, runs, seed)
@@ -319,6 +320,8 @@ def parameter_grid(members: DataFrame, labels: DataFrame, grid: list[dict], algo
         head = {"trial": int(pdf["trial"].iloc[0]), "params": pdf["params"].iloc[0], "run_id": int(pdf["run_id"].iloc[0])}
         wide = pdf.pivot(index="obj_id", columns="part_id", values="cluster_id").sort_index()
         try:
+            if len(wide) > max_n:
+                raise ValueError(f"{len(wide)} objects; max_n is {max_n}")
             found, error = kernels.consensus_labels(build(wide.to_numpy(), json.loads(head["params"])), k, method), None
         except Exception as e:  # a failed setting is a result
             found, error = np.zeros(len(wide), dtype=int), f"{type(e).__name__}: {e}"[:120]
@@ -337,3 +340,31 @@ def best_setting(trials: DataFrame, metric: str = "nmi") -> DataFrame:
     """One row: the setting of the largest mean metric, the first of ties."""
     means = trials.where("status = 'ok'").groupBy("trial", "params").agg(F.avg(metric).alias(metric))
     return means.orderBy(F.desc(metric), "trial").limit(1)
+
+
+def tune(members: DataFrame, labels: DataFrame, ranges: dict[str, tuple[float, float]], steps: int = 3, rounds: int = 3, metric: str = "nmi", seeds: tuple[int, ...] = (19, 116), **options) -> DataFrame:
+    """(round, trial, params, value, failed): a coarse grid over the ranges, then finer ones around the best setting, in rounds.
+
+    A round tries ``steps`` values in each range, ends included, and the next one reaches a step to each side of the
+    best setting, within the first ranges. A setting's value is its mean over all seeds and runs; failed runs count 0.
+    The best setting of all is the row of the largest value; see ``best_trial``. A round is one job of bounded tasks.
+    """
+    spark, now, rows = members.sparkSession, dict(ranges), []
+    for r in range(rounds):
+        axes = {k: np.linspace(a, b, steps) for k, (a, b) in now.items()}
+        grid = [dict(zip(axes, map(float, x), strict=True)) for x in np.stack(np.meshgrid(*axes.values(), indexing="ij"), -1).reshape(-1, len(axes))]
+        tried = [parameter_grid(members, labels, grid, seed=s, **options) for s in seeds]
+        every = tried[0]
+        for t in tried[1:]:
+            every = every.unionByName(t)
+        found = every.groupBy("trial").agg(F.avg(F.coalesce(metric, F.lit(0.0))).alias("value"), F.count_if(F.col("status") != "ok").alias("failed")).collect()  # a row a setting
+        rows += [(r, t.trial, json.dumps(grid[t.trial], sort_keys=True), t.value, t.failed) for t in sorted(found, key=lambda t: t.trial)]
+        best = json.loads(max(rows, key=lambda x: (x[3], -x[0], -x[1]))[2])
+        reach = {k: (b - a) / max(1, steps - 1) for k, (a, b) in now.items()}
+        now = {k: (max(a, best[k] - reach[k]), min(b, best[k] + reach[k])) for k, (a, b) in ranges.items()}
+    return spark.createDataFrame(rows, "round int, trial int, params string, value double, failed long")
+
+
+def best_trial(trials: DataFrame) -> DataFrame:
+    """One row of tune(): the largest value, the first of ties."""
+    return trials.orderBy(F.desc("value"), "round", "trial").limit(1)

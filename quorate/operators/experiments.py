@@ -22,7 +22,7 @@ from quorate.sources.versioned import VersionedTable
 #: What names a job.
 KEYS = ["experiment", "dataset", "algorithm", "linkage", "strategy", "alpha", "m", "runs", "seed"]
 _HEAD = "experiment string, dataset string, algorithm string, linkage string, strategy string, alpha double, m int, runs int, seed int"
-SCHEMA = f"{_HEAD}, n_objects long, n_members int, nmi_mean double, nmi_std double, ari_mean double, ari_std double, f_mean double, f_std double, seconds double, status string, error string"
+SCHEMA = f"{_HEAD}, n_objects long, n_members int, nmi_mean double, nmi_std double, ari_mean double, ari_std double, f_mean double, f_std double, seconds double, memory_mb double, status string, error string"
 _VALUES = [x.split()[0] for x in SCHEMA.split(", ")][len(KEYS) :]
 
 #: A data set: objects (obj_id, gt, ...) and members (obj_id, part_id, cluster_id).
@@ -70,9 +70,9 @@ def attempt(job: dict, data: Dataset) -> tuple:
         if one["algorithm"] not in en.ALGORITHMS:
             raise ValueError(f"unknown algorithm {one['algorithm']!r}")
         r = bm.run_jobs(objs, members, [one]).first()
-        return (shape.n, shape.m, r.nmi_mean, r.nmi_std, r.ari_mean, r.ari_std, r.f_mean, r.f_std, r.seconds, r.status, r.error)
+        return (shape.n, shape.m, r.nmi_mean, r.nmi_std, r.ari_mean, r.ari_std, r.f_mean, r.f_std, r.seconds, r.memory_mb, r.status, r.error)
     except Exception as e:  # a failed job is a row
-        return (shape.n, shape.m, *[None] * 7, "failed", f"{type(e).__name__}: {e}"[:200])
+        return (shape.n, shape.m, *[None] * 8, "failed", f"{type(e).__name__}: {e}"[:200])
 
 
 def ledger(spark: SparkSession, path: str) -> VersionedTable:
@@ -92,7 +92,7 @@ def run(table: VersionedTable, jobs: DataFrame, datasets: dict[str, Dataset], pa
 
     def one(job: dict) -> None:
         if job["dataset"] not in datasets:
-            values = (None, None, *[None] * 7, "failed", f"no data set {job['dataset']!r}")
+            values = (None, None, *[None] * 8, "failed", f"no data set {job['dataset']!r}")
         else:
             values = solve(job, datasets[job["dataset"]])
         table.upsert(spark.createDataFrame([(*(job[k] for k in KEYS), *values)], SCHEMA))

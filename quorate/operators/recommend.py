@@ -106,3 +106,58 @@ def route(diag: DataFrame) -> DataFrame:
     """The algorithm that a question about a data set is sent to: diffusion where it is dense, long or mixed, else weighted."""
     hard = (F.col("density") > 1) | (F.col("elongation") > 8) | (F.col("overlap") > 0.25)
     return diag.select("dataset", F.when(hard, "guided_diffusion").otherwise("weighted").alias("algorithm"))
+
+
+#: Why rules() says what it says: what it is about, when, and the reason. Of one group the first that holds counts.
+REASONS = [
+    [("k range", "k IS NOT NULL", "around the number of classes"), ("k range", "dim90 IS NOT NULL", "no labels: from the dimensions that hold 90 % of the variance"), ("k range", "true", "no labels and no dimensions: the default")],
+    [("m", "n < 300", "20 for fewer than 300 objects"), ("m", "n < 1000", "30 for fewer than 1000 objects"), ("m", "n < 5000", "40 for fewer than 5000 objects"), ("m", "true", "50 for 5000 objects or more")],
+    [("m", "hopkins < 0.6", "10 more: weak cluster tendency")],
+    [("m", "overlap > 0.3", "10 more: classes overlap")],
+    [("m", "imbalance > 5", "10 more: strong imbalance of classes")],
+    [("strategy", "n > 2500", "k-means alone: linkages are too slow for more than 2500 objects"), ("strategy", "true", "k-means and linkages in turn")],
+    [("method", "elongation > 8", "single linkage keeps long clusters"), ("method", "density > 0.6", "average linkage bears uneven density"), ("method", "true", "average linkage is the steadiest")],
+    [("sharpen", "overlap > 0.35", "strong contrast: classes overlap"), ("sharpen", "silhouette > 0.5", "little contrast: classes are clear"), ("sharpen", "k > 6", "more contrast: many classes"), ("sharpen", "true", "the default")],
+    [("diffusion_time", "n > 2500", "longer for a large graph"), ("diffusion_time", "overlap > 0.3 OR density > 0.6", "longer: overlap or uneven density"), ("diffusion_time", "true", "the default")],
+    [("lam, eta", "overlap > 0.4", "careful: classes overlap much"), ("lam, eta", "silhouette > 0.5", "bold: classes are clear"), ("lam, eta", "true", "the default")],
+    [("theta", "imbalance > 5", "lower, so that small classes stay"), ("theta", "silhouette > 0.5", "higher: classes are clear"), ("theta", "true", "the default")],
+]
+
+
+def _first(group: list[tuple[str, str, str]]):
+    out = None
+    for about, when, why in group:
+        out = (F.when if out is None else out.when)(F.expr(when), f"{about}: {why}")
+    return out
+
+
+def reasons(diag: DataFrame) -> DataFrame:
+    """(dataset, reasons array<string>): a reason for each piece of advice of rules(), in the order of REASONS; unknown diagnostics give none."""
+    return diag.select("dataset", F.array_compact(F.array(*[_first(g) for g in REASONS])).alias("reasons"))
+
+
+#: What stands out in a row of diagnostics: whether it is a finding or a warning, when, and the text.
+NOTES = [
+    ("finding", "k IS NOT NULL", "labels are there: for scores and diagnostics only"),
+    ("warning", "k IS NULL", "no labels: advice comes from the inner structure alone"),
+    ("warning", "d / n >= 0.5", "many features for so few objects: distances become unreliable"),
+    ("finding", "density >= 0.6", "density is uneven: look at average linkage and guided algorithms"),
+    ("warning", "overlap >= 0.3", "classes overlap: scores can be low for all algorithms"),
+    ("warning", "imbalance >= 5", "strong imbalance: small clusters can be lost without weights"),
+    ("finding", "elongation >= 8", "clusters are long: look at single and average linkage"),
+    ("warning", "outliers > 0.1", "many outliers: a chosen subset and a larger m may help"),
+    ("warning", "constant > 0.2", "many constant features: they say nothing"),
+    ("warning", "missing > 0.1", "many missing values were filled in"),
+]
+
+
+def interpretation(diag: DataFrame) -> DataFrame:
+    """(dataset, findings, warnings, algorithm): what stands out, as arrays of texts, and the algorithm to start with.
+
+    Notes on diagnostics that diag does not have are left out. Long clusters start with 'weighted', others with
+    'guided_diffusion'.
+    """
+    known = {c.lower() for c in diag.columns}
+    words = lambda when: {w for w in when.replace("/", " ").split() if w.isalpha() and w.islower()}
+    texts = lambda kind: F.array_compact(F.array(*[F.when(F.expr(when), text) for k, when, text in NOTES if k == kind and words(when) <= known]))
+    return diag.select("dataset", texts("finding").alias("findings"), texts("warning").alias("warnings"), F.when(F.col("elongation") > 8, "weighted").otherwise("guided_diffusion").alias("algorithm"))

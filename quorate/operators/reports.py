@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -153,13 +154,41 @@ def power_fit(points: DataFrame, keys: list[str], n: str, t: str) -> DataFrame:
     return fit.where("points >= 3")
 
 
+def first_results(rows: DataFrame, most: int) -> DataFrame:
+    """(algorithm, k, value): the first results of each algorithm in row order, numbered from 1."""
+    k = F.row_number().over(W.partitionBy("algorithm").orderBy("row_no"))
+    return rows.select("algorithm", "value", "row_no", k.alias("k")).where(F.col("k") <= most).select("algorithm", "k", "value")
+
+
 def prefix_stability(rows: DataFrame, at: list[int]) -> DataFrame:
     """(algorithm, k, mean, std): mean and sample deviation of the first k results in row order."""
-    w = W.partitionBy("algorithm").orderBy("row_no").rowsBetween(W.unboundedPreceding, 0)
-    p = rows.select("algorithm", F.count("*").over(w).alias("k"), F.avg("value").over(w).alias("mean"), F.stddev_samp("value").over(w).alias("std"))
+    w = W.partitionBy("algorithm").orderBy("k").rowsBetween(W.unboundedPreceding, 0)
+    p = first_results(rows, max(at)).select("algorithm", F.col("k").cast("long").alias("k"), F.avg("value").over(w).alias("mean"), F.stddev_samp("value").over(w).alias("std"))
     return p.where(F.col("k").isin(at))
 
 
+def prefix_intervals(rows: DataFrame, at: list[int], resamples: int = 2000, confidence: float = 0.95, seed: int = 19) -> DataFrame:
+    """(algorithm, k, mean, std, low, high, width): prefix_stability with a percentile interval of the mean.
+
+    An algorithm's task holds its first max(at) results. One matrix of draws serves all prefixes: a resample of the first
+    k takes the first k of its uniform numbers times k as places, so prefixes share their draws and differ by what they add.
+    """
+    places = sorted(at)
+    edge = 50 * (1 - confidence)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = pdf.sort_values("k")["value"].to_numpy(dtype=float)
+        u, out = np.random.default_rng(seed).random((resamples, len(v))), []
+        for k in places:
+            if k <= len(v):
+                means = v[(u[:, :k] * k).astype(int)].mean(1)
+                low, high = np.percentile(means, [edge, 100 - edge])
+                out.append((pdf["algorithm"].iloc[0], k, v[:k].mean(), v[:k].std(ddof=1) if k > 1 else 0.0, low, high, high - low))
+        return pd.DataFrame(out, columns=["algorithm", "k", "mean", "std", "low", "high", "width"])
+
+    return first_results(rows, max(at)).groupBy("algorithm").applyInPandas(run, "algorithm string, k long, mean double, std double, low double, high double, width double")
+
+
 def stratified_split(items: DataFrame, key: str, stratum: str, folds: int = 5) -> DataFrame:
     """(key, stratum, split, fold): 60/20/20 in each stratum by the order of md5(key), one each in the first two parts."""
     order = F.row_number().over(W.partitionBy(stratum).orderBy(F.md5(F.col(key).cast("string")), key)) - 1

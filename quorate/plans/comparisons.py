@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from quorate.functions.shared import shared_folder
 from quorate.operators import benchmark as bm
 from quorate.operators import clustering as cl
 from quorate.operators import comparisons as cp
+from quorate.operators import experiments as ex
 from quorate.operators import features as ft
 from quorate.operators import reports as rp
 from quorate.plans import registry as rg
@@ -218,6 +222,17 @@ def benchmark_winner(spark, sf):
     return rounded(bm.winners(benchmark(spark, sf)))
 
 
+@query("experiment_suite")
+def experiment_suite(spark, sf):
+    """Two linkages and sizes of two algorithms over the embeddings, through a ledger of its own that a second start finds complete."""
+    sets = {"embeddings": (vw.objects(spark, sf), vw.members8(spark, sf))}
+    jobs = ex.plan(spark, "suite", sets, ["hierarchical", "weighted"], ["average", "complete"], [4, 8], runs=1)
+    table = ex.ledger(spark, f"{shared_folder(spark)}/ledger-{uuid.uuid4().hex}")
+    ex.run(table, jobs, sets)
+    done = ex.run(table, jobs, sets)
+    return rounded(done.select("experiment", "dataset", "algorithm", "linkage", "m", "n_objects", "n_members", "nmi_mean", "ari_mean", "f_mean", "status", "error"))
+
+
 @query("ablation")
 def ablation(spark, sf):
     return rounded(bm.ablation(vw.members8(spark, sf), vw.objects(spark, sf)))

@@ -11,6 +11,7 @@ from quorate.operators import coassociation as co
 from quorate.operators import contingency as ct
 from quorate.operators import ensemble as en
 from quorate.operators import features as ft
+from quorate.operators import neighbours as nb
 from quorate.operators import recommend as rc
 from quorate.operators import reports as rp
 from quorate.plans import views as vw
@@ -488,6 +489,35 @@ def recommend_rules(spark, sf):
     return rc.rules(diag(spark, sf))
 
 
+@query("recommend_reasons", "", f"""WITH {DIAG} SELECT dataset, concat_ws('; ',
+    CASE WHEN k IS NOT NULL THEN 'k range: around the number of classes' ELSE 'k range: no labels: from the dimensions that hold 90 % of the variance' END,
+    CASE WHEN n < 300 THEN 'm: 20 for fewer than 300 objects' WHEN n < 1000 THEN 'm: 30 for fewer than 1000 objects' WHEN n < 5000 THEN 'm: 40 for fewer than 5000 objects' ELSE 'm: 50 for 5000 objects or more' END,
+    CASE WHEN hopkins < 0.6 THEN 'm: 10 more: weak cluster tendency' END, CASE WHEN overlap > 0.3 THEN 'm: 10 more: classes overlap' END, CASE WHEN imbalance > 5 THEN 'm: 10 more: strong imbalance of classes' END,
+    CASE WHEN n > 2500 THEN 'strategy: k-means alone: linkages are too slow for more than 2500 objects' ELSE 'strategy: k-means and linkages in turn' END,
+    CASE WHEN elongation > 8 THEN 'method: single linkage keeps long clusters' WHEN density > 0.6 THEN 'method: average linkage bears uneven density' ELSE 'method: average linkage is the steadiest' END,
+    CASE WHEN overlap > 0.35 THEN 'sharpen: strong contrast: classes overlap' WHEN silhouette > 0.5 THEN 'sharpen: little contrast: classes are clear' WHEN k > 6 THEN 'sharpen: more contrast: many classes' ELSE 'sharpen: the default' END,
+    CASE WHEN n > 2500 THEN 'diffusion_time: longer for a large graph' WHEN overlap > 0.3 OR density > 0.6 THEN 'diffusion_time: longer: overlap or uneven density' ELSE 'diffusion_time: the default' END,
+    CASE WHEN overlap > 0.4 THEN 'lam, eta: careful: classes overlap much' WHEN silhouette > 0.5 THEN 'lam, eta: bold: classes are clear' ELSE 'lam, eta: the default' END,
+    CASE WHEN imbalance > 5 THEN 'theta: lower, so that small classes stay' WHEN silhouette > 0.5 THEN 'theta: higher: classes are clear' ELSE 'theta: the default' END) AS reasons FROM dg""")
+def recommend_reasons(spark, sf):
+    return rc.reasons(diag(spark, sf)).select("dataset", F.concat_ws("; ", "reasons").alias("reasons"))
+
+
+@query("interpretation", "", f"""WITH {DIAG} SELECT dataset,
+    concat_ws('; ', CASE WHEN k IS NOT NULL THEN 'labels are there: for scores and diagnostics only' END, CASE WHEN density >= 0.6 THEN 'density is uneven: look at average linkage and guided algorithms' END, CASE WHEN elongation >= 8 THEN 'clusters are long: look at single and average linkage' END) AS findings,
+    concat_ws('; ', CASE WHEN k IS NULL THEN 'no labels: advice comes from the inner structure alone' END, CASE WHEN d * 1.0 / n >= 0.5 THEN 'many features for so few objects: distances become unreliable' END,
+        CASE WHEN overlap >= 0.3 THEN 'classes overlap: scores can be low for all algorithms' END, CASE WHEN imbalance >= 5 THEN 'strong imbalance: small clusters can be lost without weights' END) AS warnings,
+    CASE WHEN elongation > 8 THEN 'weighted' ELSE 'guided_diffusion' END AS algorithm FROM dg""")
+def interpretation(spark, sf):
+    notes = rc.interpretation(diag(spark, sf))
+    return notes.select("dataset", *(F.concat_ws("; ", c).alias(c) for c in ("findings", "warnings")), "algorithm")
+
+
+@query("prefix_intervals")
+def prefix_intervals(spark, sf):
+    return rounded(rp.prefix_intervals(vw.runs(spark, sf), [5, 10, 20, 30, 50]))
+
+
 @query("algorithm_ranking", "", f"""WITH {DIAG}, pt AS (SELECT dataset, 0 AS o, 'hierarchical' AS algorithm, CASE WHEN silhouette > 0.55 THEN 1.5 ELSE 0 END + CASE WHEN elongation > 8 THEN 2.0 ELSE 0 END AS score FROM dg
 UNION ALL SELECT dataset, 1, 'weighted', CASE WHEN overlap > 0.4 THEN 2.5 ELSE 0 END + CASE WHEN silhouette > 0.55 THEN 1.0 ELSE 0 END + CASE WHEN elongation > 8 THEN 1.0 ELSE 0 END + CASE WHEN hopkins < 0.55 THEN 1.5 ELSE 0 END FROM dg
 UNION ALL SELECT dataset, 2, 'guided', CASE WHEN d * 1.0 / n > 0.5 THEN 2.0 ELSE 0 END + CASE WHEN k > 7 THEN 1.5 ELSE 0 END FROM dg
@@ -588,6 +618,24 @@ def _consensus(algorithm: str, method: str, **params):
     return run
 
 
+#: Steps of at most EPS between embeddings; every pair is compared, and what is reached grows until nothing is new.
+EPS = 1.1
+REACH = """WITH RECURSIVE e AS (SELECT vec_id AS o, label + 1 AS g, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+    near AS MATERIALIZED (SELECT a.o AS s, b.o AS t FROM e a JOIN e b ON {on} WHERE list_distance(a.v, b.v) <= {eps}),
+    reach(o, t) AS (SELECT o, o FROM e UNION SELECT r.o, n.t FROM reach r JOIN near n ON n.s = r.t),
+    comp AS (SELECT o AS obj_id, min(t) AS component FROM reach GROUP BY 1)"""
+
+
+@query("eps_components", "", REACH.format(on="a.o <> b.o", eps=EPS) + " SELECT obj_id, component FROM comp")
+def eps_components(spark, sf):
+    return nb.eps_components(vw.objects(spark, sf), EPS)
+
+
+@query("eps_connectivity", "", REACH.format(on="a.o <> b.o AND a.g = b.g", eps=EPS) + " SELECT gt, CAST(sum(n) AS BIGINT) AS objects, count(*) AS components, max(n) AS largest, count(*) = 1 AS connected FROM (SELECT g AS gt, component, count(*) AS n FROM comp JOIN e ON o = obj_id GROUP BY 1, 2) GROUP BY 1")
+def eps_connectivity(spark, sf):
+    return nb.eps_connectivity(vw.objects(spark, sf), EPS)
+
+
 #: The partitions that random_plan(members8, 6, 2) draws: the hash it goes by is not in DuckDB.
 DRAWN = ", ".join(f"({run}, {part})" for run, parts in enumerate(((0, 1, 2, 5, 6, 7), (0, 1, 3, 4, 5, 6))) for part in parts)
 #: The levels of agreement are taken one by one: components by the least point that each one reaches.
@@ -610,6 +658,19 @@ SINGLE = f"""WITH RECURSIVE {vw.SQL["members"]}, plan(run_id, part_id) AS (VALUE
     SELECT run_id, obj_id, CAST(dense_rank() OVER (PARTITION BY run_id ORDER BY least_obj) AS INTEGER) AS label
     FROM (SELECT run_id, obj_id, min(obj_id) OVER (PARTITION BY run_id, c) AS least_obj FROM chosen)"""
 
+@query("learned_weights", "", f"""WITH {vw.SQL["members"]}, plan(run_id, part_id) AS (VALUES {DRAWN}),
+    c AS (SELECT a.part_id AS p, b.part_id AS q, a.cluster_id AS x, b.cluster_id AS y, count(*) AS n FROM members a JOIN members b USING (obj_id) GROUP BY 1, 2, 3, 4),
+    s AS (SELECT p, q, sum(n * n) AS both, sum(n) AS n FROM c GROUP BY 1, 2),
+    r AS (SELECT p, q, (CAST(s.n AS DOUBLE) * s.n - a.both - b.both + 2 * s.both) / (CAST(s.n AS DOUBLE) * s.n) AS agree FROM s JOIN (SELECT p, both FROM s WHERE p = q) a USING (p) JOIN (SELECT q, both FROM s WHERE p = q) b USING (q)),
+    m AS (SELECT x.run_id, x.part_id, avg(agree) AS m FROM plan x JOIN plan y USING (run_id) JOIN r ON r.p = x.part_id AND r.q = y.part_id GROUP BY 1, 2),
+    w AS (SELECT run_id, part_id, pow(m / sum(m) OVER (PARTITION BY run_id), 1.5) AS w FROM m),
+    f AS (SELECT row_number() OVER (PARTITION BY run_id ORDER BY part_id) AS position, w / sum(w) OVER (PARTITION BY run_id) AS weight FROM w)
+    SELECT CAST(position AS INTEGER) AS position, count(*) AS runs, round(avg(weight), 6) AS weight FROM f GROUP BY 1""")
+def learned_weights(spark, sf):
+    m = vw.members8(spark, sf)
+    return rounded(ct.position_weights(m, en.random_plan(m, 6, 2), 1.5))
+
+
 for _method in ("single", "complete", "average", "ward"):
     QUERIES[f"consensus_labels_{_method}"] = _consensus("hierarchical", _method)
 ORACLE["consensus_labels_single"] = SINGLE

@@ -90,7 +90,7 @@ def test_a_killed_start_goes_on(spark, path):
             raise RuntimeError("killed")
         tried.append(tuple(job[k] for k in ex.KEYS))
         bad = job["algorithm"] == "nonsense"
-        return (1, 4, *[None if bad else 0.5] * 6, 0.1, "failed" if bad else "ok", "unknown" if bad else "")
+        return (1, 4, *[None if bad else 0.5] * 6, 0.1, 1.0, "failed" if bad else "ok", "unknown" if bad else "")
 
     t = ex.ledger(spark, path)
     few = jobs.where("dataset = 'a' AND linkage = 'ward' AND m = 2")
@@ -99,9 +99,9 @@ def test_a_killed_start_goes_on(spark, path):
     assert t.read().count() == 3
     done = ex.run(t, few, sets, 2, lambda j, d: solve(j, d, -1))
     assert done.count() == few.count() == 6 and done.where("status = 'ok'").count() == 4
-    assert len(tried) == 6
+    assert len(tried) == 7  # the third one had failed
     again = ex.run(t, few, sets, 2, lambda j, d: solve(j, d, -1))
-    assert again.count() == 6 and len(tried) == 8 and {k[2] for k in tried[6:]} == {"nonsense"}
+    assert again.count() == 6 and len(tried) == 9 and {k[2] for k in tried[7:]} == {"nonsense"}
 
 
 def test_report_and_settings(spark, path):
@@ -110,10 +110,24 @@ def test_report_and_settings(spark, path):
     jobs = ex.report_plan(spark, sets, runs=1, only=["linkage"]).where("linkage <> 'single'").unionByName(ex.plan(spark, "other", {"gone": sets["a"]}, ["weighted"], ["average"], [2], runs=1)).unionByName(ex.plan(spark, "linkage", sets, ["nonsense"], ["average"], [2], runs=1))
     done = ex.run(t, jobs, sets)
     ok = done.where("status = 'ok'").collect()
-    assert len(ok) == 4 and all(r.m == 4 and 0 < r.nmi_mean <= 1 and r.seconds > 0 and r.n_objects == 24 and r.error == "" for r in ok)
+    assert len(ok) == 4 and all(r.m == 4 and 0 < r.nmi_mean <= 1 and r.seconds > 0 and r.memory_mb >= 0 and r.n_objects == 24 and r.error == "" for r in ok)
     bad = {r.dataset: r.error for r in done.where("status = 'failed'").collect()}
     assert "unknown algorithm" in bad["a"] and "no data set" in bad["gone"]
     by = {(r.algorithm, r.linkage): (r.jobs, r.failed) for r in ex.by_setting(done, "linkage").where("experiment = 'linkage'").collect()}
     assert by == {("hierarchical", "average"): (1, 0), ("hierarchical", "complete"): (1, 0), ("weighted", "average"): (1, 0), ("weighted", "complete"): (1, 0), ("nonsense", "average"): (1, 1)}
     assert ex.remaining(t, jobs).count() == 2
     assert shared_folder(spark)
+
+
+def test_peak_memory_of_a_job(spark):
+    import numpy as np
+
+    from quorate.operators import benchmark as bm
+
+    def allocates():
+        x = np.ones(25_000_000)  # 200 MB
+        return (x[:3] > 2).astype(int)
+
+    row = bm.attempt({"job_id": 0, "run_id": 0}, np.arange(3), allocates).iloc[0]
+    assert 150 < row["memory_mb"] < 400 and row["error"] is None
+    assert bm.attempt({"job_id": 0, "run_id": 0}, np.arange(3), lambda: np.zeros(3, int)).iloc[0]["memory_mb"] < 50
