@@ -312,9 +312,11 @@ def refine_classes(high: np.ndarray, n: np.ndarray, must: tuple, cannot: tuple,
     return s, d
 
 
-def guided(members: np.ndarray, lam: float = 0.09, eta: float = 0.75, theta: float = 0.65, weight: np.ndarray | None = None, time: float | None = None, diffusion: bool = False) -> np.ndarray:
+def guided(members: np.ndarray, lam: float = 0.09, eta: float = 0.75, theta: float = 0.65, weight: np.ndarray | None = None, time: float | None = None, diffusion: bool = False, tau: float | None = None) -> np.ndarray:
     """Consensus matrix guided by must and cannot links; with ``diffusion`` cluster similarity is a heat kernel (time None: adaptive).
 
+    ``tau`` is the least dissimilarity that is a cannot link: 0.8, or by a percentile with ``diffusion``, if it is None.
+
     Objects with equal rows are one class. ``weight`` goes by the clusters of one_hot(members).
     """
     classes, back, n = np.unique(members, axis=0, return_inverse=True, return_counts=True)
@@ -340,7 +342,7 @@ def guided(members: np.ndarray, lam: float = 0.09, eta: float = 0.75, theta: flo
     else:
         near = random_walk(similarity)
     np.fill_diagonal(near, 1)
-    cannot = cannot_links(segments, part, 1 - near, None if diffusion else 0.8, n=n)
+    cannot = cannot_links(segments, part, 1 - near, tau if tau is not None else None if diffusion else 0.8, n=n)
     # the weights of linked pairs: an object alone in its class has no pair there, and every object is linked with itself
     mask = ca >= theta
     real = mask & ~np.diag(alone)
@@ -351,6 +353,53 @@ def guided(members: np.ndarray, lam: float = 0.09, eta: float = 0.75, theta: flo
     return spread(fuse(s[0].astype(float), d[0].astype(float), w), fuse(s[1], d[1], ones))
 
 
+def nmi(a: np.ndarray, b: np.ndarray) -> float:
+    """Mutual information of two labelings over the mean of their entropies; 1 if both have one cluster."""
+    x, y = (np.unique(v, return_inverse=True)[1].ravel() for v in (a, b))
+    p = np.bincount(x * (y.max() + 1) + y, minlength=(x.max() + 1) * (y.max() + 1)).reshape(x.max() + 1, -1) / len(x)
+    px, py = p.sum(1), p.sum(0)
+    if len(px) == len(py) == 1:
+        return 1.0
+    mutual = (p[p > 0] * np.log(p[p > 0] / np.outer(px, py)[p > 0])).sum()
+    return 0.0 if abs(mutual) < 1e-12 else float(max(0.0, 2 * mutual / -((px * np.log(px)).sum() + (py * np.log(py)).sum())))
+
+
+def silhouette(dist: np.ndarray, labels: np.ndarray) -> float:
+    """Mean silhouette; a point alone in its cluster has 0."""
+    k = np.unique(labels, return_inverse=True)[1].ravel()
+    onto = np.eye(k.max() + 1)[k]
+    n = onto.sum(0)
+    mean = dist @ onto / np.maximum(n - onto, 1)  # the own cluster without the point itself
+    own = (mean * onto).sum(1)
+    other = np.where(onto > 0, np.inf, mean).min(1)
+    return float(np.where(n[k] > 1, (other - own) / np.maximum(np.maximum(own, other), 1e-300), 0).mean())
+
+
+def davies_bouldin(x: np.ndarray, labels: np.ndarray) -> float:
+    """Mean over clusters of the largest (spread + spread) / distance of centres; equal centres count 0."""
+    k = np.unique(labels, return_inverse=True)[1].ravel()
+    n = np.bincount(k)
+    centre = np.zeros((len(n), x.shape[1]))
+    np.add.at(centre, k, x)
+    centre /= n[:, None]
+    spread = np.bincount(k, weights=np.sqrt(((x - centre[k]) ** 2).sum(1))) / n
+    apart = pairwise(centre)
+    np.fill_diagonal(apart, np.inf)
+    ratio = np.divide(spread[:, None] + spread, apart, out=np.zeros_like(apart), where=apart > 1e-12)
+    return float(ratio.max(1).mean())
+
+
+def objective(labels: np.ndarray, members: np.ndarray, x: np.ndarray | None = None) -> float:
+    """How good a labeling is without any ground truth: 0.4 for its silhouette, 0.4 for its mean NMI with the base partitions, 0.2 for its Davies-Bouldin index, each in [0, 1].
+
+    Without features, or with one cluster or as many as points, the silhouette counts as 0 and the index as 5.
+    """
+    clusters = len(np.unique(labels))
+    clear, mixed = (silhouette(pairwise(x), labels), davies_bouldin(x, labels)) if x is not None and 1 < clusters < len(labels) else (0.0, 5.0)
+    agree = [nmi(labels, p) for p in members.T if len(np.unique(p)) > 1]
+    return 0.4 * (clear + 1) / 2 + 0.4 * (float(np.mean(agree)) if agree else 0.0) + 0.2 / (1 + mixed)
+
+
 def greedy_subset(agreement: np.ndarray, m: int, alpha: float = 0.5) -> list[int]:
     """Quality and diversity: start with the best partition, then add what has most quality and least agreement with those chosen."""
     n = len(agreement)

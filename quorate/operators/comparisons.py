@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from quorate.operators import contingency as ct
+from quorate.operators import features as ft
 from quorate.operators import recommend as rc
 from quorate.operators import reports as rp
 
@@ -202,22 +203,18 @@ def by_name(rows: DataFrame, name: str) -> DataFrame:
 def projection(values: DataFrame) -> DataFrame:
     """(obj_id, x, y): the two first principal components, with signs that make the largest loading positive.
 
-    Spark sums the covariance; one task sees its d by d matrix; loadings (2 d numbers) are joined on the feature.
+    Tasks sum the covariance; one task sees its d by d matrix; loadings (2 d numbers) are joined on the feature.
     """
     mean = values.groupBy("feat").agg(F.avg("value").alias("m"))
-    left, right = values.select("obj_id", F.col("feat").alias("a"), F.col("value").alias("u")), values.select("obj_id", F.col("feat").alias("b"), F.col("value").alias("v"))
-    cov = left.join(right, "obj_id").where("a <= b").groupBy("a", "b").agg(F.covar_samp("u", "v").alias("c"))
 
     def loadings(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["b"].max()) + 1
-        c = np.zeros((d, d))
-        c[pdf["a"], pdf["b"]] = c[pdf["b"], pdf["a"]] = pdf["c"]
-        v = np.linalg.eigh(c)[1][:, ::-1]
-        v = np.hstack([v, np.zeros((d, 1))])[:, :2]
+        v = np.linalg.eigh(ft.covariance(pdf)[0])[1][:, ::-1]
+        v = np.hstack([v, np.zeros((len(v), 1))])[:, :2]
         v = v * np.where(v[np.abs(v).argmax(0), np.arange(2)] < 0, -1, 1)
-        return pd.DataFrame({"feat": np.arange(d), "p": v[:, 0], "q": v[:, 1]})
+        return pd.DataFrame({"feat": np.arange(len(v)), "p": v[:, 0], "q": v[:, 1]})
 
-    axes = cov.groupBy(F.lit(0).alias("_")).applyInPandas(lambda pdf: loadings(pdf), "feat int, p double, q double").join(mean, "feat")
+    moments = ft.comoments(ft.objects_of(values), [])
+    axes = moments.groupBy(F.lit(0).alias("_")).applyInPandas(lambda pdf: loadings(pdf), "feat int, p double, q double").join(mean, "feat")
     centred = F.col("value") - F.col("m")
     return values.join(axes, "feat").groupBy("obj_id").agg(F.sum(centred * F.col("p")).alias("x"), F.sum(centred * F.col("q")).alias("y"))
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from quorate.functions import kernels
 from quorate.operators import contingency as ct
+from quorate.operators import features as ft
 from quorate.operators import linkage
 
 METHODS = ("average", "complete", "single", "ward")
@@ -113,7 +114,7 @@ def weighted(members: np.ndarray, params: dict) -> np.ndarray:
 
 
 def guided(members: np.ndarray, params: dict) -> np.ndarray:
-    return kernels.guided(members, params.get("lam", 0.09), params.get("eta", 0.75), params.get("theta", 0.65))
+    return kernels.guided(members, params.get("lam", 0.09), params.get("eta", 0.75), params.get("theta", 0.65), tau=params.get("tau"))
 
 
 def guided_diffusion(members: np.ndarray, params: dict) -> np.ndarray:
@@ -137,7 +138,7 @@ def guided_diffusion(members: np.ndarray, params: dict) -> np.ndarray:
     weight = agree[part] * np.asarray(params.get("fuzzy", 1.0))
     weight = np.clip(weight / max(weight.max(), 1e-12), 1e-6, 1)
     time = params.get("time", 1.0)
-    return kernels.guided(members, eta=params.get("eta", 0.75), theta=params.get("theta", 0.65), weight=weight, time=None if time == "adaptive" else time, diffusion=True)
+    return kernels.guided(members, eta=params.get("eta", 0.75), theta=params.get("theta", 0.65), weight=weight, time=None if time == "adaptive" else time, diffusion=True, tau=params.get("tau"))
 
 
 #: name -> function of (objects by partitions, parameters) to a similarity matrix. Add to it to extend the library.
@@ -147,7 +148,7 @@ ALGORITHMS: dict[str, Callable[[np.ndarray, dict], np.ndarray]] = {"hierarchical
 ALIASES = {"hierarchical_baseline": "hierarchical", "hierarchical_weighted": "weighted", "sdgca": "guided", "sdgca_modified": "guided_diffusion"}
 
 #: The parameters that each algorithm looks at.
-PARAMETERS = {"hierarchical": (), "weighted": ("sharpen",), "guided": ("lam", "eta", "theta"), "guided_diffusion": ("eta", "theta", "time")}
+PARAMETERS = {"hierarchical": (), "weighted": ("sharpen",), "guided": ("lam", "eta", "theta", "tau"), "guided_diffusion": ("eta", "theta", "time", "tau")}
 
 
 def canonical(name: str) -> str:
@@ -155,6 +156,14 @@ def canonical(name: str) -> str:
     return ALIASES.get(name, name)
 
 
+def checked(m: int, runs: int, params: dict) -> None:
+    """Raise where a run cannot be meant: no partitions, no runs, no sharpening, no time, a tau outside [0, 1]."""
+    time = params.get("time", 1.0)
+    for name, right in (("m", m >= 1), ("runs", runs >= 1), ("sharpen", params.get("sharpen", 1.0) > 0), ("time", time == "adaptive" or time > 0), ("tau", params.get("tau") is None or 0 <= params["tau"] <= 1)):
+        if not right:
+            raise ValueError(f"{name} is out of range")
+
+
 def ignored_params(algorithm: str, params: dict) -> list[str]:
     """The names of the given parameters that the algorithm does not look at; none for algorithms that PARAMETERS does not list."""
     known = PARAMETERS.get(canonical(algorithm))
@@ -204,10 +213,12 @@ def consensus(members: DataFrame, plan: DataFrame, k: int, algorithm: str = "hie
 def run_consensus(members: DataFrame, labels: DataFrame, algorithm: str = "hierarchical", method: str = "average", m: int = 40, runs: int = 20, seed: int = 19, selection: str = "random", alpha: float = 0.5, per_run: bool = False, **params) -> DataFrame:
     """One row: means and population deviations of NMI, ARI and F over the runs, how many there were, and ignored parameters.
 
-    With ``per_run`` also the values of the runs in their order, as arrays nmi_runs, ari_runs and f_runs.
+    With ``per_run`` also the values of the runs in their order, as arrays nmi_runs, ari_runs and f_runs, the partitions that
+    each run took (selected_runs), how many there are (pool) and, for 'weighted', the mean weight of each place in a run.
 
     k is the number of classes in labels(obj_id, gt), which are used for nothing else but the scores.
     """
+    checked(m, runs, params)
     k = labels.select("gt").distinct().count()
     if k < 2:
         raise ValueError("at least two classes are needed")
@@ -217,7 +228,16 @@ def run_consensus(members: DataFrame, labels: DataFrame, algorithm: str = "hiera
     if per_run:
         stats += [F.expr(f"transform(array_sort(collect_list(struct(run_id, {c}))), r -> r.{c})").alias(f"{c}_runs") for c in ("nmi", "ari", "f")]
     ignored = F.lit(",".join(ignored_params(algorithm, params))).alias("ignored_params")
-    return scored.agg(*stats, F.count("*").alias("runs")).select(F.lit(algorithm).alias("algorithm"), F.lit(method).alias("method"), "*", ignored)
+    out = scored.agg(*stats, F.count("*").alias("runs")).select(F.lit(algorithm).alias("algorithm"), F.lit(method).alias("method"), "*", ignored)
+    if per_run:  # rows of runs times partitions
+        chosen = plan.groupBy("run_id").agg(F.sort_array(F.collect_list("part_id")).alias("s")).agg(F.expr("transform(array_sort(collect_list(struct(run_id, s))), r -> r.s)").alias("selected_runs"))
+        more = [chosen, members.agg(F.count_distinct("part_id").alias("pool"))]
+        if canonical(algorithm) == "weighted":
+            weights = ct.position_weights(members, plan, params.get("sharpen", 1.0))
+            more.append(weights.agg(F.expr("transform(array_sort(collect_list(struct(position, weight))), r -> r.weight)").alias("mean_weights")))
+        for part in more:
+            out = out.join(F.broadcast(part), F.lit(True))  # one row
+    return out
 
 
 def single_clusterers(objs: DataFrame, k: int, seed: int = 19, starts: int = 10, max_n: int = 3000) -> DataFrame:
@@ -241,37 +261,29 @@ def single_clusterers(objs: DataFrame, k: int, seed: int = 19, starts: int = 10,
 def class_shapes(objs: DataFrame) -> DataFrame:
     """(gt, elongation, condition): ratios of the largest to the second and the smallest eigenvalue of each class's sample covariance.
 
-    The covariance is summed in Spark; only a d by d matrix of each class goes to a task.
+    The covariance is summed in tasks; only a d by d matrix of each class goes to one.
     """
-    long = objs.select("obj_id", "gt", F.posexplode("features").alias("a", "x"))
-    other = objs.select("obj_id", F.posexplode("features").alias("b", "y"))
-    cov = long.join(other, "obj_id").where("a <= b").groupBy("gt", "a", "b").agg(F.covar_samp("x", "y").alias("c"))
 
     def ratios(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["b"].max()) + 1
-        m = np.zeros((d, d))
-        m[pdf["a"], pdf["b"]] = m[pdf["b"], pdf["a"]] = pdf["c"]
-        e = np.maximum(np.linalg.eigvalsh(m)[::-1], 1e-12)
-        return pd.DataFrame({"gt": [pdf["gt"].iloc[0]], "elongation": [e[0] / e[min(1, d - 1)]], "condition": [e[0] / e[-1]]})
+        e = np.maximum(np.linalg.eigvalsh(ft.covariance(pdf)[0])[::-1], 1e-12)
+        return pd.DataFrame({"gt": [pdf["gt"].iloc[0]], "elongation": [e[0] / e[min(1, len(e) - 1)]], "condition": [e[0] / e[-1]]})
 
-    return cov.groupBy("gt").applyInPandas(ratios, "gt long, elongation double, condition double")
+    moments = ft.comoments(objs.select(F.col("gt").cast("long").alias("gt"), F.col("features").alias("x")), ["gt"])
+    return moments.groupBy("gt").applyInPandas(ratios, "gt long, elongation double, condition double")
 
 
 def pca_profile(values: DataFrame) -> DataFrame:
-    """explained_2, explained_10, dims_90, dims_95 and participation of the feature covariance, which Spark sums up."""
-    left, right = values.select("obj_id", F.col("feat").alias("a"), F.col("value").alias("x")), values.select("obj_id", F.col("feat").alias("b"), F.col("value").alias("y"))
-    cov = left.join(right, "obj_id").where("a <= b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c"), F.count("*").alias("n"))
+    """explained_2, explained_10, dims_90, dims_95 and participation of the feature covariance, which tasks sum up."""
 
     def profile(pdf: pd.DataFrame) -> pd.DataFrame:
-        d = int(pdf["b"].max()) + 1
-        m = np.zeros((d, d))
-        m[pdf["a"], pdf["b"]] = m[pdf["b"], pdf["a"]] = pdf["c"]
-        e = np.maximum(np.linalg.eigvalsh(m)[::-1], 0)[: min(d, int(pdf["n"].max()) - 1)]
+        m, n = ft.covariance(pdf)
+        e = np.maximum(np.linalg.eigvalsh(m)[::-1], 0)[: min(len(m), n - 1)]
         share = np.cumsum(e) / np.trace(m)
         dims = [int(min(np.searchsorted(share, q) + 1, len(e))) for q in (0.9, 0.95)]
         return pd.DataFrame({"explained_2": [share[min(1, len(e) - 1)]], "explained_10": [share[min(9, len(e) - 1)]], "dims_90": [dims[0]], "dims_95": [dims[1]], "participation": [e.sum() ** 2 / (e**2).sum()]})
 
-    return cov.groupBy(F.lit(0).alias("_")).applyInPandas(lambda pdf: profile(pdf), "explained_2 double, explained_10 double, dims_90 int, dims_95 int, participation double")
+    moments = ft.comoments(ft.objects_of(values), [])
+    return moments.groupBy(F.lit(0).alias("_")).applyInPandas(lambda pdf: profile(pdf), "explained_2 double, explained_10 double, dims_90 int, dims_95 int, participation double")
 
 
 def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
@@ -303,16 +315,17 @@ def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int
     return rows.groupBy(*keys).agg(F.avg(value).alias("mean")).join(ends, keys)
 
 
-def parameter_grid(members: DataFrame, labels: DataFrame, grid: list[dict], algorithm: str = "guided", method: str = "average", m: int = 20, runs: int = 2, seed: int = 19, max_n: int = 3000) -> DataFrame:
-    """(trial, params, run_id, nmi, ari, f, status, error): every setting of the grid on the same runs, one task each.
+def parameter_grid(members: DataFrame, labels: DataFrame, grid: list[dict], algorithm: str = "guided", method: str = "average", m: int = 20, runs: int = 2, seed: int = 19, max_n: int = 3000, features: DataFrame | None = None) -> DataFrame:
+    """(trial, params, run_id, nmi, ari, f, objective, status, error): every setting of the grid on the same runs, one task each.
 
-    A run of more than max_n objects is a failed row.
+    A run of more than max_n objects is a failed row. ``objective`` needs no labels (see kernels.objective); it looks at
+    features(obj_id, features) if they are given.
 
     A setting that fails gives rows of status 'failed' with its error instead of stopping the others. The best one is
     the row of largest mean metric over its runs; see ``best_setting``.
     """
     k = labels.select("gt").distinct().count()
-    build = ALGORITHMS[algorithm]
+    build, with_features = ALGORITHMS[algorithm], features is not None
     plan = random_plan(members, m, runs, seed)
     trials = F.array(*[F.struct(F.lit(i).alias("trial"), F.lit(json.dumps(p, sort_keys=True)).alias("params")) for i, p in enumerate(grid)])
 
@@ -323,17 +336,22 @@ def parameter_grid(members: DataFrame, labels: DataFrame, grid: list[dict], algo
             if len(wide) > max_n:
                 raise ValueError(f"{len(wide)} objects; max_n is {max_n}")
             found, error = kernels.consensus_labels(build(wide.to_numpy(), json.loads(head["params"])), k, method), None
+            first = pdf[pdf["part_id"] == wide.columns[0]].set_index("obj_id") if with_features else None
+            value = kernels.objective(found, wide.to_numpy(), None if first is None else np.stack(first["features"].loc[wide.index].to_numpy()).astype(float))
         except Exception as e:  # a failed setting is a result
-            found, error = np.zeros(len(wide), dtype=int), f"{type(e).__name__}: {e}"[:120]
-        return pd.DataFrame(head | {"obj_id": wide.index, "label": found, "error": error})
+            found, value, error = np.zeros(len(wide), dtype=int), None, f"{type(e).__name__}: {e}"[:120]
+        return pd.DataFrame(head | {"obj_id": wide.index, "label": found, "objective": pd.array([value] * len(wide), dtype="Float64"), "error": error})
 
     rows = members.select("obj_id", "part_id", "cluster_id").join(plan, "part_id").withColumn("t", F.explode(trials)).select("obj_id", "part_id", "cluster_id", "run_id", "t.*")
-    tried = rows.groupBy("trial", "run_id").applyInPandas(attempt, "trial int, params string, run_id int, obj_id long, label int, error string")
-    keys = ["trial", "params", "run_id", "status", "error"]
+    if with_features:
+        rows = rows.join(features.select("obj_id", "features"), "obj_id")
+    tried = rows.groupBy("trial", "run_id").applyInPandas(attempt, "trial int, params string, run_id int, obj_id long, label int, objective double, error string")
+    keys = ["trial", "params", "run_id", "objective", "status", "error"]
     tried = tried.withColumn("status", F.when(F.col("error").isNull(), "ok").otherwise("failed")).withColumn("error", F.coalesce("error", F.lit("")))
+    tried = tried.withColumn("objective", F.coalesce("objective", F.lit(float("nan"))))  # keys are joined, which nulls are not
     scored = ct.agreement(tried.join(labels, "obj_id"), keys, "label", "gt").drop("n")
     ok = lambda c: F.when(F.col("status") == "ok", F.col(c)).alias(c)
-    return scored.select(*keys, ok("nmi"), ok("ari"), ok("f"))
+    return scored.select(*keys[:3], ok("nmi"), ok("ari"), ok("f"), ok("objective"), "status", "error")
 
 
 def best_setting(trials: DataFrame, metric: str = "nmi") -> DataFrame:
@@ -346,7 +364,8 @@ def tune(members: DataFrame, labels: DataFrame, ranges: dict[str, tuple[float, f
     """(round, trial, params, value, failed): a coarse grid over the ranges, then finer ones around the best setting, in rounds.
 
     A round tries ``steps`` values in each range, ends included, and the next one reaches a step to each side of the
-    best setting, within the first ranges. A setting's value is its mean over all seeds and runs; failed runs count 0.
+    best setting, within the first ranges. A setting's value is its mean over all seeds and runs; failed runs count 0. The
+    metric is nmi, ari or f, or 'objective', which needs no labels but for the number of clusters.
     The best setting of all is the row of the largest value; see ``best_trial``. A round is one job of bounded tasks.
     """
     spark, now, rows = members.sparkSession, dict(ranges), []

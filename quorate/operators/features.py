@@ -6,7 +6,7 @@ objects by definition; the diagnostics that need them take ``max_n`` objects at
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 
 def per_feature(values: DataFrame, stats: dict[str, Column]) -> DataFrame:
-    """values with statistics of each feature: partial aggregates joined back, so no feature is one task's work."""
-    return values.join(values.groupBy("feat").agg(*[c.alias(n) for n, c in stats.items()]), "feat")
+    """values with statistics of each feature: partial aggregates sent back, a row a feature, together as wide as one object."""
+    return values.join(F.broadcast(values.groupBy("feat").agg(*[c.alias(n) for n, c in stats.items()])), "feat")
 
 
 def zscore(values: DataFrame) -> DataFrame:
@@ -143,53 +143,108 @@ def sampled(objs: DataFrame, max_n: int) -> DataFrame:
     return objs.orderBy(F.md5(F.col("obj_id").cast("string")), "obj_id").limit(max_n)
 
 
-def object_distances(objs: DataFrame, max_n: int) -> DataFrame:
-    """(i, gi, j, gj, d) for all ordered pairs of at most max_n objects, itself included; the stated sample bounds it.
+def compared(objs: DataFrame, max_n: int, reduce: Callable, schema: str) -> DataFrame:
+    """One row (schema) for each of at most max_n objects: what reduce(own place, distances to all of them, ids, classes) gives.
 
-    The sample goes to the driver and to all tasks, where each part of it is compared with the whole in arrays.
+    The sample goes to the driver and to all tasks, where each part of it is compared with the whole in arrays; distances
+    do not leave the task.
     """
     some = sampled(objs.select("obj_id", "gt", "features"), max_n)
     pool = some.toPandas()
     x = np.stack(pool["features"].to_numpy()).astype(float) if len(pool) else np.zeros((0, 0))
-    j, gj = pool["obj_id"].to_numpy(), pool["gt"].to_numpy()
+    ids, classes = pool["obj_id"].to_numpy(), pd.factorize(pool["gt"], use_na_sentinel=False)[0]
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for i, gi, features in zip(pdf["obj_id"], pdf["gt"], pdf["features"], strict=True):
-                yield pd.DataFrame({"i": i, "gi": gi, "j": j, "gj": gj, "d": np.sqrt(((x - np.asarray(features, dtype=float)) ** 2).sum(1))})
+            rows = [reduce(at, np.sqrt(((x - x[at]) ** 2).sum(1)), ids, classes) for at in pdf["id"]]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
 
-    kinds = {f.name: f.dataType.simpleString() for f in some.schema}
-    parts = objs.sparkSession.sparkContext.defaultParallelism
-    return some.repartition(parts, "obj_id").mapInPandas(compare, f"i {kinds['obj_id']}, gi {kinds['gt']}, j {kinds['obj_id']}, gj {kinds['gt']}, d double")
+    return objs.sparkSession.range(0, len(pool), 1, objs.sparkSession.sparkContext.defaultParallelism).mapInPandas(run, schema)
 
 
 def silhouette(objs: DataFrame, max_n: int = 2000) -> DataFrame:
     """Mean Euclidean silhouette; an object alone in its class has 0."""
-    d = object_distances(objs, max_n).where("i <> j")
-    per = d.groupBy("i", "gi", "gj").agg(F.avg("d").alias("m"))
-    own = per.groupBy("i").agg(F.max(F.when(F.col("gi") == F.col("gj"), F.col("m"))).alias("a"), F.min(F.when(F.col("gi") != F.col("gj"), F.col("m"))).alias("b"))
-    return own.agg(F.avg(F.when(F.col("a").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))).alias("silhouette"), F.count("*").alias("n"))
+
+    def reduce(at: int, d: np.ndarray, ids: np.ndarray, classes: np.ndarray) -> tuple:
+        n, total = np.bincount(classes), np.bincount(classes, weights=d)
+        own = classes[at]
+        n[own] -= 1  # not itself, which is 0 away
+        mean = np.divide(total, n, out=np.full(len(n), np.inf), where=n > 0)
+        others = np.delete(mean, own)
+        if n[own] == 0 or not len(others):
+            return (0.0 if n[own] == 0 else None,)
+        b = others.min()
+        return ((b - mean[own]) / max(mean[own], b),)
+
+    return compared(objs, max_n, reduce, "s double").agg(F.avg("s").alias("silhouette"), F.count("*").alias("n"))
 
 
 def knn_density(objs: DataFrame, k: int = 5, max_n: int = 3000, exclude_self: bool = False) -> DataFrame:
     """Mean, deviation and variation of the k-th neighbour's distance, and the share beyond its 95th percentile."""
-    d = object_distances(objs, max_n)
-    d = d.where("i <> j") if exclude_self else d
-    kth = d.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).where(F.col("r") == k)
+
+    def reduce(at: int, d: np.ndarray, ids: np.ndarray, classes: np.ndarray) -> tuple:
+        d = np.delete(d, at) if exclude_self else d
+        return (np.partition(d, k - 1)[k - 1] if len(d) >= k else None,)
+
+    kth = compared(objs, max_n, reduce, "d double").where("d IS NOT NULL")
     cut = kth.agg(F.percentile("d", F.lit(0.95)).alias("p95"))
     return kth.crossJoin(F.broadcast(cut)).agg(F.avg("d").alias("mean"), F.stddev_pop("d").alias("std"), (F.stddev_pop("d") / F.avg("d")).alias("cv"), F.avg((F.col("d") > F.col("p95")).cast("double")).alias("outlier_ratio"))
 
 
 def overlap(objs: DataFrame, k: int = 60, max_n: int = 3000, exclude_self: bool = False) -> DataFrame:
     """Nearest friend and enemy among the k nearest: means, share of objects nearer to an enemy, mean ratio."""
-    d = object_distances(objs, max_n)
-    d = d.where("i <> j") if exclude_self else d
-    near = d.withColumn("r", F.row_number().over(W.partitionBy("i").orderBy("d", "j"))).where(F.col("r") <= k)
-    per = near.groupBy("i").agg(F.min(F.when(F.col("gi") == F.col("gj"), F.col("d"))).alias("f"), F.min(F.when(F.col("gi") != F.col("gj"), F.col("d"))).alias("e"))
-    both = per.where("f IS NOT NULL AND e IS NOT NULL")
+
+    def reduce(at: int, d: np.ndarray, ids: np.ndarray, classes: np.ndarray) -> tuple:
+        near = np.lexsort((ids, d))
+        near = (near[near != at] if exclude_self else near)[:k]
+        friend = classes[near] == classes[at]
+        first = lambda x: d[x[0]] if len(x) else None
+        return first(near[friend]), first(near[~friend])
+
+    both = compared(objs, max_n, reduce, "f double, e double").where("f IS NOT NULL AND e IS NOT NULL")
     return both.agg(F.avg("f").alias("friend"), F.avg("e").alias("enemy"), F.avg((F.col("e") < F.col("f")).cast("double")).alias("overlap_ratio"), F.avg(F.col("e") / F.greatest("f", F.lit(1e-12))).alias("margin_ratio"))
 
 
+def comoments(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """rows(keys..., x array<double>) -> (keys..., a, b, v): sums over the rows of products of the features a <= b, less a common shift.
+
+    b = -1 has the sums of feature a, and a = -1 the number of rows, so covariances need nothing else. A task adds up
+    matrices for each key and returns d * (d + 1) / 2 numbers at its end; the shift is the mean of each feature, a row's width.
+    """
+    means = rows.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m")).orderBy("i").collect()  # a row a feature
+    shift = np.array([np.nan if r.m is None else r.m for r in means], dtype=float)
+    kinds = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name in keys]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(keys, dropna=False) if keys else [((), pdf)]:
+                if len(part):
+                    x = np.stack(part["x"].to_numpy()).astype(float) - shift
+                    n, s, c = held.get(key, (0, 0.0, 0.0))
+                    held[key] = n + len(x), s + x.sum(0), c + x.T @ x
+        i, j = np.triu_indices(len(shift))
+        for key, (n, s, c) in held.items():
+            a = np.concatenate([i, np.arange(len(s)), [-1]])
+            b = np.concatenate([j, np.full(len(s), -1), [-1]])
+            yield pd.DataFrame({**{k: [v] * len(a) for k, v in zip(keys, key, strict=True)}, "a": a, "b": b, "v": np.concatenate([c[i, j], s, [float(n)]])})
+
+    return rows.select(*keys, "x").mapInPandas(run, ", ".join([*kinds, "a int, b int, v double"])).groupBy(*keys, "a", "b").agg(F.sum("v").alias("v"))
+
+
+def covariance(pdf: pd.DataFrame) -> tuple[np.ndarray, int]:
+    """The sample covariance and the number of rows from the comoments of one key."""
+    a, b, v = pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["v"].to_numpy()
+    n = int(v[a == -1][0])
+    sums = (b == -1) & (a >= 0)
+    s = np.zeros(int(sums.sum()))
+    s[a[sums]] = v[sums]
+    c = np.zeros((len(s), len(s)))
+    both = b >= 0
+    c[a[both], b[both]] = c[b[both], a[both]] = v[both]
+    return (c - np.outer(s, s) / n) / max(1, n - 1), n
+
+
 #: What an object's membership in its own cluster gains before memberships are made to sum to 1 again. Fixed value.
 OWN = 1e-6
 

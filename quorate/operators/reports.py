@@ -265,3 +265,22 @@ def categorised(rows: DataFrame, name: str, known: dict[str, str]) -> DataFrame:
 def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
     """Exactly n rows, or all: those of the smallest md5 of their key."""
     return rows.orderBy(F.md5(F.col(key).cast("string")), key).limit(n)
+
+
+def chosen_sets(manifest: DataFrame, split: str | None = None, fold: int | None = None, types: list[str] | None = None, max_n: int | None = None, limit: int | None = None) -> DataFrame:
+    """manifest(dataset, split, fold, type, n, ...) cut down to a split, a fold, types and sizes, then to the first ``limit`` by name; None takes all."""
+    kept = manifest
+    for condition, given in ((F.col("split") == split, split), (F.col("fold") == fold, fold), (F.col("type").isin(types or []), types), (F.col("n") <= max_n, max_n)):
+        kept = kept if given is None else kept.where(condition)
+    return kept if limit is None else kept.orderBy("dataset").limit(limit)
+
+
+def known_results(results: DataFrame, algorithms: list[str], linkage: str | None = None) -> DataFrame:
+    """Results of known algorithms, of one linkage if it is given."""
+    kept = results.where(F.col("algorithm").isin(algorithms))
+    return kept if linkage is None else kept.where(F.col("linkage") == linkage)
+
+
+def runnable(registry: DataFrame, existing: DataFrame, suffixes: tuple[str, ...] = (".npz", ".mat")) -> DataFrame:
+    """registry(path, suffix, n_partitions, ...) rows that consensus can run on: with members, of a suffix that is read, and still there."""
+    return registry.where((F.col("n_partitions") > 0) & F.lower("suffix").isin(*suffixes)).join(existing.select("path").distinct(), "path", "left_semi")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -25,19 +26,29 @@ def truthy(column: str):
     return F.lower(F.trim(F.col(column))).isin(*TRUE_WORDS)
 
 
+def numbered(lines: DataFrame) -> DataFrame:
+    """lines(value) read from files, with obj_id: their places through all files by name, from 0, the same for any splits."""
+    split = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start"), "_id": F.monotonically_increasing_id()}
+    placed = lines.withColumns(split)  # a split's ids are consecutive
+    splits = placed.groupBy("_file", "_block").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(W.orderBy("_file", "_block").rowsBetween(W.unboundedPreceding, -1))  # a row a split
+    splits = splits.withColumn("_before", F.coalesce(before, F.lit(0)))
+    return placed.join(splits, ["_file", "_block"]).select("value", (F.col("_before") + F.col("_id") - F.col("_first")).alias("obj_id"))
+
+
 def delimited(spark: SparkSession, path: str, sep: str | None = None) -> DataFrame:
     """(obj_id, features, gt, label): a CSV, TSV or white-space table.
 
     The first line is a header unless all of its fields, or all but the last, are numbers. The label is the first
     column whose name is in LABEL_NAMES, else the last. Whole-number labels stay; others are numbered from 0 in the
-    order of their text. obj_id follows the order of lines within the input's splits. Rows of another width and
-    tables without a feature raise.
+    order of their text. obj_id is the number of the line through all files in the order of their names, blank lines
+    left out, however the input is split. Rows of another width and tables without a feature raise.
     """
     lower = path.lower()
     sep = sep or ("," if lower.endswith(".csv") else "\t" if lower.endswith(".tsv") else r"\s+")
     pattern = sep if sep == r"\s+" else f"\\Q{sep}\\E"
     lines = spark.read.text(path).withColumn("value", F.regexp_replace("value", "^﻿", "")).where(F.length(F.trim("value")) > 0)
-    rows = lines.select(F.monotonically_increasing_id().alias("obj_id"), F.transform(F.split(F.trim("value") if sep == r"\s+" else F.col("value"), pattern, -1), lambda x: F.trim(x)).alias("f"))
+    rows = numbered(lines).select("obj_id", F.transform(F.split(F.trim("value") if sep == r"\s+" else F.col("value"), pattern, -1), lambda x: F.trim(x)).alias("f"))
     head = rows.orderBy("obj_id").first()
     if head is None:
         raise ValueError("the table is empty")
@@ -221,10 +232,38 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("sep", "\t" if path.lower().endswith(".tsv") else ",").csv(path)
 
 
-def database(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
-    """A query over a relational database by JDBC; filters on its rows are pushed down. postgres:// URLs are accepted."""
+def bound(query: str, params: tuple) -> str:
+    """The query with its %s in turn replaced by literals: numbers, quoted texts, NULL, TRUE and FALSE. %% is a percent sign."""
+
+    def literal(v) -> str:
+        if v is None or isinstance(v, bool):
+            return {None: "NULL", True: "TRUE", False: "FALSE"}[v]
+        if isinstance(v, (int, float)):
+            if isinstance(v, float) and not math.isfinite(v):
+                raise ValueError("a bound number must be finite")
+            return repr(v)
+        return "'" + str(v).replace("'", "''") + "'"
+
+    left = list(params)
+    pieces = re.split(r"(%s|%%)", query)
+    if pieces.count("%s") != len(left):
+        raise ValueError(f"{pieces.count('%s')} places for {len(left)} parameters")
+    return "".join(literal(left.pop(0)) if p == "%s" else "%" if p == "%%" else p for p in pieces)
+
+
+def database(spark: SparkSession, url: str, query: str, params: tuple | None = None, by: tuple[str, int, int, int] | None = None, **options: str) -> DataFrame:
+    """A query over a relational database by JDBC; filters and columns of its rows are pushed down. postgres:// URLs are accepted.
+
+    ``params`` stand for the query's %s. ``by`` (column, low, high, parts) reads ranges of a whole-number column in so many
+    tasks; rows below low or above high go to the first and the last.
+    """
     url = re.sub(r"^postgres(ql)?://", "jdbc:postgresql://", url)
-    return spark.read.format("jdbc").options(url=url if url.startswith("jdbc:") else f"jdbc:{url}", query=query, **options).load()
+    query = query if params is None else bound(query, params)
+    reader = spark.read.format("jdbc").options(url=url if url.startswith("jdbc:") else f"jdbc:{url}", **options)
+    if by is None:
+        return reader.option("query", query).load()
+    column, low, high, parts = by
+    return reader.options(dbtable=f"({query}) q", partitionColumn=column, lowerBound=str(low), upperBound=str(high), numPartitions=str(parts)).load()
 
 
 def results(spark: SparkSession, path: str, numeric: list[str], columns: list[str] | None = None) -> DataFrame:

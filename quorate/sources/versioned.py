@@ -163,3 +163,15 @@ class VersionedTable:
         for name in gone:
             fs.delete(filesystem(self.spark, f"{self.path}/{name}")[1], True)
         return gone
+
+
+def import_results(table: VersionedTable, folder: str, schema: str, required: list[str]) -> int:
+    """Put the result files (one JSON object each) of a folder into a table keyed by result_file; the number of the commit.
+
+    Files that are no JSON object, or lack one of the required fields or have it empty, are skipped; files that are there
+    already change nothing.
+    """
+    files = table.spark.read.option("wholetext", True).text(folder, pathGlobFilter="*.json").select(F.col("_metadata.file_path").alias("result_file"), F.from_json("value", schema, {"mode": "PERMISSIVE"}).alias("r"))
+    filled = [F.coalesce(F.trim(F.col(f"r.{c}").cast("string")) != "", F.lit(False)) for c in required]
+    rows = files.where(F.col("r").isNotNull() & F.array(*filled).eqNullSafe(F.array(*[F.lit(True)] * len(filled)))).select("result_file", "r.*")
+    return table.insert_missing(rows)

