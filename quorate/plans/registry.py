@@ -660,8 +660,8 @@ SINGLE = f"""WITH RECURSIVE {vw.SQL["members"]}, plan(run_id, part_id) AS (VALUE
 
 @query("learned_weights", "", f"""WITH {vw.SQL["members"]}, plan(run_id, part_id) AS (VALUES {DRAWN}),
     c AS (SELECT a.part_id AS p, b.part_id AS q, a.cluster_id AS x, b.cluster_id AS y, count(*) AS n FROM members a JOIN members b USING (obj_id) GROUP BY 1, 2, 3, 4),
-    s AS (SELECT p, q, sum(n * n) AS both, sum(n) AS n FROM c GROUP BY 1, 2),
-    r AS (SELECT p, q, (CAST(s.n AS DOUBLE) * s.n - a.both - b.both + 2 * s.both) / (CAST(s.n AS DOUBLE) * s.n) AS agree FROM s JOIN (SELECT p, both FROM s WHERE p = q) a USING (p) JOIN (SELECT q, both FROM s WHERE p = q) b USING (q)),
+    s AS (SELECT p, q, sum(n * n) AS pairs, sum(n) AS n FROM c GROUP BY 1, 2),
+    r AS (SELECT p, q, (CAST(s.n AS DOUBLE) * s.n - a.pairs - b.pairs + 2 * s.pairs) / (CAST(s.n AS DOUBLE) * s.n) AS agree FROM s JOIN (SELECT p, pairs FROM s WHERE p = q) a USING (p) JOIN (SELECT q, pairs FROM s WHERE p = q) b USING (q)),
     m AS (SELECT x.run_id, x.part_id, avg(agree) AS m FROM plan x JOIN plan y USING (run_id) JOIN r ON r.p = x.part_id AND r.q = y.part_id GROUP BY 1, 2),
     w AS (SELECT run_id, part_id, pow(m / sum(m) OVER (PARTITION BY run_id), 1.5) AS w FROM m),
     f AS (SELECT row_number() OVER (PARTITION BY run_id ORDER BY part_id) AS position, w / sum(w) OVER (PARTITION BY run_id) AS weight FROM w)
