@@ -212,10 +212,13 @@ def job_grid(manifest: DataFrame, algorithms: list[str], sizes: list[int], linka
 
 
 def remaining(jobs: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
-    """Jobs without a finished row of the same key; nulls are equal to each other."""
-    d = done.select(*[F.col(k).alias(f"_{k}") for k in keys]).distinct()
+    """Jobs without a finished row of the same key; nulls are equal to each other.
+
+    Both sides are shuffled: grids are made by explode, so a plan takes them for far smaller than they are and would send one to the driver.
+    """
+    d = done.select(*[F.col(k).alias(f"_{k}") for k in keys])
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
-    return jobs.join(d, on, "left_anti")
+    return jobs.join(d.hint("merge"), on, "left_anti")
 
 
 def upsert(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
