@@ -29,9 +29,11 @@ def linkage(dist: np.ndarray, method: str = "average", sizes: np.ndarray | None
     if method not in UPDATES:
         raise ValueError(f"unknown linkage {method!r}")
     exact, n = dist.astype(np.float64).copy(), len(dist)
+    size, alive = np.ones(n) if sizes is None else sizes.astype(np.float64).copy(), np.ones(n, dtype=bool)
+    if method == "ward" and sizes is not None:  # as if the equal objects of each point had been merged
+        exact *= np.sqrt(2 * np.outer(size, size) / (size[:, None] + size))
     np.fill_diagonal(exact, np.inf)
     d = exact if digits is None else np.round(exact, digits)
-    size, alive = np.ones(n) if sizes is None else sizes.astype(np.float64).copy(), np.ones(n, dtype=bool)
     upper = np.where(np.triu(np.ones((n, n), dtype=bool), 1), d, np.inf)
     near = upper.argmin(1) if n else np.zeros(0, int)
     best = upper[np.arange(n), near] if n else np.zeros(0)

@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quorate.functions import kernels
 from quorate.operators import coassociation as co
+from quorate.operators import ensemble as en
 from quorate.operators import reports as rp
 
 
@@ -49,3 +51,21 @@ def test_partners_and_links_without_other_pairs(spark, monkeypatch, radix):
         found = co.must_link_pairs(members, weights, share).collect()
         assert sorted((r.i, r.j) for r in found) == sorted(kept)
         assert all(abs(r.w - ((kept[r.i, r.j] - low) / (high - low) / 5 + 0.8)) < 1e-9 for r in found)
+
+
+@pytest.mark.parametrize(("algorithm", "method"), [("hierarchical", "complete"), ("hierarchical", "ward"), ("weighted", "average")])
+def test_consensus_by_points(spark, algorithm, method):
+    """More objects than a run may have points; the labels are those of the whole matrix."""
+    rng = np.random.default_rng(11)
+    labels = rng.integers(1, 4, (90, 3))
+    members = spark.createDataFrame([(i, p, int(c)) for i, row in enumerate(labels) for p, c in enumerate(row)], "obj_id long, part_id int, cluster_id int")
+    found = en.consensus(members, en.random_plan(members, 3, 1), 4, algorithm, method, sharpen=1.5, **({"max_n": 27} if algorithm == "hierarchical" else {})).orderBy("obj_id").collect()
+    whole = en.ALGORITHMS[algorithm](labels, {"sharpen": 1.5})
+    assert [r.label for r in found] == kernels.consensus_labels(whole, 4, method, None, 12).tolist()
+
+
+def test_weighted_has_no_bound_on_objects(spark):
+    rows = spark.range(3100).select(F.col("id").alias("obj_id"), F.explode(F.array(*[F.struct(F.lit(p).alias("part_id"), (F.col("id") % (p + 2)).cast("int").alias("cluster_id")) for p in range(2)])).alias("m"))
+    members = rows.select("obj_id", "m.*")
+    found = en.consensus(members, en.random_plan(members, 2, 1), 6, "weighted").groupBy("label").count().collect()
+    assert sorted(r["count"] for r in found) == [516, 516, 517, 517, 517, 517]
