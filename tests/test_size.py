@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from quorate.functions import kernels
 from quorate.operators import coassociation as co
 from quorate.operators import ensemble as en
+from quorate.operators import neighbours as nb
 from quorate.operators import reports as rp
 
 
@@ -69,3 +70,41 @@ def test_weighted_has_no_bound_on_objects(spark):
     members = rows.select("obj_id", "m.*")
     found = en.consensus(members, en.random_plan(members, 2, 1), 6, "weighted").groupBy("label").count().collect()
     assert sorted(r["count"] for r in found) == [516, 516, 517, 517, 517, 517]
+
+
+def test_base_partitions_have_no_bound(spark):
+    """Beyond max_n the pool is k-means over all tasks."""
+    rng = np.random.default_rng(2)
+    x = np.concatenate([rng.normal(0, 0.1, (40, 2)), rng.normal(9, 0.1, (40, 2))])
+    objs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "obj_id long, features array<double>")
+    got = en.base_partitions(objs, 2, k_max=2, max_hierarchical=10, max_n=50).toPandas()
+    assert len(got) == 160 and set(got["algorithm"]) == {"kmeans"} and got["linkage"].isna().all()
+    for _, part in got.groupby("part_id"):
+        labels = part.sort_values("obj_id")["cluster_id"].to_numpy()
+        assert len(set(labels[:40])) == len(set(labels[40:])) == 1 and labels[0] != labels[40]
+
+
+def test_pivots_that_exclude_nothing_are_left_out(monkeypatch):
+    """Points about equally far apart have one cell; separate groups keep their pivots; blocks grow so that few are enough."""
+    monkeypatch.setattr(nb, "PER_PIVOT", 50)
+    rng = np.random.default_rng(4)
+    sphere = rng.normal(0, 1, (400, 64))
+    sphere /= np.sqrt((sphere**2).sum(1))[:, None]
+    assert len(nb._pivots(sphere, 400, 1.1)) == 1
+    groups = rng.permutation(np.repeat(np.arange(8), 50))[:, None] * [100.0, 0.0] + rng.normal(0, 0.1, (400, 2))
+    assert len(nb._pivots(groups, 400, 0.5)) > 1
+
+
+@pytest.mark.parametrize("keep", [10, 10**6])
+def test_components_in_steps(spark, monkeypatch, keep):
+    """Tiles that are compared in many steps, with pairs reduced on the way, against all pairs."""
+    for name, value in {"STEP": 7, "KEEP": keep, "BLOCKS": 3}.items():
+        monkeypatch.setattr(nb, name, value)
+    monkeypatch.setattr(nb.linkage, "BLOCK", 20)
+    x = np.random.default_rng(6).normal(0, 1, (150, 2))
+    near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.25
+    low = np.arange(150)
+    for _ in range(150):
+        low = np.array([low[n].min() for n in near])
+    objs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "obj_id long, features array<double>")
+    assert [r.component for r in nb.eps_components(objs, 0.25).orderBy("obj_id").collect()] == low.tolist()
