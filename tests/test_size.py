@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quorate.functions import kernels
+from quorate.operators import benchmark as bm
 from quorate.operators import coassociation as co
 from quorate.operators import ensemble as en
 from quorate.operators import neighbours as nb
@@ -108,3 +109,20 @@ def test_components_in_steps(spark, monkeypatch, keep):
         low = np.array([low[n].min() for n in near])
     objs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "obj_id long, features array<double>")
     assert [r.component for r in nb.eps_components(objs, 0.25).orderBy("obj_id").collect()] == low.tolist()
+
+
+def test_large_jobs_fail_without_their_objects(spark, monkeypatch):
+    """Linkages and runs beyond the bound are failed rows with the same errors, and no task gets their objects; k-means goes on."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.normal(0, 0.1, (20, 2)), rng.normal(5, 0.1, (20, 2))])
+    objs = spark.createDataFrame([(i, v.tolist(), i // 20) for i, v in enumerate(x)], "obj_id long, features array<double>, gt int")
+    members = spark.createDataFrame([(i, p, i // 20) for i in range(40) for p in range(2)], "obj_id long, part_id int, cluster_id int")
+    jobs = bm.plan_jobs(40, [1], [2], ["average"], ["random"], [], algorithms=["kmeans", "agglomerative_ward", "weighted"])
+    ids = {j["job_id"]: j["algorithm"] for j in jobs}
+    single = bm.single_labels(objs, jobs, 2, max_n=30).toPandas()
+    runs = bm.consensus_labels(members, jobs, 2, max_n=30).toPandas()
+    for frame, failed, count in ((single, "agglomerative_ward", 40), (runs, "weighted", 80)):
+        part = frame[frame["job_id"].map(ids) == failed]
+        assert len(part) == count and set(part["error"]) == {"ValueError: 40 objects; max_n is 30"} and set(part["label"]) == {0} and not part["memory_mb"].any()
+    good = single[single["job_id"].map(ids) == "kmeans"].sort_values("obj_id")
+    assert good["error"].isna().all() and len(set(good["label"][:20])) == len(set(good["label"][20:])) == 1
