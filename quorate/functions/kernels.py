@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
 import numpy as np
 
 #: How Lance and Williams update the distance of k to the union of i and j, from (d_ki, d_kj, d_ij, n_i, n_j, n_k).
@@ -78,8 +81,8 @@ def spectral(dist: np.ndarray, k: int, rng: np.random.Generator, neighbours: int
     return min((kmeans(vectors, k, rng) for _ in range(10)), key=lambda r: r[1])[0] + 1
 
 
-def cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
-    """Labels from 1, in order of first members, at the smallest height that leaves k clusters or fewer."""
+def joined(merges: np.ndarray, n: int, height: float) -> np.ndarray:
+    """Labels from 1, in order of first members, of what the merges up to a height connect."""
     root = np.arange(n)
 
     def find(x: int) -> int:
@@ -87,21 +90,54 @@ def cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
             x = root[x]
         return x
 
-    if n > k:
-        height = np.sort(merges[:, 2])[n - k - 1]
-        for i, j, h in merges:
-            if h <= height:
-                a, b = find(int(i)), find(int(j))
-                root[max(a, b)] = min(a, b)
+    for i, j, h in merges:
+        if h <= height:
+            a, b = find(int(i)), find(int(j))
+            root[max(a, b)] = min(a, b)
     return np.unique([find(x) for x in range(n)], return_inverse=True)[1] + 1
 
 
+def cut(merges: np.ndarray, n: int, k: int) -> np.ndarray:
+    """Labels from 1, in order of first members, at the smallest height that leaves k clusters or fewer."""
+    return joined(merges, n, np.sort(merges[:, 2])[n - k - 1] if n > k else -np.inf)
+
+
 def consensus_labels(similarity: np.ndarray, k: int, method: str = "average", sizes: np.ndarray | None = None, digits: int | None = None) -> np.ndarray:
     """Cut of the hierarchy on 1 - similarity."""
     far = 1 - np.clip(np.maximum(similarity, similarity.T), 0, 1)
     return cut(linkage(far if digits is None else np.round(far, digits), method, sizes, digits), len(far), k)
 
 
+def class_labels(similarity: np.ndarray, n: np.ndarray, k: int, method: str = "average", digits: int | None = None, most: int = 8192) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(class, rank, label): consensus_labels of objects in classes of equal ones, n in each; the diagonal is the similarity within a class.
+
+    A class whose objects are no farther from each other than from any others merges first, at one height, so it is a point of
+    n objects (single, complete and average linkage). The objects of other classes are points of their own, in the order of class
+    and rank, and more than ``most`` points raise. Rank -1 stands for all objects of a class.
+    """
+    if method == "ward":
+        raise ValueError("equal objects that are apart are no point of ward linkage")
+    far = 1 - np.clip(np.maximum(similarity, similarity.T), 0, 1)
+    far = far if digits is None else np.round(far, digits)
+    own, n = far.diagonal().copy(), n.astype(np.int64)
+    np.fill_diagonal(far, np.inf)
+    apart = (n > 1) & (own > far.min(1))
+    np.fill_diagonal(far, own)
+    size = np.where(apart, 1, n)
+    at = np.repeat(np.arange(len(n)), np.where(apart, n, 1))
+    if len(at) > most:
+        raise ValueError(f"{len(at)} points in a run; max_n is {most}")
+    merges = linkage(far[np.ix_(at, at)] if apart.any() else far, method, size[at], digits)
+    heights = np.sort(np.concatenate([merges[:, 2], np.repeat(own, size - 1)]))
+    height = heights[n.sum() - k - 1] if n.sum() > k else -np.inf
+    labels, rank = joined(merges, len(at), height), np.where(apart[at], np.arange(len(at)) - np.searchsorted(at, at), -1)
+    loose = np.flatnonzero((size > 1) & (own > height))  # of few objects, each a cluster
+    rank[np.isin(at, loose)] = 0
+    more = np.repeat(loose, size[loose] - 1)
+    later = np.arange(len(more)) - np.searchsorted(more, more) + 1
+    return np.concatenate([at, more]), np.concatenate([rank, later]), np.concatenate([labels, labels.max(initial=0) + 1 + np.arange(len(more))])
+
+
 def kmeans(x: np.ndarray, k: int, rng: np.random.Generator, iterations: int = 50) -> tuple[np.ndarray, float]:
     """Lloyd's algorithm from random points: labels from 0 and the cost; a centre without points stays where it is."""
     centres = x[rng.choice(len(x), min(k, len(x)), replace=False)]
@@ -269,60 +305,92 @@ def fuse(s: np.ndarray, d: np.ndarray, w: np.ndarray) -> np.ndarray:
     return np.where(s >= d, 1 - (1 - s + d) * (1 - w), (1 + s - d) * w)
 
 
-def refine_classes(high: np.ndarray, n: np.ndarray, must: tuple, cannot: tuple, iterations: int = 120, tol: float = 1e-3) -> tuple[tuple, tuple]:
+def refine_classes(high: np.ndarray, n: np.ndarray, must: tuple, cannot: tuple, iterations: int = 120, tol: float = 1e-3, threads: int = 1) -> tuple[tuple, tuple]:
     """``refine`` for objects in classes of equal ones: n objects in each, high between classes.
 
     Matrices that are constant between and within classes but for the diagonal are closed under what refine does, so each
     is a pair: its entries by class, and its diagonal. A product with the inverse of the Laplacian plus a constant is one
-    with an inverse by class, once the diagonal's own part is taken off. Single precision suffices for ``tol``.
+    with an inverse by class, once the diagonal's own part is taken off. Single precision suffices for ``tol``. Rows are
+    taken in slices, by ``threads`` threads.
     """
     root = np.sqrt(n)
     degree = high @ n
     value, vector = np.linalg.eigh(np.diag(degree) - root[:, None] * high * root)
     left, right = (vector / root[:, None]).astype(np.float32), (vector.T * root).astype(np.float32)
-    twice, own = (2 * high).astype(np.float32), np.arange(len(n))
-
-    def norm(x: np.ndarray, diagonal: np.ndarray) -> float:
-        inner = x[own, own].astype(float)
-        weighted = (n.astype(np.float32) @ (x * x)) @ n
-        return float(np.sqrt(max(0.0, weighted - n @ inner**2 + n @ diagonal**2)))
-
-    def solve(inverse: np.ndarray, mu: float, x: np.ndarray, diagonal: np.ndarray) -> tuple:
-        alone = (diagonal - x[own, own]) / (2 * degree + 2 * mu)
-        out = inverse @ (x + twice * alone.astype(np.float32))
-        out = (out + out.T) / 2
-        return out, out[own, own] + alone
-
-    def bounded(mu: float, y: tuple, x: tuple, link: tuple) -> tuple:
-        new = tuple(np.where(k == 0, np.clip(b / (2 * mu) + a, 0, 1), k).astype(a.dtype) for a, b, k in zip(x, y, link, strict=True))
-        return (new[0] + new[0].T) / 2, new[1]
-
-    mu = 1.0
-    zero = lambda: (np.zeros(high.shape, np.float32), np.zeros(len(n)))
-    s, d, f1, f2, y1, y2 = (zero() for _ in range(6))
+    del vector
+    twice, own, weight = (2 * high).astype(np.float32), np.arange(len(n)), n.astype(np.float32)
     must, cannot = ((a.astype(np.float32), b) for a, b in (must, cannot))
-    for _ in range(iterations):
-        s0, d0 = s, d
-        inverse = (left / (2 * value + 2 * mu).astype(np.float32)) @ right
-        s = solve(inverse, mu, *(2 * mu * f - b - y for f, b, y in zip(f1, d, y1, strict=True)))
-        f1 = bounded(mu, y1, s, must)
-        d = solve(inverse, mu, *(2 * mu * f - b - y for f, b, y in zip(f2, s, y2, strict=True)))
-        f2 = bounded(mu, y2, d, cannot)
-        y1, y2 = (tuple((b + mu * (a - c)).astype(a.dtype) for a, b, c in zip(x, y, f, strict=True)) for x, y, f in ((s, y1, f1), (d, y2, f2)))
-        mu = min(mu * 1.1, 1e6)
-        if max(norm(*(a - b for a, b in zip(x, y, strict=True))) for x, y in ((s, s0), (d, d0), (s, f1), (d, f2))) < tol:
-            break
-    return s, d
-
-
-def guided(members: np.ndarray, lam: float = 0.09, eta: float = 0.75, theta: float = 0.65, weight: np.ndarray | None = None, time: float | None = None, diffusion: bool = False, tau: float | None = None) -> np.ndarray:
+    mu, count = 1.0, len(n)
+    zero = lambda: [np.zeros(high.shape, np.float32), np.zeros(count)]
+    s, d, f1, f2, y1, y2 = (zero() for _ in range(6))
+    x, out, inverse = (np.empty(high.shape, np.float32) for _ in range(3))
+
+    with ThreadPoolExecutor(threads) as pool:
+
+        def by_rows(work: Callable[[slice], object], step: int) -> list:
+            return list(pool.map(work, [slice(at, min(at + step, count)) for at in range(0, count, step)]))
+
+        def product(a: np.ndarray, b: np.ndarray, to: np.ndarray) -> None:
+            by_rows(lambda r: np.matmul(a[r], b, out=to[r]), -(-count // threads))
+
+        def step(this: list, f: list, other: list, y: list, link: tuple) -> float:
+            """One matrix, its bounded copy and its multipliers in place; the largest of its two changes."""
+            inner = 2 * mu * f[0][own, own] - other[0][own, own] - y[0][own, own]
+            diagonal = 2 * mu * f[1] - other[1] - y[1]
+            alone = (diagonal - inner) / (2 * degree + 2 * mu)
+            single = alone.astype(np.float32)
+
+            def right_side(r: slice) -> None:
+                x[r] = 2 * mu * f[0][r] - other[0][r] - y[0][r] + twice[r] * single
+
+            by_rows(right_side, 64)
+            product(inverse, x, out)
+
+            def bounded(r: slice) -> float:
+                new = (out[r] + out[:, r].T) / 2
+                moved = ((new - this[0][r]) ** 2 @ weight).astype(float)
+                this[0][r] = new
+                x[r] = np.where(link[0][r] == 0, np.clip(y[0][r] / (2 * mu) + new, 0, 1), link[0][r])
+                return n[r] @ moved
+
+            def even(r: slice) -> float:
+                f[0][r] = (x[r] + x[:, r].T) / 2  # links at the edge of a threshold may count in one direction only
+                off = this[0][r] - f[0][r]
+                y[0][r] += mu * off
+                return n[r] @ (off**2 @ weight).astype(float)
+
+            was = this[0][own, own].astype(float), this[1]
+            total = np.array([sum(by_rows(bounded, 64)), sum(by_rows(even, 64))])
+            now = this[0][own, own].astype(float)
+            this[1] = now + alone
+            f[1] = np.where(link[1] == 0, np.clip(y[1] / (2 * mu) + this[1], 0, 1), link[1])
+            inside = np.array([n @ (now - was[0]) ** 2, n @ (now - f[0][own, own]) ** 2])
+            diagonals = np.array([n @ (this[1] - was[1]) ** 2, n @ (this[1] - f[1]) ** 2])
+            y[1] = y[1] + mu * (this[1] - f[1])
+            return float(np.sqrt(np.maximum(0, total - inside + diagonals)).max())
+
+        for _ in range(iterations):
+            product(left / (2 * value + 2 * mu).astype(np.float32), right, inverse)
+            change = max(step(s, f1, d, y1, must), step(d, f2, s, y2, cannot))
+            mu = min(mu * 1.1, 1e6)
+            if change < tol:
+                break
+    return tuple(s), tuple(d)
+
+
+def guided(members: np.ndarray, lam: float = 0.09, eta: float = 0.75, theta: float = 0.65, weight: np.ndarray | None = None, time: float | None = None, diffusion: bool = False, tau: float | None = None, counts: np.ndarray | None = None, threads: int = 1) -> np.ndarray:
     """Consensus matrix guided by must and cannot links; with ``diffusion`` cluster similarity is a heat kernel (time None: adaptive).
 
     ``tau`` is the least dissimilarity that is a cannot link: 0.8, or by a percentile with ``diffusion``, if it is None.
 
-    Objects with equal rows are one class. ``weight`` goes by the clusters of one_hot(members).
+    Objects with equal rows are one class. ``weight`` goes by the clusters of one_hot(members). With ``counts`` the rows are
+    classes already, with so many objects, and so are those of the result, whose diagonal is the similarity within a class.
     """
-    classes, back, n = np.unique(members, axis=0, return_inverse=True, return_counts=True)
+    if counts is None:
+        classes, back, n = np.unique(members, axis=0, return_inverse=True, return_counts=True)
+    else:
+        order = np.lexsort(members.T[::-1])
+        classes, back, n = members[order], np.argsort(order), counts[order]
     back, n = back.ravel(), n.astype(float)
     segments, part = one_hot(classes)
     m, alone = members.shape[1], n == 1
@@ -333,7 +401,8 @@ def guided(members: np.ndarray, lam: float = 0.09, eta: float = 0.75, theta: flo
 
     def spread(x: np.ndarray, diagonal: np.ndarray) -> np.ndarray:
         out = x[np.ix_(back, back)]
-        np.fill_diagonal(out, diagonal[back])
+        if counts is None:
+            np.fill_diagonal(out, diagonal[back])
         return out
 
     if eta > 1:
@@ -349,10 +418,13 @@ def guided(members: np.ndarray, lam: float = 0.09, eta: float = 0.75, theta: flo
     # the weights of linked pairs: an object alone in its class has no pair there, and every object is linked with itself
     mask = ca >= theta
     real = mask & ~np.diag(alone)
-    low, high = (f(w[real].tolist() + [1.0]) for f in (min, max)) if theta <= 1 else (0.0, 0.0)
+    low, high = (float(f(w[real], initial=1.0)) for f in (np.min, np.max)) if theta <= 1 else (0.0, 0.0)
     scale = lambda x: (x - low) / (high - low) / 5 + 0.8 if high > low else np.full_like(x, 0.8)
-    must = np.where(mask & (cannot <= 0), scale(w), 0), np.where(np.diag(cannot) > 0, 0, scale(ones)) * (theta <= 1)
-    s, d = refine_classes(np.where(ca >= eta, ca, 0), n, must, (cannot, np.diag(cannot).copy()))
+    must = np.where(mask & (cannot <= 0), scale(w), 0).astype(np.float32), np.where(np.diag(cannot) > 0, 0, scale(ones)) * (theta <= 1)
+    cannot = cannot.astype(np.float32), np.diag(cannot).copy()
+    high = np.where(ca >= eta, ca, 0)
+    del ca, mask, real
+    s, d = refine_classes(high, n, must, cannot, threads=threads)
     return spread(fuse(s[0].astype(float), d[0].astype(float), w), fuse(s[1], d[1], ones))
 
 

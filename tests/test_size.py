@@ -126,3 +126,49 @@ def test_large_jobs_fail_without_their_objects(spark, monkeypatch):
         assert len(part) == count and set(part["error"]) == {"ValueError: 40 objects; max_n is 30"} and set(part["label"]) == {0} and not part["memory_mb"].any()
     good = single[single["job_id"].map(ids) == "kmeans"].sort_values("obj_id")
     assert good["error"].isna().all() and len(set(good["label"][:20])) == len(set(good["label"][20:])) == 1
+
+
+@pytest.mark.parametrize(("algorithm", "params"), [("guided", {}), ("guided_diffusion", {"time": "adaptive"})])
+def test_guided_has_no_bound_on_objects(spark, algorithm, params):
+    """More than 3000 objects of few classes: the labels are those of the whole matrix, with weights of clusters and for any linkage by classes."""
+    rng = np.random.default_rng(12)
+    hidden = rng.integers(0, 3, 3100)
+    labels = np.stack([np.where(rng.random(3100) < 0.3, rng.integers(1, 4, 3100), 1 + hidden) for _ in range(4)], 1)
+    members = spark.createDataFrame([(i, p, int(c)) for i, row in enumerate(labels) for p, c in enumerate(row)], "obj_id long, part_id int, cluster_id int")
+    fuzzy, more = None, {}
+    if algorithm == "guided_diffusion":
+        more["fuzzy"] = rng.random(12)
+        fuzzy = spark.createDataFrame([(p, c, float(more["fuzzy"][3 * p + c - 1])) for p in range(4) for c in (1, 2, 3)], "part_id int, cluster_id int, weight double")
+    found = en.consensus(members, en.random_plan(members, 4, 1), 5, algorithm, "average", fuzzy=fuzzy, **params).orderBy("obj_id").collect()
+    assert [r.label for r in found] == kernels.consensus_labels(en.ALGORITHMS[algorithm](labels, params | more), 5, "average", None, 12).tolist()
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average"])
+def test_class_labels_equal_object_labels(method):
+    """Classes that merge first, classes that are apart, and cuts that leave objects of a class alone."""
+    rng = np.random.default_rng(13)
+    for k in (1, 3, 7, 12, 25):
+        n = rng.integers(1, 6, 8)
+        similarity = rng.random((8, 8))
+        similarity = (similarity + similarity.T) / 2
+        similarity[np.arange(8), np.arange(8)] = rng.choice([0.2, 0.9, 0.97, 1.0], 8)
+        back = np.repeat(np.arange(8), n)
+        whole = similarity[np.ix_(back, back)]
+        np.fill_diagonal(whole, 1)
+        want = kernels.consensus_labels(whole, k, method, None, 12)
+        at, rank, labels = kernels.class_labels(similarity, n, k, method, 12)
+        got = np.zeros(len(back), dtype=int)
+        for c, r, label in zip(at, rank, labels, strict=True):
+            place = np.flatnonzero(back == c)
+            got[place if r < 0 else place[r]] = label
+        first = {label: i for i, label in reversed(list(enumerate(got)))}
+        assert [sorted(first.values()).index(first[label]) + 1 for label in got] == want.tolist()
+
+
+def test_objects_of_a_class_get_labels_of_their_own(spark):
+    """Rows of ranks go to the objects of a class in their order, and labels go by the least objects."""
+    own = spark.createDataFrame([(0, 5, "a"), (0, 2, "b"), (0, 9, "a"), (0, 7, "b")], "run_id int, obj_id long, sig string")
+    points = own.groupBy("run_id", "sig").agg(F.min("obj_id").alias("s"))
+    found = spark.createDataFrame([(0, 5, 1, 3), (0, 5, 0, 1), (0, 2, -1, 2)], "run_id int, obj_id long, rank int, label int")
+    with en.Tables(spark, "test") as tables:
+        assert sorted((r.obj_id, r.label) for r in en._of_classes(own, points, found, tables).collect()) == [(2, 1), (5, 2), (7, 1), (9, 3)]
