@@ -8,6 +8,7 @@ from quorate.functions import kernels
 from quorate.operators import benchmark as bm
 from quorate.operators import coassociation as co
 from quorate.operators import ensemble as en
+from quorate.operators import linkage as ln
 from quorate.operators import neighbours as nb
 from quorate.operators import reports as rp
 
@@ -172,3 +173,25 @@ def test_objects_of_a_class_get_labels_of_their_own(spark):
     found = spark.createDataFrame([(0, 5, 1, 3), (0, 5, 0, 1), (0, 2, -1, 2)], "run_id int, obj_id long, rank int, label int")
     with en.Tables(spark, "test") as tables:
         assert sorted((r.obj_id, r.label) for r in en._of_classes(own, points, found, tables).collect()) == [(2, 1), (5, 2), (7, 1), (9, 3)]
+
+
+@pytest.mark.parametrize("method", ["single", "complete", "average", "ward"])
+def test_euclidean_equals_kernel(spark, monkeypatch, method):
+    """Copies and equal distances, rounds over several tiles in small steps, then one task; against the whole matrix."""
+    for name, value in {"BLOCK": 30, "DEALT": 3, "ROWS": 7, "COLUMNS": 11, "HELD": 20}.items():
+        monkeypatch.setattr(ln, name, value)
+    rng = np.random.default_rng(14)
+    x = np.concatenate([rng.normal(0, 1, (60, 3)), rng.integers(0, 1000, (40, 3))])
+    x = np.concatenate([x, x[5:12], x[5:9]])
+    objs = spark.createDataFrame([(3 * i + 1, v.tolist()) for i, v in enumerate(x)], "obj_id long, features array<double>")
+    d = np.round(np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)), ln.DIGITS)
+    want = kernels.cut(kernels.linkage(d, method, None, ln.DIGITS), len(x), 9).tolist()
+    assert [r.label for r in ln.euclidean(objs, 9, method, 50).orderBy("obj_id").collect()] == want
+
+
+def test_single_clusterers_have_no_bound(spark):
+    rng = np.random.default_rng(15)
+    x = np.concatenate([rng.normal(0, 0.1, (40, 2)), rng.normal(9, 0.1, (40, 2))])
+    objs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "obj_id long, features array<double>")
+    got = en.single_clusterers(objs, 2, max_n=30).toPandas().sort_values("obj_id")
+    assert {a: g["label"].tolist() for a, g in got.groupby("algorithm") if a != "kmeans"} == dict.fromkeys(en.METHODS, [1] * 40 + [2] * 40) and len(got) == 400
