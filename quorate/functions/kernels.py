@@ -23,6 +23,20 @@ def scrambled(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def folded(x: np.ndarray) -> np.ndarray:
+    """The first step of scrambled: that of x ^ y is folded(x) ^ folded(y)."""
+    return x ^ (x >> np.uint64(30))
+
+
+def scramble_high(x: np.ndarray, spare: np.ndarray) -> None:
+    """The highest 16 bits of scrambled(y), from x = folded(y) and in its place; the last step does not change them."""
+    np.multiply(x, np.uint64(0xBF58476D1CE4E5B9), out=x)
+    np.right_shift(x, np.uint64(27), out=spare)
+    np.bitwise_xor(x, spare, out=x)
+    np.multiply(x, np.uint64(0x94D049BB133111EB), out=x)
+    np.right_shift(x, np.uint64(48), out=x)
+
+
 def linkage(dist: np.ndarray, method: str = "average", sizes: np.ndarray | None = None, digits: int | None = None) -> np.ndarray:
     """Merges (i, j, height) of agglomerative clustering; of equal distances the smallest (i, j) merges first.
 

@@ -355,25 +355,47 @@ def pca_profile(values: DataFrame) -> DataFrame:
 def bootstrap_mean(rows: DataFrame, keys: list[str], value: str, resamples: int = 10_000, confidence: float = 0.95) -> DataFrame:
     """(keys..., mean, low, high): percentile interval of the mean, by Poisson resampling with counts from a hash of (row_no, resample).
 
-    Tasks add up each batch's resamples, so what is shuffled is ``resamples`` sums for each batch and key.
+    A task adds up its resamples over its batches, so what is shuffled is ``resamples`` sums for each task and key; it holds the sums of
+    1000 keys at most.
     """
     chances = np.cumsum(np.exp(-1) / np.array([float(math.factorial(k)) for k in range(9)]))
     count_of = np.searchsorted(chances, (np.arange(1 << 16) + 0.5) / (1 << 16)).astype(np.uint8)  # by 16 bits of a hash
-    salts = kernels.scrambled(np.arange(1, resamples + 1, dtype=np.uint64))
+    salts = kernels.folded(kernels.scrambled(np.arange(1, resamples + 1, dtype=np.uint64)))
 
     def resample(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        many, wide = 32, 1024  # small enough for a core's cache
+        hashes, spare = np.empty((2, many * wide), dtype=np.uint64)
+        drawn, counts = np.empty(many * wide, dtype=np.uint8), np.empty(many * wide)
+
+        def give() -> Iterator[pd.DataFrame]:
+            for key, (total, n) in sums.items():
+                yield pd.DataFrame({k: [x] * resamples for k, x in zip(keys, key, strict=True)} | {"b": np.arange(resamples), "s": total, "n": n.astype(np.int64)})
+            sums.clear()
+
         for pdf in batches:
             for key, part in pdf.groupby(keys, dropna=False):
+                key = tuple(None if pd.isna(x) else x for x in key)
+                if key not in sums and len(sums) >= 1000:
+                    yield from give()
+                both = sums.setdefault(key, np.zeros((2, resamples)))
                 v, row = part["v"].to_numpy(dtype=float), kernels.scrambled(part["row_no"].to_numpy(dtype=np.int64).view(np.uint64))
-                total, n = np.zeros(resamples), np.zeros(resamples, dtype=np.int64)
-                for at in range(0, len(v), 64):
-                    c = count_of[kernels.scrambled(row[at : at + 64, None] ^ salts) >> np.uint64(48)]
-                    total += v[at : at + 64] @ c
-                    n += c.sum(0, dtype=np.int64)
-                yield pd.DataFrame({k: [x] * resamples for k, x in zip(keys, key, strict=True)} | {"b": np.arange(resamples), "s": total, "n": n})
+                v, row = np.stack([v, np.ones(len(v))]), kernels.folded(row)
+                for at in range(0, len(row), many):
+                    some = row[at : at + many, None]
+                    for b in range(0, resamples, wide):
+                        salt = salts[b : b + wide]
+                        h, x, d, c = (m[: len(some) * len(salt)].reshape(len(some), len(salt)) for m in (hashes, spare, drawn, counts))
+                        np.bitwise_xor(some, salt, out=h)
+                        kernels.scramble_high(h, x)
+                        np.take(count_of, h.view(np.int64), out=d, mode="clip")
+                        np.copyto(c, d)
+                        both[:, b : b + wide] += v[:, at : at + many] @ c
+        yield from give()
 
     slim = rows.select(*keys, "row_no", F.col(value).alias("v")).where("v IS NOT NULL")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema if f.name in keys)
+    slim = slim.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism)  # a row costs much more than its way, and files may have few splits
     drawn = slim.mapInPandas(resample, f"{schema}, b int, s double, n long")
     means = drawn.groupBy(*keys, "b").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("m"))
     edge = (1 - confidence) / 2

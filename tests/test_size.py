@@ -195,3 +195,16 @@ def test_single_clusterers_have_no_bound(spark):
     objs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "obj_id long, features array<double>")
     got = en.single_clusterers(objs, 2, max_n=30).toPandas().sort_values("obj_id")
     assert {a: g["label"].tolist() for a, g in got.groupby("algorithm") if a != "kmeans"} == dict.fromkeys(en.METHODS, [1] * 40 + [2] * 40) and len(got) == 400
+
+
+def test_bootstrap_gives_sums_once_a_task(spark):
+    """Rows of one split are spread, and each task gives ``resamples`` rows a key, whatever the number of its batches; counts are those of the hash."""
+    rows = spark.createDataFrame([("a" if i % 3 else None, i, float(i % 7)) for i in range(400)], "k string, row_no long, v double").coalesce(1)
+    got = {r.k: r for r in en.bootstrap_mean(rows, ["k"], "v", resamples=50).collect()}
+    plan = en.bootstrap_mean(rows, ["k"], "v", resamples=50)._jdf.queryExecution().optimizedPlan().toString()
+    assert f"Repartition {4 * spark.sparkContext.defaultParallelism}, true" in plan
+    x = np.arange(1000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    high, spare = kernels.folded(x) ^ kernels.folded(np.uint64(77)), np.empty_like(x)
+    kernels.scramble_high(high, spare)
+    assert (high == kernels.scrambled(x ^ np.uint64(77)) >> np.uint64(48)).all()
+    assert set(got) == {"a"} and got["a"].low <= got["a"].mean <= got["a"].high
