@@ -158,8 +158,9 @@ def fingerprint(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_
     scratch.release()
     parts = sorted(r.part for r in made.where(f"kind = {HEAD}").select("part").collect())  # one a range
     pairs = [(a, b) for a, b in zip(parts, [*parts[1:], *parts[:1]], strict=True)]
-    heads = made.where(f"kind = {HEAD}").select(F.col("part").alias("after"), F.col("text").alias("following"))
-    lasts = made.where(f"kind = {LAST}").select("part", "doc_id", "text")
+    # the size of a file tells neither that of its texts nor that of rows after an explode, so such tables are never sent whole
+    heads = made.where(f"kind = {HEAD}").select(F.col("part").alias("after"), F.col("text").alias("following")).hint("merge")
+    lasts = made.where(f"kind = {LAST}").select("part", "doc_id", "text").hint("merge")
     lasts = lasts.join(made.sparkSession.createDataFrame(pairs, "part int, after int"), "part").join(heads, "after").select("doc_id", "text", "following")
     columns = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "f1", "f2"]
     return made.where(f"kind = {DONE}").select(*columns).unionByName(lasts.mapInArrow(_across, _KINDS).select(*columns))
@@ -184,14 +185,15 @@ def _keys(prints: DataFrame, masks: list[tuple[int, int]]) -> DataFrame:
 def within(queries: DataFrame, index: DataFrame, radius: int = RADIUS) -> DataFrame:
     """queries(f1, f2) against index(f1, f2, copies): (f1, f2, n_near), the copies of all entries within the radius of each distinct query.
 
-    Exact. A pair counts in the first table in which it meets.
+    Exact. A pair counts in the first table in which it meets. Both sides are shuffled: Spark takes a table for as small as it was
+    before the explode, and would send one to the driver.
     """
     masks = tables(index.count(), radius)
-    asked = _keys(queries.select("f1", "f2").distinct(), masks)
+    asked = _keys(queries.select("f1", "f2").distinct(), masks).hint("merge")
     slot = F.pmod(F.xxhash64("f1", "f2"), F.ceil(F.col("n") / PACK))
     sizes = asked.groupBy("t", "k1", "k2").agg(F.count("*").alias("n"))
     packed = asked.join(sizes, ["t", "k1", "k2"]).groupBy("t", "k1", "k2", slot.alias("slot")).agg(F.collect_list(F.struct("f1", "f2")).alias("asked"))
-    met = _keys(index, masks).join(packed, ["t", "k1", "k2"]).select("t", "f1", "f2", "copies", "asked")
+    met = _keys(index, masks).hint("merge").join(packed, ["t", "k1", "k2"]).select("t", "f1", "f2", "copies", "asked")
     words = np.array(masks, dtype=np.int64).view(np.uint64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,3 +109,14 @@ def test_likeness_tells_edits_from_strangers(spark, sf):
     for x in rows:
         by.setdefault(texts[x.doc_id], set()).add(x.fingerprint)
     assert all(len(v) == 1 for v in by.values())
+
+
+def test_no_side_is_sent_whole(spark):
+    """Files of few bytes stand for many rows after the explode, and for long texts: no join of them is planned as a broadcast."""
+    rows = spark.createDataFrame([(i, prose(random.Random(i), 12)) for i in range(60)], "doc_id long, text string")
+    with simhash.Scratch(spark, "test") as scratch:
+        found = scratch.table(simhash.fingerprint(rows, scratch))
+        index = scratch.table(found.groupBy("f1", "f2").agg(F.count("*").alias("copies")))
+        for df in (simhash.fingerprint(rows, scratch), simhash.within(found.where("doc_id % 50 = 0"), index)):
+            plan = df._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Broadcast" not in plan
