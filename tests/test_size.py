@@ -208,3 +208,26 @@ def test_bootstrap_gives_sums_once_a_task(spark):
     kernels.scramble_high(high, spare)
     assert (high == kernels.scrambled(x ^ np.uint64(77)) >> np.uint64(48)).all()
     assert set(got) == {"a"} and got["a"].low <= got["a"].mean <= got["a"].high
+
+
+def test_single_clusterers_are_the_same_over_all_tasks(spark):
+    """k-means and linkages of one task each and over all tasks give equal labels."""
+    x = np.random.default_rng(16).normal(0, 1, (150, 3))
+    objs = spark.createDataFrame([(7 * i + 1, v.tolist()) for i, v in enumerate(x)], "obj_id long, features array<double>").repartition(3)
+    one, all_ = (sorted(map(tuple, en.single_clusterers(objs, 5, max_n=n).collect())) for n in (3000, 100))
+    assert one == all_ and len(one) == 750
+
+
+@pytest.mark.parametrize("method", ["complete", "average", "ward"])
+def test_groups_keep_their_nearest_one(spark, monkeypatch, method):
+    """Only groups whose nearest one merged, and new ones, look for another: far fewer questions than groups times rounds."""
+    monkeypatch.setattr(ln, "BLOCK", 100)
+    seen = []
+    written = ln.Tables.write
+    groups = lambda df: (df.where("open").select("s").distinct().count(), df.select("s").distinct().count()) if {"open", "s"} <= set(df.columns) else None
+    monkeypatch.setattr(ln.Tables, "write", lambda self, df: (seen.append(groups(df)), written(self, df))[1])
+    x = np.random.default_rng(17).normal(0, 1, (200, 8))
+    objs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "obj_id long, features array<double>")
+    ln.euclidean(objs, 4, method, 60)
+    seen = [x for x in seen if x]
+    assert seen[0] == (200, 200) and len(seen) > 3 and all(o < n for o, n in seen[1:])
