@@ -231,3 +231,11 @@ def test_groups_keep_their_nearest_one(spark, monkeypatch, method):
     ln.euclidean(objs, 4, method, 60)
     seen = [x for x in seen if x]
     assert seen[0] == (200, 200) and len(seen) > 3 and all(o < n for o, n in seen[1:])
+
+
+def test_pool_does_not_depend_on_the_number_of_objects(spark):
+    """Hierarchical partitions stay hierarchical at any size, and partitions over all tasks are those of one task each."""
+    x = np.random.default_rng(18).normal(0, 1, (90, 4))
+    objs = spark.createDataFrame([(5 * i + 2, v.tolist()) for i, v in enumerate(x)], "obj_id long, features array<double>").repartition(3)
+    one, all_ = (sorted(map(tuple, en.base_partitions(objs, 4, max_hierarchical=n).collect()), key=str) for n in (2500, 50))
+    assert one == all_ and {(r[1], r[4]) for r in all_} == {(0, None), (1, "complete"), (2, None), (3, "ward")}
