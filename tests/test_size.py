@@ -239,3 +239,32 @@ def test_pool_does_not_depend_on_the_number_of_objects(spark):
     objs = spark.createDataFrame([(5 * i + 2, v.tolist()) for i, v in enumerate(x)], "obj_id long, features array<double>").repartition(3)
     one, all_ = (sorted(map(tuple, en.base_partitions(objs, 4, max_hierarchical=n).collect()), key=str) for n in (2500, 50))
     assert one == all_ and {(r[1], r[4]) for r in all_} == {(0, None), (1, "complete"), (2, None), (3, "ward")}
+
+
+def test_benchmark_plans_all_jobs_at_any_size(spark, monkeypatch):
+    """Guided and spectral jobs are planned beyond 900 objects too."""
+    from quorate.plans import registry
+
+    seen = {}
+    monkeypatch.setattr(bm, "run_jobs", lambda objs, members, jobs: seen.update({j["algorithm"]: objs for j in jobs}) or spark.range(1).select(F.lit(0.0).alias("seconds"), "id"))
+    registry.QUERIES["benchmark_jobs"](spark, "/root/testdata/sf0.1")
+    assert seen["guided"].count() > 900 and set(seen) == {*bm.SINGLE, *en.ALGORITHMS}
+
+
+def test_benchmark_jobs_are_the_same_over_all_tasks(spark, monkeypatch):
+    """Single jobs of one task each and over all tasks, and runs by points and by objects, give equal partitions; no job fails for its size."""
+    rng = np.random.default_rng(19)
+    x = np.concatenate([rng.normal(c, 0.5, (50, 3)) for c in (0, 5, 10)])
+    objs = spark.createDataFrame([(3 * i + 1, v.tolist(), i // 50) for i, v in enumerate(x)], "obj_id long, features array<double>, gt int").repartition(3)
+    members = spark.createDataFrame([(3 * i + 1, p, int(i // 50 if rng.random() < 0.8 else rng.integers(0, 3))) for i in range(150) for p in range(4)], "obj_id long, part_id int, cluster_id int")
+    jobs = bm.plan_jobs(150, [1], [3], ["average"], ["random"], [], runs=1)
+
+    def partitions(df):
+        pdf = df.toPandas().sort_values("obj_id")
+        assert pdf["error"].isna().all() and len(pdf) == 150 * pdf["job_id"].nunique()
+        return {j: [g["label"].tolist().index(v) for v in g["label"]] for j, g in pdf.groupby("job_id")}
+
+    one, runs = partitions(bm.single_labels(objs, jobs, 3)), partitions(bm.consensus_labels(members, jobs, 3))
+    assert runs == partitions(bm.consensus_labels(members, jobs, 3, max_n=3000))
+    monkeypatch.setattr(bm, "ONE_TASK", 100)
+    assert one == partitions(bm.single_labels(objs, jobs, 3))
